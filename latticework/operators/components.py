@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.exchange import checkpointed
+from latticework.session import checkpointed
 
 
 def _state(edges: DataFrame):

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -23,3 +23,18 @@ def ship(spark: SparkSession) -> None:
             out.write(path, path.relative_to(home.parent))
     spark.sparkContext.addPyFile(str(target))
     _SHIPPED.add(app)
+
+
+def shared_checkpoints(spark: SparkSession) -> None:
+    """Make checkpoint() usable: the cluster's folder, or a temporary one if none is named."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isDefined():
+        return
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a written copy in the shared folder."""
+    shared_checkpoints(df.sparkSession)
+    return df.checkpoint(eager=True)
