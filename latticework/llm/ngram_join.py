@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm import eliasfano, exchange, textkernel
-from latticework.llm.components import components
+from latticework.operators.components import components
+from latticework.session import checkpointed
 
 _STAGE = "kind int, doc_id long, n long, sig long, shingle long, pos int, cells binary"
 _STAGE_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("shingle", pa.int64()), ("pos", pa.int32()), ("cells", pa.binary())])
@@ -122,11 +123,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     base = exchange.in_blocks(docs, id_col, text_col, blocks)
     sent = base.groupBy("block").applyInArrow(_send(n_words, blocks), exchange.MESSAGE)
     answers = exchange.answer(sent, _document_counts)
-    stage = exchange.checkpointed(base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_heads(n_words, blocks, percent), _STAGE))
+    stage = checkpointed(base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_heads(n_words, blocks, percent), _STAGE))
 
     docs_out = stage.where("kind = 0").select("doc_id", "n", "sig")
     classes = docs_out.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("node"))
-    entries = exchange.checkpointed(
+    entries = checkpointed(
         stage.where("kind = 1").select("sig", "n", "shingle", "pos").distinct().join(classes, ["sig", "n"]).select("node", "n", "shingle", "pos")
     )
     cells = stage.where("kind = 2").groupBy("sig", "n").agg(F.first("cells").alias("cells")).join(classes, ["sig", "n"]).select("node", "cells")
@@ -134,12 +135,12 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     leads = entries.groupBy("shingle").agg(F.min(F.struct("pos", "n", "node")).alias("lead"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     starred = entries.alias("x").join(leads.alias("l"), "shingle").select(F.struct("x.pos", "x.n", "x.node").alias("x"), F.col("lead").alias("y")).where("x.node <> y.node")
     star = starred.where(_bounded("x", "y", percent)).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    first = exchange.checkpointed(components(_verified(star, cells, percent)))
+    first = checkpointed(components(_verified(star, cells, percent)))
 
     labelled = entries.join(first.withColumnRenamed("component", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     per_comp = labelled.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("rows"))
     main = per_comp.groupBy("shingle").agg(F.max(F.struct("rows", "comp")).alias("m"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-    spread = exchange.checkpointed(
+    spread = checkpointed(
         labelled.join(main, "shingle").select("shingle", "comp", (F.col("comp") == F.col("m.comp")).alias("main"), F.struct("pos", "n", "node", "comp").alias("cell"))
     )
     rest = spread.where("not main").select("shingle", F.col("cell").alias("x"))
