@@ -78,10 +78,17 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     turns = rows.where("c is not null and t is not null").select("c", "t").distinct()
     before = turns.select("c", (F.col("t") + 1).alias("t"), F.col("t").alias("previous"))
     parents = turns.join(before, ["c", "t"], "left").join(linked, ["c", "t"], "left").select("c", "t", F.coalesce("quoted", "previous").alias("parent"), F.coalesce("n_linked", F.lit(0)).alias("n_linked"))
-    tree = checkpointed(parents.select("c", "t", "parent", F.coalesce("parent", "t").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), "n_linked"))
-    while tree.where("depth > 0").alias("x").join(tree.where("depth > 0").select("c", F.col("t").alias("up")).alias("y"), ["c", "up"], "left_semi").limit(1).count():
-        higher = tree.select("c", F.col("t").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        tree = checkpointed(tree.join(higher, ["c", "up"], "left").select("c", "t", "parent", F.coalesce("up2", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), "n_linked"))
+    parents = checkpointed(parents)
+    root = F.col("parent").isNull()
+    open_ = parents.where(~root).select("c", "t", F.col("parent").alias("up"), F.lit(1).cast("long").alias("depth"))
+    settled = parents.where(root).select("c", "t", F.col("t").alias("up"), F.lit(0).cast("long").alias("depth"))
+    # a round doubles the distance looked up, and only messages whose root is not known yet take part in it
+    while not open_.isEmpty():
+        above = settled.withColumn("done", F.lit(True)).unionByName(open_.withColumn("done", F.lit(False))).select("c", F.col("t").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"), "done")
+        raised = checkpointed(open_.join(above, ["c", "up"]).select("c", "t", F.col("up2").alias("up"), (F.col("depth") + F.col("more")).alias("depth"), "done"))
+        settled = settled.unionByName(raised.where("done").drop("done"))
+        open_ = raised.where("not done").drop("done")
+    tree = parents.select("c", "t", "parent", "n_linked").join(settled, ["c", "t"])
 
     shown = F.concat(F.lit("<|"), F.col("role"), F.lit("|>\n"), F.col("body"), F.lit("\n"))
     return rows.select("c", "t", "role", "body", F.size("quotes").cast("long").alias("n_quotes"), shown.alias("formatted")).join(tree, ["c", "t"], "left").select(
