@@ -70,3 +70,60 @@ def walkup_value(f: Column) -> Column:
 
 def commercial_value(f: Column) -> Column:
     return F.when(f <= 0, 0).otherwise(F.greatest(F.lit(0), 5 - (f - 1))).cast("double")
+
+
+#: fixed values: growth of value from one floor to the next, by the last floor it holds for
+GROWTH = [(5, 1.010), (6, 0.990), (7, 1.030), (9, 1.015), (10, 1.050), (24, 1.015), (29, 1.050)]
+GROWTH_ABOVE = 1.015
+
+
+def real_estate_values(tops: DataFrame) -> DataFrame:
+    """(grid_id, floor_idx, value) of floors 1 to `top` of (grid_id, top) rows.
+
+    Value grows from 1 on floor 1. The upper 6 percent of floors, from floor 2
+    up, are penthouses: the first is worth 1.35 times the mean of the floors
+    below if that is more, each next one 2 percent more than the one before.
+    """
+    floors = tops.select("grid_id", "top", F.greatest(F.lit(2), F.col("top") - F.floor(F.col("top") * 0.06)).cast("int").alias("start"))
+    # the curve multiplies floor by floor, in order, so that rounding is that of the running product
+    growth = F.transform(F.sequence(F.lit(1), F.col("top").cast("int")), lambda f: F.when(f == 1, 1.0).otherwise(_rate(f)))
+    curve = F.aggregate(growth, F.array().cast("array<double>"), lambda acc, g: F.concat(acc, F.array(F.when(F.size(acc) == 0, 1.0).otherwise(F.element_at(acc, -1) * g))))
+    base = floors.withColumn("curve", curve).withColumn("below", F.slice("curve", 1, F.least(F.col("start") - 1, F.col("top")).cast("int")))
+    mean = F.when(F.size("below") == 0, 1.0).otherwise(F.aggregate("below", F.lit(0.0), lambda a, x: a + x) / F.size("below"))
+    spread = base.withColumn("mean", mean).select("grid_id", "start", "mean", "curve", F.posexplode("curve").alias("i", "plain"))
+    first = F.greatest(F.element_at("curve", F.col("start")), F.lit(1.35) * F.col("mean"))
+    value = F.when(F.col("i") + 1 < F.col("start"), F.col("plain")).otherwise(first * F.pow(F.lit(1.02), F.col("i") + 1 - F.col("start")))
+    return spread.select("grid_id", (F.col("i") + 1).alias("floor_idx"), value.alias("value"))
+
+
+def _rate(f: Column) -> Column:
+    rate = F.lit(GROWTH_ABOVE)
+    for last, value in reversed(GROWTH):
+        rate = F.when(f <= last, value).otherwise(rate)
+    return rate
+
+
+def real_estate_value(floors: DataFrame) -> DataFrame:
+    """Channel of the normalised value of each voxel's floor, of (grid_id, voxel_idx, floor_idx) rows; 0 below floor 1."""
+    tops = floors.groupBy("grid_id").agg(F.greatest(F.max("floor_idx"), F.lit(1)).alias("top"))
+    rows = floors.join(real_estate_values(tops), ["grid_id", "floor_idx"], "left")
+    return normalized(rows.select("grid_id", "voxel_idx", F.lit("real_estate_value").alias("label"), F.coalesce("value", F.lit(0.0)).alias("value")))
+
+
+def floor_distribution(floors: DataFrame, floor_height: float) -> DataFrame:
+    """Voxels and height band of each floor of (grid_id, voxel_idx, floor_idx) rows."""
+    low = F.when(F.col("floor_idx") > 0, F.col("floor_idx") - 1).otherwise(F.col("floor_idx")) * float(floor_height)
+    return floors.groupBy("grid_id", "floor_idx").agg(F.count(F.lit(1)).alias("voxels")).select("grid_id", "floor_idx", "voxels", low.alias("low"), (low + float(floor_height)).alias("high"))
+
+
+def voxel_vectors(channels: DataFrame) -> DataFrame:
+    """(grid_id, voxel_idx, values): each voxel's values by label."""
+    return channels.groupBy("grid_id", "voxel_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "value")))).alias("values"))
+
+
+def channel_of(channels: DataFrame, label: str) -> DataFrame:
+    """The rows of one label; ValueError names the labels there are if it is none of them."""
+    rows = channels.where(F.col("label") == label)
+    if rows.isEmpty():
+        raise ValueError(f"no channel {label}; there are {sorted(r[0] for r in channels.select('label').distinct().collect())}")
+    return rows

@@ -133,3 +133,104 @@ def alpha(assignment: DataFrame) -> DataFrame:
 def summary(assignment: DataFrame) -> DataFrame:
     """Voxels of each program, of the core and of none."""
     return assignment.groupBy("grid_id", "program_idx").agg(F.count(F.lit(1)).alias("voxels"))
+
+
+#: fixed values: alpha and colour of core and unassigned voxels
+SHADES = {CORE: (180, 80, 80, 80), UNASSIGNED: (40, 160, 160, 160)}
+
+
+def shader(assignment: DataFrame, programs: DataFrame) -> DataFrame:
+    """(grid_id, voxel_idx, a, r, g, b): the program's colour with the voxel's opacity."""
+    shaded = alpha(assignment).join(programs.select("program_idx", "r", "g", "b"), "program_idx", "left")
+    columns = {"a": "alpha", "r": "r", "g": "g", "b": "b"}
+    fixed = [F.when(F.col("program_idx") == CORE, SHADES[CORE][k]).when(F.col("program_idx") == UNASSIGNED, SHADES[UNASSIGNED][k]).otherwise(F.col(c)).cast("int").alias(n) for k, (n, c) in enumerate(columns.items())]
+    return shaded.select(*KEY, *fixed)
+
+
+def unassigned(assignment: DataFrame, show: bool = True) -> DataFrame:
+    """Voxels of no program that are not core; none if they are not to be shown."""
+    return assignment.where((F.col("program_idx") == UNASSIGNED) & F.lit(show)).select(*KEY)
+
+
+def assign_round_robin(scored: DataFrame, programs: DataFrame, core: DataFrame | None = None, show_all: bool = True, batch: int = 4096) -> DataFrame:
+    """Programs in turn take their best free voxel, one a round, until they are full or nothing is free.
+
+    Ties go to the lesser voxel. A pass takes each program's next `batch` free
+    voxels, replays the turns on these rows alone, one task a grid, and stops
+    where a program has used up its rows; passes follow until nothing changes.
+    """
+    limits = {r["program_idx"]: (r["voxel_count"] if not show_all and r["voxel_count"] >= 0 else None) for r in programs.collect()}
+    order = sorted(limits)
+    left = checkpointed(scored if core is None else scored.join(core.select(*KEY).distinct(), KEY, "left_anti"))
+    schema = "grid_id string, voxel_idx long, program_idx int, winning_score double"
+
+    def replay(rows):
+        import pandas as pd
+
+        queues = {p: list(g.sort_values(["score", "voxel_idx"], ascending=[False, True])[["voxel_idx", "score", "used", "more"]].itertuples(index=False)) for p, g in rows.groupby("program_idx")}
+        at, used = dict.fromkeys(queues, 0), {p: int(q[0].used) for p, q in queues.items()}
+        turn = int(rows["turn"].iloc[0])
+        taken, out = set(), []
+        live = [p for p in order if p in queues]
+        idle = 0
+        k = turn
+        while live and idle < len(order):
+            p = order[k % len(order)]
+            q = queues.get(p)
+            claimed = False
+            if q is not None and (limits[p] is None or used[p] < limits[p]):
+                while at[p] < len(q) and q[at[p]].voxel_idx in taken:
+                    at[p] += 1
+                if at[p] == len(q):
+                    if q[0].more:
+                        break
+                else:
+                    row = q[at[p]]
+                    taken.add(row.voxel_idx)
+                    used[p] += 1
+                    out.append((rows["grid_id"].iloc[0], row.voxel_idx, p, row.score))
+                    claimed = True
+            idle = 0 if claimed else idle + 1
+            k += 1
+        return pd.DataFrame(out, columns=["grid_id", "voxel_idx", "program_idx", "winning_score"])
+
+    taken = None
+    while True:
+        # the turn goes on after the last claim: claims so far give used counts, the last claimer the turn
+        if taken is None:
+            state = left.select("grid_id").distinct().select("grid_id", F.lit(0).alias("turn"))
+            used = None
+        else:
+            used = taken.groupBy("grid_id", "program_idx").agg(F.count(F.lit(1)).alias("used"))
+            place = F.lit(0)
+            for i, p in enumerate(order):
+                place = F.when(F.col("program_idx") == p, i).otherwise(place)
+            # the program after the last of those with the most claims is next
+            top = F.max(F.struct("used", place.alias("place")))
+            state = used.groupBy("grid_id").agg(top.alias("top")).select("grid_id", (F.col("top.place") + 1).alias("turn"))
+        placed = numbered(left, ["grid_id", "program_idx"], "score", "place")
+        size = left.groupBy("grid_id", "program_idx").agg((F.count(F.lit(1)) > batch).alias("more"))
+        front = placed.where(F.col("place") <= batch).join(size, ["grid_id", "program_idx"]).join(state, "grid_id")
+        front = front.join(used, ["grid_id", "program_idx"], "left").withColumn("used", F.coalesce("used", F.lit(0))) if used is not None else front.withColumn("used", F.lit(0))
+        claims = checkpointed(front.groupBy("grid_id").applyInPandas(replay, schema))
+        if claims.isEmpty():
+            break
+        taken = claims if taken is None else checkpointed(taken.unionByName(claims))
+        left = checkpointed(left.join(claims.select(*KEY), KEY, "left_anti"))
+    return _completed(scored.select(*KEY).distinct(), claims if taken is None else taken, core)
+
+
+def with_structure(assignment: DataFrame, programs: DataFrame, structure: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(assignment, programs) with a last program Structure that holds the voxels of `structure`.
+
+    ValueError if a program of that name, in any case, exists. The program is
+    kept when no voxel is given.
+    """
+    if not programs.where(F.lower("name") == "structure").isEmpty():
+        raise ValueError("there is a program named structure")
+    kept = structure.select(*KEY).distinct()
+    index = programs.agg(F.coalesce(F.max("program_idx"), F.lit(-1)) + 1).first()[0]
+    #: fixed values: the colour of structure
+    more = kept.agg(F.lit(index).alias("program_idx"), F.lit("Structure").alias("name"), F.lit(82).alias("r"), F.lit(87).alias("g"), F.lit(94).alias("b"), F.count(F.lit(1)).cast("int").alias("voxel_count"))
+    marked = assignment.join(kept.withColumn("held", F.lit(True)), KEY, "left")
+    return marked.withColumn("program_idx", F.when(F.col("held"), index).otherwise(F.col("program_idx"))).drop("held"), programs.unionByName(more.select(*programs.columns))

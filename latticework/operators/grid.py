@@ -93,3 +93,44 @@ def surface_depth(voxels: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     deepest = levels.groupBy("grid_id").agg((F.max("depth") + 1).alias("depth"))
     every = levels.unionByName(left.join(deepest, "grid_id"))
     return every.select(*KEY, F.lit("surface_depth").alias("label"), F.col("depth").cast("double").alias("value"))
+
+
+def surface_distance(voxels: DataFrame, voxel_size: float = 1.0, max_rounds: int = 10_000) -> DataFrame:
+    """Distance to the surface voxel whose wave arrives first, as a channel; of several, the nearest, then the least index.
+
+    Waves go level by level over face neighbours, as in surface_depth. What no
+    surface reaches is one voxel farther than the farthest. Raises ValueError
+    without a surface voxel.
+    """
+    slim = voxels.select(*KEY, *CELL[1:])
+    seed = F.struct("voxel_idx", *CELL[1:])
+    front = checkpointed(slim.join(surface(voxels).select(*KEY), KEY, "left_semi").select(*KEY, *CELL[1:], seed.alias("seed"), F.lit(0.0).alias("far")))
+    if front.isEmpty():
+        raise ValueError("no surface voxel")
+    levels, left = front, checkpointed(slim.join(front.select(*KEY), KEY, "left_anti"))
+    for _ in range(max_rounds):
+        sent = shifted(front.select(*CELL, "seed"), list(enumerate(DIRECTIONS))).select("grid_id", *(F.col(f"n{c}").alias(f"i{c}") for c in "xyz"), "seed")
+        square = sum(((F.col(f"seed.i{c}") - F.col(f"i{c}")) * (F.col(f"seed.i{c}") - F.col(f"i{c}")) for c in "xyz"), F.lit(0))
+        best = sent.groupBy(*CELL).agg(F.min(F.struct(square.cast("long").alias("square"), "seed")).alias("m"))
+        front = checkpointed(left.join(best, CELL).select(*KEY, *CELL[1:], F.col("m.seed").alias("seed"), (F.sqrt(F.col("m.square").cast("double")) * float(voxel_size)).alias("far")))
+        if front.isEmpty():
+            break
+        levels, left = levels.unionByName(front), checkpointed(left.join(front.select(*KEY), KEY, "left_anti"))
+    else:
+        raise RuntimeError(f"deeper than {max_rounds} levels")
+    beyond = levels.groupBy("grid_id").agg((F.max("far") + float(voxel_size)).alias("far"))
+    every = levels.select(*KEY, "far").unionByName(left.join(beyond, "grid_id").select(*KEY, "far"))
+    return every.select(*KEY, F.lit("surface_distance").alias("label"), F.col("far").alias("value"))
+
+
+def centers(voxels: DataFrame, origin: tuple[float, float, float] = (0, 0, 0), voxel_size: float = 1.0, plane: list[float] | None = None) -> DataFrame:
+    """(grid_id, voxel_idx, x, y, z) of voxel centres, put through a row-major 4 x 4 plane matrix if one is given."""
+    local = [float(o) + (F.col(f"i{c}") + 0.5) * float(voxel_size) for c, o in zip("xyz", origin, strict=True)]
+    if plane is not None:
+        local = [sum((F.lit(float(plane[4 * k + j])) * local[j] for j in range(3)), F.lit(float(plane[4 * k + 3]))) for k in range(3)]
+    return voxels.select(*KEY, *(v.alias(c) for c, v in zip("xyz", local, strict=True)))
+
+
+def boxes(voxels: DataFrame, origin: tuple[float, float, float] = (0, 0, 0), voxel_size: float = 1.0) -> DataFrame:
+    """(grid_id, voxel_idx, x, y, z, side): least corner and side of each voxel's box."""
+    return voxels.select(*KEY, *((float(o) + F.col(f"i{c}") * float(voxel_size)).alias(c) for c, o in zip("xyz", origin, strict=True)), F.lit(float(voxel_size)).alias("side"))

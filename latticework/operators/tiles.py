@@ -40,3 +40,19 @@ def propagate(candidates: DataFrame, compat: DataFrame, max_rounds: int = 1000)
             return now
         now = checkpointed(now.join(bad, ["grid_id", "ix", "iy", "iz", "tile_id"], "left_anti"))
     raise RuntimeError(f"not settled in {max_rounds} rounds")
+
+
+def prune_exhausted(candidates: DataFrame, tiles: DataFrame, compat: DataFrame) -> DataFrame:
+    """Candidates left when used-up tiles leave every voxel that is not settled, made arc-consistent again.
+
+    A voxel with one candidate is settled; a tile is used up when as many voxels
+    of the grid are settled on it as its max_count (0 or more) allows.
+    """
+    cell = ["grid_id", "ix", "iy", "iz"]
+    rows = candidates.select(*cell, "tile_id").distinct()
+    counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"), F.min("tile_id").alias("only"))
+    settled = counts.where("n = 1").groupBy("grid_id", F.col("only").alias("tile_id")).agg(F.count(F.lit(1)).alias("held"))
+    limits = tiles.where("max_count >= 0").select("tile_id", "max_count")
+    full = rows.select("grid_id", "tile_id").distinct().join(limits, "tile_id").join(settled, ["grid_id", "tile_id"], "left").where("coalesce(held, 0) >= max_count").select("grid_id", "tile_id", F.lit(True).alias("full"))
+    left = rows.join(counts, cell).join(full, ["grid_id", "tile_id"], "left").where("n = 1 or full is null")
+    return propagate(left.select(*cell, "tile_id"), compat)
