@@ -87,11 +87,11 @@ def real_estate_values(tops: DataFrame) -> DataFrame:
     floors = tops.select("grid_id", "top", F.greatest(F.lit(2), F.col("top") - F.floor(F.col("top") * 0.06)).cast("int").alias("start"))
     # the curve multiplies floor by floor, in order, so that rounding is that of the running product
     growth = F.transform(F.sequence(F.lit(1), F.col("top").cast("int")), lambda f: F.when(f == 1, 1.0).otherwise(_rate(f)))
-    curve = F.aggregate(growth, F.array().cast("array<double>"), lambda acc, g: F.concat(acc, F.array(F.when(F.size(acc) == 0, 1.0).otherwise(F.element_at(acc, -1) * g))))
+    curve = F.aggregate(growth, F.array().cast("array<double>"), lambda acc, g: F.concat(acc, F.array(F.when(F.size(acc) == 0, 1.0).otherwise(F.get(acc, F.size(acc) - 1) * g))))
     base = floors.withColumn("curve", curve).withColumn("below", F.slice("curve", 1, F.least(F.col("start") - 1, F.col("top")).cast("int")))
     mean = F.when(F.size("below") == 0, 1.0).otherwise(F.aggregate("below", F.lit(0.0), lambda a, x: a + x) / F.size("below"))
     spread = base.withColumn("mean", mean).select("grid_id", "start", "mean", "curve", F.posexplode("curve").alias("i", "plain"))
-    first = F.greatest(F.element_at("curve", F.col("start")), F.lit(1.35) * F.col("mean"))
+    first = F.greatest(F.get("curve", F.col("start") - 1), F.lit(1.35) * F.col("mean"))
     value = F.when(F.col("i") + 1 < F.col("start"), F.col("plain")).otherwise(first * F.pow(F.lit(1.02), F.col("i") + 1 - F.col("start")))
     return spread.select("grid_id", (F.col("i") + 1).alias("floor_idx"), value.alias("value"))
 

@@ -152,7 +152,7 @@ def unassigned(assignment: DataFrame, show: bool = True) -> DataFrame:
     return assignment.where((F.col("program_idx") == UNASSIGNED) & F.lit(show)).select(*KEY)
 
 
-def assign_round_robin(scored: DataFrame, programs: DataFrame, core: DataFrame | None = None, show_all: bool = True, batch: int = 4096) -> DataFrame:
+def assign_round_robin(scored: DataFrame, programs: DataFrame, core: DataFrame | None = None, show_all: bool = True, batch: int = 100_000) -> DataFrame:
     """Programs in turn take their best free voxel, one a round, until they are full or nothing is free.
 
     Ties go to the lesser voxel. A pass takes each program's next `batch` free
@@ -171,10 +171,8 @@ def assign_round_robin(scored: DataFrame, programs: DataFrame, core: DataFrame |
         at, used = dict.fromkeys(queues, 0), {p: int(q[0].used) for p, q in queues.items()}
         turn = int(rows["turn"].iloc[0])
         taken, out = set(), []
-        live = [p for p in order if p in queues]
-        idle = 0
-        k = turn
-        while live and idle < len(order):
+        idle, k = 0, turn
+        while idle < len(order):
             p = order[k % len(order)]
             q = queues.get(p)
             claimed = False

@@ -26,19 +26,24 @@ def propagate(candidates: DataFrame, compat: DataFrame, max_rounds: int = 1000)
     A candidate goes when some existing neighbour has no compatible one left; a
     voxel that loses all of them is a contradiction and is absent from the result.
     """
-    cells = checkpointed(candidates.select("grid_id", "ix", "iy", "iz").distinct())
-    steps = F.array(*(F.struct(F.lit(n).alias("dir"), *(F.lit(v).alias(f"o{c}") for c, v in zip("xyz", o, strict=True))) for n, o in zip(NAMES, DIRECTIONS, strict=True)))
-    sides = cells.select("*", F.explode(steps).alias("s")).select("grid_id", "ix", "iy", "iz", "s.dir", *((F.col(f"i{c}") + F.col(f"s.o{c}")).alias(f"n{c}") for c in "xyz"))
-    sides = checkpointed(sides.join(cells.select("grid_id", *(F.col(f"i{c}").alias(f"n{c}") for c in "xyz")), ["grid_id", "nx", "ny", "nz"], "left_semi"))
-    now = checkpointed(candidates.select("grid_id", "ix", "iy", "iz", "tile_id").distinct())
+    cell = ["grid_id", "ix", "iy", "iz"]
+    bit = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(NAMES) for x in (n, 1 << i))), F.col("dir"))
+    step = {c: F.element_at(F.create_map(*(F.lit(x) for n, o in zip(NAMES, DIRECTIONS, strict=True) for x in (n, o[k]))), F.col("dir")) for k, c in enumerate("xyz")}
+    rules = checkpointed(compat.select("tile_a", "dir", F.col("tile_b").alias("tile_id"), bit.alias("bit"), *(step[c].alias(f"o{c}") for c in "xyz")).distinct())
+    if rules.count() < 100_000:
+        rules = F.broadcast(rules)
+    back = [F.struct(F.lit(1 << i).alias("bit"), *(F.lit(-v).alias(f"o{c}") for c, v in zip("xyz", o, strict=True))) for i, o in enumerate(DIRECTIONS)]
+    cells = candidates.select(*cell).distinct()
+    seen = cells.select("*", F.explode(F.array(*back)).alias("s")).groupBy("grid_id", *((F.col(f"i{c}") + F.col(f"s.o{c}")).alias(f"i{c}") for c in "xyz")).agg(F.bit_or("s.bit").alias("sides"))
+    # sides: a bit for each direction with an existing neighbour; a candidate needs a compatible one on all of them
+    now = checkpointed(candidates.select(*cell, "tile_id").distinct().join(seen, cell, "left").withColumn("sides", F.coalesce("sides", F.lit(0))))
     for _ in range(max_rounds):
-        asked = now.join(sides, ["grid_id", "ix", "iy", "iz"])
-        there = now.select("grid_id", *(F.col(f"i{c}").alias(f"n{c}") for c in "xyz"), F.col("tile_id").alias("tile_b")).join(F.broadcast(compat) if compat.count() < 100_000 else compat, "tile_b").select("grid_id", "nx", "ny", "nz", F.col("tile_a").alias("tile_id"), "dir").distinct()
-        bad = asked.join(there, ["grid_id", "nx", "ny", "nz", "tile_id", "dir"], "left_anti").select("grid_id", "ix", "iy", "iz", "tile_id").distinct()
-        bad = checkpointed(bad)
-        if bad.isEmpty():
-            return now
-        now = checkpointed(now.join(bad, ["grid_id", "ix", "iy", "iz", "tile_id"], "left_anti"))
+        met = now.join(rules, "tile_id").groupBy("grid_id", *((F.col(f"i{c}") - F.col(f"o{c}")).alias(f"i{c}") for c in "xyz"), F.col("tile_a").alias("tile_id")).agg(F.bit_or("bit").alias("met"))
+        held = F.coalesce("met", F.lit(0)).bitwiseAND(F.col("sides")) == F.col("sides")
+        judged = checkpointed(now.join(met, [*cell, "tile_id"], "left").withColumn("held", held).drop("met"))
+        now = judged.where("held").drop("held")
+        if judged.where("not held").isEmpty():
+            return now.select(*cell, "tile_id")
     raise RuntimeError(f"not settled in {max_rounds} rounds")
 
 
