@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from latticework.functions import channels as ch
 from latticework.operators import allocation as al
-from latticework.operators import boxes, grid, loops, membranes, support, tiles
+from latticework.operators import boxes, cores, grid, loops, membranes, support, tiles, views
 from latticework.plans import queries as base
+from latticework.sources import meshes
 from latticework.sources import voxels as vx
 
 
@@ -93,6 +94,60 @@ def v_tiles(spark, sf_dir):
     return tiles.propagate(start, tiles.compat(kinds, rules)).drop("grid_id")
 
 
+def _blades(spark, sf_dir):
+    """Obstacles: a triangle for each supplier, placed by its key and leaning by its nation."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") * 7 % 61 - 5.25).cast("double").alias("px"), (F.col("s_suppkey") * 11 % 59 - 4.75).cast("double").alias("py"), F.col("s_nationkey").cast("double").alias("n"))
+    return s.select(F.lit("lineitem").alias("grid_id"), F.col("px").alias("ax"), F.col("py").alias("ay"), F.lit(-1.0).alias("az"), (F.col("px") + 2.0).alias("bx"), (F.col("py") + 1.0).alias("by"), F.lit(-1.0).alias("bz"), (F.col("px") + F.col("n") / 8).alias("cx"), (F.col("py") + 1.5).alias("cy"), (F.col("n") + 3.3).alias("cz"))
+
+
+def v_horizon_view(spark, sf_dir):
+    return views.horizon_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 8, 30.0).select("voxel_idx", F.round("value", 5).alias("value"))
+
+
+def v_sky_view(spark, sf_dir):
+    return views.sky_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 12, 30.0).select("voxel_idx", F.round("value", 5).alias("value"))
+
+
+def v_core_distance(spark, sf_dir):
+    cells = base._assigned_cells(spark, sf_dir)
+    return cores.core_distance(cells, cells.where(F.col("program_idx") == al.CORE)).select("voxel_idx", F.round("distance", 9).alias("distance"), "is_core")
+
+
+def v_core_proximity(spark, sf_dir):
+    cells = base._assigned_cells(spark, sf_dir)
+    return cores.core_proximity(cores.core_distance(cells, cells.where(F.col("program_idx") == al.CORE))).select("voxel_idx", F.round("value", 9).alias("value"))
+
+
+def v_core_from_curves(spark, sf_dir):
+    """Voxels within 1.7 of an edge of a supplier's triangle."""
+    edges = _blades(spark, sf_dir).select("grid_id", F.lit(0).alias("curve_id"), *(f"a{c}" for c in "xyz"), *(F.col(f"c{c}").alias(f"b{c}") for c in "xyz"))
+    return cores.core_from_curves(grid.centers(base.fixture(spark, sf_dir)), edges, 1.7).select("voxel_idx", "curve_id", F.round("distance", 9).alias("distance"))
+
+
+def v_footprints(spark, sf_dir):
+    cells = base._assigned_cells(spark, sf_dir).where(F.col("program_idx") == al.CORE)
+    core = grid.centers(cells).join(cells.select(*vx.KEY, "iz"), vx.KEY).withColumn("core_id", F.lit(0))
+    return cores.footprints(core).select("core_id", "iz", *(F.round(c, 9).alias(c) for c in ("x", "y", "z", "x0", "y0", "x1", "y1")))
+
+
+def v_voxelize(spark, sf_dir):
+    """Voxels of one box for each order, as high as its price and as wide as its key says."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    size = {"x": (F.col("o_orderkey") % 3 + 1).cast("double"), "y": (F.col("o_custkey") % 4 + 1).cast("double"), "z": (F.col("o_totalprice") / 100_000 + 0.5).cast("double")}
+    sides = [(k, s) for k in range(3) for s in (0, 1)]
+    quads = []
+    for axis, side in sides:
+        quad = []
+        for p, q in ((0, 0), (1, 0), (1, 1), (0, 1)):
+            corner = [0, 0, 0]
+            corner[axis], corner[(axis + 1) % 3], corner[(axis + 2) % 3] = side, p, q
+            quad.append(corner)
+        quads += [(quad[0], quad[1], quad[2]), (quad[0], quad[2], quad[3])]
+    rows = F.array(*(F.struct(*((F.lit(float(v)) * size[c]).alias(f"{p}{c}") for p, corner in zip("abc", t, strict=True) for c, v in zip("xyz", corner, strict=True))) for t in quads))
+    triangles = o.select(F.col("o_orderkey").cast("string").alias("grid_id"), F.explode(rows).alias("t")).select("grid_id", "t.*")
+    return meshes.voxelize(triangles, 4).groupBy("grid_id").agg(F.count(F.lit(1)).alias("voxels"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("v_")}
 
 _WALK = "(VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0)) AS s(dx, dy, up)"
@@ -102,6 +157,23 @@ _TOWARDS = " + ".join(f"{d} * (m{c} - i{c} - 0.5 - {d} / 2.0)" for c, d in _AXES
 _MOVED = ", ".join(f"round(i{c} + c{c} + {d} * CASE WHEN {_TOWARDS} < 0 THEN 0.05::DOUBLE ELSE -0.05::DOUBLE END, 6)::DOUBLE AS {c}" for c, d in _AXES)
 _RATE = " ".join(f"WHEN f + 1 <= {last} THEN {rate}::DOUBLE" for last, rate in ch.GROWTH)
 
+_BLADES = """blade AS (
+  SELECT px AS ax, py AS ay, -1.0::DOUBLE AS az, px + 2 AS bx, py + 1 AS "by", -1.0::DOUBLE AS bz, px + n / 8 AS cx, py + 1.5::DOUBLE AS cy, n + 3.3::DOUBLE AS cz
+  FROM (SELECT (s_suppkey * 7 % 61 - 5.25)::DOUBLE AS px, (s_suppkey * 11 % 59 - 4.75)::DOUBLE AS py, s_nationkey::DOUBLE AS n FROM supplier))"""
+_HITS = """shot AS (
+  SELECT *, bx - ax AS e1x, "by" - ay AS e1y, bz - az AS e1z, cx - ax AS e2x, cy - ay AS e2y, cz - az AS e2z FROM ray CROSS JOIN blade),
+crossed AS (SELECT *, dy * e2z - dz * e2y AS px, dz * e2x - dx * e2z AS py, dx * e2y - dy * e2x AS pz FROM shot),
+sized AS (SELECT *, e1x * px + e1y * py + e1z * pz AS det FROM crossed),
+seen AS (SELECT voxel_idx, s.*, ix + 0.5::DOUBLE - ax AS tx, iy + 0.5::DOUBLE - ay AS ty, iz + 0.5::DOUBLE - az AS tz FROM cells CROSS JOIN (SELECT * FROM sized WHERE abs(det) > 1e-12) s),
+q AS (SELECT *, (tx * px + ty * py + tz * pz) / det AS s, ty * e1z - tz * e1y AS qx, tz * e1x - tx * e1z AS qy, tx * e1y - ty * e1x AS qz FROM seen),
+near AS (
+  SELECT voxel_idx, i, min((e2x * qx + e2y * qy + e2z * qz) / det) AS far FROM q
+  WHERE s >= -1e-9 AND (dx * qx + dy * qy + dz * qz) / det >= -1e-9 AND s + (dx * qx + dy * qy + dz * qz) / det <= 1 + 1e-9 AND (e2x * qx + e2y * qy + e2z * qz) / det >= 0 GROUP BY ALL),
+lost AS (SELECT voxel_idx, sum(30.0::DOUBLE - far) AS lost FROM near WHERE far < 30 GROUP BY voxel_idx)"""
+_CORE = base._MIXED + """, far AS (
+  SELECT p.voxel_idx, sqrt(min((p.ix - q.ix) * (p.ix - q.ix) + (p.iy - q.iy) * (p.iy - q.iy) + (p.iz - q.iz) * (p.iz - q.iz))::DOUBLE) AS far
+  FROM a p CROSS JOIN (SELECT * FROM a WHERE program_idx = -2) q GROUP BY p.voxel_idx)"""
+
 ORACLE_SQL = {
     "v_support": f"""WITH RECURSIVE {base._MIXED},
 walk AS (
@@ -133,4 +205,20 @@ SELECT voxel_idx, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ())
     "v_floor_distribution": f"""WITH {base._CELLS}, f AS (SELECT {base._FLOOR} AS floor_idx FROM cells)
 SELECT floor_idx, count(*) AS voxels, ((floor_idx - 1) * 10)::DOUBLE AS low, (floor_idx * 10)::DOUBLE AS high FROM f GROUP BY floor_idx""",
     "v_voxel_vectors": f"WITH {base._CELLS} SELECT voxel_idx, price, qty FROM cells",
+    "v_horizon_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, -sin(2 * pi() * i / 8) AS dx, cos(2 * pi() * i / 8) AS dy, 0.0::DOUBLE AS dz FROM range(8) r(i)),
+{_HITS} SELECT voxel_idx, round(8 * 30.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
+    "v_sky_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, cos(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dx, y AS dy, sin(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dz FROM (SELECT i, 1.0::DOUBLE - 2.0::DOUBLE * i / 11 AS y FROM range(12) r(i))),
+{_HITS} SELECT voxel_idx, round(12 * 30.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
+    "v_core_distance": f"WITH {_CORE} SELECT voxel_idx, round(far, 9) AS distance, far = 0 AS is_core FROM far",
+    "v_core_proximity": f"WITH {_CORE} SELECT voxel_idx, round(max(far) OVER () - far, 9) AS value FROM far",
+    "v_core_from_curves": f"""WITH {base._CELLS}, {_BLADES}, e AS (SELECT ax, ay, az, cx - ax AS sx, cy - ay AS sy, cz - az AS sz FROM blade),
+t AS (SELECT voxel_idx, e.*, ix + 0.5::DOUBLE - ax AS px, iy + 0.5::DOUBLE - ay AS py, iz + 0.5::DOUBLE - az AS pz FROM cells CROSS JOIN e),
+u AS (SELECT *, greatest(0, least(1, (px * sx + py * sy + pz * sz) / (sx * sx + sy * sy + sz * sz))) AS k FROM t),
+d AS (SELECT voxel_idx, min(sqrt((px - k * sx) ** 2 + (py - k * sy) ** 2 + (pz - k * sz) ** 2)) AS distance FROM u GROUP BY voxel_idx)
+SELECT voxel_idx, 0 AS curve_id, round(distance, 9) AS distance FROM d WHERE distance <= 1.7""",
+    "v_footprints": f"""WITH {base._MIXED} SELECT 0 AS core_id, iz, round(avg(ix + 0.5), 9)::DOUBLE AS x, round(avg(iy + 0.5), 9)::DOUBLE AS y, iz + 0.5::DOUBLE AS z,
+min(ix)::DOUBLE AS x0, min(iy)::DOUBLE AS y0, max(ix) + 1.0::DOUBLE AS x1, max(iy) + 1.0::DOUBLE AS y1 FROM a WHERE program_idx = -2 GROUP BY iz""",
+    "v_voxelize": """WITH s AS (SELECT o_orderkey, (o_orderkey % 3 + 1)::DOUBLE AS x, (o_custkey % 4 + 1)::DOUBLE AS y, (o_totalprice / 100000 + 0.5)::DOUBLE AS z FROM orders),
+v AS (SELECT *, greatest(x, y, z) / 4 AS side FROM s)
+SELECT o_orderkey::VARCHAR AS grid_id, (floor(x / side + 0.5) * floor(y / side + 0.5) * floor(z / side + 0.5))::BIGINT AS voxels FROM v WHERE floor(x / side + 0.5) * floor(y / side + 0.5) * floor(z / side + 0.5) > 0""",
 }

@@ -8,7 +8,7 @@ import pytest
 
 from latticework.functions import channels as ch
 from latticework.operators import allocation as al
-from latticework.operators import grid, tiles, views
+from latticework.operators import cores, grid, tiles, views
 from latticework.sources import meshes
 from latticework.sources import voxels as vx
 
@@ -146,3 +146,39 @@ def test_exhausted_tiles(spark):
     start = spark.createDataFrame([("g", 0, 0, 0, 0), ("g", 1, 0, 0, 0), ("g", 1, 0, 0, 1)], "grid_id string, ix int, iy int, iz int, tile_id int")
     left = tiles.prune_exhausted(start, t, allowed)
     assert sorted((r["ix"], r["tile_id"]) for r in left.collect()) == [(0, 0), (1, 1)]
+
+
+def test_core_distance_and_curves(spark):
+    rng = random.Random(6)
+    keys = [k for k in itertools.product(range(7), range(6), range(5)) if rng.random() < 0.6]
+    v = spark.createDataFrame([("g", i, *k) for i, k in enumerate(keys)] + [("none", 0, 0, 0, 0)], "grid_id string, voxel_idx long, ix int, iy int, iz int")
+    picked = rng.sample(range(len(keys)), 4)
+    core = spark.createDataFrame([("g", i) for i in picked] * 2 + [("g", 10_000)], "grid_id string, voxel_idx long")
+    far = cores.core_distance(v, core, 2.0)
+    got = {(r["grid_id"], r["voxel_idx"]): (r["distance"], r["is_core"]) for r in far.collect()}
+    want = {("g", i): (pytest.approx(2.0 * min(math.dist(k, keys[c]) for c in picked)), i in picked) for i, k in enumerate(keys)}
+    assert got == want | {("none", 0): (0.0, False)}
+    near = {r["voxel_idx"]: r["value"] for r in cores.core_proximity(far).where("grid_id = 'g'").collect()}
+    assert min(near.values()) == 0 and max(near, key=near.get) in picked
+    assert cores.core_coverage(far, 1e9).where("grid_id = 'g'").first()["beyond"] == 0
+
+    curves = [("g", 1, 0.0, 0.0, 0.0, 6.0, 5.0, 4.0), ("g", 1, 6.0, 5.0, 4.0, 6.0, 0.0, 4.0), ("g", 2, 3.0, 3.0, 3.0, 3.0, 3.0, 3.0)]
+    table = spark.createDataFrame(curves, "grid_id string, curve_id int, " + ", ".join(f"{p}{c} double" for p in "ab" for c in "xyz"))
+    close = {(r["voxel_idx"], r["curve_id"]): r["distance"] for r in cores.core_from_curves(grid.centers(v), table, 1.3).where("grid_id = 'g'").collect()}
+    brute = {}
+    for i, k in enumerate(keys):
+        p = [x + 0.5 for x in k]
+        for _, c, *ends in curves:
+            a, d = ends[:3], [y - x for x, y in zip(ends[:3], ends[3:], strict=True)]
+            size = sum(x * x for x in d)
+            t = max(0, min(1, sum((x - y) * z for x, y, z in zip(p, a, d, strict=True)) / size)) if size else 0
+            brute[i, c] = min(brute.get((i, c), 1e9), math.dist(p, [x + t * y for x, y in zip(a, d, strict=True)]))
+    assert close == {k: pytest.approx(x) for k, x in brute.items() if x <= 1.3}
+
+
+def test_core_footprints(spark):
+    at = spark.createDataFrame([("g", 1, z, x + 0.5, 0.5, z + 0.5) for z in range(2) for x in range(2)] + [("g", 2, 3, 9.5, 9.5, 3.5)], "grid_id string, core_id int, iz int, x double, y double, z double")
+    floors = cores.footprints(at)
+    assert [tuple(r)[3:] for r in floors.where("core_id = 1").orderBy("iz").collect()] == [(1.0, 0.5, 0.5, 0.0, 0.0, 2.0, 1.0), (1.0, 0.5, 1.5, 0.0, 0.0, 2.0, 1.0)]
+    lines = {r["core_id"]: [tuple(p) for p in r["points"]] for r in cores.centerlines(floors).collect()}
+    assert lines == {1: [(1.0, 0.5, 0.5), (1.0, 0.5, 1.5)], 2: [(9.5, 9.5, 3.5), (9.5, 9.5, 4.5)]}
