@@ -9,7 +9,7 @@ import pytest
 from latticework.functions import channels as ch
 from latticework.operators import allocation as al
 from latticework.operators import cores, grid, tiles, views
-from latticework.sources import meshes
+from latticework.sources import meshes, stack
 from latticework.sources import voxels as vx
 
 TRIANGLE = "grid_id string, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz")
@@ -182,3 +182,14 @@ def test_core_footprints(spark):
     assert [tuple(r)[3:] for r in floors.where("core_id = 1").orderBy("iz").collect()] == [(1.0, 0.5, 0.5, 0.0, 0.0, 2.0, 1.0), (1.0, 0.5, 1.5, 0.0, 0.0, 2.0, 1.0)]
     lines = {r["core_id"]: [tuple(p) for p in r["points"]] for r in cores.centerlines(floors).collect()}
     assert lines == {1: [(1.0, 0.5, 0.5), (1.0, 0.5, 1.5)], 2: [(9.5, 9.5, 3.5), (9.5, 9.5, 4.5)]}
+
+
+def test_stack_round_trip(spark, tmp_path):
+    a = spark.createDataFrame([("7", 0, 1), ("b", 1, -1)], "grid_id string, voxel_idx long, program_idx int")
+    programs = vx.programs(spark, [("a", 7)])
+    stack.write_stack(str(tmp_path / "s"), {"assignment": a, "programs": programs})
+    got = stack.read_stack(spark, str(tmp_path / "s"), ["assignment", "programs"])
+    assert sorted((r["grid_id"], r["voxel_idx"], r["program_idx"]) for r in got["assignment"].collect()) == [("7", 0, 1), ("b", 1, -1)]
+    assert got["programs"].collect() == programs.collect()
+    with pytest.raises(ValueError):
+        stack.write_stack(str(tmp_path / "t"), {"other": a})
