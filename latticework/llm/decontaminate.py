@@ -1,15 +1,16 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
-All windows of all benchmark items form one automaton over normalised text
-(words joined by single spaces). Every document is normalised once, scanned
-once from end to end, and the hit words are mapped back to offsets in the
-original text. Documents are never shuffled.
+All windows of all benchmark items form one automaton over normalised words,
+each word a number, so that a window costs as many nodes as it has words. Every
+document is normalised once, scanned once from end to end, and the hit words are
+mapped back to offsets in the original text. Documents are never shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -21,9 +22,9 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: A-Z to a-z, every separator to a space
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: bytes of benchmark text that one automaton may hold; more is scanned in several passes
-MAX_BENCHMARK_BYTES = 16 << 20
+MAX_BENCHMARK_BYTES = 2 << 20
 _FOUND = "row_key long, n_words long, hits array<int>, items array<string>, spans array<struct<start:int,end:int>>"
-_AUTOMATA: dict[int, tuple[object, bool]] = {}
+_AUTOMATA: dict[int, tuple[object, dict[bytes, int]]] = {}
 
 
 def windows(text: str | None, n: int) -> list[list[bytes]]:
@@ -32,41 +33,38 @@ def windows(text: str | None, n: int) -> list[list[bytes]]:
     return [words[i : i + n] for i in range(max(1, len(words) - n + 1))] if words else []
 
 
-def automaton(items: list[tuple[str, str | None]], n: int) -> tuple[ahocorasick.Automaton, bool]:
-    """Over " w1 .. wn " patterns; a value is the pattern's length, words and item ids."""
-    owners: dict[bytes, set[str]] = {}
-    size: dict[bytes, int] = {}
+def automaton(items: list[tuple[str, str | None]], n: int) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
+    """Over windows of word numbers, with the numbers; a value is the window's length and item ids."""
+    numbers: dict[bytes, int] = {}
+    owners: dict[tuple[int, ...], set[str]] = {}
     for item_id, text in items:
         for words in windows(text, n):
-            pattern = b" " + b" ".join(words) + b" "
-            owners.setdefault(pattern, set()).add(item_id)
-            size[pattern] = len(words)
-    out = ahocorasick.Automaton()
-    for pattern, ids in owners.items():
-        out.add_word(pattern.decode("latin-1"), (len(pattern), size[pattern], tuple(sorted(ids))))
+            window = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words)
+            owners.setdefault(window, set()).add(item_id)
+    out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for window, ids in owners.items():
+        out.add_word(window, (len(window), tuple(sorted(ids))))
     if owners:
         out.make_automaton()
-    return out, bool(owners)
+    return out, numbers
 
 
-def scan(raw: bytes, found: tuple[ahocorasick.Automaton, bool]) -> tuple[int, np.ndarray, set[str]]:
+def scan(raw: bytes, found: tuple[ahocorasick.Automaton, dict[bytes, int]]) -> tuple[int, np.ndarray, set[str]]:
     """Words, indices of hit words in order, and ids of the items with an occurring window."""
     words = raw.translate(_PLAIN).split()
     items: set[str] = set()
     if not words or not found[1]:
         return len(words), np.zeros(0, np.int64), items
-    plain = b" " + b" ".join(words) + b" "
-    edges: list[tuple[int, int]] = []
-    for end, (length, n, ids) in found[0].iter(plain.decode("latin-1")):
-        edges.append((end - length + 1, n))
+    ends: list[tuple[int, int]] = []
+    for end, (n, ids) in found[0].iter(tuple(map(found[1].get, words, repeat(0)))):  # 0: no word of the benchmark
+        ends.append((end + 1, n))
         items.update(ids)
-    if not edges:
+    if not ends:
         return len(words), np.zeros(0, np.int64), items
-    spaces = np.flatnonzero(np.frombuffer(plain, np.uint8) == 32)
     cover = np.zeros(len(words) + 1, np.int64)
-    first = np.searchsorted(spaces, [e[0] for e in edges])
-    np.add.at(cover, first, 1)
-    np.add.at(cover, first + [e[1] for e in edges], -1)
+    after, size = np.array(ends).T
+    np.add.at(cover, after - size, 1)
+    np.add.at(cover, after, -1)
     return len(words), np.flatnonzero(np.cumsum(cover[:-1]) > 0), items
 
 
