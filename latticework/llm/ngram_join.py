@@ -143,10 +143,17 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spread = checkpointed(
         labelled.join(main, "shingle").select("shingle", "comp", (F.col("comp") == F.col("m.comp")).alias("main"), F.struct("pos", "n", "node", "comp").alias("cell"))
     )
-    rest = spread.where("not main").select("shingle", F.col("cell").alias("x"))
-    inside = rest.join(spread.where("main").select("shingle", F.col("cell").alias("y")), "shingle").where(_bounded("x", "y", percent))
-    between = rest.join(rest.select("shingle", F.col("x").alias("y")), "shingle").where((F.col("x.node") < F.col("y.node")) & (F.col("x.comp") != F.col("y.comp")) & _bounded("x", "y", percent))
-    cross = inside.unionByName(between).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+    # of a pair, the smaller side takes part with the shorter head that a partner of its size or more leaves it
+    n, pos = F.col("cell.n"), F.col("cell.pos")
+    short = spread.where(pos <= n - F.ceil(2 * n * F.lit(percent) / F.lit(100 + percent) - 1e-9)).select("shingle", "main", F.col("cell").alias("x"))
+    rest, main_cells = spread.where("not main"), spread.where("main")
+    larger = F.struct("x.n", "x.node") < F.struct("y.n", "y.node")
+
+    def crossed(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.select("shingle", "x").join(y.select("shingle", F.col("cell").alias("y")), "shingle").where(larger & (F.col("x.comp") != F.col("y.comp")) & _bounded("x", "y", percent))
+
+    met = crossed(short.where("not main"), rest).unionByName(crossed(short.where("not main"), main_cells)).unionByName(crossed(short.where("main"), rest))
+    cross = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     links = _verified(cross, cells, percent).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
     final = components(links)
 
