@@ -1,9 +1,10 @@
 """Benchmark decontamination with one Aho-Corasick automaton.
 
 All windows of all benchmark items form one automaton over normalised words,
-each word a number, so that a window costs as many nodes as it has words. Every
-document is normalised once, scanned once from end to end, and the hit words are
-mapped back to offsets in the original text. Documents are never shuffled.
+each written as a code of three characters, so that a window costs three nodes
+a word. Every document is normalised once, scanned once from end to end, and
+the hit words are mapped back to offsets in the original text. Documents are
+never shuffled.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122
 #: bytes of benchmark text that one automaton may hold; more is scanned in several passes
 MAX_BENCHMARK_BYTES = 2 << 20
 _FOUND = "row_key long, n_words long, hits array<int>, items array<string>, spans array<struct<start:int,end:int>>"
-_AUTOMATA: dict[int, tuple[object, dict[bytes, int]]] = {}
+_AUTOMATA: dict[int, tuple[object, dict[bytes, str]]] = {}
 
 
 def windows(text: str | None, n: int) -> list[list[bytes]]:
@@ -33,31 +34,40 @@ def windows(text: str | None, n: int) -> list[list[bytes]]:
     return [words[i : i + n] for i in range(max(1, len(words) - n + 1))] if words else []
 
 
-def automaton(items: list[tuple[str, str | None]], n: int) -> tuple[ahocorasick.Automaton, dict[bytes, int]]:
-    """Over windows of word numbers, with the numbers; a value is the window's length and item ids."""
-    numbers: dict[bytes, int] = {}
-    owners: dict[tuple[int, ...], set[str]] = {}
+def code_of(number: int) -> str:
+    """Three characters; only the first has its high bit set, so matches begin at words."""
+    return chr(128 | number >> 14) + chr(number >> 7 & 127) + chr(number & 127)
+
+
+#: the code of every word that no benchmark item has
+_OTHER = "\xff\0\0"
+
+
+def automaton(items: list[tuple[str, str | None]], n: int) -> tuple[ahocorasick.Automaton, dict[bytes, str]]:
+    """Over windows of word codes, with the codes; a value is the window's words and item ids."""
+    codes: dict[bytes, str] = {}
+    owners: dict[tuple[str, ...], set[str]] = {}
     for item_id, text in items:
         for words in windows(text, n):
-            window = tuple(numbers.setdefault(w, len(numbers) + 1) for w in words)
+            window = tuple(codes.setdefault(w, code_of(len(codes))) for w in words)
             owners.setdefault(window, set()).add(item_id)
-    out = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    out = ahocorasick.Automaton()
     for window, ids in owners.items():
-        out.add_word(window, (len(window), tuple(sorted(ids))))
+        out.add_word("".join(window), (len(window), tuple(sorted(ids))))
     if owners:
         out.make_automaton()
-    return out, numbers
+    return out, codes
 
 
-def scan(raw: bytes, found: tuple[ahocorasick.Automaton, dict[bytes, int]]) -> tuple[int, np.ndarray, set[str]]:
+def scan(raw: bytes, found: tuple[ahocorasick.Automaton, dict[bytes, str]]) -> tuple[int, np.ndarray, set[str]]:
     """Words, indices of hit words in order, and ids of the items with an occurring window."""
     words = raw.translate(_PLAIN).split()
     items: set[str] = set()
     if not words or not found[1]:
         return len(words), np.zeros(0, np.int64), items
     ends: list[tuple[int, int]] = []
-    for end, (n, ids) in found[0].iter(tuple(map(found[1].get, words, repeat(0)))):  # 0: no word of the benchmark
-        ends.append((end + 1, n))
+    for end, (n, ids) in found[0].iter("".join(map(found[1].get, words, repeat(_OTHER)))):
+        ends.append((end // 3 + 1, n))
         items.update(ids)
     if not ends:
         return len(words), np.zeros(0, np.int64), items
