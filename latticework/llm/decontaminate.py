@@ -35,12 +35,12 @@ def windows(text: str | None, n: int) -> list[list[bytes]]:
 
 
 def code_of(number: int) -> str:
-    """Three characters; only the first has its high bit set, so matches begin at words."""
-    return chr(128 | number >> 14) + chr(number >> 7 & 127) + chr(number & 127)
+    """Three characters; only the first is 128 or more, so matches begin at words."""
+    return chr(128 + (number >> 14)) + chr(number >> 7 & 127) + chr(number & 127)
 
 
 #: the code of every word that no benchmark item has
-_OTHER = "\xff\0\0"
+_OTHER = "\0\0\0"
 
 
 def automaton(items: list[tuple[str, str | None]], n: int) -> tuple[ahocorasick.Automaton, dict[bytes, str]]:
