@@ -11,6 +11,7 @@ task holds one window of pieces at a time.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 #: pieces that are packed together, and bytes of text that are tokenised together
 WINDOW = 4096
 CACHE = 300_000
+#: a space after white space, where the pre-tokeniser may not break
+_IN_RUN = re.compile(r" (?<=\s )")
 _TOKENIZERS: dict[str, "Units"] = {}
 _OUT = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64())]
 
@@ -30,9 +33,10 @@ class Units:
     """Token ids of a byte-level BPE file, with the ids of units cached.
 
     A unit is what stands between single spaces, its space before it: the
-    vocabulary's pre-tokeniser always breaks there, so the ids of a text are
-    those of its units. A text with two spaces in a row, or with a special
-    token's string, is given to the tokenizer whole.
+    vocabulary's pre-tokeniser always breaks between a space and what is not
+    white space before it, so the ids of a text are those of its units. A text
+    with a space after any white space (Unicode's), or with a special token's
+    string, is given to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -71,7 +75,7 @@ class Units:
     def ids(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
-        if "  " in text or any(s in text for s in self.special):
+        if _IN_RUN.search(text) or any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
         if len(self.slot) > CACHE:
             self.clear()

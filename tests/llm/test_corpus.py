@@ -111,6 +111,20 @@ def test_packing_covers_every_id(spark):
     assert packing.pack_documents(docs(spark, []), path).count() == 0
 
 
+def test_packing_keeps_white_space_runs_whole(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    tok = Tokenizer.from_file(path)
+    rng = random.Random(14)
+    runs = [" \u00a0 \u00a0", " \u00a0 \u00a0 ", "\u00a0 ", " \n \n ", "\n \n", "\t ", "\u3000 \u2003 ", "\x85 \u2028 ", "\x1c ", " "]
+    rows = [(0, "a \u00a0 \u00a0 b"), *((i, "".join(rng.choice(["a", "word", "\u00e9", "9", "."]) + "".join(rng.choices(runs, k=rng.randint(1, 3))) for _ in range(8))) for i in range(1, 200))]
+    got = {r["doc_id"]: r for r in packing.pack_documents(docs(spark, rows), path).where("start = 0").collect()}
+    for i, text in rows:
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        assert got[i]["doc_tokens"] == len(ids) and got[i]["ids_crc32"] == zlib.crc32(ids[: got[i]["length"]].tobytes())
+
+
 def test_packing_keeps_three_limits():
     rng = random.Random(4)
     sizes = [rng.randint(1, 90) for _ in range(300)]
