@@ -260,6 +260,27 @@ def test_decontamination_matches_brute_force(spark):
     assert decontaminate.contaminated_words(docs(spark, []), bench).count() == 0
 
 
+def test_decontamination_is_the_same_for_any_benchmark_size(spark, monkeypatch):
+    rng = random.Random(15)
+    items = [(i, " ".join(rng.choice("abcdefg") + str(rng.randint(0, 9)) for _ in range(n))) for i, n in enumerate([3, 13, 20, 60, 60])] + [(3, "x1 x2 x3"), (7, None), (8, " .. ")]
+    rows = [(i, " ".join(rng.sample([t or "" for _, t in items] + ["clean words"] * 3, 4))) for i in [1, 1, 1, None, None, 2, 3]] + [(1, "clean"), (None, "clean"), (None, None), (2, "a b")] * 2
+    bench = spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return sorted(repr(tuple(r)) for r in decontaminate.contaminated_words(docs(spark, rows), bench).collect())
+
+    whole = found()
+    assert len(whole) == len(rows)
+    for limit, chunk in [(200, 1 << 20), (50, 100), (1, 1)]:
+        monkeypatch.setattr(decontaminate, "MAX_BENCHMARK_BYTES", limit)
+        monkeypatch.setattr(decontaminate, "CHUNK", chunk, raising=False)
+        assert found() == whole
+    windows = {tuple(w) for w in decontaminate.windows(items[4][1], 13)}
+    for limit in (1, 40, 100):
+        cut = decontaminate.pieces(items[4][1], 13, limit)
+        assert {tuple(w) for p in cut for w in decontaminate.windows(p, 13)} == windows and len(cut) > 1
+
+
 def test_sharding_balances(spark):
     rng = random.Random(11)
     rows = [(i, "hot text " * 9 if i % 3 == 0 else "w " * rng.randint(0, 60)) for i in range(3000)] + [(5000, None), (5001, ""), (7, "w")]
