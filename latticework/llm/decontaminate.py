@@ -201,16 +201,20 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     return slim.mapInArrow(run, _FOUND).withColumnRenamed("row_key", id_col)
 
 
-def is_contaminated(n_hit: Column, n_words: Column, share: int = 20) -> Column:
+def is_contaminated(n_hit: Column | int, n_words: Column | int, share: int = 20) -> Column | bool:
     """At least one hit word, and at least one in `share` of all words."""
-    return (n_hit > 0) & (F.lit(share) * n_hit >= n_words)
+    return (n_hit > 0) & (share * n_hit >= n_words)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 13) -> DataFrame:
-    """`docs` without the rows that are contaminated (see `contaminated_words`)."""
-    found = contaminated_words(docs, benchmark, id_col, text_col, n_words=n_words)
-    bad = found.where(is_contaminated(F.size("hits").cast("long"), F.col("n_words"))).select(id_col).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    """`docs` without the rows that are contaminated (see `contaminated_words`), each judged for itself."""
+    scanned = _scanned(_parts(benchmark, "item_id", "text", n_words), n_words, docs.columns.index(text_col), CHUNK)
+
+    def keep(batches):
+        for batch, judged in scanned(batches):
+            yield batch.filter(pa.array([not is_contaminated(len(hits), words) for words, hits, _ in judged], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def items_sha256(items: list[str]) -> str:

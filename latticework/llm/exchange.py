@@ -33,9 +33,9 @@ def block_count(docs: DataFrame, text_col: str) -> int:
     return max(1, -(-total // each), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 18))))
 
 
-def in_blocks(docs: DataFrame, id_col: str, text_col: str, n: int, *more: Column) -> DataFrame:
-    """(block, doc_id, text) and more columns, dealt by a hash of the id into n blocks."""
-    block = F.pmod(F.xxhash64(F.col(id_col)), F.lit(n)).cast("int")
+def in_blocks(docs: DataFrame, id_col: str, text_col: str, n: int, *more: Column, key: Column | None = None) -> DataFrame:
+    """(block, doc_id, text) and more columns, dealt by a hash of the id, or by `key`, into n blocks."""
+    block = F.pmod(F.xxhash64(F.col(id_col)) if key is None else key, F.lit(n)).cast("int")
     return docs.select(block.alias("block"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more).repartition(n, "block")
 
 

@@ -19,15 +19,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm import eliasfano, exchange, textkernel
 from latticework.operators.components import components
 from latticework.session import checkpointed
 
-_STAGE = "kind int, doc_id long, n long, sig long, shingle long, pos int, cells binary"
-_STAGE_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("shingle", pa.int64()), ("pos", pa.int32()), ("cells", pa.binary())])
+_STAGE = "kind int, doc_id long, row long, n long, sig long, shingle long, pos int, cells binary"
+_STAGE_ARROW = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("row", pa.int64()), ("n", pa.int64()), ("sig", pa.int64()), ("shingle", pa.int64()), ("pos", pa.int32()), ("cells", pa.binary())])
 
 
 def _send(n_words: int, shards: int):
@@ -56,10 +56,10 @@ def _heads(n_words: int, shards: int, percent: int):
         every = np.unique(np.concatenate(codes))
         df = exchange.received(answers, 0, np.uint16)
         docs, entries, cells = [], [], []
-        for doc_id, mine, code in zip(rows["doc_id"].to_pylist(), sets, codes, strict=True):
+        for doc_id, row, mine, code in zip(rows["doc_id"].to_pylist(), rows["row"].to_pylist(), sets, codes, strict=True):
             n = len(mine)
             sig = int(textkernel.mix64(np.array([np.bitwise_xor.reduce(textkernel.mix64(mine)) if n else 0, n], np.uint64)).sum(dtype=np.uint64).astype(np.int64))
-            docs.append((doc_id, n, sig))
+            docs.append((doc_id, row, n, sig))
             if not n:
                 continue
             count = df[np.searchsorted(every, code)]
@@ -69,13 +69,13 @@ def _heads(n_words: int, shards: int, percent: int):
             if len(pos):
                 entries.append((n, sig, mine[head[pos]].view(np.int64), pos))
                 cells.append((n, sig, eliasfano.encode(np.sort(mine & np.uint64((1 << 40) - 1)))))
-        parts = [pa.table([pa.array([0] * len(docs), pa.int32()), *map(pa.array, zip(*docs, strict=True)), pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.binary())], schema=_STAGE_ARROW)]
+        parts = [pa.table([pa.array([0] * len(docs), pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*docs, strict=True)), pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.binary())], schema=_STAGE_ARROW)]
         if entries:
             size = [len(x[3]) for x in entries]
             m = sum(size)
-            parts.append(pa.table([pa.array(np.full(m, 1, np.int32)), pa.nulls(m, pa.int64()), pa.array(np.repeat([x[0] for x in entries], size)), pa.array(np.repeat([x[1] for x in entries], size)), pa.array(np.concatenate([x[2] for x in entries])), pa.array(np.concatenate([x[3] for x in entries]).astype(np.int32)), pa.nulls(m, pa.binary())], schema=_STAGE_ARROW))
+            parts.append(pa.table([pa.array(np.full(m, 1, np.int32)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(np.repeat([x[0] for x in entries], size)), pa.array(np.repeat([x[1] for x in entries], size)), pa.array(np.concatenate([x[2] for x in entries])), pa.array(np.concatenate([x[3] for x in entries]).astype(np.int32)), pa.nulls(m, pa.binary())], schema=_STAGE_ARROW))
             k = len(cells)
-            parts.append(pa.table([pa.array(np.full(k, 2, np.int32)), pa.nulls(k, pa.int64()), pa.array([x[0] for x in cells], pa.int64()), pa.array([x[1] for x in cells], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array([x[2] for x in cells], pa.binary())], schema=_STAGE_ARROW))
+            parts.append(pa.table([pa.array(np.full(k, 2, np.int32)), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([x[0] for x in cells], pa.int64()), pa.array([x[1] for x in cells], pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.array([x[2] for x in cells], pa.binary())], schema=_STAGE_ARROW))
         return pa.concat_tables(parts)
 
     return block
@@ -105,32 +105,34 @@ def _bounded(x: str, y: str, percent: int):
     return (need <= F.least(nx, ny)) & (i <= nx - need) & (j <= ny - need) & (F.least(i, j) + F.least(nx - i, ny - j) >= need)
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
-    """Shingle count and similarity component of every document.
+def _row_key(docs: DataFrame) -> Column:
+    """A hash of all of a row's columns and of which of them are null; equal rows share it."""
+    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
 
-    Words are maximal runs outside ASCII white space, A-Z lower-cased; a set is
-    a document's distinct shingles of `n_words` words, or the whole sequence if
-    it has fewer. Two documents link when 100 * intersection >= percent * union.
 
-    Returns (id, n_shingles, component_id, class_id): the component is the
-    least id reachable by links, the class the least id with an equal set. A
-    null or empty text, or one without words, has n_shingles 0 and is its own
-    component and class. Rows that repeat an id are one node and come back once
-    each; rows with a null id are dropped. Other columns are ignored.
+def _components(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, row, n, sig, node) of each row, and (node, component) of each class.
+
+    A class has one set and is named by its hash `sig`; ids may be null. The
+    classes of a repeated id are linked, and its rows without words have one
+    of them as their node. Other rows without words have none.
     """
-    docs = docs.where(F.col(id_col).isNotNull())
     blocks = exchange.block_count(docs, text_col)
-    base = exchange.in_blocks(docs, id_col, text_col, blocks)
+    row = _row_key(docs)
+    base = exchange.in_blocks(docs, id_col, text_col, blocks, row.alias("row"), key=row)
     sent = base.groupBy("block").applyInArrow(_send(n_words, blocks), exchange.MESSAGE)
     answers = exchange.answer(sent, _document_counts)
     stage = checkpointed(base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_heads(n_words, blocks, percent), _STAGE))
 
-    docs_out = stage.where("kind = 0").select("doc_id", "n", "sig")
-    classes = docs_out.where("n > 0").groupBy("sig", "n").agg(F.min("doc_id").alias("node"))
-    entries = checkpointed(
-        stage.where("kind = 1").select("sig", "n", "shingle", "pos").distinct().join(classes, ["sig", "n"]).select("node", "n", "shingle", "pos")
-    )
-    cells = stage.where("kind = 2").groupBy("sig", "n").agg(F.first("cells").alias("cells")).join(classes, ["sig", "n"]).select("node", "cells")
+    rows = stage.where("kind = 0").select("doc_id", "row", "n", "sig")
+    classes = rows.where("n > 0").select(F.col("sig").alias("node")).distinct()
+    entries = checkpointed(stage.where("kind = 1").select(F.col("sig").alias("node"), "n", "shingle", "pos").distinct())
+    cells = stage.where("kind = 2").groupBy(F.col("sig").alias("node")).agg(F.first("cells").alias("cells"))
+
+    worded = F.when(F.col("n") > 0, F.col("sig"))
+    ids = rows.where("doc_id is not null").groupBy("doc_id").agg(F.min(worded).alias("a"), F.max(worded).alias("z"), F.min("n").alias("least"))
+    several = checkpointed(ids.where("a <> z or a is not null and least = 0").select("doc_id", "a"))
+    same_id = rows.where("n > 0").select("doc_id", F.col("sig").alias("b")).distinct().join(several, "doc_id").where("a <> b").select("a", "b").distinct()
 
     leads = entries.groupBy("shingle").agg(F.min(F.struct("pos", "n", "node")).alias("lead"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
     starred = entries.alias("x").join(leads.alias("l"), "shingle").select(F.struct("x.pos", "x.n", "x.node").alias("x"), F.col("lead").alias("y")).where("x.node <> y.node")
@@ -154,16 +156,62 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
     met = crossed(short.where("not main"), rest).unionByName(crossed(short.where("not main"), main_cells)).unionByName(crossed(short.where("main"), rest))
     cross = met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    links = _verified(cross, cells, percent).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    links = _verified(cross, cells, percent).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))).unionByName(same_id)
     final = components(links)
 
-    named = classes.join(final, "node", "left").select("sig", "n", "node", F.coalesce("component", "node").alias("component"))
-    return docs_out.join(named, ["sig", "n"], "left").select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("node", "doc_id").alias("class_id")
+    empty = rows.where("n = 0").join(several, "doc_id", "left").select("doc_id", "row", "n", "sig", F.col("a").alias("node"))
+    placed = rows.where("n > 0").withColumn("node", F.col("sig")).unionByName(empty)
+    return placed, classes.join(final, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
+    """Shingle count and similarity component of every document.
+
+    Words are maximal runs outside ASCII white space, A-Z lower-cased; a set is
+    a document's distinct shingles of `n_words` words, or the whole sequence if
+    it has fewer. Two documents link when 100 * intersection >= percent * union.
+
+    Returns (id, n_shingles, component_id, class_id): the component is the
+    least id reachable by links, the class the least id with an equal set. A
+    null or empty text, or one without words, has n_shingles 0 and is its own
+    class, and its own component unless its id has other rows. Rows that repeat
+    an id are one node, so their sets are linked, and come back once each; rows
+    with a null id have no node and are left out, as in the SQL
+    (`one_of_each_component` judges them). Other columns are ignored.
+    """
+    known = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
+    rows, found = _components(known, id_col, text_col, n_words, percent)
+    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id")).join(found, "node")
+    names = least.groupBy("component").agg(F.min("class_id").alias("component_id"))
+    named = least.join(names, "component").select("node", "class_id", "component_id")
+    return rows.join(named, "node", "left").select(
+        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
     )
 
 
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
-    """`docs` without near duplicates: of each component the row of its least id stays."""
-    keep = ngram_jaccard_components(docs, id_col, text_col, n_words, percent).where(F.col("component_id") == F.col(id_col)).select(id_col).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    """`docs` without near duplicates: of each component one row stays, that of its least id.
+
+    Rows with a null id take part by their text and come last; among rows of
+    one id the one of least hash stays, and of equal rows one. Rows without
+    words stay, once an id; those with a null id stay all.
+    """
+    rows, found = _components(docs, id_col, text_col, n_words, percent)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("b")
+    chosen = rows.where("n > 0").groupBy("node").agg(best).join(found, "node").groupBy("component").agg(F.min("b").alias("b")).select("b.doc_id", "b.row")
+    wordless = rows.where("n = 0 and doc_id is not null and node is null").groupBy("doc_id").agg(F.min("row").alias("row"))
+    nameless = rows.where("n = 0 and doc_id is null").select("doc_id", "row").distinct()
+    copies = rows.groupBy("doc_id", "row").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1").select(F.col("doc_id").alias("id2"), F.col("row").alias("row2"), "copies")
+    once = chosen.unionByName(wordless)
+    kept = checkpointed(once.join(copies, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")), "left").select("doc_id", "row", F.col("copies").isNotNull().alias("repeated")))
+
+    keyed = docs.withColumn("_row_key", _row_key(docs))
+
+    def having(keys: DataFrame) -> DataFrame:
+        keys = keys.select(F.col("doc_id").alias("_kept_id"), F.col("row").alias("_kept_row"))
+        return keyed.join(keys, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_row_key") == F.col("_kept_row")), "left_semi")
+
+    out = having(kept.where("not repeated").select("doc_id", "row").unionByName(nameless))
+    if not kept.where("repeated").isEmpty():
+        out = out.unionByName(having(kept.where("repeated")).dropDuplicates([id_col, "_row_key"]))
+    return out.drop("_row_key")
