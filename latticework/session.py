@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _SHIPPED: set[str] = set()
 
@@ -26,14 +26,24 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's folder, or a temporary one if none is named."""
+    """Make checkpoint() usable: the folder that spark.checkpoint.dir names, or in local mode a temporary one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
+def counted(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+    """As `checkpointed`, with aggregates of the rows that are taken while they are written."""
+    shared_checkpoints(df.sparkSession)
+    seen = Observation()
+    cut = df.observe(seen, *(c.alias(n) for n, c in sums.items())).checkpoint(eager=True)
+    return cut, seen.get
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a written copy in the shared folder."""
     shared_checkpoints(df.sparkSession)
