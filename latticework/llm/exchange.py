@@ -1,7 +1,7 @@
 """Corpus-wide n-gram statistics by two all-to-all exchanges.
 
-Documents are dealt by a hash of their id into blocks of bounded bytes. Each
-block sends the distinct n-gram hashes of its documents, with their counts, to
+Documents are dealt by a hash of id and text into blocks of about BLOCK_BYTES,
+whatever the size of the table. Each block sends the distinct n-gram hashes of its documents, with their counts, to
 shards chosen by the hash; a shard adds the counts up over all blocks and sends
 an answer for every hash back to each block that asked, in the order asked, so
 answers carry no keys. A frequent n-gram costs each block one entry however
@@ -22,20 +22,22 @@ from pyspark.sql import functions as F
 from latticework.llm import eliasfano
 
 KEY_BITS = 40
+#: text of one block, and text for each shard; both stay the same for a table of any size
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 16 << 20
 MESSAGE = "shard int, block int, level int, keys binary, counts binary"
 ANSWER = "block int, shard int, level int, codes binary"
 
 
-def block_count(docs: DataFrame, text_col: str) -> int:
-    """Blocks of 16 MB of text, more as the root of the table, 256 MB at most; no fewer than shuffle partitions."""
+def block_count(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """Blocks of BLOCK_BYTES of text, and shards of SHARD_BYTES; no fewer than shuffle partitions, if the table is not tiny."""
     total = docs.agg(F.sum(F.octet_length(text_col)).alias("b")).first()["b"] or 0
-    each = min(256 << 20, max(16 << 20, int(600 * total**0.5)))
-    return max(1, -(-total // each), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 18))))
+    least = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (1 << 18)))
+    return max(1, -(-total // BLOCK_BYTES), least), max(1, -(-total // SHARD_BYTES), least)
 
 
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, n: int, *more: Column, key: Column | None = None) -> DataFrame:
-    """(block, doc_id, text) and more columns, dealt by a hash of the id, or by `key`, into n blocks."""
-    block = F.pmod(F.xxhash64(F.col(id_col)) if key is None else key, F.lit(n)).cast("int")
+    """(block, doc_id, text) and more columns, dealt by a hash of id and text, or by `key`, into n blocks."""
+    block = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)) if key is None else key, F.lit(n)).cast("int")
     return docs.select(block.alias("block"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *more).repartition(n, "block")
 
 
@@ -50,15 +52,15 @@ def coded(hashes: np.ndarray, shards: int) -> np.ndarray:
     return (shard.astype(np.uint64) << np.uint64(KEY_BITS)) | key
 
 
-def messages(block: int, level: int, codes: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple]:
-    """Rows of MESSAGE for a block's sorted distinct codes and their counts."""
+def messages(block: int, level: int, codes: np.ndarray, counts: np.ndarray, shards: int, every: bool = False) -> list[tuple]:
+    """Rows of MESSAGE for a block's sorted distinct codes and their counts; with `every`, one for each shard."""
     bounds = np.searchsorted(codes, np.arange(shards + 1, dtype=np.uint64) << np.uint64(KEY_BITS))
     keys = codes & np.uint64((1 << KEY_BITS) - 1)
-    counts = counts.astype(np.uint32)
+    counts = counts.astype(np.uint32)  # of one block; totals are 64 bit
     return [
         (s, block, level, eliasfano.encode(keys[a:b]), zlib.compress(counts[a:b].tobytes(), 1))
         for s, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
-        if b > a
+        if b > a or every
     ]
 
 
@@ -74,6 +76,8 @@ ANSWER_ARROW = pa.schema([("block", pa.int32()), ("shard", pa.int32()), ("level"
 def totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order and their summed counts."""
     every = np.concatenate(keys)
+    if not len(every):
+        return every, np.zeros(0, np.int64)
     order = np.argsort(every, kind="stable")
     every = every[order]
     first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))

@@ -3,20 +3,25 @@
 Documents lie in blocks; the n-grams of orders 1 to 3 of each block are sent to
 shards (see `exchange`). A shard adds up the training counts, of all documents
 that are not held out, and lays its n-grams out as a trie: for each order a
-level of contexts, a level of words within contexts, made monotone by the rank
-of the context, monotone pointers from contexts to their words, and a value of
-each n-gram, quantised on a logarithmic scale. The levels are written to one
-temporary file, mapped into memory, and queried by successor search: the rank
-of the context, then the word among that context's words.
-
-Orders are mixed by Dirichlet smoothing, p(w | c) = (n(cw) + m * p'(w)) / (n(c) + m)
-with p' of the next lower order, ending in one class of unknown words.
+level of contexts, monotone pointers from a context to its words, a level of
+words, which are coded relative to their context, and a value of each n-gram on
+a logarithmic scale. The levels are written to one temporary file and mapped
+into memory. A query finds the rank of its context by successor search, takes
+the range of its words from the pointers, and searches the word in that range.
+
+A value stands for two numbers: the n-gram's frequency, and its back-off weight
+m / (n + m) as a context of longer ones. Dirichlet smoothing then mixes the
+orders, p(w | c) = frequency(cw) * (1 - backoff(c)) / n(c) + backoff(c) * p'(w)
+with p' of the next lower order, ending in one class of unknown words. No shard
+holds all words of a context, so that no context is hot; the mix is therefore
+taken where the text is, from the values of the n-gram and of its context.
 """
 
 from __future__ import annotations
 
 import mmap
 import tempfile
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +33,12 @@ from latticework.llm import eliasfano, exchange, textkernel
 WORD_BITS = 18
 ORDERS = 3
 _END = np.uint64(0x1D8E4E27C47D124F)
-_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-_OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+_OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+_OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+#: fixed width of the low parts of a level of words, enough for the word of any context
+_WORD_BYTES = -(-WORD_BITS // 8)
 
 
 def quantise(counts: np.ndarray) -> np.ndarray:
@@ -48,7 +57,7 @@ class Trie:
         context, word = keys >> np.uint64(WORD_BITS), keys & np.uint64((1 << WORD_BITS) - 1)
         first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), context[1:] != context[:-1])))
         rank = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.append(first, len(keys))))
-        levels = [eliasfano.encode(context[first]), eliasfano.encode((rank << np.uint64(WORD_BITS)) | word), eliasfano.encode(np.append(first, len(keys)).astype(np.uint64)), quantise(counts).tobytes()]
+        levels = [eliasfano.encode(context[first]), eliasfano.encode((rank << np.uint64(WORD_BITS)) | word, _WORD_BYTES), eliasfano.encode(np.append(first, len(keys)).astype(np.uint64)), quantise(counts).tobytes()]
         with tempfile.TemporaryFile() as file:
             file.write(b"".join(levels))
             file.flush()
@@ -59,12 +68,13 @@ class Trie:
         self.values = view[at[3] : at[4]]
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
-        """The quantised count of each key, 0 where the trie has none."""
+        """The value of each key, 0 where the trie has none."""
         rank, known = self.contexts.successor(keys >> np.uint64(WORD_BITS))
         out = np.zeros(len(keys), np.uint8)
         mine = np.flatnonzero(known)
-        word = keys[mine] & np.uint64((1 << WORD_BITS) - 1)
-        at, found = self.words.successor((rank[mine].astype(np.uint64) << np.uint64(WORD_BITS)) | word)
+        rank = rank[mine]
+        word = (rank.astype(np.uint64) << np.uint64(WORD_BITS)) | (keys[mine] & np.uint64((1 << WORD_BITS) - 1))
+        at, found = self.words.within(word, self.pointers.at(rank), self.pointers.at(rank + 1))
         out[mine[found]] = self.values[at[found]]
         return out
 
@@ -113,7 +123,7 @@ def _sent(part: int, level: int, code: np.ndarray, used: np.ndarray, shards: int
     order = np.argsort(code)
     code, used = code[order], used[order]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(code)), bool), code[1:] != code[:-1])))
-    return exchange.messages(part, level, code[first], np.add.reduceat(used.astype(np.int64), first), shards) if len(first) else []
+    return exchange.messages(part, level, code[first], np.add.reduceat(used.astype(np.int64), first), shards, every=not level)
 
 
 def _send(shards: int):
@@ -128,61 +138,54 @@ def _send(shards: int):
     return block
 
 
-def _send_words(shards: int):
-    """The distinct words of each run of batches, for the vocabulary's size."""
-
-    def run(batches):
-        for batch in batches:
-            buf, offs = textkernel.flat(batch["text"])
-            for lo, hi in textkernel.chunks(offs, 1 << 24):
-                words, bounds = tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
-                code = gram_codes(words, bounds, shards, 1)[0]
-                rows = _sent(0, 0, code, np.ones(len(code), np.int64), shards)
-                yield from exchange.table(rows, exchange.MESSAGE_ARROW).to_batches()
-
-    return run
-
-
-def _count_words(rows: pa.Table) -> pa.Table:
-    keys, total = exchange.totals(*exchange.opened(rows))
-    return pa.table([pa.array([len(keys)]), pa.array([int(total.sum())])], names=["distinct", "total"])
-
-
 def _reply(level, keys, total, asked):
-    if level == 0:  # exact counts: the base score and the known words need them
-        exact = total.astype(np.uint32)
-        return [exact[np.searchsorted(keys, x)] for x in asked]
+    if level == 0:  # exact counts: the base score and the known words need them; before them the shard's distinct words and tokens
+        exact = total.astype(np.uint64)
+        sums = np.array([np.count_nonzero(exact), exact.sum(dtype=np.uint64)], np.uint64)
+        return [np.concatenate((sums, exact[np.searchsorted(keys, x)])) for x in asked]
     seen = total > 0
     trie = Trie(keys[seen], total[seen])
     return [trie(x) for x in asked]
 
 
-def _scores(shards: int, total: int, distinct: int, train_rows: int, weight: float):
+def _unigrams(answers: pa.Table) -> tuple[np.ndarray, int, int]:
+    """Counts of a block's distinct words, and distinct words and tokens of all training rows: every shard answers every block."""
+    mine = answers.filter(pa.array(np.asarray(answers["level"]) == 0)).sort_by("shard")
+    parts = [np.frombuffer(zlib.decompress(x.as_buffer()), np.uint64) for x in mine["codes"]]
+    return np.concatenate([x[2:] for x in parts]), sum(int(x[0]) for x in parts), sum(int(x[1]) for x in parts)
+
+
+def _scores(shards: int, weight: float):
     def block(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return _OUT_ARROW.empty_table()
         words, bounds = tokens(*textkernel.flat(rows["text"]))
         counts = []
         for n, code in enumerate(gram_codes(words, bounds, shards)):
-            got = exchange.received(answers, n, np.uint8 if n else np.uint32)
+            if n:
+                got = exchange.received(answers, n, np.uint8)
+            else:
+                got, distinct, total = _unigrams(answers)
             mine = got[np.searchsorted(np.unique(code), code)]
             counts.append(_VALUE[mine] if n else mine.astype(np.float64))
         one, two, three = counts
+        ends = bounds[1:] - 1
         starts = np.zeros(len(words), bool)
         starts[bounds[:-1]] = True
 
         def context(c):
-            """The n-gram's context is the shorter n-gram that ends one token earlier; every training row has one start."""
-            return np.where(starts, float(train_rows), np.concatenate(([0.0], c[:-1])))
+            """The n-gram's context is the shorter n-gram that ends one token earlier; every training row has one start, and one end."""
+            return np.where(starts, one[ends[0]], np.concatenate(([0.0], c[:-1])))
 
         p = np.where(one > 0, (one - 0.5) / max(1, total), 0.5 * distinct / total if total else 1.0)
         for c, n in ((two, context(one)), (three, context(two))):
             n = np.maximum(n, c)
-            p = (c + weight * p) / (n + weight)
+            backoff = weight / (n + weight)
+            p = c * (1 - backoff) / np.maximum(n, 1) + backoff * p
         base = np.log10((one + 1) / (total + distinct + 1))
         sums = [np.add.reduceat(x, bounds[:-1]) for x in (base, np.log10(p))]
         known = np.add.reduceat((one > 0).astype(np.int64), bounds[:-1])
-        return pa.table([rows["doc_id"].cast(pa.int64()), rows["held"], pa.array(np.diff(bounds)), pa.array(known), *map(pa.array, sums)], schema=_OUT_ARROW)
+        return pa.table([rows["doc_id"].cast(pa.int64()), rows["held"], pa.array(np.diff(bounds)), pa.array(known), pa.array(np.full(rows.num_rows, total)), *map(pa.array, sums)], schema=_OUT_ARROW)
 
     return block
 
@@ -198,15 +201,13 @@ def score(docs: DataFrame, held_out: Column, weight: float = 4.0, id_col: str =
 
     A null, empty or wordless text is its end alone. Repeated rows are scored,
     and counted, each. Without training rows every token is unknown; an empty
-    table gives no rows. Ids are whole numbers; other columns are ignored.
+    table gives no rows. Ids are whole numbers and may be null or repeat; rows of
+    one id and one text share a block. Other columns are ignored, whatever their
+    names. A text of any length is scored whole.
     """
-    blocks = exchange.block_count(docs, text_col)
-    held = F.coalesce(held_out, F.lit(False)).alias("held")
-    train = docs.select(F.col(text_col).alias("text"), held).where("not held").select("text")
-    sums = train.mapInArrow(_send_words(blocks), exchange.MESSAGE).groupBy("shard").applyInArrow(_count_words, "distinct long, total long").agg(F.sum("distinct"), F.sum("total")).first()
-    distinct, total, train_rows = sums[0] or 0, sums[1] or 0, train.count()
-    base = exchange.in_blocks(docs, id_col, text_col, blocks, held)
-    sent = base.groupBy("block").applyInArrow(_send(blocks), exchange.MESSAGE)
+    blocks, shards = exchange.block_count(docs, text_col)
+    base = exchange.in_blocks(docs, id_col, text_col, blocks, F.coalesce(held_out, F.lit(False)).alias("held"))
+    sent = base.groupBy("block").applyInArrow(_send(shards), exchange.MESSAGE)
     answers = exchange.answer(sent, _reply)
-    scored = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(blocks, total, distinct, train_rows, weight), _OUT)
-    return scored.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scores(shards, weight), _OUT)
+    return scored.select(F.col("doc_id").alias(id_col), "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -68,7 +68,7 @@ def _heads(n_words: int, shards: int, percent: int):
             pos = np.flatnonzero(count[head] > 1)
             if len(pos):
                 entries.append((n, sig, mine[head[pos]].view(np.int64), pos))
-                cells.append((n, sig, eliasfano.encode(np.sort(mine & np.uint64((1 << 40) - 1)))))
+                cells.append((n, sig, eliasfano.encode(mine)))
         parts = [pa.table([pa.array([0] * len(docs), pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*docs, strict=True)), pa.nulls(len(docs), pa.int64()), pa.nulls(len(docs), pa.int32()), pa.nulls(len(docs), pa.binary())], schema=_STAGE_ARROW)]
         if entries:
             size = [len(x[3]) for x in entries]
@@ -117,12 +117,12 @@ def _components(docs: DataFrame, id_col: str, text_col: str, n_words: int, perce
     classes of a repeated id are linked, and its rows without words have one
     of them as their node. Other rows without words have none.
     """
-    blocks = exchange.block_count(docs, text_col)
+    blocks, shards = exchange.block_count(docs, text_col)
     row = _row_key(docs)
     base = exchange.in_blocks(docs, id_col, text_col, blocks, row.alias("row"), key=row)
-    sent = base.groupBy("block").applyInArrow(_send(n_words, blocks), exchange.MESSAGE)
+    sent = base.groupBy("block").applyInArrow(_send(n_words, shards), exchange.MESSAGE)
     answers = exchange.answer(sent, _document_counts)
-    stage = checkpointed(base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_heads(n_words, blocks, percent), _STAGE))
+    stage = checkpointed(base.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_heads(n_words, shards, percent), _STAGE))
 
     rows = stage.where("kind = 0").select("doc_id", "row", "n", "sig")
     classes = rows.where("n > 0").select(F.col("sig").alias("node")).distinct()
