@@ -7,9 +7,11 @@ applied to every row in Arrow batches.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import textkernel
@@ -108,7 +110,8 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], weights: np.ndarr
 
     A null url, or one without `://`, has an empty host and path, so no rule
     fits and the classifier judges it by its bias. Repeated rows are judged
-    alike; an empty table gives no rows.
+    alike, null ids stay null, an empty table gives no rows, a url of any length
+    is judged whole, and other columns are left out, whatever their names.
     """
     url = F.coalesce(F.col(url_col), F.lit(""))
     parts = pages.select(F.col(id_col).alias("id"), host_of(url).alias("host"), path_of(url).alias("path")).withColumn("t", _text(F.col("host"), F.col("path")))
@@ -120,10 +123,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], weights: np.ndarr
     )
 
 
-def weak_labels(pages: DataFrame, marks: tuple[str, ...], url_col: str = "url") -> DataFrame:
-    """(url, label): label 1 where a part of the host between dots holds one of the marks."""
-    url = F.col(url_col)
-    bad = F.lit(False)
-    for mark in marks:
-        bad = bad | F.contains(host_of(url), F.lit(mark))
-    return pages.where(url.isNotNull()).select(url.alias("url"), bad.cast("int").alias("label"))
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """(url, label): the package's small table of hand-labelled invented URLs, label 1 for blocked ones."""
+    lines = Path(__file__).with_name("labelled_urls.tsv").read_text(encoding="utf-8").splitlines()[1:]
+    return spark.createDataFrame([(url, int(label)) for label, url in (line.split("\t") for line in lines)], "url string, label int")
