@@ -101,22 +101,29 @@ class LongestMatch:
         return out
 
 
+def machine(vocabulary_path: str) -> LongestMatch:
+    """The automaton of a vocabulary file, built once a worker."""
+    if vocabulary_path not in _MACHINES:
+        _MACHINES[vocabulary_path] = LongestMatch(byte_vocabulary(vocabulary_path))
+    return _MACHINES[vocabulary_path]
+
+
 def token_counts(docs: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_tokens): greedy longest-match pieces of every row's words.
 
     Words are runs between ASCII white space, read with a leading space. A word
     that the vocabulary cannot spell counts as one piece. A null or empty text
-    has 0 of both; repeated rows are counted each; an empty table gives no rows.
+    has 0 of both; repeated rows are counted each, null ids stay null, an empty
+    table gives no rows, a text of any length is counted whole, and other columns
+    are left out, whatever their names.
     The vocabulary file has to be at `vocabulary_path` on the executors.
     """
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
 
     def run(batches):
-        if vocabulary_path not in _MACHINES:
-            _MACHINES[vocabulary_path] = LongestMatch(byte_vocabulary(vocabulary_path))
-        machine = _MACHINES[vocabulary_path]
+        counter = machine(vocabulary_path)
         for batch in batches:
-            counts = [machine.text(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch["text"].cast(pa.binary())]
+            counts = [counter.text(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in batch["text"].cast(pa.binary())]
             yield pa.record_batch([batch["id"], pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], names=["id", "n_words", "n_tokens"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_words long, n_tokens long").withColumnRenamed("id", id_col)
