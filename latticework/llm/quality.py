@@ -4,9 +4,9 @@ Two generative models over hashed n-grams are fitted: one on text labelled good
 (the target), one on all raw text. A document's weight is the log ratio of the
 two, over the root of its n-grams; documents are then sampled by Gumbel top-k.
 
-The n-grams are not of words themselves, since bad text is made of the same
-words, but of word symbols: how long ago the word last occurred in the document,
-and its shape (capitals, marks, letters).
+The n-grams are those of one and two words of the text, and, as bad text may be
+made of the same words, of one to three word symbols: how long ago the word last
+occurred in the document, and its shape (capitals, marks, letters).
 """
 
 from __future__ import annotations
@@ -19,18 +19,19 @@ from pyspark.sql import functions as F
 from latticework.llm import textkernel
 from latticework.session import checkpointed
 
-BUCKETS = 1 << 16
+#: hash buckets of the word n-grams, and as many of the symbol n-grams
+HALF = 1 << 16
+BUCKETS = 2 * HALF
 _SYMBOLS = 14 * 16
 
 
-def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A symbol of each word, and each row's first word."""
-    starts, ends, first = textkernel.word_bounds(buf, offs, textkernel.SPACE_WORD)
+def symbols(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """A symbol of each word."""
     n = len(starts)
     if not n:
-        return np.zeros(0, np.int64), first
-    row = np.repeat(np.arange(len(offs) - 1, dtype=np.uint64), np.diff(first))
-    h = textkernel.mix64(textkernel.hash_spans(buf, starts, ends) + row * np.uint64(0x9E3779B97F4A7C15))
+        return np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    h = textkernel.mix64(hashes + row * np.uint64(0x9E3779B97F4A7C15))
     width = np.uint64(max(1, int(n - 1).bit_length()))
     tagged = np.sort(((h >> width) << width) | np.arange(n, dtype=np.uint64))
     at = (tagged & ((np.uint64(1) << width) - np.uint64(1))).astype(np.int64)
@@ -43,23 +44,26 @@ def symbols(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     capitals, letters = upper[ends] - upper[starts], letter[ends] - letter[starts]
     marks = (ends - starts) - letters
     shape = (capitals > 1) + 2 * (marks >= 2) + 4 * (marks == 1) + 8 * (letters == 0)
-    return recency * 16 + shape, first
+    return recency * 16 + shape
 
 
 def grams(buf: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Buckets of the 1-, 2- and 3-grams that end at each word (-1 across rows), and first words."""
-    s, first = symbols(buf, offs)
-    s = s.astype(np.uint64)
+    """Buckets of the n-grams that end at each word (-1 across rows), and first words."""
+    begins, ends, first = textkernel.word_bounds(buf, offs, textkernel.SPACE_WORD)
+    words = textkernel.hash_spans(buf, begins, ends)
+    s = symbols(buf, begins, ends, first, words).astype(np.uint64)
     starts = np.zeros(len(s) + 1, bool)
     starts[first] = True
+    pairs = np.concatenate((np.zeros(min(1, len(words)), np.uint64), textkernel.gram_hash(words, 2)))
+    out = [(words >> np.uint64(48)).astype(np.int64), np.where(starts[:-1], -1, (pairs >> np.uint64(48)).astype(np.int64))]
     ahead = np.zeros(len(s), bool)  # whether an n-gram that ends here begins before its row
-    out, code = [], s
+    code = s
     for n in range(3):
         if n:
             ahead |= np.concatenate((np.zeros(min(n - 1, len(s)), bool), starts[: max(0, len(s) - n + 1)]))
             code = code + s_before(s, n) * np.uint64(_SYMBOLS**n)
         bucket = (((code + np.uint64(n << 40)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)).astype(np.int64)
-        out.append(np.where(ahead, -1, bucket))
+        out.append(np.where(ahead, -1, HALF + bucket))
     return out, first
 
 
@@ -92,12 +96,19 @@ def log_weights(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0.0], np.cumsum(sum(ratio[g] for g in found))))
         n = np.diff(first)
         some = n > 0
-        out[lo:hi][some] = ((total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(3 * n - 3, 1)))[some]
+        out[lo:hi][some] = ((total[first[1:]] - total[first[:-1]]) / np.sqrt(np.maximum(5 * n - 4, 1)))[some]
     return out
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """The name, with as many underscores as it takes to clash with no column."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def with_log_weight(docs: DataFrame, ratio: np.ndarray, name: str, text_col: str = "text") -> DataFrame:
-    """`docs` with a column of log weights."""
+    """`docs` with a column of log weights; the name must be free."""
     model = docs.sparkSession.sparkContext.broadcast(ratio)
     at = docs.columns.index(text_col)
 
@@ -173,18 +184,36 @@ def kth_highest(keys: DataFrame, k: int, bins: int = 4096, held: int = 10_000) -
         lo, hi = mine.agg(F.min("key"), F.max("key")).first()
 
 
+def _sampled(docs: DataFrame, model: Model, k: int | None, seed: int, id_col: str, text_col: str) -> tuple[DataFrame, str, str, Column]:
+    """`docs` with the weight and the key under free names, these names, and whether a row is kept."""
+    weight, noisy = free_name(docs, "log_weight"), free_name(docs, "gumbel_key")
+    noise = gumbel(F.col(id_col), seed)
+    slim = docs.select(F.col(id_col), F.col(text_col).alias("text"))
+    keys = checkpointed(with_log_weight(slim, model.ratio, "w").select("w", (F.col("w") + noise).alias("key")).where(F.col("w") > float("-inf")))
+    if k is None:
+        k = keys.where(F.col("w") >= model.least).count()
+    cut = kth_highest(keys, k) if 0 < k <= keys.count() else (float("inf") if k <= 0 else float("-inf"))
+    scored = with_log_weight(docs, model.ratio, weight, text_col).withColumn(noisy, F.col(weight) + noise)
+    return scored, weight, noisy, (F.col(weight) > float("-inf")) & (F.col(noisy) >= cut)
+
+
 def resample(docs: DataFrame, model: Model, k: int | None = None, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with log_weight, gumbel_key and kept: the Gumbel top-k sample by weight.
 
     The default k is the number of documents of at least the model's parting
-    weight. Rows without a word, null texts among them, have weight -inf and are
-    never kept. Rows with equal ids share their noise; ties at the k-th key are
-    all kept. Extra columns stay as they are.
+    weight. Rows without a word, null and empty texts among them, have weight
+    -inf and are never kept. Rows with equal ids share their noise, so repeated
+    rows are kept or dropped together, as are those with null ids and equal
+    weights; ties at the k-th key are all kept. An empty table gives no rows; a
+    text of any length is weighed whole. Other columns stay as they are, but one
+    named log_weight, gumbel_key or kept is replaced.
     """
-    key = F.col("log_weight") + gumbel(F.col(id_col), seed)
-    scored = with_log_weight(docs, model.ratio, "log_weight", text_col).withColumn("gumbel_key", key)
-    keys = checkpointed(with_log_weight(docs.select(id_col, text_col), model.ratio, "log_weight", text_col).select("log_weight", key.alias("key")).where(F.col("log_weight") > float("-inf")))
-    if k is None:
-        k = keys.where(F.col("log_weight") >= model.least).count()
-    cut = kth_highest(keys, k) if 0 < k <= keys.count() else (float("inf") if k <= 0 else float("-inf"))
-    return scored.withColumn("kept", (F.col("log_weight") > float("-inf")) & (F.col("gumbel_key") >= cut))
+    docs = docs.drop(*({"log_weight", "gumbel_key", "kept"} - {id_col, text_col}))
+    scored, weight, noisy, kept = _sampled(docs, model, k, seed, id_col, text_col)
+    return scored.withColumn("kept", kept)
+
+
+def sampled(docs: DataFrame, model: Model, k: int | None = None, seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` that the sample keeps (see `resample`), with all of their columns and no other."""
+    scored, _, _, kept = _sampled(docs, model, k, seed, id_col, text_col)
+    return scored.where(kept).select(*(F.col(f"`{c}`") for c in docs.columns))
