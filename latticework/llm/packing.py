@@ -1,17 +1,18 @@
 """Packing by vector bin packing with the dot-product heuristic.
 
 Each task tokenises its documents and packs them into sequences of bounded
-tokens, segments and loss-bearing tokens. Full-length pieces fill sequences of
+tokens, segments and loss-bearing tokens. Long documents first fill sequences of
 their own; what is left of each document is placed, largest first, on the open
 sequence where the dot product of its demands with the free capacity is highest.
-A gap that nothing fits is filled by cutting a piece. No row is shuffled, and a
-task holds one window of pieces at a time.
+A gap that nothing fits is filled by cutting a piece. A sequence that the
+segment or the loss limit closes early is cut back to a power of two, a length
+that needs no padding. No row is shuffled, and a task holds one window of pieces
+at a time.
 """
 
 from __future__ import annotations
 
 import bisect
-import re
 import zlib
 
 import numpy as np
@@ -20,23 +21,20 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: pieces that are packed together, and bytes of text that are tokenised together
+#: pieces that are packed together
 WINDOW = 4096
-CACHE = 300_000
-#: a space after white space, where the pre-tokeniser may not break
-_IN_RUN = re.compile(r" (?<=\s )")
-_TOKENIZERS: dict[str, "Units"] = {}
+#: a sequence closed early is padded if it lacks no more than one token in so many
+SLACK = 64
+_TOKENIZERS: dict[str, "Ids"] = {}
 _OUT = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64())]
 
 
-class Units:
-    """Token ids of a byte-level BPE file, with the ids of units cached.
+class Ids:
+    """Token ids of a byte-level BPE file.
 
-    A unit is what stands between single spaces, its space before it: the
-    vocabulary's pre-tokeniser always breaks between a space and what is not
-    white space before it, so the ids of a text are those of its units. A text
-    with a space after any white space (Unicode's), or with a special token's
-    string, is given to the tokenizer whole.
+    The merges of the file are run by a faster library over the file's own
+    vocabulary and pre-tokeniser pattern. A text with a special token's string
+    is given to the file's tokenizer.
     """
 
     def __init__(self, path: str):
@@ -46,58 +44,51 @@ class Units:
 
         from latticework.llm.wordpiece import byte_vocabulary
 
-        ranks = byte_vocabulary(path)
         self.whole = Tokenizer.from_file(path)
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.encoder = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.clear()
-
-    def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.first = np.zeros(1 << 16, np.int64)
-        self.size = np.zeros(1 << 16, np.int64)
-        self.used = 0
-
-    def _add(self, units: set[str]) -> None:
-        for unit in units:
-            ids = self.encoder.encode_ordinary(unit)
-            k = len(self.slot)
-            if k == len(self.first):
-                self.first, self.size = np.resize(self.first, 2 * k), np.resize(self.size, 2 * k)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.resize(self.flat, 2 * len(self.flat))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.first[k], self.size[k] = self.used, len(ids)
-            self.used += len(ids)
-            self.slot[unit] = k
-
-    def ids(self, text: str) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.uint32)
-        if _IN_RUN.search(text) or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
-        if len(self.slot) > CACHE:
-            self.clear()
-        units = text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]
-        units = units if units[0] else units[1:]
-        try:
-            slots = np.fromiter(map(self.slot.__getitem__, units), np.int64, len(units))
-        except KeyError:
-            self._add(set(units).difference(self.slot))
-            slots = np.fromiter(map(self.slot.__getitem__, units), np.int64, len(units))
-        size = self.size[slots]
-        end = np.cumsum(size)
-        at = np.repeat(self.first[slots] - (end - size), size) + np.arange(end[-1])
-        return self.flat[at]
+        self.encoder = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_vocabulary(path), special_tokens={})
+
+    def __call__(self, text: str) -> list[int]:
+        if any(s in text for s in self.special):
+            return self.whole.encode(text, add_special_tokens=False).ids
+        return self.encoder.encode_ordinary(text)
+
+
+def bearing(at: int, n: int, quiet: int) -> int:
+    """Loss-bearing tokens among n from `at` on: those from `quiet` on, but never the first of a piece, which has no context."""
+    return max(0, at + n - max(at + 1, quiet))
+
+
+def own(at: int, total: int, quiet: int, capacity: int, loss: int) -> int:
+    """Tokens from `at` on that fill a sequence by themselves: all of it, or a power of two if more would break the loss limit; else 0."""
+    n = capacity
+    while n > 1 and (bearing(at, n, quiet) > loss or (n < capacity and n & (n - 1))):
+        n = 1 << ((n - 1).bit_length() - 1)
+    return n if 2 * n >= capacity and at + n <= total else 0
+
+
+def cut_back(bin_: list[tuple[int, int, int]], room: int, capacity: int) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The pieces up to the largest power of two, and the rest; all of them if little room is left anyway."""
+    total = capacity - room
+    if room * SLACK <= capacity:
+        return bin_, []
+    keep, kept, rest = 1 << (total.bit_length() - 1), [], []
+    for i, at, n in bin_:
+        m = min(n, keep)
+        keep -= m
+        if m:
+            kept.append((i, at, m))
+        if m < n:
+            rest.append((i, at + m, n - m))
+    return kept, rest
 
 
 def pack(sizes: list[int], quiet: list[int], capacity: int, segments: int, loss: int, last: bool) -> tuple[list[list[tuple[int, int, int]]], list[tuple[int, int]]]:
     """Sequences as lists of (item, from, tokens), and the (item, from) cuts left for later.
 
     Item i has sizes[i] tokens, of which those from quiet[i] on bear loss; the
-    first token of a piece never does, as it has no context. Every sequence is
-    closed full in one of the three limits but, if `last`, the final one.
+    first token of a piece never does. A sequence is full, or a limit closed it
+    and it is cut back; if `last`, the final one may be neither.
     """
     limits = np.array([capacity, segments, max(loss, 1)], dtype=float)
     pieces: dict[int, list[tuple[int, int]]] = {}
@@ -107,63 +98,72 @@ def pack(sizes: list[int], quiet: list[int], capacity: int, segments: int, loss:
     total = sum(sizes)
     done: list[list[tuple[int, int, int]]] = []
 
-    def bears(i: int, at: int, n: int) -> int:
-        return max(0, at + n - max(at + 1, quiet[i]))
+    def put(n: int, i: int, at: int) -> None:
+        if n not in pieces:
+            bisect.insort(order, n)
+        pieces.setdefault(n, []).append((i, at))
 
+    # an item's place counts from its own start, so quiet[i] holds for all of its pieces
     while order and (last or total >= capacity):
-        left, bearing, bin_ = capacity, loss, []
-        while left and order and len(bin_) < segments:
-            free = np.array([left, segments - len(bin_), bearing]) / limits
+        left, bears, bin_, closed = capacity, loss, [], False
+        while left and order and not closed and len(bin_) < segments:
+            free = np.array([left, segments - len(bin_), bears]) / limits
             k = bisect.bisect_right(order, left)
             # the top of each of the largest stacks that fit, by the dot product of demand and room
             best, best_score = 0, -1.0
             for n in order[max(0, k - 8) : k]:
                 i, at = pieces[n][-1]
-                need = bears(i, at, n)
-                if need <= bearing and (score := float(free @ (np.array([n, 1, need]) / limits))) > best_score:
+                need = bearing(at, n, quiet[i])
+                if need <= bears and (score := float(free @ (np.array([n, 1, need]) / limits))) > best_score:
                     best, best_score = n, score
             if best and len(bin_) == segments - 1 and best < left < order[-1]:
                 best = 0  # the last segment is better filled by a cut
             n = best or order[-1]
             i, at = pieces[n][-1]
             take = min(n, left)
-            if bears(i, at, take) > bearing:
-                take = min(take, max(at + 1, quiet[i]) + bearing - at)
+            if bearing(at, take, quiet[i]) > bears:
+                take, closed = min(take, max(at + 1, quiet[i]) + bears - at), True
             pieces[n].pop()
             if not pieces[n]:
                 del pieces[n]
                 order.pop(bisect.bisect_left(order, n))
             bin_.append((i, at, take))
-            left, bearing, total = left - take, bearing - bears(i, at, take), total - take
+            left, bears, total = left - take, bears - bearing(at, take, quiet[i]), total - take
             if take < n:
-                if n - take not in pieces:
-                    bisect.insort(order, n - take)
-                pieces.setdefault(n - take, []).append((i, at + take))
-                if not best and take < left + take:
-                    break  # cut by the loss limit: nothing more fits
+                put(n - take, i, at + take)
+        if left and order:
+            bin_, rest = cut_back(bin_, left, capacity)
+            for i, at, n in rest:
+                total += n
+                put(n, i, at)
         done.append(bin_)
     return done, [(i, at) for n in order for i, at in pieces[n]]
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, segments: int = 128, loss: int | None = None, end_id: int = 0, quiet_col: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, segments: int = 128, loss: int | None = None, end_id: int = 0, prompt_end: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece of each document, placed in a sequence.
 
     A document's ids are its text's, without special tokens, then `end_id`; a
     null or empty text has the end alone. Documents are cut freely. A sequence
     holds at most `capacity` ids, `segments` pieces and `loss` loss-bearing
-    tokens (default: no more than the capacity allows). The first `quiet_col`
-    tokens of a document, a prompt say, bear no loss (null: none). Returns (id, start,
-    length, ids_crc32, doc_tokens, sequence_id, offset, loss_tokens). Sequence
-    ids are unique, not gapless. Rows that repeat an id are documents of their
-    own. The file has to be at `tokenizer_path` on the executors.
+    tokens (default: no more than the capacity allows). What stands before the
+    first `prompt_end` in a text is its prompt, which bears no loss (as many
+    tokens as it has by itself). Returns (id, start, length, ids_crc32,
+    doc_tokens, sequence_id, offset, loss_tokens).
+
+    Sequence ids are unique, not gapless. Rows that repeat an id or a text are
+    documents of their own, null ids stay null, an empty table gives no rows, a
+    text of any length is cut into as many pieces as it needs, and other columns
+    are left out, whatever their names. The file has to be at `tokenizer_path`
+    on the executors.
     """
     loss = capacity - 1 if loss is None else loss
     kind = dict(docs.select(F.col(id_col)).dtypes)[id_col]
 
     def run(batches):
         if tokenizer_path not in _TOKENIZERS:
-            _TOKENIZERS[tokenizer_path] = Units(tokenizer_path)
-        units = _TOKENIZERS[tokenizer_path]
+            _TOKENIZERS[tokenizer_path] = Ids(tokenizer_path)
+        encode = _TOKENIZERS[tokenizer_path]
         part = TaskContext.get().partitionId() if TaskContext.get() else 0
         state = {"n": 0}
         id_type = None
@@ -177,8 +177,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, s
             return pa.record_batch([pa.array(ids, id_type), *(pa.array(c, t) for c, (_, t) in zip(columns, _OUT, strict=True))], names=["id", *(n for n, _ in _OUT)])
 
         def piece(doc, start, ids, total, seq, offset, quiet):
-            bears = max(0, start + len(ids) - max(start + 1, quiet))
-            return (doc, start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), total, seq, offset, bears)
+            return (doc, start, len(ids), zlib.crc32(ids.tobytes()), total, seq, offset, bearing(start, len(ids), quiet))
 
         held: list[tuple[object, int, np.ndarray, int, int]] = []
 
@@ -194,17 +193,20 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, s
             held[:] = [(held[i][0], held[i][1] + at, held[i][2][at:], held[i][3], held[i][4]) for i, at in rest]
             return out
 
-        full = min(capacity, loss + 1)
         for batch in batches:
             id_type = batch["id"].type
             out = []
-            for doc, text, quiet in zip(batch["id"].to_pylist(), batch["text"], batch["quiet"].to_pylist(), strict=True):
-                ids = np.append(units.ids(text.as_py() or ""), np.uint32(end_id))
-                whole = len(ids) // full * full
-                for at in range(0, whole, full):
-                    out.append(piece(doc, at, ids[at : at + full], len(ids), sequence(), 0, quiet))
-                if whole < len(ids):
-                    held.append((doc, whole, ids[whole:].copy(), len(ids), quiet))
+            for doc, text in zip(batch["id"].to_pylist(), batch["text"], strict=True):
+                text = text.as_py() or ""
+                ids = np.array([*encode(text), end_id], dtype="<u4")
+                cut = text.find(prompt_end) if prompt_end else -1
+                quiet = len(encode(text[:cut])) if cut > 0 else 0
+                at = 0
+                while n := own(at, len(ids), quiet, capacity, loss):
+                    out.append(piece(doc, at, ids[at : at + n], len(ids), sequence(), 0, quiet))
+                    at += n
+                if at < len(ids):
+                    held.append((doc, at, ids[at:].copy(), len(ids), quiet))
                 if len(held) >= WINDOW:
                     out += emit(False)
                 if len(out) >= WINDOW:
@@ -216,5 +218,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 1024, s
             yield rows(emit(True))
 
     schema = f"id {kind}, " + ", ".join(f"{n} long" for n, _ in _OUT)
-    quiet_of = F.lit(0) if quiet_col is None else F.coalesce(F.col(quiet_col).cast("int"), F.lit(0))
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), quiet_of.alias("quiet")).mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from latticework.llm import decontaminate, lm, ngram_join, packing, quality, quotes, sharding, topk, urlfilter, wordpiece
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-#: marks in a host that label a URL as blocked, for want of a hand-labelled table
-MARKS = ("spam", "casino", "bets", "pills", "adult", "ads")
+#: limits of a sequence; a document's first line is its prompt
+PACKING = {"capacity": 1024, "segments": 32, "loss": 960, "prompt_end": "\n"}
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,13 +27,12 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), **PACKING)
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages")
-    weights = urlfilter.fit(urlfilter.weak_labels(pages, MARKS))
-    return urlfilter.judge_urls(pages, RULES, weights)
+    return urlfilter.judge_urls(pages, RULES, urlfilter.fit(urlfilter.labelled_urls(spark)))
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +60,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(_read(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return sharding.shard_documents(_read(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -300,7 +300,7 @@ def test_decontamination_is_the_same_for_any_benchmark_size(spark, monkeypatch):
 def test_sharding_balances(spark):
     rng = random.Random(11)
     rows = [(i, "hot text " * 9 if i % 3 == 0 else "w " * rng.randint(0, 60)) for i in range(3000)] + [(5000, None), (5001, ""), (7, "w")]
-    got = sharding.shard_documents(docs(spark, rows)).collect()
+    got = sharding.shard_documents(docs(spark, rows), queries.tokenizer_path()).collect()
     size, slots = Counter(), {}
     for r in got:
         size[r["shard"]] += r["size"]
@@ -310,7 +310,7 @@ def test_sharding_balances(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     by_id = {r["doc_id"]: r for r in got}
     assert by_id[5000]["size"] == 16 and by_id[5000]["text_crc32"] == 0
-    assert sharding.shard_documents(docs(spark, [])).count() == 0
+    assert sharding.shard_documents(docs(spark, []), queries.tokenizer_path()).count() == 0
 
 
 def test_quotes_link_to_originals(spark):
@@ -369,3 +369,136 @@ def test_pipeline_stages(spark, tmp_path):
     assert not seen[0] & {j[0] for j in junk} and 950 in seen[1] and 950 not in seen[2]
     packed = corpus_pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == seen[2]
+
+
+def test_lm_score_matches_brute_force(spark):
+    rows = [*corpus(16, 80), (None, "w1 w2 w3"), (7, "w1 w2 w3"), (7, "w1 w2 w3")]
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) == 2
+    tok = [[*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), "</s>"] for _, t in rows]
+    train = [x for (i, _), x in zip(rows, tok, strict=True) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    count = Counter()
+    for x in train:
+        y = ["<s>", "<s>", *x]
+        for k in range(2, len(y)):
+            count.update([(y[k],), tuple(y[k - 1 : k + 1]), tuple(y[k - 2 : k + 1])])
+    total, distinct, m = sum(map(len, train)), len({w for x in train for w in x}), 4.0
+
+    def value(n):  # counts of 32 and more are kept in steps of 9 percent
+        return float(lm._VALUE[lm.quantise(np.array([n]))[0]])
+
+    def p(u, v, w):
+        out = (count[(w,)] - 0.5) / total if count[(w,)] else 0.5 * distinct / total
+        c, n = value(count[(v, w)]), float(count[(v,)])
+        n = max(n, c)
+        out = (c + m * out) / (n + m)
+        c, n = value(count[(u, v, w)]), len(train) if v == "<s>" else value(count[(u, v)])
+        n = max(n, c)
+        return (c + m * out) / (n + m)
+
+    count[("<s>",)] = len(train)
+    want = Counter()
+    for x in tok:
+        y = ["<s>", "<s>", *x]
+        want[round(sum(math.log10(p(*y[k - 2 : k + 1])) for k in range(2, len(y))), 6)] += 1
+    assert Counter(round(r["score"], 6) for r in lm.score(docs(spark, rows), held).collect()) == want
+
+
+def test_url_table_has_both_classes_and_generalises(spark):
+    table = urlfilter.labelled_urls(spark)
+    assert {r["label"]: r["count"] > 50 for r in table.groupBy("label").count().collect()} == {0: True, 1: True}
+    fold = F.pmod(F.xxhash64("url"), F.lit(5))
+    right = n = 0
+    for k in range(5):
+        w = urlfilter.fit(table.where(fold != k))
+        held = table.where(fold == k).withColumn("page_id", F.xxhash64("url"))
+        got = {r["page_id"]: r["verdict"] for r in urlfilter.judge_urls(held, [], w).collect()}
+        truth = {r["page_id"]: "block" if r["label"] else "allow" for r in held.collect()}
+        right, n = right + sum(got[i] == truth[i] for i in truth), n + len(truth)
+    assert right / n > 0.75
+
+
+def test_quality_leaves_clashing_columns_alone(spark):
+    rows = [(i, "plain words " * 5 if i % 2 else "BAD!! " * 9) for i in range(20)] + [(None, "plain words " * 5), (3, "plain words " * 5), (3, "plain words " * 5), (40, "w " * 200_000)]
+    df = docs(spark, rows).withColumn("log_weight", F.lit("mine")).withColumn("kept", F.lit("mine")).withColumn("gumbel_key", F.lit(1))
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id long, quality int, toxic int")
+    model = quality.fit(df, labels)
+    got = quality.resample(df, model)
+    assert got.count() == len(rows) and dict(got.dtypes)["log_weight"] == "double"
+    kept = quality.sampled(df, model)
+    assert kept.schema == df.schema and {r["kept"] for r in kept.collect()} == {"mine"}
+    assert Counter(r["doc_id"] for r in kept.collect())[3] in (0, 3)
+
+
+def test_packing_limits_bind_and_lengths_need_little_padding(spark):
+    path = queries.tokenizer_path()
+    rng = random.Random(17)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon", "zeta"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    rows = [(i, text(rng.randint(1, 30)) + "\n" + text(rng.randint(1, 900))) for i in range(60)] + [(i, "x") for i in range(100, 400)] + [(400, text(9000)), (None, "x"), (None, None), (5, "again"), (5, "again")]
+    got = packing.pack_documents(docs(spark, rows).coalesce(1), path, **queries.PACKING).collect()
+    seqs = {}
+    for r in got:
+        s = seqs.setdefault(r["sequence_id"], [0, 0, 0])
+        for k, v in enumerate((r["length"], 1, r["loss_tokens"])):
+            s[k] += v
+    assert all(n <= 1024 and k <= 32 and b <= 960 for n, k, b in seqs.values())
+    assert any(k == 32 for _, k, _ in seqs.values()) and max(b for _, _, b in seqs.values()) > 900
+    short = [n for n, _, _ in seqs.values() if n & (n - 1)]
+    assert sum(1024 - n for n in short) <= 1024 + 16 * len(short)
+    assert Counter(r["doc_id"] for r in got if r["start"] == 0) == Counter(i for i, _ in rows)
+
+
+def test_sharding_spreads_rows_of_one_id_and_text(spark):
+    rows = [(7, "the same text of one id")] * 900 + [(None, "none")] * 600 + [(i, "w " * (i % 50)) for i in range(1500)] + [(9999, "long " * 30_000)]
+    got = sharding.shard_documents(docs(spark, rows).repartition(4), queries.tokenizer_path()).collect()
+    n = Counter(r["shard"] for r in got)
+    assert len(got) == len(rows) and max(n.values()) < 0.1 * len(rows)
+    assert len({r["shard"] for r in got if r["doc_id"] == 7}) > 5
+    small = Counter(rng for rng in [(r["text_crc32"], r["shard"]) for r in got if r["size"] == 16 + 2 * 13])
+    assert sum(small.values()) == 30
+
+
+def test_quotes_link_parts_of_messages_and_order_replies(spark):
+    long = "\n".join(f"line number {i}" if i % 7 else "" for i in range(40))
+    part = "\n".join("> " + x for x in long.split("\n")[8:13])
+    rows = [
+        (1, 0, "user", long), (1, 1, "assistant", "Well.\n\nA paragraph\nof two lines.\n\nEnd."), (1, 2, "user", part + "\nOn part."),
+        (1, 3, "user", "> A paragraph\n> of two lines.\nOn paragraph."), (1, 4, "user", "Follows."), (1, 5, "user", "> line number 9\n> line number 3\nOut of order but held."),
+        (1, 6, "user", "> line number 9\n> never said\nNot held."), (1, 7, "user", "> > never\n> Follows.\nTo 4."),
+    ]
+    got = {r["turn"]: r for r in quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: r["parent_turn"] for t, r in got.items()} == {0: None, 1: 0, 2: 0, 3: 1, 4: 3, 5: 0, 6: 5, 7: 4}
+    order = [r["turn"] for r in sorted(got.values(), key=lambda r: (r["path"], r["turn"]))]
+
+    def walk(t):
+        return [t, *(x for c in sorted(k for k in got if got[k]["parent_turn"] == t) for x in walk(c))]
+
+    assert order == walk(0)
+    runs = quotes.conversations(quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).orderBy("path").collect()
+    assert "".join(r["text"] for r in runs) == "".join(got[t]["formatted"] for t in order) and sum(r["messages"] for r in runs) == len(rows)
+
+
+def test_quotes_of_random_trees_keep_reply_order(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "RUN", 4)
+    rng = random.Random(18)
+    rows = []
+    for c in range(6):
+        for t in range(40):
+            quote = f"> message {c} {rng.randrange(t)}\n" if t and rng.random() < 0.4 else ""
+            rows.append((c, t if c else 3 * t, "user", quote + f"message {c} {t}"))
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    for c in range(6):
+        mine = {r["turn"]: r for r in got if r["conv_id"] == c}
+
+        def walk(t, depth, root):
+            assert (mine[t]["depth"], mine[t]["root_turn"]) == (depth, root)
+            return [t, *(x for k in sorted(k for k in mine if mine[k]["parent_turn"] == t) for x in walk(k, depth + 1, root))]
+
+        roots = sorted(t for t, r in mine.items() if r["parent_turn"] is None)
+        assert [r["turn"] for r in sorted(mine.values(), key=lambda r: (r["path"], r["turn"]))] == [x for t in roots for x in walk(t, 0, t)]
+
+
+def test_long_quotes_parse_in_linear_time(spark):
+    text = "\n".join(("> " if i % 2 else "") + f"l{i}" for i in range(40_000))
+    got = quotes.link_quotes(spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn long, role string, text string")).first()
+    assert got["n_quotes"] == 20_000 and got["n_linked"] == 0 and got["body"].count("\n") == 19_999
