@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import decontaminate, ngram_join, packing, quality
-from latticework.llm.queries import tokenizer_path
+from latticework.llm.queries import PACKING, tokenizer_path
 from latticework.session import shared_checkpoints, ship
 
 
@@ -20,7 +20,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents that the importance sample keeps."""
     ship(spark)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.resample(docs, model).where(F.col("kept")).select(docs.columns)
+    return quality.sampled(docs, model)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +38,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents, placed in sequences of at most 1024 tokens."""
     ship(spark)
-    return packing.pack_documents(docs, tokenizer_path())
+    return packing.pack_documents(docs, tokenizer_path(), **PACKING)
 
 
 STAGES = [
