@@ -12,8 +12,8 @@ def finite(value: Column) -> Column:
     return value.isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf"))
 
 
-def sanitized(channels: DataFrame, mode: str = "finite") -> DataFrame:
-    """Values made usable: `finite` sets null, NaN and both infinities to 0; `strict` keeps -inf; `py` keeps both."""
+def sanitized(channels: DataFrame, mode: str = "strict") -> DataFrame:
+    """Values made usable: `strict` sets null, NaN and +inf to 0 and keeps -inf; `py` keeps both infinities; `finite` keeps neither."""
     value = F.col("value")
     bad = {"finite": ~finite(value), "strict": value.isNull() | F.isnan(value) | (value == float("inf")), "py": value.isNull() | F.isnan(value)}[mode]
     return channels.withColumn("value", F.when(bad, 0.0).otherwise(value))

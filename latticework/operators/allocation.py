@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.session import checkpointed
+from latticework.session import checkpointed, counted
 from latticework.sources.voxels import KEY
 
 UNASSIGNED, CORE = -1, -2
@@ -90,8 +90,8 @@ def assign_highest(scored: DataFrame, programs: DataFrame, core: DataFrame | Non
     for _ in range(max_rounds):
         best = argmax(offers)
         capped = numbered(best.where(limit.isNotNull()), ["grid_id", "program_idx"], "winning_score", "place")
-        turned = checkpointed(capped.where(F.col("place") > limit).select(*KEY, "program_idx"))
-        if turned.isEmpty():
+        turned, seen = counted(capped.where(F.col("place") > limit).select(*KEY, "program_idx"), n=F.count(F.lit(1)))
+        if not seen["n"]:
             return _completed(scored.select(*KEY).distinct(), best, core)
         offers = checkpointed(offers.join(turned, [*KEY, "program_idx"], "left_anti"))
     raise RuntimeError(f"not settled in {max_rounds} rounds")
@@ -210,8 +210,8 @@ def assign_round_robin(scored: DataFrame, programs: DataFrame, core: DataFrame |
         size = left.groupBy("grid_id", "program_idx").agg((F.count(F.lit(1)) > batch).alias("more"))
         front = placed.where(F.col("place") <= batch).join(size, ["grid_id", "program_idx"]).join(state, "grid_id")
         front = front.join(used, ["grid_id", "program_idx"], "left").withColumn("used", F.coalesce("used", F.lit(0))) if used is not None else front.withColumn("used", F.lit(0))
-        claims = checkpointed(front.groupBy("grid_id").applyInPandas(replay, schema))
-        if claims.isEmpty():
+        claims, seen = counted(front.groupBy("grid_id").applyInPandas(replay, schema), n=F.count(F.lit(1)))
+        if not seen["n"]:
             break
         taken = claims if taken is None else checkpointed(taken.unionByName(claims))
         left = checkpointed(left.join(claims.select(*KEY), KEY, "left_anti"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.session import checkpointed
+from latticework.session import counted
 
 
-def _state(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+def _counted(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges written, with their number and a sum that changes when they do."""
+    cut, seen = counted(edges, n=F.count(F.lit(1)), mark=F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")))
+    return cut, (seen["n"], seen["mark"])
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -20,8 +22,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     edges. Raises RuntimeError when `rounds` do not suffice.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    edges = checkpointed(edges)
-    before = _state(edges)
+    edges, before = _counted(edges)
     for _ in range(rounds):
         if not before[0]:
             break
@@ -30,8 +31,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).union(down.select("a", F.col("m").alias("b")))
-        edges = checkpointed(small.where("a <> b").distinct())
-        now = _state(edges)
+        edges, now = _counted(small.where("a <> b").distinct())
         if now == before:
             break
         before = now

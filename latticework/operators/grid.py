@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.session import checkpointed
+from latticework.session import checkpointed, counted
 from latticework.sources.voxels import CELL, KEY
 
 #: fixed values: face directions in the order +x, -x, +y, -y, +z, -z
@@ -77,15 +77,15 @@ def surface_depth(voxels: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     next. Raises ValueError without a surface voxel.
     """
     edges = checkpointed(neighbors(voxels).select(*KEY, "other_voxel_idx"))
-    inside = voxels.select(*KEY)
-    front = checkpointed(surface(voxels).select(*KEY, F.lit(0).alias("depth")))
-    if front.isEmpty():
+    rows = {"n": F.count(F.lit(1))}
+    front, seen = counted(surface(voxels).select(*KEY, F.lit(0).alias("depth")), **rows)
+    if not seen["n"]:
         raise ValueError("no surface voxel")
-    levels, left = front, checkpointed(inside.join(front, KEY, "left_anti"))
+    levels, left = front, checkpointed(voxels.select(*KEY).join(front, KEY, "left_anti"))
     for depth in range(1, max_rounds):
         reach = front.select("grid_id", F.col("voxel_idx").alias("other_voxel_idx"))
-        front = checkpointed(left.join(edges.join(reach, ["grid_id", "other_voxel_idx"], "left_semi").select(*KEY), KEY, "left_semi").withColumn("depth", F.lit(depth)))
-        if front.isEmpty():
+        front, seen = counted(left.join(edges.join(reach, ["grid_id", "other_voxel_idx"], "left_semi").select(*KEY), KEY, "left_semi").withColumn("depth", F.lit(depth)), **rows)
+        if not seen["n"]:
             break
         levels, left = levels.unionByName(front), checkpointed(left.join(front, KEY, "left_anti"))
     else:
@@ -104,16 +104,17 @@ def surface_distance(voxels: DataFrame, voxel_size: float = 1.0, max_rounds: int
     """
     slim = voxels.select(*KEY, *CELL[1:])
     seed = F.struct("voxel_idx", *CELL[1:])
-    front = checkpointed(slim.join(surface(voxels).select(*KEY), KEY, "left_semi").select(*KEY, *CELL[1:], seed.alias("seed"), F.lit(0.0).alias("far")))
-    if front.isEmpty():
+    rows = {"n": F.count(F.lit(1))}
+    front, seen = counted(slim.join(surface(voxels).select(*KEY), KEY, "left_semi").select(*KEY, *CELL[1:], seed.alias("seed"), F.lit(0.0).alias("far")), **rows)
+    if not seen["n"]:
         raise ValueError("no surface voxel")
     levels, left = front, checkpointed(slim.join(front.select(*KEY), KEY, "left_anti"))
     for _ in range(max_rounds):
         sent = shifted(front.select(*CELL, "seed"), list(enumerate(DIRECTIONS))).select("grid_id", *(F.col(f"n{c}").alias(f"i{c}") for c in "xyz"), "seed")
         square = sum(((F.col(f"seed.i{c}") - F.col(f"i{c}")) * (F.col(f"seed.i{c}") - F.col(f"i{c}")) for c in "xyz"), F.lit(0))
         best = sent.groupBy(*CELL).agg(F.min(F.struct(square.cast("long").alias("square"), "seed")).alias("m"))
-        front = checkpointed(left.join(best, CELL).select(*KEY, *CELL[1:], F.col("m.seed").alias("seed"), (F.sqrt(F.col("m.square").cast("double")) * float(voxel_size)).alias("far")))
-        if front.isEmpty():
+        front, seen = counted(left.join(best, CELL).select(*KEY, *CELL[1:], F.col("m.seed").alias("seed"), (F.sqrt(F.col("m.square").cast("double")) * float(voxel_size)).alias("far")), **rows)
+        if not seen["n"]:
             break
         levels, left = levels.unionByName(front), checkpointed(left.join(front.select(*KEY), KEY, "left_anti"))
     else:

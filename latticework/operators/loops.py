@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.operators.components import components
-from latticework.session import checkpointed
+from latticework.session import checkpointed, counted
 
 #: fixed values: for each side (south, east, north, west) the neighbour's offset, and the start of its edge with the cell on the left
 SIDES = [((0, -1), (0, 0)), ((1, 0), (1, 0)), ((0, 1), (1, 1)), ((-1, 0), (0, 1))]
@@ -37,13 +36,21 @@ def region_loops(footprint: DataFrame, region: list[str], max_rounds: int = 60)
     first = Window.partitionBy("edge").orderBy("turn")
     following = ends.join(edges, [*region, "x", "y"]).select("edge", F.struct(*region, "x", "y", "side").alias("next"), turn.alias("turn"))
     following = checkpointed(following.withColumn("k", F.row_number().over(first)).where("k = 1").select("edge", "next"))
-    named = components(following.select(F.col("edge").alias("a"), F.col("next").alias("b"))).select(F.col("node").alias("edge"), F.col("component").alias("loop"))
-    # distance to the last edge of the loop by doubling: the link into the first edge is cut
-    links = checkpointed(following.join(named, "edge").select("edge", "loop", F.when(F.col("next") != F.col("loop"), F.col("next")).alias("next"), F.when(F.col("next") != F.col("loop"), 1).otherwise(0).alias("far")))
+    # by doubling, each edge learns the least edge among those that follow and the steps to it, until that is its loop's
+    now, moved = following.select("edge", "next", F.col("edge").alias("least"), F.lit(0).cast("long").alias("steps"), F.lit(1).cast("long").alias("span")), True
     for _ in range(max_rounds):
-        if links.where(F.col("next").isNotNull()).isEmpty():
+        if not moved:
             break
-        ahead = links.select(F.col("edge").alias("next"), F.col("next").alias("next2"), F.col("far").alias("far2"))
-        links = checkpointed(links.join(ahead, "next", "left").select("edge", "loop", F.col("next2").alias("next"), (F.col("far") + F.coalesce("far2", F.lit(0))).alias("far")))
-    size = links.groupBy("loop").agg(F.max("far").alias("most"))
-    return links.join(size, "loop").select(*(F.col(f"edge.{c}").alias(c) for c in region), *(F.col(f"loop.{c}").alias(f"loop_{c}") for c in ("x", "y", "side")), (F.col("most") - F.col("far")).alias("place"), F.col("edge.x").alias("x"), F.col("edge.y").alias("y"))
+        ahead = now.select(F.col("edge").alias("next"), F.col("next").alias("next2"), F.col("least").alias("least2"), F.col("steps").alias("steps2"))
+        lower = F.col("least2") < F.col("least")
+        met = now.join(ahead, "next").select(
+            "edge", F.col("next2").alias("next"), F.when(lower, F.col("least2")).otherwise(F.col("least")).alias("least"),
+            F.when(lower, F.col("span") + F.col("steps2")).otherwise(F.col("steps")).alias("steps"), (2 * F.col("span")).alias("span"), lower.alias("lower"),
+        )
+        now, seen = counted(met, moved=F.count_if(F.col("lower")))
+        now, moved = now.drop("lower"), seen["moved"]
+    else:
+        raise RuntimeError(f"loops did not close in {max_rounds} rounds")
+    size = now.groupBy("least").agg((F.max("steps") + 1).alias("size"))
+    place = F.when(F.col("steps") == 0, 0).otherwise(F.col("size") - F.col("steps"))
+    return now.join(size, "least").select(*(F.col(f"edge.{c}").alias(c) for c in region), *(F.col(f"least.{c}").alias(f"loop_{c}") for c in ("x", "y", "side")), place.cast("long").alias("place"), F.col("edge.x").alias("x"), F.col("edge.y").alias("y"))

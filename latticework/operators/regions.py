@@ -2,28 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.operators.allocation import CORE, UNASSIGNED
 from latticework.operators.components import components
 from latticework.operators.grid import LOOK, looked_at, shifted
+from latticework.session import checkpointed
 
 
 def _labelled(cells: DataFrame, same: list[str], offsets: list[tuple[int, int, int]]) -> DataFrame:
-    """`cells` (with a node column that is unique over grids) and the least node of their component."""
-    slim = cells.select("grid_id", "ix", "iy", "iz", "node", *same)
-    near = shifted(slim, list(enumerate(offsets))).join(looked_at(slim), LOOK)
+    """`cells` (with a node column that is unique over grids and sorts as ix does) and the least node of their component.
+
+    Runs along x are joined first, by a window, so only runs that touch sideways
+    enter the rounds.
+    """
+    line = ["grid_id", *same, "iy", "iz"]
+    island = F.col("ix") - F.row_number().over(Window.partitionBy(*line).orderBy("ix"))
+    inside = cells.select("grid_id", "ix", "iy", "iz", "node", *same).withColumn("island", island)
+    slim = checkpointed(inside.select("grid_id", "ix", "iy", "iz", "node", *same, F.min("node").over(Window.partitionBy(*line, "island")).alias("run")))
+    near = shifted(slim.drop("node"), list(enumerate(offsets))).join(looked_at(slim.drop("node")), LOOK)
     for c in same:
         near = near.where(F.col(c) == F.col(f"other_{c}"))
-    found = components(near.select(F.col("node").alias("a"), F.col("other_node").alias("b")))
-    return cells.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = components(near.select(F.col("run").alias("a"), F.col("other_run").alias("b")))
+    named = slim.select("node", "run").join(found.withColumnRenamed("node", "run"), "run", "left").select("node", F.coalesce("component", "run").alias("component"))
+    return cells.join(named, "node")
 
 
 def clusters(cells: DataFrame) -> DataFrame:
     """(grid_id, voxel_idx, program_idx, cluster): 6-connected voxels of one program, named by the least index."""
     mine = cells.where("program_idx >= 0").withColumn("node", F.struct("grid_id", "voxel_idx"))
-    return _labelled(mine, ["program_idx"], [(1, 0, 0), (0, 1, 0), (0, 0, 1)]).select("grid_id", "voxel_idx", "program_idx", F.col("component.voxel_idx").alias("cluster"))
+    return _labelled(mine, ["program_idx"], [(0, 1, 0), (0, 0, 1)]).select("grid_id", "voxel_idx", "program_idx", F.col("component.voxel_idx").alias("cluster"))
 
 
 def floor_regions(cells: DataFrame, include_core: bool = True, structure_idx: int = -1, include_structure: bool = False) -> DataFrame:
@@ -51,4 +60,4 @@ def floor_regions(cells: DataFrame, include_core: bool = True, structure_idx: in
 def _floor_labelled(mine: DataFrame) -> DataFrame:
     # the floor stands in for the third axis, so a cell meets cells of its own floor only
     level = mine.withColumn("iz", F.col("floor_idx"))
-    return _labelled(level, ["program_idx"], [(1, 0, 0), (0, 1, 0)])
+    return _labelled(level, ["program_idx"], [(0, 1, 0)])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from latticework.operators.allocation import UNASSIGNED
 from latticework.operators.grid import DIRECTIONS, LOOK, looked_at, shifted
-from latticework.session import checkpointed
+from latticework.session import counted
 from latticework.sources.voxels import KEY
 
 
@@ -33,16 +33,15 @@ def support(cells: DataFrame, ground: DataFrame, max_cantilever: int = 4, max_ro
         carried = F.max(F.col("need").isNotNull()).over(below)
         return df.withColumn("need", F.when(F.coalesce(carried, F.lit(False)), 0).otherwise(F.col("need")))
 
-    now = checkpointed(lifted(slim.join(grounded, KEY, "left").withColumn("island", island)))
-    total = None
+    state = {"n": F.count("need"), "total": F.sum("need")}
+    now, seen = counted(lifted(slim.join(grounded, KEY, "left").withColumn("island", island)), **state)
     for _ in range(max_rounds):
-        state = now.agg(F.count("need"), F.sum("need")).first()
-        if tuple(state) == total:
-            return now.select(*KEY, "program_idx", F.col("need").alias("overhang"))
-        total = tuple(state)
+        before = seen
         sent = shifted(now.where(F.col("need") < max_cantilever).select("grid_id", "ix", "iy", "iz", "need"), list(enumerate(DIRECTIONS[:4])))
         offers = sent.groupBy(*(F.col(a).alias(b) for a, b in zip(LOOK, ["grid_id", "ix", "iy", "iz"], strict=True))).agg((F.min("need") + 1).alias("offer"))
-        now = checkpointed(lifted(now.join(offers, ["grid_id", "ix", "iy", "iz"], "left").withColumn("need", F.least("need", "offer")).drop("offer")))
+        now, seen = counted(lifted(now.join(offers, ["grid_id", "ix", "iy", "iz"], "left").withColumn("need", F.least("need", "offer")).drop("offer")), **state)
+        if seen == before:
+            return now.select(*KEY, "program_idx", F.col("need").alias("overhang"))
     raise RuntimeError(f"not settled in {max_rounds} rounds")
 
 

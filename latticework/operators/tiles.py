@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators.grid import DIRECTIONS
-from latticework.session import checkpointed
+from latticework.session import checkpointed, counted
 
 #: fixed values: names of the directions +x, -x, +y, -y, +z, -z
 NAMES = ["px", "nx", "py", "ny", "pz", "nz"]
@@ -25,25 +25,35 @@ def propagate(candidates: DataFrame, compat: DataFrame, max_rounds: int = 1000)
 
     A candidate goes when some existing neighbour has no compatible one left; a
     voxel that loses all of them is a contradiction and is absent from the result.
+    After the first round only candidates next to one that has just gone are
+    judged again.
     """
     cell = ["grid_id", "ix", "iy", "iz"]
+    key = [*cell, "tile_id"]
     bit = F.element_at(F.create_map(*(F.lit(x) for i, n in enumerate(NAMES) for x in (n, 1 << i))), F.col("dir"))
     step = {c: F.element_at(F.create_map(*(F.lit(x) for n, o in zip(NAMES, DIRECTIONS, strict=True) for x in (n, o[k]))), F.col("dir")) for k, c in enumerate("xyz")}
-    rules = checkpointed(compat.select("tile_a", "dir", F.col("tile_b").alias("tile_id"), bit.alias("bit"), *(step[c].alias(f"o{c}") for c in "xyz")).distinct())
-    if rules.count() < 100_000:
+    rules, size = counted(compat.select("tile_a", "dir", F.col("tile_b").alias("tile_id"), bit.alias("bit"), *(step[c].alias(f"o{c}") for c in "xyz")).distinct(), n=F.count(F.lit(1)))
+    if size["n"] < 100_000:
         rules = F.broadcast(rules)
     back = [F.struct(F.lit(1 << i).alias("bit"), *(F.lit(-v).alias(f"o{c}") for c, v in zip("xyz", o, strict=True))) for i, o in enumerate(DIRECTIONS)]
     cells = candidates.select(*cell).distinct()
     seen = cells.select("*", F.explode(F.array(*back)).alias("s")).groupBy("grid_id", *((F.col(f"i{c}") + F.col(f"s.o{c}")).alias(f"i{c}") for c in "xyz")).agg(F.bit_or("s.bit").alias("sides"))
     # sides: a bit for each direction with an existing neighbour; a candidate needs a compatible one on all of them
-    now = checkpointed(candidates.select(*cell, "tile_id").distinct().join(seen, cell, "left").withColumn("sides", F.coalesce("sides", F.lit(0))))
+    start = checkpointed(candidates.select(*key).distinct().join(seen, cell, "left").withColumn("sides", F.coalesce("sides", F.lit(0))))
+    behind = [(F.col(f"i{c}") - F.col(f"o{c}")).alias(f"i{c}") for c in "xyz"]
+    asked, left, gone = start, start, None
     for _ in range(max_rounds):
-        met = now.join(rules, "tile_id").groupBy("grid_id", *((F.col(f"i{c}") - F.col(f"o{c}")).alias(f"i{c}") for c in "xyz"), F.col("tile_a").alias("tile_id")).agg(F.bit_or("bit").alias("met"))
-        held = F.coalesce("met", F.lit(0)).bitwiseAND(F.col("sides")) == F.col("sides")
-        judged = checkpointed(now.join(met, [*cell, "tile_id"], "left").withColumn("held", held).drop("met"))
-        now = judged.where("held").drop("held")
-        if judged.where("not held").isEmpty():
-            return now.select(*cell, "tile_id")
+        around = asked.select(*cell, F.col("tile_id").alias("tile_a"), "sides").join(rules, "tile_a").select("grid_id", *((F.col(f"i{c}") + F.col(f"o{c}")).alias(f"i{c}") for c in "xyz"), "tile_id", "bit", *(f"o{c}" for c in "xyz"), "tile_a", "sides")
+        met = around.join(left.select(*key), key).groupBy("grid_id", *behind, F.col("tile_a").alias("tile_id"), "sides").agg(F.bit_or("bit").alias("met"))
+        held = met.where(F.col("met").bitwiseAND(F.col("sides")) == F.col("sides")).select(*key)
+        # a candidate without neighbours holds by itself
+        lost, n = counted(asked.where("sides <> 0").join(held, key, "left_anti").select(*key), n=F.count(F.lit(1)))
+        if not n["n"]:
+            return left.select(*key)
+        gone = lost if gone is None else checkpointed(gone.unionByName(lost))
+        left = start.join(gone, key, "left_anti")
+        near = lost.join(rules, "tile_id").select("grid_id", *behind, F.col("tile_a").alias("tile_id")).distinct()
+        asked = checkpointed(left.join(near, key, "left_semi"))
     raise RuntimeError(f"not settled in {max_rounds} rounds")
 
 

@@ -63,17 +63,23 @@ def view(centers: DataFrame, directions: DataFrame, triangles: DataFrame | None,
     are repeated once a bin. Rows with a null in a coordinate see nothing.
     """
     radius = max(1.0, float(radius))
-    rays = directions.count()
+    few = [tuple(r) for r in directions.select("ray", "dx", "dy", "dz").orderBy("ray").collect()]
+    rays = len(few)
     above = centers.select(*KEY, "x", "y", "z").where(F.col("z") >= 0)
     if triangles is None:
         lost = above.select(*KEY).withColumn("lost", F.lit(0.0))
     else:
         d = [F.col(f"d{c}") for c in "xyz"]
         u, v = _across(d)
-        few = F.broadcast(directions.select("ray", *(f"d{c}" for c in "xyz"), *(e.alias(f"{n}{c}") for n, w in (("u", u), ("v", v)) for e, c in zip(w, "xyz", strict=True))))
+        every = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("ray", "dx", "dy", "dz"), r, strict=True))) for r in few)))
+
+        def with_rays(df: DataFrame) -> DataFrame:
+            spread = df.select("*", every.alias("r")).select(*df.columns, "r.*")
+            return spread.select("*", *(e.alias(f"{n}{c}") for n, w in (("u", u), ("v", v)) for e, c in zip(w, "xyz", strict=True)))
+
         us, vs = ([F.col(f"{n}{c}") for c in "xyz"] for n in "uv")
         corner = {p: [F.col(f"{p}{c}") for c in "xyz"] for p in "abc"}
-        flat = triangles.dropna().join(few, F.lit(True)).select(
+        flat = with_rays(triangles.dropna()).select(
             "grid_id", "ray", *(f"{p}{c}" for p in "abc" for c in "xyz"),
             *(_dot(corner[p], w).alias(f"{p}{n}") for p in "abc" for n, w in (("u", us), ("v", vs))),
         )
@@ -81,7 +87,8 @@ def view(centers: DataFrame, directions: DataFrame, triangles: DataFrame | None,
             low, high = (f(*(F.floor(F.col(f"{p}{n}") / bin_size) for p in "abc")) for f in (F.least, F.greatest))
             flat = flat.withColumn(f"{n}_bin", F.explode(F.sequence(low, high)))
         at = [F.col(c) for c in "xyz"]
-        cast = above.dropna().join(few, F.lit(True)).select(*KEY, "ray", "x", "y", "z", *(f"d{c}" for c in "xyz"), *(F.floor(_dot(at, w) / bin_size).alias(f"{n}_bin") for n, w in (("u", us), ("v", vs))))
+        facing = above.dropna().join(triangles.dropna().select("grid_id").distinct(), "grid_id", "left_semi")
+        cast = with_rays(facing).select(*KEY, "ray", "x", "y", "z", *(f"d{c}" for c in "xyz"), *(F.floor(_dot(at, w) / bin_size).alias(f"{n}_bin") for n, w in (("u", us), ("v", vs))))
         pairs = cast.join(flat, ["grid_id", "ray", "u_bin", "v_bin"])
         e1, e2, t0 = ([F.col(f"{p}{c}") - o for c, o in zip("xyz", q, strict=True)] for p, q in (("b", corner["a"]), ("c", corner["a"]), ("", corner["a"])))
         p = _cross(d, e2)

@@ -17,11 +17,11 @@ def _floors(cells, height=10.0):
 
 
 def v_boxes(spark, sf_dir):
-    return boxes.merge_boxes(base._assigned_cells(spark, sf_dir)).drop("grid_id")
+    return boxes.merge_boxes(base._assigned_cells(spark, sf_dir))
 
 
 def v_box_report(spark, sf_dir):
-    return boxes.box_report(boxes.merge_boxes(base._assigned_cells(spark, sf_dir))).drop("grid_id")
+    return boxes.box_report(boxes.merge_boxes(base._assigned_cells(spark, sf_dir)))
 
 
 def v_support(spark, sf_dir):
@@ -35,7 +35,7 @@ def v_membranes(spark, sf_dir):
 
 
 def v_membrane_summary(spark, sf_dir):
-    return membranes.membrane_summary(membranes.membrane_faces(base._assigned_cells(spark, sf_dir), include_boundary=True)).drop("grid_id")
+    return membranes.membrane_summary(membranes.membrane_faces(base._assigned_cells(spark, sf_dir), include_boundary=True))
 
 
 def _plan(spark, sf_dir):
@@ -43,11 +43,11 @@ def _plan(spark, sf_dir):
 
 
 def v_boundary_edges(spark, sf_dir):
-    return loops.boundary_edges(_plan(spark, sf_dir), ["program_idx", "floor_idx"])
+    return loops.boundary_edges(_plan(spark, sf_dir), ["grid_id", "program_idx", "floor_idx"])
 
 
 def v_region_loops(spark, sf_dir):
-    return loops.region_loops(_plan(spark, sf_dir), ["program_idx", "floor_idx"])
+    return loops.region_loops(_plan(spark, sf_dir), ["grid_id", "program_idx", "floor_idx"])
 
 
 def v_surface_distance(spark, sf_dir):
@@ -76,7 +76,7 @@ def v_real_estate(spark, sf_dir):
 
 
 def v_floor_distribution(spark, sf_dir):
-    return ch.floor_distribution(_floors(base.fixture(spark, sf_dir)), 10.0).drop("grid_id")
+    return ch.floor_distribution(_floors(base.fixture(spark, sf_dir)), 10.0)
 
 
 def v_voxel_vectors(spark, sf_dir):
@@ -91,21 +91,21 @@ def v_tiles(spark, sf_dir):
     kinds = spark.createDataFrame([(0, "A"), (1, "B"), (2, "C")], "tile_id int, tile_type string")
     every = base.fixture(spark, sf_dir).select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("tile_id"))
     start = every.where((F.col("n") % 5 != 0) | (F.col("tile_id") == F.col("qty").cast("int") % 3))
-    return tiles.propagate(start, tiles.compat(kinds, rules)).drop("grid_id")
+    return tiles.propagate(start, tiles.compat(kinds, rules))
 
 
 def _blades(spark, sf_dir):
-    """Obstacles: a triangle for each supplier, placed by its key and leaning by its nation."""
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") * 7 % 61 - 5.25).cast("double").alias("px"), (F.col("s_suppkey") * 11 % 59 - 4.75).cast("double").alias("py"), F.col("s_nationkey").cast("double").alias("n"))
-    return s.select(F.lit("lineitem").alias("grid_id"), F.col("px").alias("ax"), F.col("py").alias("ay"), F.lit(-1.0).alias("az"), (F.col("px") + 2.0).alias("bx"), (F.col("py") + 1.0).alias("by"), F.lit(-1.0).alias("bz"), (F.col("px") + F.col("n") / 8).alias("cx"), (F.col("py") + 1.5).alias("cy"), (F.col("n") + 3.3).alias("cz"))
+    """Obstacles in grids g0 to g3: a triangle for each supplier, placed by its key and leaning by its nation."""
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") * 7 % 61 - 5.25).cast("double").alias("px"), (F.col("s_suppkey") * 11 % 59 - 4.75).cast("double").alias("py"), F.col("s_nationkey").cast("double").alias("n"), F.concat(F.lit("g"), (F.col("s_suppkey") % 4).cast("string")).alias("grid_id"))
+    return s.select("grid_id", F.col("px").alias("ax"), F.col("py").alias("ay"), F.lit(-1.0).alias("az"), (F.col("px") + 2.0).alias("bx"), (F.col("py") + 1.0).alias("by"), F.lit(-1.0).alias("bz"), (F.col("px") + F.col("n") / 8).alias("cx"), (F.col("py") + 1.5).alias("cy"), (F.col("n") + 3.3).alias("cz"))
 
 
 def v_horizon_view(spark, sf_dir):
-    return views.horizon_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 8, 30.0).select("voxel_idx", F.round("value", 5).alias("value"))
+    return views.horizon_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 36).select("voxel_idx", F.round("value", 5).alias("value"))
 
 
 def v_sky_view(spark, sf_dir):
-    return views.sky_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 12, 30.0).select("voxel_idx", F.round("value", 5).alias("value"))
+    return views.sky_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 48).select("voxel_idx", F.round("value", 5).alias("value"))
 
 
 def v_core_distance(spark, sf_dir):
@@ -127,7 +127,7 @@ def v_core_from_curves(spark, sf_dir):
 def v_footprints(spark, sf_dir):
     cells = base._assigned_cells(spark, sf_dir).where(F.col("program_idx") == al.CORE)
     core = grid.centers(cells).join(cells.select(*vx.KEY, "iz"), vx.KEY).withColumn("core_id", F.lit(0))
-    return cores.footprints(core).select("core_id", "iz", *(F.round(c, 9).alias(c) for c in ("x", "y", "z", "x0", "y0", "x1", "y1")))
+    return cores.footprints(core).select("grid_id", "core_id", "iz", *(F.round(c, 9).alias(c) for c in ("x", "y", "z", "x0", "y0", "x1", "y1")))
 
 
 def v_voxelize(spark, sf_dir):
@@ -158,66 +158,68 @@ _MOVED = ", ".join(f"round(i{c} + c{c} + {d} * CASE WHEN {_TOWARDS} < 0 THEN 0.0
 _RATE = " ".join(f"WHEN f + 1 <= {last} THEN {rate}::DOUBLE" for last, rate in ch.GROWTH)
 
 _BLADES = """blade AS (
-  SELECT px AS ax, py AS ay, -1.0::DOUBLE AS az, px + 2 AS bx, py + 1 AS "by", -1.0::DOUBLE AS bz, px + n / 8 AS cx, py + 1.5::DOUBLE AS cy, n + 3.3::DOUBLE AS cz
-  FROM (SELECT (s_suppkey * 7 % 61 - 5.25)::DOUBLE AS px, (s_suppkey * 11 % 59 - 4.75)::DOUBLE AS py, s_nationkey::DOUBLE AS n FROM supplier))"""
+  SELECT bg, px AS ax, py AS ay, -1.0::DOUBLE AS az, px + 2 AS bx, py + 1 AS "by", -1.0::DOUBLE AS bz, px + n / 8 AS cx, py + 1.5::DOUBLE AS cy, n + 3.3::DOUBLE AS cz
+  FROM (SELECT (s_suppkey * 7 % 61 - 5.25)::DOUBLE AS px, (s_suppkey * 11 % 59 - 4.75)::DOUBLE AS py, s_nationkey::DOUBLE AS n, 'g' || (s_suppkey % 4) AS bg FROM supplier))"""
 _HITS = """shot AS (
   SELECT *, bx - ax AS e1x, "by" - ay AS e1y, bz - az AS e1z, cx - ax AS e2x, cy - ay AS e2y, cz - az AS e2z FROM ray CROSS JOIN blade),
 crossed AS (SELECT *, dy * e2z - dz * e2y AS px, dz * e2x - dx * e2z AS py, dx * e2y - dy * e2x AS pz FROM shot),
 sized AS (SELECT *, e1x * px + e1y * py + e1z * pz AS det FROM crossed),
-seen AS (SELECT voxel_idx, s.*, ix + 0.5::DOUBLE - ax AS tx, iy + 0.5::DOUBLE - ay AS ty, iz + 0.5::DOUBLE - az AS tz FROM cells CROSS JOIN (SELECT * FROM sized WHERE abs(det) > 1e-12) s),
+seen AS (SELECT voxel_idx, s.*, ix + 0.5::DOUBLE - ax AS tx, iy + 0.5::DOUBLE - ay AS ty, iz + 0.5::DOUBLE - az AS tz FROM cells JOIN (SELECT * FROM sized WHERE abs(det) > 1e-12) s ON bg = g),
 q AS (SELECT *, (tx * px + ty * py + tz * pz) / det AS s, ty * e1z - tz * e1y AS qx, tz * e1x - tx * e1z AS qy, tx * e1y - ty * e1x AS qz FROM seen),
 near AS (
   SELECT voxel_idx, i, min((e2x * qx + e2y * qy + e2z * qz) / det) AS far FROM q
   WHERE s >= -1e-9 AND (dx * qx + dy * qy + dz * qz) / det >= -1e-9 AND s + (dx * qx + dy * qy + dz * qz) / det <= 1 + 1e-9 AND (e2x * qx + e2y * qy + e2z * qz) / det >= 0 GROUP BY ALL),
-lost AS (SELECT voxel_idx, sum(30.0::DOUBLE - far) AS lost FROM near WHERE far < 30 GROUP BY voxel_idx)"""
+lost AS (SELECT voxel_idx, sum(1000.0::DOUBLE - far) AS lost FROM near WHERE far < 1000 GROUP BY voxel_idx)"""
 _CORE = base._MIXED + """, far AS (
-  SELECT p.voxel_idx, sqrt(min((p.ix - q.ix) * (p.ix - q.ix) + (p.iy - q.iy) * (p.iy - q.iy) + (p.iz - q.iz) * (p.iz - q.iz))::DOUBLE) AS far
-  FROM a p CROSS JOIN (SELECT * FROM a WHERE program_idx = -2) q GROUP BY p.voxel_idx)"""
+  SELECT p.voxel_idx, g, sqrt(min((p.ix - q.ix) * (p.ix - q.ix) + (p.iy - q.iy) * (p.iy - q.iy) + (p.iz - q.iz) * (p.iz - q.iz))::DOUBLE) AS far
+  FROM a p JOIN (SELECT * FROM a WHERE program_idx = -2) q USING (g) GROUP BY p.voxel_idx, g)"""
 
 ORACLE_SQL = {
     "v_support": f"""WITH RECURSIVE {base._MIXED},
 walk AS (
-  SELECT ix, iy, iz, 0 AS need FROM a WHERE iz = 0
+  SELECT gx, iy, iz, 0 AS need FROM a WHERE iz = 0
   UNION
-  SELECT a.ix, a.iy, a.iz, CASE WHEN up = 1 THEN 0 ELSE need + 1 END FROM walk w CROSS JOIN (SELECT * FROM {_WALK} UNION ALL SELECT 0, 0, 1) s
-  JOIN a ON a.ix = w.ix + dx AND a.iy = w.iy + dy AND a.iz = w.iz + up WHERE up = 1 OR need < 2)
-SELECT voxel_idx, program_idx, min(need) AS overhang FROM a LEFT JOIN walk USING (ix, iy, iz) GROUP BY ALL""",
-    "v_membranes": f"""WITH {base._MIXED}, centre AS (SELECT program_idx, avg(ix) + 0.5 AS mx, avg(iy) + 0.5 AS my, avg(iz) + 0.5 AS mz FROM a GROUP BY program_idx)
+  SELECT a.gx, a.iy, a.iz, CASE WHEN up = 1 THEN 0 ELSE need + 1 END FROM walk w CROSS JOIN (SELECT * FROM {_WALK} UNION ALL SELECT 0, 0, 1) s
+  JOIN a ON a.gx = w.gx + dx AND a.iy = w.iy + dy AND a.iz = w.iz + up WHERE up = 1 OR need < 2)
+SELECT voxel_idx, program_idx, min(need) AS overhang FROM a LEFT JOIN walk USING (gx, iy, iz) GROUP BY ALL""",
+    "v_membranes": f"""WITH {base._MIXED}, centre AS (SELECT g, program_idx, avg(ix) + 0.5 AS mx, avg(iy) + 0.5 AS my, avg(iz) + 0.5 AS mz FROM a GROUP BY g, program_idx)
 SELECT p.program_idx, p.voxel_idx, dir, {_MOVED.replace("ix", "p.ix").replace("iy", "p.iy").replace("iz", "p.iz")}
-FROM a p JOIN centre USING (program_idx) CROSS JOIN (VALUES {_CORNER}) AS s(dir, dx, dy, dz, cx, cy, cz)
-JOIN a q ON q.ix = p.ix + dx AND q.iy = p.iy + dy AND q.iz = p.iz + dz AND q.program_idx <> p.program_idx""",
+FROM a p JOIN centre USING (g, program_idx) CROSS JOIN (VALUES {_CORNER}) AS s(dir, dx, dy, dz, cx, cy, cz)
+JOIN a q ON q.gx = p.gx + dx AND q.iy = p.iy + dy AND q.iz = p.iz + dz AND q.program_idx <> p.program_idx""",
     "v_membrane_summary": f"""WITH {base._MIXED}
-SELECT p.program_idx, count(DISTINCT p.voxel_idx) AS voxels, 4 * count(*) AS vertices, count(*) AS faces
-FROM a p CROSS JOIN {base._STEPS} LEFT JOIN a q ON q.ix = p.ix + dx AND q.iy = p.iy + dy AND q.iz = p.iz + dz
-WHERE q.program_idx IS NULL OR q.program_idx <> p.program_idx GROUP BY p.program_idx""",
-    "v_boundary_edges": f"""WITH {base._MIXED}, f AS (SELECT DISTINCT program_idx, {base._FLOOR} AS floor_idx, ix, iy FROM a WHERE program_idx >= 0)
-SELECT program_idx, floor_idx, ix + sx AS x, iy + sy AS y, side FROM f CROSS JOIN (VALUES (0, 0, -1, 0, 0), (1, 1, 0, 1, 0), (2, 0, 1, 1, 1), (3, -1, 0, 0, 1)) AS s(side, dx, dy, sx, sy)
-ANTI JOIN f o ON o.program_idx = f.program_idx AND o.floor_idx = f.floor_idx AND o.ix = f.ix + dx AND o.iy = f.iy + dy""",
+SELECT p.g AS grid_id, p.program_idx, count(DISTINCT p.voxel_idx) AS voxels, 4 * count(*) AS vertices, count(*) AS faces
+FROM a p CROSS JOIN {base._STEPS} LEFT JOIN a q ON q.gx = p.gx + dx AND q.iy = p.iy + dy AND q.iz = p.iz + dz
+WHERE q.program_idx IS NULL OR q.program_idx <> p.program_idx GROUP BY p.g, p.program_idx""",
+    "v_boundary_edges": f"""WITH {base._MIXED}, f AS (SELECT DISTINCT g, program_idx, {base._FLOOR} AS floor_idx, ix, iy FROM a WHERE program_idx >= 0)
+SELECT g AS grid_id, program_idx, floor_idx, ix + sx AS x, iy + sy AS y, side FROM f CROSS JOIN (VALUES (0, 0, -1, 0, 0), (1, 1, 0, 1, 0), (2, 0, 1, 1, 1), (3, -1, 0, 0, 1)) AS s(side, dx, dy, sx, sy)
+ANTI JOIN f o ON o.g = f.g AND o.program_idx = f.program_idx AND o.floor_idx = f.floor_idx AND o.ix = f.ix + dx AND o.iy = f.iy + dy""",
     "v_centers": f"WITH {base._CELLS} SELECT voxel_idx, 1.0::DOUBLE + (ix + 0.5::DOUBLE) * 0.5::DOUBLE AS x, 2.0::DOUBLE + (iy + 0.5::DOUBLE) * 0.5::DOUBLE AS y, 3.0::DOUBLE + (iz + 0.5::DOUBLE) * 0.5::DOUBLE AS z FROM cells",
-    "v_shader": f"""WITH {base._BEST} SELECT voxel_idx, least(255, greatest(50, round_even(50 + 205 * (winning_score - min(winning_score) OVER ()) / (max(winning_score) OVER () - min(winning_score) OVER ()), 0)))::INTEGER AS a,
+    "v_shader": f"""WITH {base._BEST} SELECT voxel_idx, least(255, greatest(50, round_even(50 + 205 * (winning_score - min(winning_score) OVER (PARTITION BY g)) / (max(winning_score) OVER (PARTITION BY g) - min(winning_score) OVER (PARTITION BY g)), 0)))::INTEGER AS a,
 10 * program_idx AS r, 20 * program_idx AS g, 255 AS b FROM best""",
     "v_unassigned": f"WITH {base._MIXED} SELECT voxel_idx FROM a WHERE program_idx = -1",
-    "v_real_estate": f"""WITH RECURSIVE {base._CELLS}, curve AS (SELECT 1 AS f, 1.0::DOUBLE AS v UNION ALL SELECT f + 1, v * CASE {_RATE} ELSE {ch.GROWTH_ABOVE}::DOUBLE END FROM curve WHERE f < (SELECT max(iz) + 1 FROM cells)),
-start AS (SELECT greatest(2, max(f) - floor(max(f) * 0.06)::INTEGER) AS s FROM curve),
-value AS (SELECT f, CASE WHEN f < s THEN v ELSE greatest((SELECT v FROM curve WHERE f = s), 1.35::DOUBLE * coalesce((SELECT avg(v) FROM curve WHERE f < s), 1)) * 1.02::DOUBLE ** (f - s) END AS v FROM curve, start),
-each AS (SELECT voxel_idx, v FROM cells JOIN value ON f = iz + 1)
-SELECT voxel_idx, round((v - min(v) OVER ()) / (max(v) OVER () - min(v) OVER ()), 9) AS value FROM each""",
-    "v_floor_distribution": f"""WITH {base._CELLS}, f AS (SELECT {base._FLOOR} AS floor_idx FROM cells)
-SELECT floor_idx, count(*) AS voxels, ((floor_idx - 1) * 10)::DOUBLE AS low, (floor_idx * 10)::DOUBLE AS high FROM f GROUP BY floor_idx""",
+    "v_real_estate": f"""WITH RECURSIVE {base._CELLS}, tops AS (SELECT g, max(iz) + 1 AS top FROM cells GROUP BY g),
+curve AS (SELECT g, top, 1 AS f, 1.0::DOUBLE AS v FROM tops UNION ALL SELECT g, top, f + 1, v * CASE {_RATE} ELSE {ch.GROWTH_ABOVE}::DOUBLE END FROM curve WHERE f < top),
+start AS (SELECT g, greatest(2, top - floor(top * 0.06)::INTEGER) AS s FROM tops),
+below AS (SELECT g, coalesce(avg(v) FILTER (f < s), 1) AS mean, max(v) FILTER (f = s) AS first FROM curve JOIN start USING (g) GROUP BY g),
+value AS (SELECT g, f, CASE WHEN f < s THEN v ELSE greatest(first, 1.35::DOUBLE * mean) * 1.02::DOUBLE ** (f - s) END AS v FROM curve JOIN start USING (g) JOIN below USING (g)),
+each AS (SELECT cells.g, voxel_idx, v FROM cells JOIN value ON value.g = cells.g AND f = iz + 1)
+SELECT voxel_idx, round((v - min(v) OVER (PARTITION BY g)) / (max(v) OVER (PARTITION BY g) - min(v) OVER (PARTITION BY g)), 9) AS value FROM each""",
+    "v_floor_distribution": f"""WITH {base._CELLS}, f AS (SELECT g, {base._FLOOR} AS floor_idx FROM cells)
+SELECT g AS grid_id, floor_idx, count(*) AS voxels, ((floor_idx - 1) * 10)::DOUBLE AS low, (floor_idx * 10)::DOUBLE AS high FROM f GROUP BY g, floor_idx""",
     "v_voxel_vectors": f"WITH {base._CELLS} SELECT voxel_idx, price, qty FROM cells",
-    "v_horizon_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, -sin(2 * pi() * i / 8) AS dx, cos(2 * pi() * i / 8) AS dy, 0.0::DOUBLE AS dz FROM range(8) r(i)),
-{_HITS} SELECT voxel_idx, round(8 * 30.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
-    "v_sky_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, cos(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dx, y AS dy, sin(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dz FROM (SELECT i, 1.0::DOUBLE - 2.0::DOUBLE * i / 11 AS y FROM range(12) r(i))),
-{_HITS} SELECT voxel_idx, round(12 * 30.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
+    "v_horizon_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, -sin(2 * pi() * i / 36) AS dx, cos(2 * pi() * i / 36) AS dy, 0.0::DOUBLE AS dz FROM range(36) r(i)),
+{_HITS} SELECT voxel_idx, round(36 * 1000.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
+    "v_sky_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, cos(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dx, y AS dy, sin(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dz FROM (SELECT i, 1.0::DOUBLE - 2.0::DOUBLE * i / 47 AS y FROM range(48) r(i))),
+{_HITS} SELECT voxel_idx, round(48 * 1000.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
     "v_core_distance": f"WITH {_CORE} SELECT voxel_idx, round(far, 9) AS distance, far = 0 AS is_core FROM far",
-    "v_core_proximity": f"WITH {_CORE} SELECT voxel_idx, round(max(far) OVER () - far, 9) AS value FROM far",
-    "v_core_from_curves": f"""WITH {base._CELLS}, {_BLADES}, e AS (SELECT ax, ay, az, cx - ax AS sx, cy - ay AS sy, cz - az AS sz FROM blade),
-t AS (SELECT voxel_idx, e.*, ix + 0.5::DOUBLE - ax AS px, iy + 0.5::DOUBLE - ay AS py, iz + 0.5::DOUBLE - az AS pz FROM cells CROSS JOIN e),
+    "v_core_proximity": f"WITH {_CORE} SELECT voxel_idx, round(max(far) OVER (PARTITION BY g) - far, 9) AS value FROM far",
+    "v_core_from_curves": f"""WITH {base._CELLS}, {_BLADES}, e AS (SELECT bg, ax, ay, az, cx - ax AS sx, cy - ay AS sy, cz - az AS sz FROM blade),
+t AS (SELECT voxel_idx, e.*, ix + 0.5::DOUBLE - ax AS px, iy + 0.5::DOUBLE - ay AS py, iz + 0.5::DOUBLE - az AS pz FROM cells JOIN e ON bg = g),
 u AS (SELECT *, greatest(0, least(1, (px * sx + py * sy + pz * sz) / (sx * sx + sy * sy + sz * sz))) AS k FROM t),
 d AS (SELECT voxel_idx, min(sqrt((px - k * sx) ** 2 + (py - k * sy) ** 2 + (pz - k * sz) ** 2)) AS distance FROM u GROUP BY voxel_idx)
 SELECT voxel_idx, 0 AS curve_id, round(distance, 9) AS distance FROM d WHERE distance <= 1.7""",
-    "v_footprints": f"""WITH {base._MIXED} SELECT 0 AS core_id, iz, round(avg(ix + 0.5), 9)::DOUBLE AS x, round(avg(iy + 0.5), 9)::DOUBLE AS y, iz + 0.5::DOUBLE AS z,
-min(ix)::DOUBLE AS x0, min(iy)::DOUBLE AS y0, max(ix) + 1.0::DOUBLE AS x1, max(iy) + 1.0::DOUBLE AS y1 FROM a WHERE program_idx = -2 GROUP BY iz""",
+    "v_footprints": f"""WITH {base._MIXED} SELECT g AS grid_id, 0 AS core_id, iz, round(avg(ix + 0.5), 9)::DOUBLE AS x, round(avg(iy + 0.5), 9)::DOUBLE AS y, iz + 0.5::DOUBLE AS z,
+min(ix)::DOUBLE AS x0, min(iy)::DOUBLE AS y0, max(ix) + 1.0::DOUBLE AS x1, max(iy) + 1.0::DOUBLE AS y1 FROM a WHERE program_idx = -2 GROUP BY g, iz""",
     "v_voxelize": """WITH s AS (SELECT o_orderkey, (o_orderkey % 3 + 1)::DOUBLE AS x, (o_custkey % 4 + 1)::DOUBLE AS y, (o_totalprice / 100000 + 0.5)::DOUBLE AS z FROM orders),
 v AS (SELECT *, greatest(x, y, z) / 4 AS side FROM s)
 SELECT o_orderkey::VARCHAR AS grid_id, (floor(x / side + 0.5) * floor(y / side + 0.5) * floor(z / side + 0.5))::BIGINT AS voxels FROM v WHERE floor(x / side + 0.5) * floor(y / side + 0.5) * floor(z / side + 0.5) > 0""",

@@ -1,7 +1,9 @@
 """The registered voxel queries over `lineitem`, and their SQL.
 
-A cell is (l_orderkey mod mx, l_partkey mod my, l_suppkey mod mz); its channels
-are qty = max(l_quantity), price = max(l_extendedprice) and n = count(*).
+Every ORDERS order keys are a grid of their own, so grids grow in number with the
+table. A cell is (l_orderkey, l_partkey, l_suppkey) modulo the sides; its channels
+are qty = max(l_quantity), price = max(l_extendedprice) and n = count(*). Voxel
+indices differ between grids as well.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from latticework.operators import allocation as al
 from latticework.operators import grid, interfaces, regions
 from latticework.sources import voxels as vx
 
-#: grid sides by the name of the data folder; a folder of another name gets the last
-SIDES = {"sf0.001": (20, 20, 10), "sf0.01": (48, 48, 20), "sf0.1": (96, 96, 48)}
+ORDERS = 10_000
+SIDES = (48, 48, 20)
+#: cells of a lower winning score stay unassigned
+WEAK = 0.7
 PROGRAMS = [("Office", 5000), ("Retail", 3000), ("Housing", -1)]
 WEIGHTS = [("Office", "qty", 1.0), ("Office", "price", -0.5), ("Retail", "qty", 0.25), ("Retail", "price", 1.0), ("Housing", "qty", -0.8), ("Housing", "price", 0.2)]
 LABELS = ["price", "qty"]
@@ -23,12 +27,12 @@ LABELS = ["price", "qty"]
 
 def fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voxels with their qty, price and n."""
-    mx, my, mz = SIDES.get(sf_dir.rstrip("/").rpartition("/")[2], SIDES["sf0.1"])
     rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    ix, iy, iz = ((F.col(c) % m).cast("int").alias(n) for c, m, n in (("l_orderkey", mx, "ix"), ("l_partkey", my, "iy"), ("l_suppkey", mz, "iz")))
-    cells = rows.groupBy(ix, iy, iz).agg(F.max("l_quantity").cast("double").alias("qty"), F.max("l_extendedprice").cast("double").alias("price"), F.count(F.lit(1)).alias("n"))
-    index = (F.col("ix") * my + F.col("iy")).cast("long") * mz + F.col("iz")
-    return cells.select(F.lit("lineitem").alias("grid_id"), index.alias("voxel_idx"), "ix", "iy", "iz", "qty", "price", "n")
+    number = F.floor(F.col("l_orderkey") / ORDERS).cast("long").alias("number")
+    ix, iy, iz = ((F.col(c) % m).cast("int").alias(n) for c, m, n in zip(("l_orderkey", "l_partkey", "l_suppkey"), SIDES, ("ix", "iy", "iz"), strict=True))
+    cells = rows.groupBy(number, ix, iy, iz).agg(F.max("l_quantity").cast("double").alias("qty"), F.max("l_extendedprice").cast("double").alias("price"), F.count(F.lit(1)).alias("n"))
+    index = ((F.col("number") * SIDES[0] + F.col("ix")) * SIDES[1] + F.col("iy")) * SIDES[2] + F.col("iz")
+    return cells.select(F.concat(F.lit("g"), F.col("number").cast("string")).alias("grid_id"), index.alias("voxel_idx"), "ix", "iy", "iz", "qty", "price", "n")
 
 
 def _channels(cells: DataFrame) -> DataFrame:
@@ -49,16 +53,15 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _assigned_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells with their program; the middle column of the grid is core, and weak cells stay unassigned."""
-    mx, my, _ = SIDES.get(sf_dir.rstrip("/").rpartition("/")[2], SIDES["sf0.1"])
     cells = fixture(spark, sf_dir)
     scored, _ = _scored(spark, cells)
-    core = (F.abs(F.col("ix") - mx // 2) <= 2) & (F.abs(F.col("iy") - my // 2) <= 2)
+    core = (F.abs(F.col("ix") - SIDES[0] // 2) <= 2) & (F.abs(F.col("iy") - SIDES[1] // 2) <= 2)
     best = al.argmax(scored)
-    return cells.join(best, vx.KEY).select(*vx.KEY, "ix", "iy", "iz", F.when(core, al.CORE).when(F.col("winning_score") < 0.55, al.UNASSIGNED).otherwise(F.col("program_idx")).alias("program_idx"))
+    return cells.join(best, vx.KEY).select(*vx.KEY, "ix", "iy", "iz", F.when(core, al.CORE).when(F.col("winning_score") < WEAK, al.UNASSIGNED).otherwise(F.col("program_idx")).alias("program_idx"))
 
 
 def v_voxels(spark, sf_dir):
-    return vx.from_keys(fixture(spark, sf_dir)).select("ix", "iy", "iz", "voxel_idx")
+    return vx.from_keys(fixture(spark, sf_dir)).select("grid_id", "ix", "iy", "iz", "voxel_idx")
 
 
 def v_normalized(spark, sf_dir):
@@ -70,7 +73,7 @@ def v_inverted(spark, sf_dir):
 
 
 def v_stats(spark, sf_dir):
-    return ch.stats(_channels(fixture(spark, sf_dir))).select("label", "min_value", "max_value", F.round("mean_value", 3).alias("mean_value"))
+    return ch.stats(_channels(fixture(spark, sf_dir))).select("grid_id", "label", "min_value", "max_value", F.round("mean_value", 3).alias("mean_value"))
 
 
 def v_scores(spark, sf_dir):
@@ -90,7 +93,7 @@ def v_alpha(spark, sf_dir):
 
 
 def v_summary(spark, sf_dir):
-    return al.summary(_assigned(spark, sf_dir)).select("program_idx", "voxels")
+    return al.summary(_assigned(spark, sf_dir)).select("grid_id", "program_idx", "voxels")
 
 
 def v_allocate_per_program(spark, sf_dir):
@@ -121,7 +124,7 @@ def v_orientation(spark, sf_dir):
 
 
 def v_direction_histogram(spark, sf_dir):
-    return grid.direction_histogram(grid.orientation(fixture(spark, sf_dir))).select("direction", "voxels", "cancelled", F.round("percent", 6).alias("percent"))
+    return grid.direction_histogram(grid.orientation(fixture(spark, sf_dir))).select("grid_id", "direction", "voxels", "cancelled", F.round("percent", 6).alias("percent"))
 
 
 def v_surface_alignment(spark, sf_dir):
@@ -138,7 +141,7 @@ def v_floor_values(spark, sf_dir):
 
 
 def v_contacts(spark, sf_dir):
-    return interfaces.contact_counts(interfaces.contacts(_assigned_cells(spark, sf_dir))).select("tag", "contacts")
+    return interfaces.contact_counts(interfaces.contacts(_assigned_cells(spark, sf_dir))).select("grid_id", "tag", "contacts")
 
 
 def v_interfaces(spark, sf_dir):
@@ -146,7 +149,7 @@ def v_interfaces(spark, sf_dir):
 
 
 def v_adjacency(spark, sf_dir):
-    return interfaces.adjacency(interfaces.contacts(_assigned_cells(spark, sf_dir))).drop("grid_id")
+    return interfaces.adjacency(interfaces.contacts(_assigned_cells(spark, sf_dir)))
 
 
 def v_caps(spark, sf_dir):
@@ -159,74 +162,74 @@ def v_clusters(spark, sf_dir):
 
 def v_floor_regions(spark, sf_dir):
     cells = _assigned_cells(spark, sf_dir).withColumn("floor_idx", ch.floor_of((F.col("iz") + 0.5) * 3.0, 10.0))
-    return regions.floor_regions(cells).drop("grid_id")
+    return regions.floor_regions(cells)
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("v_")}
 
 _CELLS = """cells AS (
-  SELECT (ix * 48 + iy) * 20 + iz AS voxel_idx, * FROM (
-    SELECT (l_orderkey % 48)::INTEGER AS ix, (l_partkey % 48)::INTEGER AS iy, (l_suppkey % 20)::INTEGER AS iz,
+  SELECT ((number * 48 + ix) * 48 + iy) * 20 + iz AS voxel_idx, 'g' || number AS g, number * 1000 + ix AS gx, * FROM (
+    SELECT l_orderkey // 10000 AS number, (l_orderkey % 48)::INTEGER AS ix, (l_partkey % 48)::INTEGER AS iy, (l_suppkey % 20)::INTEGER AS iz,
            max(l_quantity)::DOUBLE AS qty, max(l_extendedprice)::DOUBLE AS price, count(*) AS n FROM lineitem GROUP BY ALL))"""
 _NORM = _CELLS + """, norm AS (
-  SELECT voxel_idx, ix, iy, iz, (qty - min(qty) OVER ()) / (max(qty) OVER () - min(qty) OVER ()) AS qty,
-         (price - min(price) OVER ()) / (max(price) OVER () - min(price) OVER ()) AS price FROM cells)"""
+  SELECT voxel_idx, g, ix, iy, iz, (qty - min(qty) OVER (PARTITION BY g)) / (max(qty) OVER (PARTITION BY g) - min(qty) OVER (PARTITION BY g)) AS qty,
+         (price - min(price) OVER (PARTITION BY g)) / (max(price) OVER (PARTITION BY g) - min(price) OVER (PARTITION BY g)) AS price FROM cells)"""
 _SCORES = _NORM + """, scores AS (
-  SELECT voxel_idx, 0 AS program_idx, 0.5::DOUBLE * (1 - price) + 1.0::DOUBLE * qty AS score FROM norm
-  UNION ALL SELECT voxel_idx, 1, 1.0::DOUBLE * price + 0.25::DOUBLE * qty FROM norm
-  UNION ALL SELECT voxel_idx, 2, 0.2::DOUBLE * price + 0.8::DOUBLE * (1 - qty) FROM norm)"""
+  SELECT voxel_idx, g, 0 AS program_idx, 0.5::DOUBLE * (1 - price) + 1.0::DOUBLE * qty AS score FROM norm
+  UNION ALL SELECT voxel_idx, g, 1, 1.0::DOUBLE * price + 0.25::DOUBLE * qty FROM norm
+  UNION ALL SELECT voxel_idx, g, 2, 0.2::DOUBLE * price + 0.8::DOUBLE * (1 - qty) FROM norm)"""
 _BEST = _SCORES + """, best AS (
-  SELECT voxel_idx, program_idx, score AS winning_score FROM scores QUALIFY row_number() OVER (PARTITION BY voxel_idx ORDER BY score DESC, program_idx) = 1)"""
+  SELECT voxel_idx, g, program_idx, score AS winning_score FROM scores QUALIFY row_number() OVER (PARTITION BY voxel_idx ORDER BY score DESC, program_idx) = 1)"""
 _MIXED = _BEST + """, a AS (
-  SELECT voxel_idx, ix, iy, iz, CASE WHEN abs(ix - 24) <= 2 AND abs(iy - 24) <= 2 THEN -2 WHEN winning_score < 0.55 THEN -1 ELSE program_idx END AS program_idx
+  SELECT voxel_idx, cells.g, gx, ix, iy, iz, CASE WHEN abs(ix - 24) <= 2 AND abs(iy - 24) <= 2 THEN -2 WHEN winning_score < 0.7 THEN -1 ELSE program_idx END AS program_idx
   FROM cells JOIN best USING (voxel_idx))"""
 _STEPS = "(VALUES (0, 1, 0, 0), (1, -1, 0, 0), (2, 0, 1, 0), (3, 0, -1, 0), (4, 0, 0, 1), (5, 0, 0, -1)) AS s(dir, dx, dy, dz)"
 _OPEN = f""", faces AS (
-  SELECT c.voxel_idx, dir, dx, dy, dz FROM cells c CROSS JOIN {_STEPS} ANTI JOIN cells o ON o.ix = c.ix + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz)"""
+  SELECT c.voxel_idx, dir, dx, dy, dz FROM cells c CROSS JOIN {_STEPS} ANTI JOIN cells o ON o.gx = c.gx + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz)"""
 _NORMAL = _CELLS + _OPEN + """, sums AS (SELECT voxel_idx, min(dir) AS direction, count(*) AS open_faces, sum(dx) AS x, sum(dy) AS y, sum(dz) AS z FROM faces GROUP BY voxel_idx),
 normal AS (
-  SELECT c.voxel_idx, coalesce(direction, -1) AS direction, coalesce(open_faces, 0) AS open_faces, coalesce(x / nullif(sqrt(x * x + y * y + z * z), 0), 0.0)::DOUBLE AS nx,
+  SELECT c.voxel_idx, c.g, coalesce(direction, -1) AS direction, coalesce(open_faces, 0) AS open_faces, coalesce(x / nullif(sqrt(x * x + y * y + z * z), 0), 0.0)::DOUBLE AS nx,
          coalesce(y / nullif(sqrt(x * x + y * y + z * z), 0), 0.0)::DOUBLE AS ny, coalesce(z / nullif(sqrt(x * x + y * y + z * z), 0), 0.0)::DOUBLE AS nz
   FROM cells c LEFT JOIN sums USING (voxel_idx))"""
 _TOUCH = _MIXED + """, touch AS (
-  SELECT axis, p.program_idx AS p, q.program_idx AS q, p.voxel_idx AS u, q.voxel_idx AS v,
+  SELECT p.g, axis, p.program_idx AS p, q.program_idx AS q, p.voxel_idx AS u, q.voxel_idx AS v,
     CASE WHEN q.voxel_idx IS NULL THEN 'exterior' WHEN q.program_idx = -1 THEN 'unallocated' WHEN p.program_idx = q.program_idx THEN 'same_program' ELSE 'face' END AS tag
   FROM a p CROSS JOIN (VALUES (0, 1, 0, 0), (1, 0, 1, 0), (2, 0, 0, 1)) AS s(axis, dx, dy, dz)
-  LEFT JOIN a q ON q.ix = p.ix + dx AND q.iy = p.iy + dy AND q.iz = p.iz + dz WHERE p.program_idx >= 0 OR p.program_idx = -2),
+  LEFT JOIN a q ON q.gx = p.gx + dx AND q.iy = p.iy + dy AND q.iz = p.iz + dz WHERE p.program_idx >= 0 OR p.program_idx = -2),
 face AS (
-  SELECT axis, CASE WHEN w THEN q ELSE p END AS program_a, CASE WHEN w THEN p ELSE q END AS program_b, CASE WHEN w THEN v ELSE u END AS voxel_a, CASE WHEN w THEN u ELSE v END AS voxel_b, CASE WHEN w THEN -1 ELSE 1 END AS direction
+  SELECT g, axis, CASE WHEN w THEN q ELSE p END AS program_a, CASE WHEN w THEN p ELSE q END AS program_b, CASE WHEN w THEN v ELSE u END AS voxel_a, CASE WHEN w THEN u ELSE v END AS voxel_b, CASE WHEN w THEN -1 ELSE 1 END AS direction
   FROM (SELECT *, p = -2 OR (q <> -2 AND q < p) AS w FROM touch WHERE tag = 'face'))"""
 _FLOOR = "CASE WHEN floor((iz + 0.5) * 3.0 / 10.0) >= 0 THEN floor((iz + 0.5) * 3.0 / 10.0)::INTEGER + 1 ELSE floor((iz + 0.5) * 3.0 / 10.0)::INTEGER END"
 
 ORACLE_SQL = {
-    "v_voxels": f"WITH {_CELLS} SELECT ix, iy, iz, voxel_idx FROM cells",
+    "v_voxels": f"WITH {_CELLS} SELECT g AS grid_id, ix, iy, iz, ((ix * (max(iy) OVER (PARTITION BY g) + 1) + iy) * (max(iz) OVER (PARTITION BY g) + 1) + iz)::BIGINT AS voxel_idx FROM cells",
     "v_normalized": f"WITH {_NORM} SELECT voxel_idx, 'qty' AS label, round(qty, 6) AS value FROM norm UNION ALL SELECT voxel_idx, 'price', round(price, 6) FROM norm",
-    "v_inverted": f"WITH {_CELLS} SELECT voxel_idx, 'qty' AS label, round(max(qty) OVER () - qty + min(qty) OVER (), 4) AS value FROM cells UNION ALL SELECT voxel_idx, 'price', round(max(price) OVER () - price + min(price) OVER (), 4) FROM cells",
-    "v_stats": f"WITH {_CELLS} SELECT 'qty' AS label, min(qty) AS min_value, max(qty) AS max_value, round(avg(qty), 3) AS mean_value FROM cells UNION ALL SELECT 'price', min(price), max(price), round(avg(price), 3) FROM cells",
+    "v_inverted": f"WITH {_CELLS} SELECT voxel_idx, 'qty' AS label, round(max(qty) OVER (PARTITION BY g) - qty + min(qty) OVER (PARTITION BY g), 4) AS value FROM cells UNION ALL SELECT voxel_idx, 'price', round(max(price) OVER (PARTITION BY g) - price + min(price) OVER (PARTITION BY g), 4) FROM cells",
+    "v_stats": f"WITH {_CELLS} SELECT g AS grid_id, 'qty' AS label, min(qty) AS min_value, max(qty) AS max_value, round(avg(qty), 3) AS mean_value FROM cells GROUP BY g UNION ALL SELECT g, 'price', min(price), max(price), round(avg(price), 3) FROM cells GROUP BY g",
     "v_scores": f"WITH {_SCORES} SELECT voxel_idx, program_idx, round(score, 6) AS score FROM scores",
     "v_allocate": f"WITH {_BEST} SELECT voxel_idx, program_idx, round(winning_score, 6) AS winning_score FROM best",
-    "v_ranked": f"WITH {_BEST} SELECT voxel_idx, program_idx, row_number() OVER (PARTITION BY program_idx ORDER BY winning_score DESC, voxel_idx) AS rank FROM best",
-    "v_alpha": f"WITH {_BEST} SELECT voxel_idx, least(255, greatest(50, round_even(50 + 205 * (winning_score - min(winning_score) OVER ()) / (max(winning_score) OVER () - min(winning_score) OVER ()), 0)))::INTEGER AS alpha FROM best",
-    "v_summary": f"WITH {_BEST} SELECT program_idx, count(*) AS voxels FROM best GROUP BY program_idx",
+    "v_ranked": f"WITH {_BEST} SELECT voxel_idx, program_idx, row_number() OVER (PARTITION BY g, program_idx ORDER BY winning_score DESC, voxel_idx) AS rank FROM best",
+    "v_alpha": f"WITH {_BEST} SELECT voxel_idx, least(255, greatest(50, round_even(50 + 205 * (winning_score - min(winning_score) OVER (PARTITION BY g)) / (max(winning_score) OVER (PARTITION BY g) - min(winning_score) OVER (PARTITION BY g)), 0)))::INTEGER AS alpha FROM best",
+    "v_summary": f"WITH {_BEST} SELECT g AS grid_id, program_idx, count(*) AS voxels FROM best GROUP BY g, program_idx",
     "v_allocate_per_program": f"""WITH {_SCORES},
-p0 AS (SELECT voxel_idx FROM scores WHERE program_idx = 0 ORDER BY score DESC, voxel_idx LIMIT 5000),
-p1 AS (SELECT voxel_idx FROM scores WHERE program_idx = 1 AND voxel_idx NOT IN (SELECT voxel_idx FROM p0) ORDER BY score DESC, voxel_idx LIMIT 3000)
+p0 AS (SELECT voxel_idx FROM scores WHERE program_idx = 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY score DESC, voxel_idx) <= 5000),
+p1 AS (SELECT voxel_idx FROM scores WHERE program_idx = 1 AND voxel_idx NOT IN (SELECT voxel_idx FROM p0) QUALIFY row_number() OVER (PARTITION BY g ORDER BY score DESC, voxel_idx) <= 3000)
 SELECT voxel_idx, CASE WHEN voxel_idx IN (SELECT voxel_idx FROM p0) THEN 0 WHEN voxel_idx IN (SELECT voxel_idx FROM p1) THEN 1 ELSE 2 END AS program_idx FROM cells""",
-    "v_argmax_clamp": f"WITH {_BEST} SELECT voxel_idx, CASE WHEN row_number() OVER (PARTITION BY program_idx ORDER BY winning_score DESC, voxel_idx) > CASE program_idx WHEN 0 THEN 5000 WHEN 1 THEN 3000 ELSE 1000000000 END THEN -1 ELSE program_idx END AS program_idx FROM best",
-    "v_neighbors": f"WITH {_CELLS} SELECT c.voxel_idx, dir, o.voxel_idx AS other_voxel_idx FROM cells c CROSS JOIN {_STEPS} JOIN cells o ON o.ix = c.ix + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz",
+    "v_argmax_clamp": f"WITH {_BEST} SELECT voxel_idx, CASE WHEN row_number() OVER (PARTITION BY g, program_idx ORDER BY winning_score DESC, voxel_idx) > CASE program_idx WHEN 0 THEN 5000 WHEN 1 THEN 3000 ELSE 1000000000 END THEN -1 ELSE program_idx END AS program_idx FROM best",
+    "v_neighbors": f"WITH {_CELLS} SELECT c.voxel_idx, dir, o.voxel_idx AS other_voxel_idx FROM cells c CROSS JOIN {_STEPS} JOIN cells o ON o.gx = c.gx + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz",
     "v_surface": f"WITH {_CELLS}{_OPEN} SELECT voxel_idx, count(*) AS open_faces FROM faces GROUP BY voxel_idx",
     "v_orientation": f"WITH {_NORMAL} SELECT voxel_idx, direction, open_faces, round(nx, 6) AS normal_x, round(ny, 6) AS normal_y, round(nz, 6) AS normal_z FROM normal",
-    "v_direction_histogram": f"WITH {_NORMAL} SELECT direction, count(*) AS voxels, count(*) FILTER (nx = 0 AND ny = 0 AND nz = 0 AND open_faces > 0) AS cancelled, round(100.0::DOUBLE * count(*) / (SELECT count(*) FROM normal), 6) AS percent FROM normal GROUP BY direction",
+    "v_direction_histogram": f"WITH {_NORMAL} SELECT g AS grid_id, direction, count(*) AS voxels, count(*) FILTER (nx = 0 AND ny = 0 AND nz = 0 AND open_faces > 0) AS cancelled, round(100.0::DOUBLE * count(*) / any_value(total), 6) AS percent FROM normal JOIN (SELECT g, count(*) AS total FROM normal GROUP BY g) USING (g) GROUP BY g, direction",
     "v_surface_alignment": f"WITH {_NORMAL} SELECT voxel_idx, round(CASE WHEN nx = 0 AND ny = 0 AND nz = 0 THEN -1.0 ELSE 0 - ny END, 6)::DOUBLE AS value FROM normal",
     "v_surface_depth": f"""WITH RECURSIVE {_CELLS}{_OPEN},
-edges AS (SELECT c.voxel_idx, o.voxel_idx AS other FROM cells c CROSS JOIN {_STEPS} JOIN cells o ON o.ix = c.ix + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz),
+edges AS MATERIALIZED (SELECT c.voxel_idx, o.voxel_idx AS other FROM cells c CROSS JOIN {_STEPS} JOIN cells o ON o.gx = c.gx + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz),
 walk AS (SELECT DISTINCT voxel_idx, 0 AS depth FROM faces UNION SELECT e.other, depth + 1 FROM walk JOIN edges e USING (voxel_idx) WHERE depth < 8)
 SELECT voxel_idx, min(depth)::DOUBLE AS value FROM walk GROUP BY voxel_idx""",
     "v_floor_values": f"""WITH {_CELLS}, f AS (SELECT voxel_idx, {_FLOOR} AS floor_idx FROM cells)
 SELECT voxel_idx, floor_idx, (CASE WHEN abs(floor_idx - 1) >= 7 THEN 0 ELSE greatest(1, 5 - abs(floor_idx - 1)) END)::DOUBLE AS walkup, (CASE WHEN floor_idx <= 0 THEN 0 ELSE greatest(0, 5 - (floor_idx - 1)) END)::DOUBLE AS commercial FROM f""",
-    "v_contacts": f"WITH {_TOUCH} SELECT tag, count(*) AS contacts FROM touch GROUP BY tag",
-    "v_interfaces": f"WITH {_TOUCH} SELECT * FROM face",
-    "v_adjacency": f"WITH {_TOUCH} SELECT program_a, program_b, count(*) AS faces, count(*)::DOUBLE AS area, program_b = -2 AS to_core FROM face GROUP BY program_a, program_b",
+    "v_contacts": f"WITH {_TOUCH} SELECT g AS grid_id, tag, count(*) AS contacts FROM touch GROUP BY g, tag",
+    "v_interfaces": f"WITH {_TOUCH} SELECT * EXCLUDE (g) FROM face",
+    "v_adjacency": f"WITH {_TOUCH} SELECT g AS grid_id, program_a, program_b, count(*) AS faces, count(*)::DOUBLE AS area, program_b = -2 AS to_core FROM face GROUP BY g, program_a, program_b",
     "v_caps": f"""WITH {_MIXED} SELECT p.program_idx AS program_a, -1 AS program_b, p.voxel_idx AS voxel_a, coalesce(q.voxel_idx, -1) AS voxel_b, direction, CASE WHEN q.voxel_idx IS NULL THEN 'exterior' ELSE 'unallocated' END AS kind
-FROM a p CROSS JOIN (VALUES (1), (-1)) AS s(direction) LEFT JOIN a q ON q.ix = p.ix AND q.iy = p.iy AND q.iz = p.iz + direction WHERE p.program_idx >= 0 AND (q.voxel_idx IS NULL OR q.program_idx = -1)""",
+FROM a p CROSS JOIN (VALUES (1), (-1)) AS s(direction) LEFT JOIN a q ON q.gx = p.gx AND q.iy = p.iy AND q.iz = p.iz + direction WHERE p.program_idx >= 0 AND (q.voxel_idx IS NULL OR q.program_idx = -1)""",
 }
