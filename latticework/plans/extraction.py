@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from latticework.functions import channels as ch
 from latticework.operators import allocation as al
-from latticework.operators import boxes, cores, grid, loops, membranes, support, tiles, views
+from latticework.operators import boxes, cores, generated, grid, loops, membranes, support, tiles, views
 from latticework.plans import queries as base
 from latticework.sources import meshes
 from latticework.sources import voxels as vx
@@ -101,11 +101,11 @@ def _blades(spark, sf_dir):
 
 
 def v_horizon_view(spark, sf_dir):
-    return views.horizon_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 36).select("voxel_idx", F.round("value", 5).alias("value"))
+    return views.horizon_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 24).select("voxel_idx", F.round("value", 5).alias("value"))
 
 
 def v_sky_view(spark, sf_dir):
-    return views.sky_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 48).select("voxel_idx", F.round("value", 5).alias("value"))
+    return views.sky_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 24).select("voxel_idx", F.round("value", 5).alias("value"))
 
 
 def v_core_distance(spark, sf_dir):
@@ -124,6 +124,45 @@ def v_core_from_curves(spark, sf_dir):
     return cores.core_from_curves(grid.centers(base.fixture(spark, sf_dir)), edges, 1.7).select("voxel_idx", "curve_id", F.round("distance", 9).alias("distance"))
 
 
+def v_core_coverage(spark, sf_dir):
+    cells = base._assigned_cells(spark, sf_dir)
+    return cores.core_coverage(cores.core_distance(cells, cells.where(F.col("program_idx") == al.CORE)), 20.0).select("grid_id", F.round("percent", 9).alias("percent"), "beyond", F.round("greatest", 9).alias("greatest"))
+
+
+def v_support_report(spark, sf_dir):
+    cells = base._assigned_cells(spark, sf_dir)
+    return support.support_report(support.support(cells, support.ground_contact(cells), 2))
+
+
+def v_gradient(spark, sf_dir):
+    return ch.normalized(base._channels(base.fixture(spark, sf_dir))).select("voxel_idx", "label", ch.ramp(F.col("value")).alias("c")).select("voxel_idx", "label", "c.*")
+
+
+def v_floor_neighbors(spark, sf_dir):
+    return grid.neighbors(base.fixture(spark, sf_dir), 4).select("voxel_idx", "dir", "other_voxel_idx")
+
+
+def v_centerlines(spark, sf_dir):
+    """Points of the middle column's centreline, in order."""
+    cells = base._assigned_cells(spark, sf_dir).where(F.col("program_idx") == al.CORE)
+    core = grid.centers(cells).join(cells.select(*vx.KEY, "iz"), vx.KEY).withColumn("core_id", F.lit(0))
+    lines = cores.centerlines(cores.footprints(core))
+    return lines.select("grid_id", F.posexplode("points").alias("place", "p")).select("grid_id", "place", *(F.round(f"p.{c}", 9).alias(c) for c in "xyz"))
+
+
+def v_structured(spark, sf_dir):
+    """Programs and sizes once the weak cells of even index are Structure."""
+    cells = base._assigned_cells(spark, sf_dir)
+    programs = vx.programs(spark, base.PROGRAMS)
+    marked, more = al.with_structure(cells, programs, cells.where((F.col("program_idx") == al.UNASSIGNED) & (F.col("voxel_idx") % 2 == 0)))
+    return marked.join(F.broadcast(more.select("program_idx", "name")), "program_idx", "left").groupBy("grid_id", "program_idx", "name").agg(F.count(F.lit(1)).alias("voxels"))
+
+
+def v_generate_cores(spark, sf_dir):
+    """The first core of each grid, within 3 of its path, as far as 12 steps from it on a floor."""
+    return generated.generate_cores(base.fixture(spark, sf_dir), None, 3.0, 12.0, most=1)[0].select("grid_id", "core_id", "iz", "voxel_idx")
+
+
 def v_footprints(spark, sf_dir):
     cells = base._assigned_cells(spark, sf_dir).where(F.col("program_idx") == al.CORE)
     core = grid.centers(cells).join(cells.select(*vx.KEY, "iz"), vx.KEY).withColumn("core_id", F.lit(0))
@@ -207,10 +246,10 @@ SELECT voxel_idx, round((v - min(v) OVER (PARTITION BY g)) / (max(v) OVER (PARTI
     "v_floor_distribution": f"""WITH {base._CELLS}, f AS (SELECT g, {base._FLOOR} AS floor_idx FROM cells)
 SELECT g AS grid_id, floor_idx, count(*) AS voxels, ((floor_idx - 1) * 10)::DOUBLE AS low, (floor_idx * 10)::DOUBLE AS high FROM f GROUP BY g, floor_idx""",
     "v_voxel_vectors": f"WITH {base._CELLS} SELECT voxel_idx, price, qty FROM cells",
-    "v_horizon_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, -sin(2 * pi() * i / 36) AS dx, cos(2 * pi() * i / 36) AS dy, 0.0::DOUBLE AS dz FROM range(36) r(i)),
-{_HITS} SELECT voxel_idx, round(36 * 1000.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
-    "v_sky_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, cos(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dx, y AS dy, sin(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dz FROM (SELECT i, 1.0::DOUBLE - 2.0::DOUBLE * i / 47 AS y FROM range(48) r(i))),
-{_HITS} SELECT voxel_idx, round(48 * 1000.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
+    "v_horizon_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, -sin(2 * pi() * i / 24) AS dx, cos(2 * pi() * i / 24) AS dy, 0.0::DOUBLE AS dz FROM range(24) r(i)),
+{_HITS} SELECT voxel_idx, round(24 * 1000.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
+    "v_sky_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, cos(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dx, y AS dy, sin(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dz FROM (SELECT i, 1.0::DOUBLE - 2.0::DOUBLE * i / 23 AS y FROM range(24) r(i))),
+{_HITS} SELECT voxel_idx, round(24 * 1000.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
     "v_core_distance": f"WITH {_CORE} SELECT voxel_idx, round(far, 9) AS distance, far = 0 AS is_core FROM far",
     "v_core_proximity": f"WITH {_CORE} SELECT voxel_idx, round(max(far) OVER (PARTITION BY g) - far, 9) AS value FROM far",
     "v_core_from_curves": f"""WITH {base._CELLS}, {_BLADES}, e AS (SELECT bg, ax, ay, az, cx - ax AS sx, cy - ay AS sy, cz - az AS sz FROM blade),
@@ -218,9 +257,23 @@ t AS (SELECT voxel_idx, e.*, ix + 0.5::DOUBLE - ax AS px, iy + 0.5::DOUBLE - ay
 u AS (SELECT *, greatest(0, least(1, (px * sx + py * sy + pz * sz) / (sx * sx + sy * sy + sz * sz))) AS k FROM t),
 d AS (SELECT voxel_idx, min(sqrt((px - k * sx) ** 2 + (py - k * sy) ** 2 + (pz - k * sz) ** 2)) AS distance FROM u GROUP BY voxel_idx)
 SELECT voxel_idx, 0 AS curve_id, round(distance, 9) AS distance FROM d WHERE distance <= 1.7""",
+    "v_core_coverage": f"WITH {_CORE} SELECT g AS grid_id, round(100.0::DOUBLE * count(*) FILTER (far = 0) / count(*), 9) AS percent, count(*) FILTER (far > 20) AS beyond, round(max(far), 9) AS greatest FROM far GROUP BY g",
+    "v_gradient": f"""WITH {base._NORM}, v AS (SELECT voxel_idx, 'qty' AS label, qty AS t FROM norm UNION ALL SELECT voxel_idx, 'price', price FROM norm),
+i AS (SELECT *, t * 4 AS u, least(floor(t * 4), 3)::INTEGER AS i FROM v), s AS (SELECT [255, 255, 0, 0, 0] AS r, [0, 255, 255, 255, 0] AS g, [0, 0, 0, 255, 255] AS b)
+SELECT voxel_idx, label, round_even(s.r[i + 1] + (s.r[i + 2] - s.r[i + 1]) * (u - i), 0)::INTEGER AS r, round_even(s.g[i + 1] + (s.g[i + 2] - s.g[i + 1]) * (u - i), 0)::INTEGER AS g,
+round_even(s.b[i + 1] + (s.b[i + 2] - s.b[i + 1]) * (u - i), 0)::INTEGER AS b FROM i, s""",
+    "v_floor_neighbors": f"WITH {base._CELLS} SELECT c.voxel_idx, dir, o.voxel_idx AS other_voxel_idx FROM cells c CROSS JOIN {base._STEPS} JOIN cells o ON o.gx = c.gx + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz WHERE dir < 4",
+    "v_centerlines": f"""WITH {base._MIXED}, f AS (SELECT g, iz, round(avg(ix + 0.5), 9)::DOUBLE AS x, round(avg(iy + 0.5), 9)::DOUBLE AS y, iz + 0.5::DOUBLE AS z FROM a WHERE program_idx = -2 GROUP BY g, iz),
+n AS (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM f)
+SELECT g AS grid_id, (row_number() OVER (PARTITION BY g ORDER BY iz) - 1)::INTEGER AS place, x, y, z FROM n UNION ALL SELECT g, 1, x, y, z + 1 FROM n WHERE n = 1""",
+    "v_structured": f"""WITH {base._MIXED}, p AS (SELECT g, CASE WHEN program_idx = -1 AND voxel_idx % 2 = 0 THEN 3 ELSE program_idx END AS program_idx FROM a)
+SELECT g AS grid_id, program_idx, CASE program_idx WHEN 0 THEN 'Office' WHEN 1 THEN 'Retail' WHEN 2 THEN 'Housing' WHEN 3 THEN 'Structure' END AS name, count(*) AS voxels FROM p GROUP BY ALL""",
     "v_footprints": f"""WITH {base._MIXED} SELECT g AS grid_id, 0 AS core_id, iz, round(avg(ix + 0.5), 9)::DOUBLE AS x, round(avg(iy + 0.5), 9)::DOUBLE AS y, iz + 0.5::DOUBLE AS z,
 min(ix)::DOUBLE AS x0, min(iy)::DOUBLE AS y0, max(ix) + 1.0::DOUBLE AS x1, max(iy) + 1.0::DOUBLE AS y1 FROM a WHERE program_idx = -2 GROUP BY g, iz""",
     "v_voxelize": """WITH s AS (SELECT o_orderkey, (o_orderkey % 3 + 1)::DOUBLE AS x, (o_custkey % 4 + 1)::DOUBLE AS y, (o_totalprice / 100000 + 0.5)::DOUBLE AS z FROM orders),
 v AS (SELECT *, greatest(x, y, z) / 4 AS side FROM s)
 SELECT o_orderkey::VARCHAR AS grid_id, (floor(x / side + 0.5) * floor(y / side + 0.5) * floor(z / side + 0.5))::BIGINT AS voxels FROM v WHERE floor(x / side + 0.5) * floor(y / side + 0.5) * floor(z / side + 0.5) > 0""",
 }
+
+ORACLE_SQL["v_support_report"] = f"""WITH s AS ({ORACLE_SQL["v_support"].replace("SELECT voxel_idx, program_idx, min(need)", "SELECT g, voxel_idx, program_idx, min(need)")})
+SELECT g AS grid_id, count(*) FILTER (program_idx <> -1) AS allocated, count(*) FILTER (program_idx <> -1 AND overhang IS NOT NULL) AS grounded, ceil(0.25 * count(*) FILTER (program_idx = -1))::BIGINT AS target FROM s GROUP BY g"""
