@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators.allocation import CORE, UNASSIGNED
 from latticework.operators.grid import DIRECTIONS, LOOK, looked_at, shifted
+from latticework.operators.membranes import CORNERS
 
 _UP = [(0, DIRECTIONS[0]), (1, DIRECTIONS[2]), (2, DIRECTIONS[4])]
 
@@ -48,3 +49,37 @@ def adjacency(touching: DataFrame, voxel_size: float = 1.0) -> DataFrame:
 
 def contact_counts(touching: DataFrame) -> DataFrame:
     return touching.groupBy("grid_id", "tag").agg(F.count(F.lit(1)).alias("contacts"))
+
+
+def faces(touching: DataFrame, capped: DataFrame | None = None) -> DataFrame:
+    """(grid_id, axis, program_a, program_b, voxel_a, voxel_b, direction, kind): the faces of `contacts` and, if given, the rows of `caps`."""
+    met = touching.where("tag = 'face'").drop("tag").withColumn("kind", F.lit("face"))
+    return met if capped is None else met.unionByName(capped.withColumn("axis", F.lit(2)))
+
+
+def placed(found: DataFrame, cells: DataFrame, origin: tuple[float, float, float] = (0, 0, 0), voxel_size: float = 1.0, plane: list[float] | None = None) -> DataFrame:
+    """`faces` with iz of voxel A, corners, centre (x, y, z), unit normal (normal_x, ...) and area.
+
+    Corners run counter-clockwise seen from the side the face looks to; all are
+    put through a row-major 4 x 4 plane matrix if one is given.
+    """
+    own = cells.select("grid_id", F.col("voxel_idx").alias("voxel_a"), "ix", "iy", "iz")
+    number = F.col("axis") * 2 + F.when(F.col("direction") < 0, 1).otherwise(0)
+
+    def of_direction(values: list) -> Column:
+        return F.element_at(F.array(*(F.lit(float(v)) for v in values)), (number + 1).cast("int"))
+
+    def turned(v: list[Column], shift: float) -> list[Column]:
+        if plane is None:
+            return v
+        return [sum((F.lit(float(plane[4 * k + j])) * v[j] for j in range(3)), F.lit(shift * float(plane[4 * k + 3]))) for k in range(3)]
+
+    corners = [turned([float(o) + (F.col(f"i{c}") + of_direction([d[n][k] for d in CORNERS])) * float(voxel_size) for k, (c, o) in enumerate(zip("xyz", origin, strict=True))], 1.0) for n in range(4)]
+    towards = turned([of_direction([d[k] for d in DIRECTIONS]) for k in range(3)], 0.0)
+    length = F.sqrt(sum((t * t for t in towards[1:]), towards[0] * towards[0]))
+    centre = [sum((c[k] for c in corners[1:]), corners[0][k]) / 4 for k in range(3)]
+    return found.join(own, ["grid_id", "voxel_a"]).select(
+        *found.columns, "iz", F.array(*(F.struct(*(v.alias(c) for c, v in zip("xyz", corner, strict=True))) for corner in corners)).alias("corners"),
+        *(v.alias(c) for c, v in zip("xyz", centre, strict=True)), *((t / length).alias(f"normal_{c}") for c, t in zip("xyz", towards, strict=True)),
+        F.lit(float(voxel_size) ** 2).alias("area"),
+    )

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators.grid import DIRECTIONS, LOOK, looked_at, shifted
+from latticework.session import checkpointed
+from latticework.sources.voxels import KEY
 
 #: fixed values: corners of a unit face for each direction, counter-clockwise seen from outside
 CORNERS = [
@@ -50,6 +52,32 @@ def smoothed(faces: DataFrame, passes: int = 1) -> DataFrame:
     return faces if not k else faces.withColumn("corners", F.concat(F.slice("corners", k + 1, 4 - k), F.slice("corners", 1, k)))
 
 
+def welded(faces: DataFrame, cells: DataFrame, passes: int = 1) -> DataFrame:
+    """`faces` with corners smoothed as one skin.
+
+    Corners of a program's faces at one corner of the grid are a single vertex,
+    at their mean. Each pass sets it to the mean of the vertices it shares a side
+    with; those on a side of just one face stay where they are.
+    """
+    skin, spot = ["grid_id", "program_idx"], ["cx", "cy", "cz"]
+    number = F.array(*(F.array(*(F.struct(F.lit(j).alias("j"), *(F.lit(v).alias(f"o{c}") for c, v in zip("xyz", corner, strict=True))) for j, corner in enumerate(of))) for of in CORNERS))
+    rows = faces.join(cells.select(*KEY, "ix", "iy", "iz"), KEY).select(*skin, "voxel_idx", "dir", "corners", "ix", "iy", "iz", F.explode(F.element_at(number, F.col("dir") + 1)).alias("o"))
+    rows = checkpointed(rows.select(*skin, "voxel_idx", "dir", F.col("o.j").alias("j"), *((F.col(f"i{c}") + F.col(f"o.o{c}")).alias(f"c{c}") for c in "xyz"), F.get("corners", F.col("o.j")).alias("at")))
+    vertices = checkpointed(rows.groupBy(*skin, *spot).agg(*(F.avg(f"at.{c}").alias(c) for c in "xyz")))
+    ahead = rows.select(*skin, "voxel_idx", "dir", F.pmod(F.col("j") + 3, F.lit(4)).alias("j"), *(F.col(c).alias(f"to_{c}") for c in spot))
+    sides = rows.join(ahead, [*skin, "voxel_idx", "dir", "j"]).select(*skin, F.struct(*spot).alias("a"), F.struct(*(F.col(f"to_{c}").alias(c) for c in spot)).alias("b"))
+    both = sides.unionByName(sides.select(*skin, F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = checkpointed(both.groupBy(*skin, "a", "b").agg(F.count(F.lit(1)).alias("n")).select(*skin, *(F.col(f"a.{c}").alias(c) for c in spot), *(F.col(f"b.{c}").alias(f"to_{c}") for c in spot), "n"))
+    free = checkpointed(edges.groupBy(*skin, *spot).agg(F.min("n").alias("n")).where("n > 1").drop("n"))
+    for _ in range(passes):
+        there = vertices.select(*skin, *(F.col(c).alias(f"to_{c}") for c in spot), *"xyz")
+        mean = edges.join(there, [*skin, *(f"to_{c}" for c in spot)]).groupBy(*skin, *spot).agg(*(F.avg(c).alias(f"m{c}") for c in "xyz"))
+        moved = mean.join(free, [*skin, *spot], "left_semi")
+        vertices = checkpointed(vertices.join(moved, [*skin, *spot], "left").select(*skin, *spot, *(F.coalesce(f"m{c}", c).alias(c) for c in "xyz")))
+    put = rows.join(vertices, [*skin, *spot]).groupBy(*skin, "voxel_idx", "dir").agg(F.array_sort(F.collect_list(F.struct("j", *"xyz"))).alias("v"))
+    return put.select("grid_id", "program_idx", "voxel_idx", "dir", F.transform("v", lambda v: F.struct(*(v[c].alias(c) for c in "xyz"))).alias("corners"))
+
+
 def membrane_summary(faces: DataFrame) -> DataFrame:
     """Voxels, corners and faces of each program's skin."""
     return faces.groupBy("grid_id", "program_idx").agg(F.countDistinct("voxel_idx").alias("voxels"), (4 * F.count(F.lit(1))).alias("vertices"), F.count(F.lit(1)).alias("faces"))

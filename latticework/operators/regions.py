@@ -61,3 +61,23 @@ def _floor_labelled(mine: DataFrame) -> DataFrame:
     # the floor stands in for the third axis, so a cell meets cells of its own floor only
     level = mine.withColumn("iz", F.col("floor_idx"))
     return _labelled(level, ["program_idx"], [(0, 1, 0)])
+
+
+def numbered_regions(found: DataFrame) -> DataFrame:
+    """The rows of `floor_regions` with their number within program and floor, from 0, by first cell."""
+    first = Window.partitionBy("grid_id", "program_idx", "floor_idx").orderBy("first_x", "first_y")
+    return found.withColumn("number", F.row_number().over(first) - 1)
+
+
+def region_report(found: DataFrame) -> DataFrame:
+    """(grid_id, program_idx, regions, cells, source_voxels) of the rows of `floor_regions`."""
+    return found.groupBy("grid_id", "program_idx").agg(F.count(F.lit(1)).alias("regions"), F.sum("cells").alias("cells"), F.sum("source_voxels").alias("source_voxels"))
+
+
+def skipped(cells: DataFrame, include_core: bool = True, structure_idx: int = -1, include_structure: bool = False) -> DataFrame:
+    """(grid_id, unallocated, core, structure): voxels that `floor_regions` leaves out with the same options."""
+    p = F.col("program_idx")
+    return cells.groupBy("grid_id").agg(
+        F.count_if(p == UNASSIGNED).alias("unallocated"), F.count_if((p == CORE) & F.lit(not include_core)).alias("core"),
+        F.count_if((p == structure_idx) & F.lit(structure_idx >= 0 and not include_structure)).alias("structure"),
+    )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from latticework.functions import channels as ch
+from latticework.functions import labels
 from latticework.operators import allocation as al
-from latticework.operators import boxes, cores, generated, grid, loops, membranes, support, tiles, views
+from latticework.operators import boxes, cores, generated, grid, interfaces, loads, loops, membranes, regions, support, tiles, views
 from latticework.plans import queries as base
 from latticework.sources import meshes
 from latticework.sources import voxels as vx
@@ -169,6 +170,47 @@ def v_footprints(spark, sf_dir):
     return cores.footprints(core).select("grid_id", "core_id", "iz", *(F.round(c, 9).alias(c) for c in ("x", "y", "z", "x0", "y0", "x1", "y1")))
 
 
+def _ways(spark, sf_dir):
+    cells = base._assigned_cells(spark, sf_dir)
+    return loads.load_paths(cells, support.ground_contact(cells), 2), cells
+
+
+def v_load_paths(spark, sf_dir):
+    """Steps and capacity of each core and program voxel's way to the ground."""
+    return loads.capacities(_ways(spark, sf_dir)[0])
+
+
+def v_structure(spark, sf_dir):
+    """Unassigned voxels that ways lean on."""
+    paths, cells = _ways(spark, sf_dir)
+    return loads.importance(paths, cells)
+
+
+def v_load_clusters(spark, sf_dir):
+    paths, cells = _ways(spark, sf_dir)
+    return loads.cluster_strength(regions.clusters(cells), loads.capacities(paths))
+
+
+def v_region_report(spark, sf_dir):
+    """Regions, cells and voxels of each program with its name and colour, and what each grid left out."""
+    cells = _floors(base._assigned_cells(spark, sf_dir))
+    report = labels.named(regions.region_report(regions.floor_regions(cells, structure_idx=2)), vx.programs(spark, base.PROGRAMS))
+    return labels.coloured(report, vx.programs(spark, base.PROGRAMS), labels.REGION_COLOURS).join(regions.skipped(cells, structure_idx=2), "grid_id")
+
+
+def v_region_numbers(spark, sf_dir):
+    return regions.numbered_regions(regions.floor_regions(_floors(base._assigned_cells(spark, sf_dir))))
+
+
+def v_interface_faces(spark, sf_dir):
+    """Faces and caps with their place and the names of their programs."""
+    cells = base._assigned_cells(spark, sf_dir)
+    found = interfaces.placed(interfaces.faces(interfaces.contacts(cells), interfaces.caps(cells)), cells, (10.0, 20.0, 30.0), 2.0)
+    programs = vx.programs(spark, base.PROGRAMS)
+    both = labels.named(labels.named(found, programs, "program_a", "name_a"), programs, "program_b", "name_b", open_boundary=True)
+    return both.drop("grid_id", "corners")
+
+
 def v_voxelize(spark, sf_dir):
     """Voxels of one box for each order, as high as its price and as wide as its key says."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -213,7 +255,56 @@ _CORE = base._MIXED + """, far AS (
   SELECT p.voxel_idx, g, sqrt(min((p.ix - q.ix) * (p.ix - q.ix) + (p.iy - q.iy) * (p.iy - q.iy) + (p.iz - q.iz) * (p.iz - q.iz))::DOUBLE) AS far
   FROM a p JOIN (SELECT * FROM a WHERE program_idx = -2) q USING (g) GROUP BY p.voxel_idx, g)"""
 
+_PLAN = f"""plan AS MATERIALIZED (
+  SELECT *, (row_number() OVER (ORDER BY g, program_idx, floor_idx, ix, iy))::BIGINT AS node
+  FROM (SELECT g, program_idx, {base._FLOOR} AS floor_idx, ix, iy, count(*) AS voxels, min(iz) AS min_z FROM a WHERE program_idx <> -1 GROUP BY ALL))"""
+_TOUCHING = "p.g = q.g AND p.program_idx = q.program_idx AND p.floor_idx = q.floor_idx"
+
+
+def _least(edges: str, nodes: str) -> str:
+    """SQL of the least node that each node reaches over `edges` (a, b), in both directions."""
+    return f"""{edges}, cc(node, least) USING KEY (node) AS (
+  SELECT node, node FROM {nodes}
+  UNION SELECT * FROM (SELECT DISTINCT ON (k.node) k.node, c.least FROM cc c JOIN edges e ON e.a = c.node JOIN recurring.cc k ON k.node = e.b WHERE c.least < k.least ORDER BY k.node, c.least))"""
+
+
+_REGIONS = f"WITH RECURSIVE {base._MIXED}, {_PLAN}, " + _least(f"edges AS MATERIALIZED (SELECT p.node AS a, q.node AS b FROM plan p CROSS JOIN {_WALK} JOIN plan q ON {_TOUCHING} AND q.ix = p.ix + dx AND q.iy = p.iy + dy)", "plan") + """,
+region AS (SELECT f.g AS grid_id, f.program_idx, f.floor_idx, f.ix AS first_x, f.iy AS first_y, count(*) AS cells, sum(p.voxels)::BIGINT AS source_voxels, min(p.min_z) AS min_z
+  FROM plan p JOIN cc USING (node) JOIN plan f ON f.node = least GROUP BY ALL)"""
+_CORNERS_OF = ", ".join(f"({d}, {sum(c[0] for c in k) / 4}::DOUBLE, {sum(c[1] for c in k) / 4}::DOUBLE, {sum(c[2] for c in k) / 4}::DOUBLE, {n[0]}::DOUBLE, {n[1]}::DOUBLE, {n[2]}::DOUBLE)" for d, (k, n) in enumerate(zip(membranes.CORNERS, grid.DIRECTIONS, strict=True)))
+_NAMES = "(VALUES (-2, 'Core'), (-1, 'Open Boundary'), (0, 'Office'), (1, 'Retail'), (2, 'Housing'))"
+_EDGES = f"""plan AS (SELECT DISTINCT g, program_idx, {base._FLOOR} AS floor_idx, ix, iy FROM a WHERE program_idx >= 0),
+edge AS MATERIALIZED (
+  SELECT p.g, p.program_idx, p.floor_idx, p.ix + sx AS x, p.iy + sy AS y, side, p.ix + sx + ex AS to_x, p.iy + sy + ey AS to_y, (row_number() OVER (ORDER BY p.g, p.program_idx, p.floor_idx, p.ix + sx, p.iy + sy, side))::BIGINT AS node
+  FROM plan p CROSS JOIN (VALUES {", ".join(f"({k}, {o[0]}, {o[1]}, {c[0]}, {c[1]}, {e[0]}, {e[1]})" for k, ((o, c), e) in enumerate(zip(loops.SIDES, loops.STEPS, strict=True)))}) AS s(side, ox, oy, sx, sy, ex, ey)
+  ANTI JOIN plan q ON {_TOUCHING} AND q.ix = p.ix + ox AND q.iy = p.iy + oy),
+edges AS MATERIALIZED (SELECT p.node AS a, q.node AS b FROM edge p JOIN edge q ON {_TOUCHING} AND q.x = p.to_x AND q.y = p.to_y QUALIFY row_number() OVER (PARTITION BY p.node ORDER BY (p.side + 5 - q.side) % 4) = 1)"""
+
 ORACLE_SQL = {
+    "v_clusters": f"WITH RECURSIVE {base._MIXED}, " + _least("edges AS MATERIALIZED (SELECT p.voxel_idx AS a, q.voxel_idx AS b FROM a p CROSS JOIN " + base._STEPS + " JOIN a q ON q.gx = p.gx + dx AND q.iy = p.iy + dy AND q.iz = p.iz + dz AND q.program_idx = p.program_idx WHERE p.program_idx >= 0), nodes AS MATERIALIZED (SELECT voxel_idx AS node FROM a WHERE program_idx >= 0)", "nodes") + " SELECT voxel_idx, program_idx, least AS cluster FROM a JOIN cc ON node = voxel_idx",
+    "v_floor_regions": f"{_REGIONS} SELECT * FROM region",
+    "v_region_numbers": f"{_REGIONS} SELECT *, row_number() OVER (PARTITION BY grid_id, program_idx, floor_idx ORDER BY first_x, first_y) - 1 AS number FROM region",
+    "v_region_report": f"""{_REGIONS}, left_out AS (SELECT g AS grid_id, count(*) FILTER (program_idx = -1) AS unallocated, 0::BIGINT AS core, count(*) FILTER (program_idx = 2) AS structure FROM a GROUP BY g)
+SELECT grid_id, program_idx, count(*) AS regions, sum(cells)::BIGINT AS cells, sum(source_voxels)::BIGINT AS source_voxels, program_name, 255 AS a, CASE program_idx WHEN -2 THEN 80 ELSE 255 END AS r, CASE program_idx WHEN -2 THEN 80 ELSE 255 END AS g, CASE program_idx WHEN -2 THEN 80 ELSE 255 END AS b, unallocated, core, structure
+FROM region JOIN {_NAMES} AS n(program_idx, program_name) USING (program_idx) JOIN left_out USING (grid_id) WHERE program_idx <> 2 GROUP BY ALL""",
+    "v_region_loops": f"""WITH RECURSIVE {base._MIXED}, {_EDGES}, cc(node, least) USING KEY (node) AS (
+  SELECT node, node FROM edge
+  UNION SELECT k.node, c.least FROM cc c JOIN edges e ON e.a = c.node JOIN recurring.cc k ON k.node = e.b WHERE c.least < k.least),
+walk AS (SELECT node, least, 0::BIGINT AS place FROM cc WHERE node = least UNION ALL SELECT b, least, place + 1 FROM walk JOIN edges ON a = node WHERE b <> least)
+SELECT e.g AS grid_id, e.program_idx, e.floor_idx, f.x AS loop_x, f.y AS loop_y, f.side AS loop_side, place, e.x, e.y FROM walk w JOIN edge e ON e.node = w.node JOIN edge f ON f.node = w.least""",
+    "v_surface_distance": f"""WITH RECURSIVE {base._CELLS}{base._OPEN},
+edges AS MATERIALIZED (SELECT c.voxel_idx AS a, o.voxel_idx AS b, o.ix, o.iy, o.iz FROM cells c CROSS JOIN {base._STEPS} JOIN cells o ON o.gx = c.gx + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz),
+far(v, square, seed, sx, sy, sz) USING KEY (v) AS (
+  SELECT voxel_idx, 0, voxel_idx, ix, iy, iz FROM cells WHERE voxel_idx IN (SELECT voxel_idx FROM faces)
+  UNION SELECT * FROM (SELECT DISTINCT ON (e.b) e.b, (e.ix - sx) * (e.ix - sx) + (e.iy - sy) * (e.iy - sy) + (e.iz - sz) * (e.iz - sz) AS square, seed, sx, sy, sz
+    FROM far f JOIN edges e ON e.a = f.v WHERE NOT EXISTS (FROM recurring.far k WHERE k.v = e.b) ORDER BY e.b, square, seed))
+SELECT v AS voxel_idx, sqrt(square::DOUBLE) AS value FROM far""",
+    "v_interface_faces": f"""WITH {base._TOUCH}, every AS (
+  SELECT axis, program_a, program_b, voxel_a, voxel_b, direction, 'face' AS kind FROM face
+  UNION ALL SELECT 2, p.program_idx, -1, p.voxel_idx, coalesce(q.voxel_idx, -1), s.direction, CASE WHEN q.voxel_idx IS NULL THEN 'exterior' ELSE 'unallocated' END
+  FROM a p CROSS JOIN (VALUES (1), (-1)) AS s(direction) LEFT JOIN a q ON q.gx = p.gx AND q.iy = p.iy AND q.iz = p.iz + s.direction WHERE p.program_idx >= 0 AND (q.voxel_idx IS NULL OR q.program_idx = -1))
+SELECT f.*, iz, 10.0::DOUBLE + 2 * (ix + cx) AS x, 20.0::DOUBLE + 2 * (iy + cy) AS y, 30.0::DOUBLE + 2 * (iz + cz) AS z, nx AS normal_x, ny AS normal_y, nz AS normal_z, 4.0::DOUBLE AS area, m.n AS name_a, o.n AS name_b
+FROM every f JOIN a ON voxel_idx = voxel_a JOIN (VALUES {_CORNERS_OF}) AS c(d, cx, cy, cz, nx, ny, nz) ON d = axis * 2 + (direction < 0)::INTEGER JOIN {_NAMES} AS m(i, n) ON m.i = program_a JOIN {_NAMES} AS o(i, n) ON o.i = program_b""",
     "v_support": f"""WITH RECURSIVE {base._MIXED},
 walk AS (
   SELECT gx, iy, iz, 0 AS need FROM a WHERE iz = 0
