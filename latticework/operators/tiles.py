@@ -42,7 +42,7 @@ def propagate(candidates: DataFrame, compat: DataFrame, max_rounds: int = 1000)
     start = checkpointed(candidates.select(*key).distinct().join(seen, cell, "left").withColumn("sides", F.coalesce("sides", F.lit(0))))
     behind = [(F.col(f"i{c}") - F.col(f"o{c}")).alias(f"i{c}") for c in "xyz"]
     asked, left, gone = start, start, None
-    for _ in range(max_rounds):
+    for k in range(max_rounds):
         around = asked.select(*cell, F.col("tile_id").alias("tile_a"), "sides").join(rules, "tile_a").select("grid_id", *((F.col(f"i{c}") + F.col(f"o{c}")).alias(f"i{c}") for c in "xyz"), "tile_id", "bit", *(f"o{c}" for c in "xyz"), "tile_a", "sides")
         met = around.join(left.select(*key), key).groupBy("grid_id", *behind, F.col("tile_a").alias("tile_id"), "sides").agg(F.bit_or("bit").alias("met"))
         held = met.where(F.col("met").bitwiseAND(F.col("sides")) == F.col("sides")).select(*key)
@@ -50,7 +50,9 @@ def propagate(candidates: DataFrame, compat: DataFrame, max_rounds: int = 1000)
         lost, n = counted(asked.where("sides <> 0").join(held, key, "left_anti").select(*key), n=F.count(F.lit(1)))
         if not n["n"]:
             return left.select(*key)
-        gone = lost if gone is None else checkpointed(gone.unionByName(lost))
+        gone = lost if gone is None else gone.unionByName(lost)
+        if k % 16 == 15:
+            gone = checkpointed(gone)
         left = start.join(gone, key, "left_anti")
         near = lost.join(rules, "tile_id").select("grid_id", *behind, F.col("tile_a").alias("tile_id")).distinct()
         asked = checkpointed(left.join(near, key, "left_semi"))

@@ -86,12 +86,15 @@ def v_voxel_vectors(spark, sf_dir):
 
 
 def v_tiles(spark, sf_dir):
-    """Tiles A, B, C on the cells: A meets A and B, B meets all, C meets B and C; cells of an odd count start with one tile."""
-    met = {0: "AB", 1: "ABC", 2: "BC"}
-    rules = spark.createDataFrame([(i, d, x) for i, m in met.items() for d in tiles.NAMES for x in m], "tile_id int, dir string, allowed_type string")
-    kinds = spark.createDataFrame([(0, "A"), (1, "B"), (2, "C")], "tile_id int, tile_type string")
-    every = base.fixture(spark, sf_dir).select("*", F.explode(F.array(*map(F.lit, range(3)))).alias("tile_id"))
-    start = every.where((F.col("n") % 5 != 0) | (F.col("tile_id") == F.col("qty").cast("int") % 3))
+    """Five grades on the cells, each meeting itself and the next ones; a cell of several lines starts with the grade 0 or 1 alone.
+
+    Grades 0 and 1 meet each other, so nothing contradicts and the sets left are
+    those within reach of the cells that are settled.
+    """
+    rules = spark.createDataFrame([(i, d, f"grade{x}") for i in range(5) for d in tiles.NAMES for x in range(max(i - 1, 0), min(i + 2, 5))], "tile_id int, dir string, allowed_type string")
+    kinds = spark.createDataFrame([(i, f"grade{i}") for i in range(5)], "tile_id int, tile_type string")
+    every = base.fixture(spark, sf_dir).select("*", F.explode(F.array(*map(F.lit, range(5)))).alias("tile_id"))
+    start = every.where((F.col("n") == 1) | (F.col("tile_id") == F.col("qty").cast("int") % 2))
     return tiles.propagate(start, tiles.compat(kinds, rules))
 
 
@@ -299,6 +302,12 @@ far(v, square, seed, sx, sy, sz) USING KEY (v) AS (
   UNION SELECT * FROM (SELECT DISTINCT ON (e.b) e.b, (e.ix - sx) * (e.ix - sx) + (e.iy - sy) * (e.iy - sy) + (e.iz - sz) * (e.iz - sz) AS square, seed, sx, sy, sz
     FROM far f JOIN edges e ON e.a = f.v WHERE NOT EXISTS (FROM recurring.far k WHERE k.v = e.b) ORDER BY e.b, square, seed))
 SELECT v AS voxel_idx, sqrt(square::DOUBLE) AS value FROM far""",
+    "v_tiles": f"""WITH RECURSIVE {base._CELLS},
+edges AS MATERIALIZED (SELECT c.voxel_idx AS a, o.voxel_idx AS b FROM cells c CROSS JOIN {base._STEPS} JOIN cells o ON o.gx = c.gx + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz),
+most(v, top) USING KEY (v) AS (
+  SELECT voxel_idx, CASE WHEN n > 1 THEN qty::INTEGER % 2 ELSE 4 END FROM cells
+  UNION SELECT * FROM (SELECT DISTINCT ON (e.b) e.b, m.top + 1 AS top FROM most m JOIN edges e ON e.a = m.v JOIN recurring.most k ON k.v = e.b WHERE m.top + 1 < k.top ORDER BY e.b, top))
+SELECT g AS grid_id, ix, iy, iz, t AS tile_id FROM cells JOIN most ON v = voxel_idx CROSS JOIN range(5) AS r(t) WHERE t <= top AND (n = 1 OR t = qty::INTEGER % 2)""",
     "v_interface_faces": f"""WITH {base._TOUCH}, every AS (
   SELECT axis, program_a, program_b, voxel_a, voxel_b, direction, 'face' AS kind FROM face
   UNION ALL SELECT 2, p.program_idx, -1, p.voxel_idx, coalesce(q.voxel_idx, -1), s.direction, CASE WHEN q.voxel_idx IS NULL THEN 'exterior' ELSE 'unallocated' END
