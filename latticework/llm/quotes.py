@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from latticework.session import checkpointed
 
-_MARKS = r"^((?:[ \t]*>)+)"
+#: a class, not a repeated group: the regex engine would recurse once a mark
+_MARKS = r"^([ \t>]*>)"
 _PASSAGES = "array<struct<level:int,body:string>>"
 #: turns of a run at most
 RUN = 1024
