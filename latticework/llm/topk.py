@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 #: bytes of quantised queries that one pass broadcasts; more queries take more passes
 MAX_QUERY_BYTES = 8 << 20
 BINS = 1024
+#: equal query rows that are listed at once
+_STEP = 4096
 _COUNTS = "q int, bin long, n long"
 _HITS = "q int, vec_id long, score long"
 
@@ -34,7 +36,7 @@ def _matrix(column: pa.Array, scale: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _scored(batches, queries: dict, scale: int, cells: int = 1 << 21):
-    """(ids, query rows, scores) for each block of vectors and each dimension."""
+    """(ids, query rows, scores, whether id and vector are the query's) for each block of vectors and each dimension."""
     for batch in batches:
         ids = np.asarray(batch[0], dtype=np.int64)
         values, offs = _matrix(batch[1], scale)
@@ -46,7 +48,10 @@ def _scored(batches, queries: dict, scale: int, cells: int = 1 << 21):
                 v = values[offs[part][:, None] + np.arange(d)] if d else np.zeros((len(part), 0))
                 exact = d * max(1.0, np.abs(q).max(initial=0)) * max(1.0, np.abs(v).max(initial=0)) < 2**52
                 s = (q @ v.T if exact else q.astype(np.int64) @ v.T.astype(np.int64)).astype(np.int64)
-                yield ids[part], q_rows, s, q_ids[:, None] == ids[part][None, :]
+                own = q_ids[:, None] == ids[part][None, :]
+                i, j = np.nonzero(own)
+                own[i, j] = (q[i] == v[j]).all(axis=1)
+                yield ids[part], q_rows, s, own
 
 
 def _bins(state, scale: int, k: int):
@@ -90,20 +95,25 @@ def _reach(state, scale: int, k: int):
 def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k highest integer inner products.
 
-    Components become floor(scale * x), x as double. A query meets every usable
-    vector of its dimension but those of its own id; ties go to the smaller id;
-    with fewer than k others all are returned. Vectors that are null or hold a
-    null or non-finite component take no part, as query or candidate; an empty
-    table gives no rows. Queries are taken in blocks of `MAX_QUERY_BYTES`.
+    Components become floor(scale * x), x as double. `is_query` is a condition on
+    the id alone. A query meets the usable vectors of its dimension in all rows
+    but its own; ties go to the smaller id; with fewer than k others all are
+    returned. Rows that repeat an id are queries and candidates of their own, so
+    one may find its copies, and each gives its rows of the result. Vectors that
+    are null or hold a null or non-finite component, and rows with a null id,
+    take no part; an empty table gives no rows; a vector may have any number of
+    components; other columns are ignored, whatever their names. Queries are
+    taken in blocks of `MAX_QUERY_BYTES`.
     """
     spark = vectors.sparkSession
     part = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("query"))
-    asked = part.where("query")
+    quantised = F.transform("v", lambda x: F.floor(x.cast("double") * scale))
+    asked = part.where("query").groupBy("vec_id", quantised.alias("z")).agg(F.first("v").alias("v"), F.count(F.lit(1)).alias("copies"))
     size = asked.agg(F.sum(F.size("v") * 8)).first()[0] or 0
     blocks = -(-size // MAX_QUERY_BYTES) if size else 0
     found = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     for k_block in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == k_block).select("vec_id", "v").orderBy("vec_id").dropDuplicates(["vec_id"]).collect()
+        rows = asked.where(F.pmod(F.xxhash64("vec_id", "z"), F.lit(blocks)) == k_block).orderBy("vec_id", "z").select("vec_id", "v", "copies").collect()
         found = found.unionByName(_block(part.select("vec_id", "v"), rows, k, scale))
     return found.withColumnRenamed("vec_id", id_col)
 
@@ -116,15 +126,21 @@ def _block(part: DataFrame, rows: list, k: int, scale: int) -> DataFrame:
         by_dim.setdefault(len(r["v"]), []).append(i)
     ids = np.array([r["vec_id"] for r in rows], dtype=np.int64)
     queries = {d: (ids[i], np.array(i, dtype=np.int64), np.floor(np.array([rows[j]["v"] for j in i], dtype=np.float64).reshape(len(i), d) * scale)) for d, i in by_dim.items()}
-    norm = np.zeros(len(rows))
+    norm, itself = np.zeros(len(rows)), np.zeros(len(rows), dtype=np.int64)
     for _, i, q in queries.values():
         norm[i] = np.sqrt((q * q).sum(axis=1))
+        itself[i] = (q.astype(np.int64) ** 2).sum(axis=1)
+    # the passes leave out a query's row and its equals; the latter come back here
+    equals = [(i, r["copies"] - 1) for i, r in enumerate(rows) if r["copies"] > 1]
     longest = part.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + (F.abs(x.cast("double")) * scale + 1) ** 2))).first()[0] or 0.0
     bound = np.ceil(norm * longest**0.5).astype(np.int64) + 1
     lo, width = -bound, -(-(2 * bound + 1) // BINS)
     while True:
         state = sc.broadcast((queries, lo, width, BINS + 1))
-        counts = part.mapInArrow(_bins(state, scale, k), _COUNTS).groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        found = part.mapInArrow(_bins(state, scale, k), _COUNTS)
+        if equals:
+            found = found.unionByName(spark.createDataFrame([(i, int(min((itself[i] - lo[i]) // width[i], BINS)), n) for i, n in equals if itself[i] >= lo[i]], _COUNTS))
+        counts = found.groupBy("q", "bin").agg(F.sum("n").alias("n"))
         above = F.sum("n").over(Window.partitionBy("q").orderBy(F.col("bin").desc()))
         # the last bin holds every score above the range
         kth = counts.withColumn("to", above).where(F.col("to") >= k).groupBy("q").agg(F.max("bin").alias("bin")).collect()
@@ -140,8 +156,10 @@ def _block(part: DataFrame, rows: list, k: int, scale: int) -> DataFrame:
         width = np.where(done, width, -(-width // BINS))
     state = sc.broadcast((queries, lo))
     best = Window.partitionBy("q").orderBy(F.col("score").desc(), "vec_id")
-    names = spark.createDataFrame([(i, int(x)) for i, x in enumerate(ids)], "q int, query_id long")
-    return (
-        part.mapInArrow(_reach(state, scale, k), _HITS).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-        .join(F.broadcast(names), "q").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-    )
+    hits = part.mapInArrow(_reach(state, scale, k), _HITS)
+    if equals:
+        hits = hits.unionByName(spark.createDataFrame([(i, int(ids[i]), int(itself[i])) for i, n in equals for _ in range(min(n, k))], _HITS))
+    names = spark.createDataFrame([(i, int(x), r["copies"]) for i, (x, r) in enumerate(zip(ids, rows, strict=True))], "q int, query_id long, copies long")
+    ranks = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).join(F.broadcast(names), "q")
+    each = ranks.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("copies") - 1, F.lit(_STEP)))).withColumn("row", F.explode(F.sequence(F.lit(1), F.least(F.lit(_STEP), F.col("copies") - F.col("at")))))
+    return each.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
