@@ -215,6 +215,15 @@ ORACLE_SQL = {
 p0 AS (SELECT voxel_idx FROM scores WHERE program_idx = 0 QUALIFY row_number() OVER (PARTITION BY g ORDER BY score DESC, voxel_idx) <= 5000),
 p1 AS (SELECT voxel_idx FROM scores WHERE program_idx = 1 AND voxel_idx NOT IN (SELECT voxel_idx FROM p0) QUALIFY row_number() OVER (PARTITION BY g ORDER BY score DESC, voxel_idx) <= 3000)
 SELECT voxel_idx, CASE WHEN voxel_idx IN (SELECT voxel_idx FROM p0) THEN 0 WHEN voxel_idx IN (SELECT voxel_idx FROM p1) THEN 1 ELSE 2 END AS program_idx FROM cells""",
+    "v_allocate_capped": f"""WITH RECURSIVE {_SCORES},
+offers AS (
+  SELECT 0 AS round, voxel_idx, g, program_idx, score FROM scores
+  UNION ALL SELECT round + 1, voxel_idx, g, program_idx, score FROM (
+    SELECT *, count(*) FILTER (best AND place > most) OVER () AS turned FROM (
+      SELECT *, CASE program_idx WHEN 0 THEN 5000 WHEN 1 THEN 3000 END AS most, row_number() OVER (PARTITION BY g, program_idx, best ORDER BY score DESC, voxel_idx) AS place
+      FROM (SELECT *, row_number() OVER (PARTITION BY voxel_idx ORDER BY score DESC, program_idx) = 1 AS best FROM offers)))
+  WHERE turned > 0 AND NOT coalesce(best AND place > most, FALSE))
+SELECT voxel_idx, program_idx FROM offers WHERE round = (SELECT max(round) FROM offers) QUALIFY row_number() OVER (PARTITION BY voxel_idx ORDER BY score DESC, program_idx) = 1""",
     "v_argmax_clamp": f"WITH {_BEST} SELECT voxel_idx, CASE WHEN row_number() OVER (PARTITION BY g, program_idx ORDER BY winning_score DESC, voxel_idx) > CASE program_idx WHEN 0 THEN 5000 WHEN 1 THEN 3000 ELSE 1000000000 END THEN -1 ELSE program_idx END AS program_idx FROM best",
     "v_neighbors": f"WITH {_CELLS} SELECT c.voxel_idx, dir, o.voxel_idx AS other_voxel_idx FROM cells c CROSS JOIN {_STEPS} JOIN cells o ON o.gx = c.gx + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz",
     "v_surface": f"WITH {_CELLS}{_OPEN} SELECT voxel_idx, count(*) AS open_faces FROM faces GROUP BY voxel_idx",
