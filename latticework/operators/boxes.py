@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from latticework.operators.allocation import CORE, UNASSIGNED
-from latticework.session import checkpointed
+from latticework.session import checkpointed, counted
 
 _LINE = ["grid_id", "program_idx"]
+#: cells of candidate boxes that a round lists for each cell that is left
+LISTED = 8
 
 
 def _ahead(cells: DataFrame, along: str, value: str, name: str) -> DataFrame:
@@ -34,30 +36,53 @@ def _candidates(cells: DataFrame) -> DataFrame:
     return spread.where(maximal).select(*_LINE, "ix", "iy", "iz", (F.col("w0") + 1).alias("w"), (F.col("d0") + 1).alias("d"), "h")
 
 
+def _largest(found: DataFrame, cells: DataFrame) -> DataFrame:
+    """The candidates of each grid and program from the volume on with which the larger ones' cells reach `LISTED` times the cells left.
+
+    Smaller boxes cannot keep a larger one from being taken, so they may wait.
+    """
+    sizes = found.groupBy(*_LINE, "key.volume").agg((F.count(F.lit(1)) * F.col("volume")).alias("listed"))
+    larger = F.sum("listed").over(Window.partitionBy(*_LINE).orderBy(F.col("volume").desc()).rowsBetween(Window.unboundedPreceding, -1))
+    room = cells.groupBy(*_LINE).agg((F.count(F.lit(1)) * LISTED).alias("room"))
+    least = sizes.withColumn("larger", F.coalesce(larger, F.lit(0))).join(room, _LINE).where("larger < room").groupBy(*_LINE).agg(F.min("volume").alias("least"))
+    return found.join(least, _LINE).where("key.volume >= least").drop("least")
+
+
 def merge_boxes(cells: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """(grid_id, program_idx, ix, iy, iz, w, d, h, voxel_count): the largest filled box of a program, then that of the rest, and so on.
 
     Ties go to the least origin, then width, depth and height. The core is
     merged too, unassigned voxels are left out, a program below -2 is an error;
     a voxel given twice counts once. Rounds take every box that is the best on
-    all of its voxels, which gives the boxes of the sequential order.
+    all of its voxels, which gives the boxes of the sequential order; the cells
+    that a round lists are bounded by those left and by boxes of one volume.
     """
     if not cells.where(F.col("program_idx") < CORE).isEmpty():
         raise ValueError("a program index below -2")
-    left = checkpointed(cells.where(F.col("program_idx") != UNASSIGNED).select(*_LINE, "ix", "iy", "iz").dropna().dropDuplicates())
-    done = None
+    left, kept = counted(cells.where(F.col("program_idx") != UNASSIGNED).select(*_LINE, "ix", "iy", "iz").dropna().dropDuplicates(), n=F.count(F.lit(1)))
+    done, heavy = None, True
     for _ in range(max_rounds):
-        if left.isEmpty():
+        if not kept["n"]:
             break
         key = F.struct((F.col("w") * F.col("d") * F.col("h")).cast("long").alias("volume"), *((-F.col(c)).alias(c) for c in ("ix", "iy", "iz", "w", "d", "h")))
         inside = _candidates(left).select(*_LINE, key.alias("key"))
+        if heavy:
+            inside, seen = counted(inside, listed=F.sum("key.volume"))
+            heavy = seen["listed"] > LISTED * kept["n"]
+            if heavy:
+                inside = _largest(inside, left)
         for c, size in (("ix", "w"), ("iy", "d"), ("iz", "h")):
             inside = inside.select("*", F.explode(F.expr(f"sequence(-key.{c}, -key.{c} - key.{size} - 1)")).alias(c))
+        listed = Observation()
+        inside = inside.observe(listed, F.count(F.lit(1)).alias("n"))
         best = inside.groupBy(*_LINE, "ix", "iy", "iz").agg(F.max("key").alias("key"))
         held = checkpointed(best.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*_LINE, "key"))))
         taken = held.where("n = key.volume").select(*_LINE, "key").distinct().select(*_LINE, *((-F.col(f"key.{c}")).alias(c) for c in ("ix", "iy", "iz", "w", "d", "h")), F.col("key.volume").alias("voxel_count"))
         done = taken if done is None else done.unionByName(taken)
-        left = checkpointed(held.where("n < key.volume").select(*_LINE, "ix", "iy", "iz"))
+        # `held` has every cell that is left, unless boxes wait
+        rest = left.join(held.where("n = key.volume"), [*_LINE, "ix", "iy", "iz"], "left_anti") if heavy else held.where("n < key.volume").select(*left.columns)
+        heavy = heavy or listed.get["n"] > LISTED * kept["n"]
+        left, kept = counted(rest, n=F.count(F.lit(1)))
     else:
         raise RuntimeError(f"not settled in {max_rounds} rounds")
     if done is None:

@@ -38,6 +38,21 @@ def test_boxes_equal_the_greedy_order(spark, seed):
     assert got == want
 
 
+@pytest.mark.parametrize("listed", [0.01, 1, 2])
+def test_boxes_are_the_same_when_smaller_ones_wait(spark, monkeypatch, listed):
+    monkeypatch.setattr(boxes, "LISTED", listed)
+    rng = random.Random(7)
+    keys = [k for k in itertools.product(range(4), repeat=3) if rng.random() < 0.9]
+    got = sorted((-r["voxel_count"], r["ix"], r["iy"], r["iz"], r["w"], r["d"], r["h"]) for r in boxes.merge_boxes(cells(spark, keys, [0] * len(keys))).collect())
+    assert got == sorted(greedy_boxes(keys))
+
+
+def test_a_solid_block_is_one_box(spark):
+    keys = list(itertools.product(range(12), repeat=3))
+    got = boxes.merge_boxes(cells(spark, [*keys, (20, 0, 0), (20, 0, 1)], [0] * (len(keys) + 2))).collect()
+    assert sorted(r["voxel_count"] for r in got) == [2, 12**3]
+
+
 def test_boxes_small_cases(spark):
     block = boxes.merge_boxes(cells(spark, list(itertools.product(range(2), repeat=3)), [0] * 8))
     assert [(r["w"], r["d"], r["h"], r["voxel_count"]) for r in block.collect()] == [(2, 2, 2, 8)]
