@@ -1,7 +1,12 @@
 """Corpus cleaning: quality, near duplicates, benchmark contamination, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
-before kept; all but the last return the columns of `documents`.
+before kept; all but the last return the columns of `documents`, whatever
+further columns these have. An empty table gives an empty one, and texts of any
+length are read whole. Rows may have null or repeated ids: the classifier drops
+rows without a word and keeps or drops those of one id and text together, the
+join keeps one of equal rows, decontamination judges every row for itself, and
+packing makes every row a document.
 """
 
 from __future__ import annotations
