@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontaminate, lm, ngram_join, packing, quality, quotes, sharding, topk, urlfilter, wordpiece
+from latticework.llm import collocation, decontaminate, lexical, lm, ngram_join, packing, pii, quality, quotes, sharding, topk, urlfilter, wordpiece
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 #: limits of a sequence; a document's first line is its prompt
@@ -71,7 +71,31 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_packing, op3_url_filter, op4_lm_scoring, op5_quality, op6_token_counts, op7_decontamination, op8_sharding, op9_quote_linking, op10_topk)}
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.collocations(_read(spark, sf_dir, "documents"))
+
+
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_spans(_read(spark, sf_dir, "documents"), pii.trained())
+    base = F.filter("spans", lambda s: s["base"])
+
+    def told(spans: Column) -> Column:
+        return F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
+
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.rank_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_packing, op3_url_filter, op4_lm_scoring, op5_quality, op6_token_counts, op7_decontamination, op8_sharding, op9_quote_linking, op10_topk, op11_collocations, op12_personal_data, op13_lexical_search
+    )
+}
 
 _WORDS = r"list_filter(regexp_split_to_array(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 _ALNUM = r"list_filter(regexp_split_to_array(translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
@@ -118,4 +142,34 @@ s AS (
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e))
 SELECT query_id, rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s) WHERE rank <= 5""",
+    "op11_collocations": r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+worded AS (SELECT lang, list_filter(regexp_split_to_array(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM worded, range(1, 5) AS t(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE k > 1 AND f >= 30),
+cuts AS (SELECT lang, k, phrase, a, j, array_to_string(s[1:j], ' ') AS x, array_to_string(s[j + 1:k], ' ') AS y FROM (SELECT *, unnest(range(1, k)) AS j FROM cand)),
+told AS (
+  SELECT c.*, p.f AS l, q.f AS r, ((2000000::HUGEINT * a) // (p.f + q.f))::BIGINT AS score
+  FROM cuts c JOIN f p ON p.lang = c.lang AND p.phrase = c.x JOIN f q ON q.lang = c.lang AND q.phrase = c.y),
+best AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS first FROM told),
+inside AS (SELECT lang, a, unnest(list_transform(range(1, k - m + 2), lambda i: array_to_string(s[i:i + m - 1], ' '))) AS phrase FROM (SELECT *, unnest(range(2, k)) AS m FROM cand)),
+held AS (SELECT lang, phrase, max(a) AS longer FROM inside GROUP BY ALL),
+kept AS (SELECT b.* FROM best b LEFT JOIN held USING (lang, phrase) WHERE first = 1 AND (longer IS NULL OR 100 * longer < 80 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase)::INTEGER AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""",
+    "op13_lexical_search": f"""
+WITH words AS (SELECT doc_id, {_ALNUM.format(t="coalesce(text, '')")} AS w FROM documents),
+sizes AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_words FROM words WHERE len(w) > 0),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM words) GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id, unnest({_ALNUM.format(t="coalesce(text, '')")}) AS term FROM benchmark),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, sizes GROUP BY term),
+scores AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_words))))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term), sizes GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10""",
 }
