@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm import eliasfano, exchange, textkernel
+from latticework.llm.quality import free_name
 from latticework.operators.components import components
 from latticework.session import checkpointed
 
@@ -107,7 +108,10 @@ def _bounded(x: str, y: str, percent: int):
 
 def _row_key(docs: DataFrame) -> Column:
     """A hash of all of a row's columns and of which of them are null; equal rows share it."""
-    return F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns), *(F.col(f"`{c}`").isNull() for c in docs.columns))
+    every = [F.col("`" + f.name.replace("`", "``") + "`") for f in docs.schema.fields]
+    # maps have no hash of their own
+    plain = [F.to_json(F.struct(c.alias("c"))) if "map<" in f.dataType.simpleString() else c for c, f in zip(every, docs.schema.fields, strict=True)]
+    return F.xxhash64(*plain, *(c.isNull() for c in every))
 
 
 def _components(docs: DataFrame, id_col: str, text_col: str, n_words: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -175,18 +179,27 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     least id reachable by links, the class the least id with an equal set. A
     null or empty text, or one without words, has n_shingles 0 and is its own
     class, and its own component unless its id has other rows. Rows that repeat
-    an id are one node, so their sets are linked, and come back once each; rows
-    with a null id have no node and are left out, as in the SQL
-    (`one_of_each_component` judges them). Other columns are ignored.
+    an id are one node, so their sets are linked, and come back once each. Rows
+    with a null id have no node and link nothing: they come back with their
+    n_shingles and null for both ids (`one_of_each_component` judges them by
+    their text). Other columns are ignored.
     """
     known = docs.where(F.col(id_col).isNotNull()).select(id_col, text_col)
     rows, found = _components(known, id_col, text_col, n_words, percent)
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("class_id")).join(found, "node")
     names = least.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = least.join(names, "component").select("node", "class_id", "component_id")
-    return rows.join(named, "node", "left").select(
+
+    def counted(batches):
+        for batch in batches:
+            n = pa.array([len(x) for x in textkernel.shingle_rows(*textkernel.flat(batch["text"]), n_words)], pa.int64())
+            yield pa.record_batch([pa.nulls(len(n), pa.int64()), n, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], names=["doc_id", "n", "c", "s"])
+
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(text_col).cast("string").alias("text")).mapInArrow(counted, "doc_id long, n long, c long, s long").toDF(id_col, "n_shingles", "component_id", "class_id")
+    found_rows = rows.join(named, "node", "left").select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")
     )
+    return found_rows.unionByName(nameless)
 
 
 def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, percent: int = 80) -> DataFrame:
@@ -205,13 +218,14 @@ def one_of_each_component(docs: DataFrame, id_col: str = "doc_id", text_col: str
     once = chosen.unionByName(wordless)
     kept = checkpointed(once.join(copies, F.col("doc_id").eqNullSafe(F.col("id2")) & (F.col("row") == F.col("row2")), "left").select("doc_id", "row", F.col("copies").isNotNull().alias("repeated")))
 
-    keyed = docs.withColumn("_row_key", _row_key(docs))
+    key, kept_id, kept_row = (free_name(docs, n) for n in ("_row_key", "_kept_id", "_kept_row"))
+    keyed = docs.withColumn(key, _row_key(docs))
 
     def having(keys: DataFrame) -> DataFrame:
-        keys = keys.select(F.col("doc_id").alias("_kept_id"), F.col("row").alias("_kept_row"))
-        return keyed.join(keys, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (F.col("_row_key") == F.col("_kept_row")), "left_semi")
+        keys = keys.select(F.col("doc_id").alias(kept_id), F.col("row").alias(kept_row))
+        return keyed.join(keys, F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(key) == F.col(kept_row)), "left_semi")
 
     out = having(kept.where("not repeated").select("doc_id", "row").unionByName(nameless))
     if not kept.where("repeated").isEmpty():
-        out = out.unionByName(having(kept.where("repeated")).dropDuplicates([id_col, "_row_key"]))
-    return out.drop("_row_key")
+        out = out.unionByName(having(kept.where("repeated")).dropDuplicates([id_col, key]))
+    return out.drop(key)

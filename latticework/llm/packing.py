@@ -2,9 +2,9 @@
 
 Each task tokenises its documents and packs them into sequences of bounded
 tokens, segments and loss-bearing tokens. Long documents first fill sequences of
-their own; what is left of each document is placed, largest first, on the open
-sequence where the dot product of its demands with the free capacity is highest.
-A gap that nothing fits is filled by cutting a piece. A sequence that the
+their own. What is left is packed into one open sequence at a time: of the pieces
+of the largest sizes that fit, the one whose demands have the highest dot product
+with the sequence's free capacity is placed next. A gap that nothing fits is filled by cutting a piece. A sequence that the
 segment or the loss limit closes early is cut back to a power of two, a length
 that needs no padding. No row is shuffled, and a task holds one window of pieces
 at a time.
@@ -13,6 +13,7 @@ at a time.
 from __future__ import annotations
 
 import bisect
+import re
 import zlib
 
 import numpy as np
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 #: a sequence closed early is padded if it lacks no more than one token in so many
 SLACK = 64
+#: white space in a row beyond which the faster library's pattern engine gives up
+LONG_SPACE = re.compile(r"\s{50000}")
 _TOKENIZERS: dict[str, "Ids"] = {}
 _OUT = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64())]
 
@@ -33,8 +36,8 @@ class Ids:
     """Token ids of a byte-level BPE file.
 
     The merges of the file are run by a faster library over the file's own
-    vocabulary and pre-tokeniser pattern. A text with a special token's string
-    is given to the file's tokenizer.
+    vocabulary and pre-tokeniser pattern. A text with a special token's string,
+    or with a very long run of white space, is given to the file's tokenizer.
     """
 
     def __init__(self, path: str):
@@ -49,7 +52,7 @@ class Ids:
         self.encoder = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_vocabulary(path), special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or (len(text) > 50_000 and LONG_SPACE.search(text)):
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.encoder.encode_ordinary(text)
 

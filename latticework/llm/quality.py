@@ -101,8 +101,8 @@ def log_weights(column: pa.Array, ratio: np.ndarray) -> np.ndarray:
 
 
 def free_name(docs: DataFrame, name: str) -> str:
-    """The name, with as many underscores as it takes to clash with no column."""
-    while name in docs.columns:
+    """The name, with as many underscores as it takes to clash with no column, in any case."""
+    while name.lower() in {c.lower() for c in docs.columns}:
         name += "_"
     return name
 

@@ -120,7 +120,8 @@ named AS (SELECT a, min(c) AS component_id FROM reach GROUP BY a),
 same AS (SELECT doc_id, list(s ORDER BY s) AS cells FROM cells GROUP BY doc_id),
 class AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY cells) AS class_id FROM same)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, coalesce(class_id, d.doc_id) AS class_id
-FROM documents d LEFT JOIN sizes USING (doc_id) JOIN named ON a = d.doc_id LEFT JOIN class USING (doc_id)""",
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN named ON a = d.doc_id LEFT JOIN class USING (doc_id)
+UNION ALL SELECT NULL, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) END, NULL, NULL FROM words WHERE doc_id IS NULL""",
     "op7_decontamination": f"""
 WITH items AS (SELECT item_id, {_ALNUM.format(t="coalesce(text, '')")} AS w FROM benchmark),
 windows AS (

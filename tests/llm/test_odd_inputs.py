@@ -39,8 +39,7 @@ def test_ngram_join(docs):
     want = Counter()
     for i, t in TEXTS:
         w = words(t)
-        if i is not None:
-            want[i, len({tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))}) if w else 0, {6: 5, 7: 1}.get(i, i)] += 1
+        want[i, len({tuple(w[j : j + 5]) for j in range(max(len(w) - 4, 1))}) if w else 0, {6: 5, 7: 1}.get(i, i)] += 1
     assert got == want
     assert ngram_join.ngram_jaccard_components(docs.limit(0)).count() == 0
     kept = ngram_join.one_of_each_component(docs)
@@ -176,3 +175,31 @@ def test_pipeline_stages_keep_clean_rows(spark, docs, tmp_path):
         # every row with words is clean without labels; one of each group stays
         assert left == (Counter([1, None, 5, 8, 9, 10]) if rows is docs else Counter())
     assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_packing_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    texts = [f"a{c * 1_000_000}b" for c in (" ", "\n")] + ["a" + "\r\n\t " * 250_000, " " * 120_000, "x" + " " * 49_999 + "y"]
+    pieces = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, **queries.PACKING).collect()
+    whole = Tokenizer.from_file(path)
+    for i, text in enumerate(texts):
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
+        mine = sorted((r["start"], r["length"], r["ids_crc32"]) for r in pieces if r["doc_id"] == i)
+        assert mine == [(a, n, zlib.crc32(ids[a : a + n].tobytes())) for a, n, _ in mine] and sum(n for _, n, _ in mine) == len(ids)
+
+
+def test_pipeline_runs_with_clashing_columns_and_maps(spark, docs, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, "nothing of the kind here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    more = {c: F.lit(c) for c in ("_row_key", "_KEPT_ID", "_kept_row", "log_weight", "Key")} | {"tags": F.create_map(F.lit("a"), F.col("doc_id")), "deep": F.array(F.struct(F.create_map(F.lit(1), F.lit("x")).alias("m")))}
+    wider = docs.drop("key").withColumns(more)
+    wider.write.parquet(f"{tmp_path}/documents.parquet")
+    pieces = corpus_pipeline.run(spark, str(tmp_path))
+    starts = Counter(r["doc_id"] for r in pieces.where("start = 0").collect())
+    assert starts == Counter([1, None, 5, 8, 9, 10])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, wider, str(tmp_path)).columns == wider.columns
