@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _MACHINES: dict[str, "LongestMatch"] = {}
-CACHE = 400_000
+#: words that a worker remembers, and their greatest length in bytes
+CACHE, CACHED_BYTES = 400_000, 64
 
 
 def byte_vocabulary(path: str) -> dict[bytes, int]:
@@ -92,10 +93,10 @@ class LongestMatch:
             return len(words), sum(map(cache.__getitem__, words))
         except KeyError:
             pass
-        for word in set(words):
-            if word not in cache:
-                cache[word] = max(1, self.count(b" " + word))
-        out = len(words), sum(map(cache.__getitem__, words))
+        # long words are counted anew in every text, so the cache stays below CACHE times CACHED_BYTES
+        fresh = {word: max(1, self.count(b" " + word)) for word in set(words) if word not in cache}
+        out = len(words), sum(cache[word] if word in cache else fresh[word] for word in words)
+        cache.update((word, n) for word, n in fresh.items() if len(word) <= CACHED_BYTES)
         if len(cache) > CACHE:
             cache.clear()
         return out

@@ -203,3 +203,11 @@ def test_pipeline_runs_with_clashing_columns_and_maps(spark, docs, tmp_path):
     assert starts == Counter([1, None, 5, 8, 9, 10])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, wider, str(tmp_path)).columns == wider.columns
+
+
+def test_long_words_are_not_kept():
+    counter = wordpiece.machine(queries.tokenizer_path())
+    text = b" ".join(bytes([97 + i]) * 5000 for i in range(20)) + b" short words and short ones"
+    first = counter.text(text)
+    assert counter.text(text) == first == (25, sum(max(1, counter.count(b" " + w)) for w in text.split()))
+    assert max(map(len, counter.cache)) <= wordpiece.CACHED_BYTES
