@@ -55,6 +55,12 @@ def stats(raw: DataFrame) -> DataFrame:
     return raw.groupBy(*GROUP).agg(F.min("value").alias("min_value"), F.max("value").alias("max_value"), F.avg("value").alias("mean_value"))
 
 
+def stats_report(raw: DataFrame) -> DataFrame:
+    """Least and greatest value of each channel before and after `normalized`."""
+    after = stats(normalized(sanitized(raw))).select(*GROUP, F.col("min_value").alias("norm_min"), F.col("max_value").alias("norm_max"))
+    return stats(sanitized(raw)).drop("mean_value").join(after, GROUP)
+
+
 def floor_of(height: Column, floor_height: float) -> Column:
     """Floor of a height: 1 and up from 0, -1 and down below; there is no floor 0."""
     if floor_height <= 0:
@@ -116,6 +122,22 @@ def floor_distribution(floors: DataFrame, floor_height: float) -> DataFrame:
     return floors.groupBy("grid_id", "floor_idx").agg(F.count(F.lit(1)).alias("voxels")).select("grid_id", "floor_idx", "voxels", low.alias("low"), (low + float(floor_height)).alias("high"))
 
 
+def floor_report(floors: DataFrame, floor_height: float, kind: str) -> DataFrame:
+    """`floor_distribution` with each floor's `value` and whether it is a penthouse.
+
+    The kind is walkup, commercial or real_estate; the last one's value is 0 below
+    floor 1, and it alone has penthouses.
+    """
+    rows = floor_distribution(floors, floor_height)
+    f = F.col("floor_idx")
+    if kind != "real_estate":
+        return rows.withColumns({"value": {"walkup": walkup_value, "commercial": commercial_value}[kind](f), "penthouse": F.lit(False)})
+    tops = floors.groupBy("grid_id").agg(F.greatest(F.max("floor_idx"), F.lit(1)).alias("top"))
+    first = F.greatest(F.lit(2), F.col("top") - F.floor(F.col("top") * 0.06))
+    valued = rows.join(real_estate_values(tops), ["grid_id", "floor_idx"], "left").join(tops, "grid_id")
+    return valued.select(*rows.columns, F.coalesce("value", F.lit(0.0)).alias("value"), (f >= first).alias("penthouse"))
+
+
 def voxel_vectors(channels: DataFrame) -> DataFrame:
     """(grid_id, voxel_idx, values): each voxel's values by label."""
     return channels.groupBy("grid_id", "voxel_idx").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "value")))).alias("values"))

@@ -46,19 +46,32 @@ def argmax(scored: DataFrame) -> DataFrame:
     return scored.groupBy(*KEY).agg(F.max(F.struct("score", (-F.col("program_idx")).alias("neg"))).alias("m")).select(*KEY, (-F.col("m.neg")).alias("program_idx"), F.col("m.score").alias("winning_score"))
 
 
+def ranged(df: DataFrame, group: list[str], value: str, buckets: int = 64) -> DataFrame:
+    """`df` with `range`: numbers that rise along (value descending, voxel_idx) in each group, none with many more than 1/buckets of its rows.
+
+    Quantiles of the value part the values between them; a value that is a
+    quantile may stand for any number of rows, so it has ranges of its own, by
+    the quantiles of the index over the whole group.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(*group).agg(F.percentile_approx(value, shares, 2000).alias("cuts"), F.percentile_approx("voxel_idx", shares, 2000).alias("index_cuts"))
+    above, tied = F.size(F.filter("cuts", lambda c: c > F.col(value))), F.array_contains("cuts", F.col(value))
+    part = F.when(tied, F.lit(buckets) + F.size(F.filter("index_cuts", lambda c: c < F.col("voxel_idx")))).otherwise(0)
+    return df.join(cuts, group).withColumn("range", above * (2 * buckets) + part).drop("cuts", "index_cuts")
+
+
 def numbered(df: DataFrame, group: list[str], value: str, name: str, buckets: int = 64) -> DataFrame:
-    """Row numbers by (value descending, voxel_idx) in each group, without one task a group.
+    """Row numbers by (value descending, voxel_idx) in each group, without one task a group, however many values are equal.
 
-    Quantiles of the value cut each group into ranges; a range's rows are
-    numbered by themselves and moved up by the counts of the ranges before.
+    The rows of each of the `ranged` parts are numbered by themselves and moved up
+    by the counts of the parts before.
     """
-    cuts = df.groupBy(*group).agg(F.percentile_approx(value, [i / buckets for i in range(1, buckets)], 2000).alias("cuts"))
-    ranged = df.join(cuts, group).withColumn("range", F.size(F.filter("cuts", lambda c: c > F.col(value)))).drop("cuts")
-    counts = ranged.groupBy(*group, "range").agg(F.count(F.lit(1)).alias("n"))
+    parts = ranged(df, group, value, buckets)
+    counts = parts.groupBy(*group, "range").agg(F.count(F.lit(1)).alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select(*group, "range", before.alias("before"))
     within = F.row_number().over(Window.partitionBy(*group, "range").orderBy(F.col(value).desc(), "voxel_idx"))
-    return ranged.withColumn("k", within).join(starts, [*group, "range"]).withColumn(name, (F.col("before") + F.col("k")).cast("long")).drop("range", "before", "k")
+    return parts.withColumn("k", within).join(starts, [*group, "range"]).withColumn(name, (F.col("before") + F.col("k")).cast("long")).drop("range", "before", "k")
 
 
 def ranked(assignment: DataFrame) -> DataFrame:
@@ -135,6 +148,18 @@ def summary(assignment: DataFrame) -> DataFrame:
     return assignment.groupBy("grid_id", "program_idx").agg(F.count(F.lit(1)).alias("voxels"))
 
 
+def limits_report(assignment: DataFrame, programs: DataFrame) -> DataFrame:
+    """(grid_id, program_idx, name, assigned, voxel_limit) of every grid and program, also those that hold nothing; no limit is null."""
+    every = assignment.select("grid_id").distinct().crossJoin(F.broadcast(programs.select("program_idx", "name", "voxel_count")))
+    return every.join(summary(assignment), ["grid_id", "program_idx"], "left").select("grid_id", "program_idx", "name", F.coalesce("voxels", F.lit(0)).alias("assigned"), F.when(F.col("voxel_count") >= 0, F.col("voxel_count")).alias("voxel_limit"))
+
+
+def core_report(core: DataFrame, voxels: DataFrame) -> DataFrame:
+    """(grid_id, valid, invalid) of the rows of `core`: distinct ids that are voxels, and rows whose id is none."""
+    known = voxels.select(*KEY, F.lit(True).alias("known")).distinct()
+    return core.select(*KEY).join(known, KEY, "left").groupBy("grid_id").agg(F.count_distinct(F.when(F.col("known"), F.col("voxel_idx"))).alias("valid"), F.count_if(F.col("known").isNull()).alias("invalid"))
+
+
 #: fixed values: alpha and colour of core and unassigned voxels
 SHADES = {CORE: (180, 80, 80, 80), UNASSIGNED: (40, 160, 160, 160)}
 

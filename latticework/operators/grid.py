@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.session import checkpointed, counted
+from latticework.operators import bricks
+from latticework.session import checkpointed
 from latticework.sources.voxels import CELL, KEY
 
 #: fixed values: face directions in the order +x, -x, +y, -y, +z, -z
@@ -70,29 +72,61 @@ def surface_alignment(voxels: DataFrame, target: tuple[float, float, float] = (0
     return orientation(voxels).select(*KEY, F.lit("surface_alignment").alias("label"), F.when(none, -1.0).otherwise(dot).alias("value"))
 
 
+def _levels(planes, fixed, _corner):
+    """Steps from the cells marked in `fixed[1]`, through the brick and from what lies around it."""
+    now = bricks.inner(planes[0])
+    empty = fixed[0] >= bricks.FAR
+    now[...] = np.where(fixed[1] < bricks.FAR, 0, bricks.FAR)
+    while True:
+        near = np.minimum.reduce([bricks.looked(planes[0], k, s) for k in range(3) for s in (1, -1)])
+        new = np.where(empty, bricks.FAR, np.minimum(now, np.minimum(near + 1, bricks.FAR)))
+        if (new == now).all():
+            return new[None]
+        now[...] = new
+
+
+def _waves(planes, fixed, corner):
+    """Level, square of the distance, and index and place of the seed whose wave arrives first, level by level."""
+    level = _levels(planes[:1], fixed, corner)[0]
+    here = np.stack(np.meshgrid(*(np.arange(c, c + bricks.SIDE) for c in corner), indexing="ij"))
+    inside = bricks.inner(planes)
+    inside[...] = bricks.FAR
+    inside[0] = level
+    start = level == 0
+    for k, value in enumerate((np.zeros_like(level), fixed[0], *here), 1):
+        inside[k][start] = value[start]
+    for step in np.unique(level[(level > 0) & (level < bricks.FAR)]):
+        mine = np.nonzero(level == step)
+        place = [h[mine] for h in here]
+        best = [np.full(len(mine[0]), bricks.FAR)] * 5
+        for axis in range(3):
+            for way in (1, -1):
+                other = [bricks.looked(p, axis, way)[mine] for p in planes]
+                square = np.where(other[0] == step - 1, sum((np.where(o < bricks.FAR, o, 0) - h) ** 2 for o, h in zip(other[3:], place, strict=True)), bricks.FAR)
+                better = (square < best[0]) | ((square == best[0]) & (other[2] < best[1]) & (square < bricks.FAR))
+                best = [np.where(better, n, b) for n, b in zip((square, *other[2:]), best, strict=True)]
+        for k, value in enumerate(best, 1):
+            inside[k][mine] = value
+    return inside.copy()
+
+
+def _from_surface(voxels: DataFrame, planes: int, solve, max_rounds: int) -> DataFrame:
+    """Bricks with the waves of the surface voxels."""
+    top = surface(voxels).select(*KEY, F.lit(0).cast("long").alias("top"))
+    return bricks.settle(voxels.select(*KEY, *CELL[1:]).join(top, KEY, "left"), ["top"], planes, solve, max_rounds)
+
+
 def surface_depth(voxels: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Steps from the surface over face neighbours as a channel; what no surface reaches is one more than the deepest.
 
-    One round a level: the frontier's neighbours that no level holds yet are the
-    next. Raises ValueError without a surface voxel.
+    Waves run inside bricks; a round goes on only where a brick's face changed.
+    Raises ValueError without a surface voxel.
     """
-    edges = checkpointed(neighbors(voxels).select(*KEY, "other_voxel_idx"))
-    rows = {"n": F.count(F.lit(1))}
-    front, seen = counted(surface(voxels).select(*KEY, F.lit(0).alias("depth")), **rows)
-    if not seen["n"]:
+    levels = checkpointed(bricks.unpacked(_from_surface(voxels, 1, _levels, max_rounds), "depth long", names=["depth"]).select(*KEY, "depth"))
+    deepest = levels.groupBy("grid_id").agg((F.max("depth") + 1).alias("beyond"))
+    if deepest.where("beyond is not null").isEmpty():
         raise ValueError("no surface voxel")
-    levels, left = front, checkpointed(voxels.select(*KEY).join(front, KEY, "left_anti"))
-    for depth in range(1, max_rounds):
-        reach = front.select("grid_id", F.col("voxel_idx").alias("other_voxel_idx"))
-        front, seen = counted(left.join(edges.join(reach, ["grid_id", "other_voxel_idx"], "left_semi").select(*KEY), KEY, "left_semi").withColumn("depth", F.lit(depth)), **rows)
-        if not seen["n"]:
-            break
-        levels, left = levels.unionByName(front), checkpointed(left.join(front, KEY, "left_anti"))
-    else:
-        raise RuntimeError(f"deeper than {max_rounds} levels")
-    deepest = levels.groupBy("grid_id").agg((F.max("depth") + 1).alias("depth"))
-    every = levels.unionByName(left.join(deepest, "grid_id"))
-    return every.select(*KEY, F.lit("surface_depth").alias("label"), F.col("depth").cast("double").alias("value"))
+    return levels.join(deepest, "grid_id").where("beyond is not null").select(*KEY, F.lit("surface_depth").alias("label"), F.coalesce("depth", "beyond").cast("double").alias("value"))
 
 
 def surface_distance(voxels: DataFrame, voxel_size: float = 1.0, max_rounds: int = 10_000) -> DataFrame:
@@ -102,26 +136,12 @@ def surface_distance(voxels: DataFrame, voxel_size: float = 1.0, max_rounds: int
     surface reaches is one voxel farther than the farthest. Raises ValueError
     without a surface voxel.
     """
-    slim = voxels.select(*KEY, *CELL[1:])
-    seed = F.struct("voxel_idx", *CELL[1:])
-    rows = {"n": F.count(F.lit(1))}
-    front, seen = counted(slim.join(surface(voxels).select(*KEY), KEY, "left_semi").select(*KEY, *CELL[1:], seed.alias("seed"), F.lit(0.0).alias("far")), **rows)
-    if not seen["n"]:
+    found = bricks.unpacked(_from_surface(voxels, 6, _waves, max_rounds), "square long", names=["level", "square"])
+    far = checkpointed(found.select(*KEY, (F.sqrt(F.col("square").cast("double")) * float(voxel_size)).alias("far")))
+    beyond = far.groupBy("grid_id").agg((F.max("far") + float(voxel_size)).alias("beyond"))
+    if beyond.where("beyond is not null").isEmpty():
         raise ValueError("no surface voxel")
-    levels, left = front, checkpointed(slim.join(front.select(*KEY), KEY, "left_anti"))
-    for _ in range(max_rounds):
-        sent = shifted(front.select(*CELL, "seed"), list(enumerate(DIRECTIONS))).select("grid_id", *(F.col(f"n{c}").alias(f"i{c}") for c in "xyz"), "seed")
-        square = sum(((F.col(f"seed.i{c}") - F.col(f"i{c}")) * (F.col(f"seed.i{c}") - F.col(f"i{c}")) for c in "xyz"), F.lit(0))
-        best = sent.groupBy(*CELL).agg(F.min(F.struct(square.cast("long").alias("square"), "seed")).alias("m"))
-        front, seen = counted(left.join(best, CELL).select(*KEY, *CELL[1:], F.col("m.seed").alias("seed"), (F.sqrt(F.col("m.square").cast("double")) * float(voxel_size)).alias("far")), **rows)
-        if not seen["n"]:
-            break
-        levels, left = levels.unionByName(front), checkpointed(left.join(front.select(*KEY), KEY, "left_anti"))
-    else:
-        raise RuntimeError(f"deeper than {max_rounds} levels")
-    beyond = levels.groupBy("grid_id").agg((F.max("far") + float(voxel_size)).alias("far"))
-    every = levels.select(*KEY, "far").unionByName(left.join(beyond, "grid_id").select(*KEY, "far"))
-    return every.select(*KEY, F.lit("surface_distance").alias("label"), F.col("far").alias("value"))
+    return far.join(beyond, "grid_id").where("beyond is not null").select(*KEY, F.lit("surface_distance").alias("label"), F.coalesce("far", "beyond").alias("value"))
 
 
 def centers(voxels: DataFrame, origin: tuple[float, float, float] = (0, 0, 0), voxel_size: float = 1.0, plane: list[float] | None = None) -> DataFrame:

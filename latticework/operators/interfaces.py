@@ -51,6 +51,11 @@ def contact_counts(touching: DataFrame) -> DataFrame:
     return touching.groupBy("grid_id", "tag").agg(F.count(F.lit(1)).alias("contacts"))
 
 
+def cap_counts(capped: DataFrame) -> DataFrame:
+    """Caps of each kind: exterior, unallocated, and core where cores are left out."""
+    return capped.groupBy("grid_id", "kind").agg(F.count(F.lit(1)).alias("caps"))
+
+
 def faces(touching: DataFrame, capped: DataFrame | None = None) -> DataFrame:
     """(grid_id, axis, program_a, program_b, voxel_a, voxel_b, direction, kind): the faces of `contacts` and, if given, the rows of `caps`."""
     met = touching.where("tag = 'face'").drop("tag").withColumn("kind", F.lit("face"))

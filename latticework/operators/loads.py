@@ -2,142 +2,261 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.operators import bricks
 from latticework.operators.allocation import CORE, UNASSIGNED
-from latticework.operators.grid import DIRECTIONS, LOOK, looked_at, shifted
-from latticework.session import checkpointed, counted
+from latticework.session import checkpointed, counted, written
 from latticework.sources.voxels import CELL, KEY
 
 #: fixed values: cost of a step down and sideways, each a fifth onto the core network; here in fifths, so that costs are whole
 DOWN, SIDE, SHARE = 5, 20, 5
 #: fixed values: what a sideways step leaves of the capacity, and the capacity up to which a cluster is weak
 LEFT, WEAK = 0.25, 0.25
-_DOWNWARDS = 5
 
 
-def _below(value: Column) -> Column:
-    """An aggregate over the cells under a cell, down to the first gap."""
-    return value.over(Window.partitionBy("grid_id", "ix", "iy", "island").orderBy("iz").rowsBetween(Window.unboundedPreceding, -1))
+def _costs(limit: int):
+    """Planes c0 to c<limit>: the cost from a cell to an end when that many sideways steps come before; then the network and the voxel."""
 
+    def solve(planes, fixed, _corner):
+        inside = bricks.inner(planes)
+        empty = fixed[0] >= bricks.FAR
+        ends = np.where(fixed[1] < bricks.FAR, fixed[1], -1)
+        inside[limit + 1], inside[limit + 2] = fixed[2], fixed[0]
+        for r in range(limit + 1):
+            inside[r] = np.where(ends >= r, 0, bricks.FAR)
+        while True:
+            before = inside[: limit + 1].copy()
+            fall = _onto(bricks.looked(planes[0], 2, -1), bricks.looked(planes[limit + 1], 2, -1), DOWN)
+            # later runs first, so that a way of several sideways steps is found in one turn
+            for r in range(limit, -1, -1):
+                options = [inside[r], fall]
+                if r < limit:
+                    options += [_onto(bricks.looked(planes[r + 1], k, s), bricks.looked(planes[limit + 1], k, s), SIDE) for k in range(2) for s in (1, -1)]
+                inside[r] = np.where(empty, bricks.FAR, np.minimum.reduce(options))
+            if (inside[: limit + 1] == before).all():
+                return inside.copy()
 
-def _onto(step: int, joined: str = "joined") -> Column:
-    return F.when(F.col(joined), step // SHARE).otherwise(step)
+    return solve
 
 
-def _costs(cells: DataFrame, limit: int, max_rounds: int) -> DataFrame:
-    """`cells` with c0 to c<limit>: the cost from there to an end, when that many sideways steps come before; null if there is none.
+def _onto(cost: np.ndarray, joined: np.ndarray, step: int) -> np.ndarray:
+    """Costs over a step onto a cell: a fifth of it where the cell is on the network."""
+    return np.where(cost < bricks.FAR, cost + np.where(joined < bricks.FAR, step // SHARE, step), bricks.FAR)
 
-    `cells` has the greatest number of sideways steps with which a way may end
-    there, as `ends`, and whether it is on the network, as `joined`. A round
-    passes costs up each whole column and one step sideways.
-    """
-    names = [f"c{r}" for r in range(limit + 1)]
-    island = F.col("iz") - F.row_number().over(Window.partitionBy("grid_id", "ix", "iy").orderBy("iz"))
-    start = cells.withColumn("island", island).withColumn("fall", F.coalesce(_below(F.sum(_onto(DOWN))), F.lit(0)))
-    start = start.select("*", *(F.when(F.col("ends") >= r, 0).cast("long").alias(n) for r, n in enumerate(names)))
-
-    def lifted(df: DataFrame) -> DataFrame:
-        falling = _below(F.min(F.col("c0") - F.col("fall"))) + F.col("fall")
-        return df.withColumn("falling", falling).withColumns({n: F.least(n, "falling") for n in names}).drop("falling")
-
-    state = {f"{kind}_{n}": f(n) for n in names for kind, f in (("n", F.count), ("sum", F.sum))}
-    now, seen = counted(lifted(start), **state)
-    for _ in range(max_rounds if limit else 0):
-        before = seen
-        sent = shifted(now.where(F.col("c1").isNotNull()).select(*CELL, "joined", *names[1:]), list(enumerate(DIRECTIONS[:4])))
-        offers = sent.groupBy(*(F.col(a).alias(b) for a, b in zip(LOOK, CELL, strict=True))).agg(*(F.min(_onto(SIDE) + F.col(n)).alias(f"o{r}") for r, n in enumerate(names[1:])))
-        met = now.join(offers, CELL, "left").withColumns({n: F.least(n, f"o{r}") for r, n in enumerate(names[:-1])})
-        now, seen = counted(lifted(met.select(now.columns)), **state)
-        if seen == before:
-            break
-    else:
-        if limit:
-            raise RuntimeError(f"not settled in {max_rounds} rounds")
-    return now
 
+def _moves(cells: DataFrame, limit: int, max_rounds: int) -> DataFrame:
+    """(grid_id, voxel_idx, ix, iy, iz, run, to_idx, to_run, down): the next move from each cell and run of sideways steps that has a way.
 
-def _moves(costed: DataFrame, limit: int) -> DataFrame:
-    """(grid_id, voxel_idx, run, ix, iy, iz, to_idx, to_run, length): the next move from each cell and run of sideways steps.
-
-    A move goes one cell sideways, or down to where the way turns or ends; to_idx
-    is null where it ends. Of equal costs the lesser voxel is next.
+    `cells` has the greatest number of sideways steps with which a way may end
+    there, as `ends`, and `joined` where it is on the network. to_idx is null
+    where a way ends. Of equal costs the lesser voxel is next.
+    """
+    settled = bricks.settle(cells, ["ends", "joined"], limit + 3, _costs(limit), max_rounds)
+
+    def rows(planes, fixed, place):
+        at = tuple(place)
+        cell = np.arange(place.shape[1])
+        ends = np.where(fixed[1][at] < bricks.FAR, fixed[1][at], -1)
+        sides = [(2, -1), *((k, s) for k in range(2) for s in (1, -1))]
+        out: dict[str, list[np.ndarray]] = {n: [] for n in ("cell", "run", "to_idx", "to_run", "down")}
+        for r in range(limit + 1):
+            cost = bricks.inner(planes[r])[at]
+            best, to, down = np.full(len(cell), bricks.FAR), np.full(len(cell), bricks.FAR), np.zeros(len(cell), bool)
+            for k, s in sides if r < limit else sides[:1]:
+                falls = k == 2
+                paid = _onto(bricks.looked(planes[0 if falls else r + 1], k, s)[at], bricks.looked(planes[limit + 1], k, s)[at], DOWN if falls else SIDE)
+                voxel = bricks.looked(planes[limit + 2], k, s)[at]
+                better = (paid < best) | ((paid == best) & (paid < bricks.FAR) & (voxel < to))
+                best, to, down = np.where(better, paid, best), np.where(better, voxel, to), np.where(better, falls, down)
+            stops = ends >= r
+            to, down = np.where(stops, bricks.FAR, to), down & ~stops
+            keep = cost < bricks.FAR
+            for n, x in (("cell", cell), ("run", np.full(len(cell), r)), ("to_idx", to), ("to_run", np.where(down | stops, 0, r + 1)), ("down", down.astype(np.int64))):
+                out[n].append(x[keep])
+        return {n: np.concatenate(x) for n, x in out.items()}
+
+    return bricks.unpacked(settled, "run int, to_idx long, to_run int, down int", rows)
+
+
+NODE = ["grid_id", "voxel_idx", "run"]
+
+
+class Forest:
+    """The ways of one kind as pointers: each (voxel, run) with a way has one next, and all lead to an end.
+
+    `nodes` has each node's move and where it stops: itself, or the cell on which
+    a fall from there turns or ends. Only nodes that do not fall are joined to one
+    another, by the sideways step to the next one; `levels` has their pointers
+    over 1, 2, 4, ... such hops, and `totals` the sums of the whole way.
     """
-    runs = range(limit + 1)
-    around = [*enumerate(DIRECTIONS[:4]), (_DOWNWARDS, DIRECTIONS[_DOWNWARDS])]
-    slim = costed.select(*KEY, *CELL[1:], "joined", *(f"c{r}" for r in runs))
-    near = shifted(slim.select(*KEY, *CELL[1:]), around).join(looked_at(slim), LOOK)
-    down = F.col("dir") == _DOWNWARDS
-
-    def option(r: int) -> Column:
-        side = F.col(f"other_c{r + 1}") + _onto(SIDE, "other_joined") if r < limit else F.lit(None).cast("long")
-        cost = F.when(down, F.col("other_c0") + _onto(DOWN, "other_joined")).otherwise(side)
-        return F.min(F.when(cost.isNotNull(), F.struct(cost.alias("cost"), F.col("other_voxel_idx").alias("to"), "dir"))).alias(f"m{r}")
-
-    best = costed.join(near.groupBy(*KEY).agg(*(option(r) for r in runs)), KEY, "left")
-    goes_down = F.col("c0").isNotNull() & ~(F.coalesce(F.col("ends"), F.lit(-1)) >= 0) & F.coalesce(F.col("m0.dir") == _DOWNWARDS, F.lit(False))
-    best = best.withColumn("landing", _below(F.max(F.when(~goes_down, F.struct("iz", "voxel_idx")))))
-
-    def move(r: int) -> Column:
-        def to(idx: Column, run: int, length: Column) -> Column:
-            return F.struct(F.lit(r).alias("run"), idx.cast("long").alias("to_idx"), F.lit(run).alias("to_run"), length.cast("int").alias("length"))
 
-        m = f"m{r}"
-        turn = F.when(F.col("ends") >= r, to(F.lit(None), 0, F.lit(1))).when(F.col(f"{m}.dir") == _DOWNWARDS, to(F.col("landing.voxel_idx"), 0, F.col("iz") - F.col("landing.iz")))
-        return F.when(F.col(f"c{r}").isNotNull(), turn.otherwise(to(F.col(f"{m}.to"), r + 1, F.lit(1))))
+    def __init__(self, moves: DataFrame, max_rounds: int = 60):
+        # a fall from a cell goes to the nearest cell below that does not fall; several runs share a height
+        below = Window.partitionBy("grid_id", "ix", "iy").orderBy("iz").rangeBetween(Window.unboundedPreceding, -1)
+        landing = F.max(F.when((F.col("run") == 0) & (F.col("down") == 0), F.struct("iz", "voxel_idx"))).over(below)
+        falls = F.col("down") == 1
+        stop = F.when(falls, F.struct(F.col("l.voxel_idx").alias("idx"), F.lit(0).alias("run"), (F.col("iz") - F.col("l.iz")).alias("length"))).otherwise(F.struct(F.col("voxel_idx").alias("idx"), "run", F.lit(0).alias("length")))
+        self.nodes, _ = written(moves.withColumn("l", landing).withColumn("stop", stop).drop("l"))
+        turns = self.nodes.where("down = 0")
+        ahead = self.nodes.select("grid_id", F.col("voxel_idx").alias("to_idx"), F.col("run").alias("to_run"), F.col("stop").alias("s"), "down")
+        first = turns.drop("down").join(ahead, ["grid_id", "to_idx", "to_run"], "left").select(
+            *NODE, F.col("s.idx").alias("next_idx"), F.col("s.run").alias("next_run"), F.coalesce(F.col("s.length") + 1, F.lit(0)).cast("long").alias("steps"), F.when(F.col("s").isNotNull(), 1).otherwise(0).cast("long").alias("sides"),
+            # sideways steps before the next one down or the end, and whether none came so far
+            F.when(F.col("s").isNotNull(), 1).otherwise(0).alias("lead"), (F.coalesce("down", F.lit(0)) == 0).alias("level"), F.when(F.col("s").isNull(), F.col("voxel_idx")).alias("end_idx"),
+        )
+        now, seen = written(first, more=F.count("next_idx"))
+        self.levels = [now]
+        for _ in range(max_rounds):
+            if not seen["more"]:
+                break
+            then = now.select("grid_id", F.col("voxel_idx").alias("next_idx"), F.col("run").alias("next_run"), *(F.col(c).alias(f"t_{c}") for c in ("next_idx", "next_run", "steps", "sides", "lead", "level", "end_idx")))
+            on = ["grid_id", "next_idx", "next_run"]
+            moved = now.join(then, on, "left").select(
+                *NODE, F.col("t_next_idx").alias("next_idx"), F.col("t_next_run").alias("next_run"), *((F.col(c) + F.coalesce(f"t_{c}", F.lit(0))).alias(c) for c in ("steps", "sides")),
+                (F.col("lead") + F.when(F.col("level"), F.coalesce("t_lead", F.lit(0))).otherwise(0)).alias("lead"), (F.col("level") & F.coalesce("t_level", F.lit(True))).alias("level"), F.coalesce("end_idx", "t_end_idx").alias("end_idx"),
+            )
+            now, seen = written(moved, more=F.count("next_idx"))
+            self.levels.append(now)
+        else:
+            raise RuntimeError(f"ways of more than 2 to the {max_rounds} turns")
+        self.totals = now.select(*NODE, "steps", "sides", "lead", "end_idx")
+
+    def ways(self, at: DataFrame) -> DataFrame:
+        """The columns of `at` (grid_id, voxel_idx, run, ...) with steps, sides, lead and end_idx; rows without a way go."""
+        stops = at.join(self.nodes.select(*NODE, "stop"), NODE).withColumns({"at_idx": F.col("stop.idx"), "at_run": F.col("stop.run")})
+        ends = self.totals.select("grid_id", F.col("voxel_idx").alias("at_idx"), F.col("run").alias("at_run"), "steps", "sides", "lead", "end_idx")
+        return stops.join(ends, ["grid_id", "at_idx", "at_run"]).select(*at.columns, (F.col("steps") + F.col("stop.length")).alias("steps"), "sides", F.when(F.col("stop.length") > 0, 0).otherwise(F.col("lead")).alias("lead"), "end_idx")
+
+    def flow(self, put: DataFrame, total) -> DataFrame:
+        """(grid_id, voxel_idx, run, value): what passes each node, where `put` has (grid_id, voxel_idx, run, value) that start on theirs.
+
+        `total` is F.sum or F.min. Values go down the pointers by doubling, so
+        rounds are the logarithm of the turns of a way.
+        """
+        placed = put.join(self.nodes, NODE).select(*NODE, *CELL[1:], "to_idx", "down", "stop", "value")
+        value = placed.select("grid_id", F.col("stop.idx").alias("voxel_idx"), F.col("stop.run").alias("run"), "value").groupBy(*NODE).agg(total("value").alias("value"))
+        for level in self.levels:
+            sent = value.join(level.where("next_idx is not null").select(*NODE, "next_idx", "next_run"), NODE).select("grid_id", F.col("next_idx").alias("voxel_idx"), F.col("next_run").alias("run"), "value")
+            value, _ = written(value.unionByName(sent).groupBy(*NODE).agg(total("value").alias("value")))
+        # what a sideways step brings onto a falling node, and what was put there
+        stepped = value.join(self.nodes.where("down = 0 and to_idx is not null").select(*NODE, "to_idx", "to_run"), NODE).select("grid_id", F.col("to_idx").alias("voxel_idx"), F.col("to_run").alias("run"), "value")
+        arrived = stepped.join(self.nodes.where("down = 1").select(*NODE, "to_idx"), NODE).unionByName(placed.where("down = 1").select(*NODE, "value", "to_idx"))
+        later = arrived.where("run > 0")
+        # below, all of it falls with run 0, over each cell down to the landing
+        onto = arrived.where("run = 0").select("grid_id", "voxel_idx", "value").unionByName(later.select("grid_id", F.col("to_idx").alias("voxel_idx"), "value"))
+        column = self.nodes.where("down = 1 and run = 0").join(onto.groupBy(*KEY).agg(total("value").alias("value")), KEY, "left")
+        over = Window.partitionBy("grid_id", "ix", "iy", "stop.idx").orderBy(F.col("iz").desc()).rowsBetween(Window.unboundedPreceding, 0)
+        fallen = column.select(*NODE, total("value").over(over).alias("value")).where("value is not null")
+        return value.unionByName(later.select(*NODE, "value")).unionByName(fallen).groupBy(*NODE).agg(total("value").alias("value"))
+
+
+class Ways:
+    """Ways of all core and program voxels to the ground, as two forests; see `find_ways`."""
+
+    def __init__(self, cells: DataFrame, ground: DataFrame, limit: int, max_rounds: int):
+        self.cells = checkpointed(cells.select(*KEY, *CELL[1:], "program_idx"))
+        grounded = self.cells.select(*KEY, *CELL[1:]).join(ground.select(*KEY).distinct().withColumn("ends", F.lit(limit).cast("long")), KEY, "left")
+        self.core = Forest(_moves(grounded.withColumn("joined", F.lit(None).cast("long")), limit, max_rounds))
+        zero = F.lit(0).alias("run")
+        cores = self.cells.where(F.col("program_idx") == CORE).select(*KEY, zero, (-F.col("iz")).alias("height"))
+        passing = self.core.flow(cores.select(*NODE, F.struct("height", F.col("voxel_idx").alias("source")).alias("value")), F.min)
+        # the core of the highest, then least, voxel that passes a cell owns it
+        owner = passing.groupBy(*KEY).agg(F.min(F.struct("value", "run")).alias("o")).select(*KEY, F.col("o.run").alias("run"))
+        self.owner = checkpointed(self.core.ways(owner))
+        onto = self.owner.select(*KEY, (F.lit(limit) - F.col("lead")).cast("long").alias("free"))
+        joined = grounded.join(onto, KEY, "left").select(*KEY, *CELL[1:], F.coalesce("ends", "free").alias("ends"), F.when(F.col("free").isNotNull(), 1).cast("long").alias("joined"))
+        self.own = Forest(_moves(joined, limit, max_rounds))
+
+    def routes(self) -> DataFrame:
+        """(grid_id, source, program_idx, steps, capacity) of every core and program voxel with a way: a sideways step leaves a quarter, a step down all of it."""
+        return self._routes().select("grid_id", F.col("voxel_idx").alias("source"), "program_idx", F.col("steps").cast("int").alias("steps"), F.pow(F.lit(LEFT), "sides").alias("capacity"))
+
+    def _routes(self) -> DataFrame:
+        """Sources with the sums of their ways, and the core way that a program's goes over to."""
+        at = self.cells.select(*KEY, F.lit(0).alias("run"), "program_idx")
+        none = F.lit(None).cast("int").alias("tail_run")
+        cores = self.core.ways(at.where(F.col("program_idx") == CORE)).select(*KEY, "program_idx", "steps", "sides", "end_idx", none)
+        tails = self.owner.select("grid_id", F.col("voxel_idx").alias("end_idx"), F.col("run").alias("tail_run"), F.col("steps").alias("tail_steps"), F.col("sides").alias("tail_sides"))
+        own = self.own.ways(at.where("program_idx >= 0")).join(tails, ["grid_id", "end_idx"], "left")
+        more = [(F.col(c) + F.coalesce(f"tail_{c}", F.lit(0))).alias(c) for c in ("steps", "sides")]
+        return cores.unionByName(own.select(*KEY, "program_idx", *more, "end_idx", "tail_run"))
+
+    def _flows(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What passes the nodes of both forests, and what programs bring onto core ways; a core's way carries 1 and a program's its capacity."""
+        routes = checkpointed(self._routes().withColumn("value", F.when(F.col("program_idx") == CORE, 1.0).otherwise(F.pow(F.lit(LEFT), "sides"))))
+        zero = F.lit(0).alias("run")
+        own = self.own.flow(routes.where("program_idx >= 0").select(*KEY, zero, "value"), F.sum)
+        tails = routes.where("tail_run is not null").select("grid_id", F.col("end_idx").alias("voxel_idx"), F.col("tail_run").alias("run"), "value")
+        return own, self.core.flow(routes.where(F.col("program_idx") == CORE).select(*KEY, zero, "value").unionByName(tails), F.sum), tails
+
+    def passing(self) -> DataFrame:
+        """(grid_id, voxel_idx, value): the sum of what the ways through each voxel carry."""
+        own, core, tails = self._flows()
+        # where a program's way goes over to a core's, the cell is on both
+        twice = tails.select(*KEY, (-F.col("value")).alias("value"))
+        every = own.select(*KEY, "value").unionByName(core.select(*KEY, "value")).unionByName(twice)
+        return every.groupBy(*KEY).agg(F.sum("value").alias("value"))
+
+    def edges(self) -> DataFrame:
+        """(grid_id, a, b) of the distinct steps of all ways, in either direction, with a < b."""
+        own, core, _ = self._flows()
+        steps = [flow.join(forest.nodes.where("to_idx is not null").select(*NODE, "to_idx"), NODE).select("grid_id", F.least("voxel_idx", "to_idx").alias("a"), F.greatest("voxel_idx", "to_idx").alias("b")) for flow, forest in ((own, self.own), (core, self.core))]
+        return steps[0].unionByName(steps[1]).distinct()
+
+
+def find_ways(cells: DataFrame, ground: DataFrame, max_cantilever: int = 4, max_rounds: int = 10_000) -> Ways:
+    """The ways of each core and program voxel to the ground, without listing them.
 
-    return best.select(*KEY, *CELL[1:], F.explode(F.array_compact(F.array(*(move(r) for r in runs)))).alias("m")).select(*KEY, *CELL[1:], "m.*")
+    `cells` has grid_id, voxel_idx, ix, iy, iz, program_idx. A way goes down for
+    1 or sideways for 4, never up, with at most max_cantilever sideways steps in
+    a row, through any voxel. Cores go first, each by itself. The cells of their
+    ways are the network: a step onto it costs a fifth, and a program may end on
+    it and go on as the core of the highest, then least, voxel that passes there,
+    where the sideways steps in a row allow it. Programs do not attract each
+    other. Ties go to the lesser next voxel. Ground rows that are no voxels are
+    dropped. Rows are at most voxels times max_cantilever + 1.
+    """
+    if max_cantilever < 0:
+        raise ValueError("max_cantilever has to be 0 or more")
+    return Ways(cells, ground, int(max_cantilever), max_rounds)
 
 
-def _traced(moves: DataFrame, sources: DataFrame, voxels: DataFrame, max_rounds: int) -> DataFrame:
-    """(grid_id, source, step, voxel_idx, ix, iy, iz) of every source with a way; a round is a move of all of them."""
-    moves = checkpointed(moves)
-    at = sources.select(*KEY, F.col("voxel_idx").alias("source"), F.lit(0).alias("run"), F.lit(0).alias("step"))
+def _listed(forest: Forest, sources: DataFrame, max_rounds: int) -> DataFrame:
+    """(grid_id, source, step, voxel_idx) of every source's way from its node; a round is a fall or a sideways step of all of them."""
+    moves = forest.nodes.select(*NODE, *CELL[1:], "to_idx", "to_run", "down", "stop")
+    at = sources.select("grid_id", "voxel_idx", "run", "source", F.lit(0).cast("long").alias("step"))
     pieces = None
     for _ in range(max_rounds):
-        made, seen = counted(at.join(moves, [*KEY, "run"]).select("grid_id", "source", "step", *CELL[1:], "length", "to_idx", "to_run"), more=F.count("to_idx"))
+        made, seen = counted(at.join(moves, NODE).select("grid_id", "source", "step", *CELL[1:], "voxel_idx", "to_idx", "to_run", "down", "stop"), more=F.count("to_idx"))
         pieces = made if pieces is None else pieces.unionByName(made)
         if not seen["more"]:
             break
-        at = made.where("to_idx is not null").select("grid_id", F.col("to_idx").alias("voxel_idx"), "source", F.col("to_run").alias("run"), (F.col("step") + F.col("length")).alias("step"))
+        falls = F.col("down") == 1
+        at = made.where("to_idx is not null").select("grid_id", F.when(falls, F.col("stop.idx")).otherwise(F.col("to_idx")).alias("voxel_idx"), F.when(falls, 0).otherwise(F.col("to_run")).alias("run"), "source", (F.col("step") + F.when(falls, F.col("stop.length")).otherwise(1)).alias("step"))
     else:
         raise RuntimeError(f"ways not traced in {max_rounds} rounds")
-    cells = pieces.select("*", F.explode(F.sequence(F.lit(0), F.col("length") - 1)).alias("k")).select("grid_id", "source", (F.col("step") + F.col("k")).alias("step"), "ix", "iy", (F.col("iz") - F.col("k")).alias("iz"))
-    return checkpointed(cells.join(voxels.select(*KEY, *CELL[1:]), CELL).select("grid_id", "source", "step", "voxel_idx", *CELL[1:]))
+    length = F.greatest(F.col("stop.length"), F.lit(1))
+    return pieces.select("*", F.explode(F.sequence(F.lit(0), length - 1)).alias("k")).select("grid_id", "source", (F.col("step") + F.col("k")).alias("step"), "ix", "iy", (F.col("iz") - F.col("k")).alias("iz"))
 
 
 def load_paths(cells: DataFrame, ground: DataFrame, max_cantilever: int = 4, max_rounds: int = 10_000) -> DataFrame:
-    """(grid_id, source, program_idx, step, voxel_idx, ix, iy, iz): the way of each core and program voxel to the ground.
+    """(grid_id, source, program_idx, step, voxel_idx, ix, iy, iz): the ways of `find_ways`, cell by cell.
 
-    `cells` has grid_id, voxel_idx, ix, iy, iz, program_idx. A way goes down for
-    1 or sideways for 4, never up, with at most max_cantilever sideways steps in
-    a row, through any voxel. Cores go first, each by itself. The cells of their
-    ways are the network: a step onto it costs a fifth, and a program may end on
-    it and go on as the core of the highest, then least, voxel that passes there,
-    where the sideways steps in a row allow it. Programs do not attract each
-    other. Ties go to the lesser next voxel. A voxel without a way has no rows;
-    ground rows that are no voxels are dropped.
+    Rows are the sum of all lengths; `Ways` has sums, capacities and importance
+    without them. A voxel without a way has no rows.
     """
-    if max_cantilever < 0:
-        raise ValueError("max_cantilever has to be 0 or more")
-    limit = int(max_cantilever)
-    slim = checkpointed(cells.select(*KEY, *CELL[1:], "program_idx"))
-    grounded = slim.select(*KEY, *CELL[1:]).join(ground.select(*KEY).distinct().withColumn("ends", F.lit(limit)), KEY, "left")
-    first = _costs(grounded.withColumn("joined", F.lit(False)), limit, max_rounds)
-    cores = _traced(_moves(first, limit), slim.where(F.col("program_idx") == CORE), slim, max_rounds)
-    level, way = Window.partitionBy("grid_id", "source", "iz"), Window.partitionBy("grid_id", "source")
-    lead = F.max("step").over(level) - F.col("step")
-    passing = cores.withColumn("lead", lead).withColumn("top", F.max("iz").over(way))
-    owner = checkpointed(passing.groupBy(*KEY).agg(F.min(F.struct((-F.col("top")).alias("height"), "source", "step", "lead")).alias("o")).select(*KEY, F.col("o.source").alias("core"), F.col("o.step").alias("core_step"), F.col("o.lead").alias("lead")))
-    joined = grounded.join(owner.select(*KEY, "lead"), KEY, "left").select(*KEY, *CELL[1:], F.coalesce("ends", F.lit(limit) - F.col("lead")).alias("ends"), F.col("lead").isNotNull().alias("joined"))
-    second = _costs(joined, limit, max_rounds)
-    own = _traced(_moves(second, limit), slim.where("program_idx >= 0"), slim, max_rounds)
-    last = own.groupBy("grid_id", "source").agg(F.max_by("voxel_idx", "step").alias("voxel_idx"), F.max("step").alias("last"))
-    tails = last.join(owner, KEY).select("grid_id", "source", "last", "core", "core_step")
-    rest = tails.join(cores.withColumnRenamed("source", "core"), ["grid_id", "core"]).where("step > core_step").select("grid_id", "source", (F.col("last") + F.col("step") - F.col("core_step")).alias("step"), "voxel_idx", *CELL[1:])
-    every = cores.unionByName(own).unionByName(rest)
-    programs = slim.select("grid_id", F.col("voxel_idx").alias("source"), "program_idx")
+    ways = find_ways(cells, ground, max_cantilever, max_rounds)
+    start = ways.cells.select(*KEY, F.lit(0).alias("run"), F.col("voxel_idx").alias("source"), "program_idx")
+    cores = _listed(ways.core, start.where(F.col("program_idx") == CORE), max_rounds)
+    own = _listed(ways.own, start.where("program_idx >= 0"), max_rounds)
+    tails = checkpointed(ways._routes().where("tail_run is not null").select("grid_id", F.col("end_idx").alias("voxel_idx"), F.col("tail_run").alias("run"), F.col("voxel_idx").alias("source")))
+    own_steps = ways.own.ways(start.where("program_idx >= 0").select(*KEY, "run", "source")).select("grid_id", "source", F.col("steps").alias("before"))
+    rest = _listed(ways.core, tails, max_rounds).where("step > 0").join(own_steps, ["grid_id", "source"]).withColumn("step", F.col("step") + F.col("before")).drop("before")
+    every = cores.unionByName(own).unionByName(rest).join(ways.cells.select(*KEY, *CELL[1:]), CELL)
+    programs = ways.cells.select("grid_id", F.col("voxel_idx").alias("source"), "program_idx")
     return every.join(programs, ["grid_id", "source"]).select("grid_id", "source", "program_idx", "step", "voxel_idx", *CELL[1:])
 
 
@@ -162,13 +281,16 @@ def unsupported(cells: DataFrame, capacity: DataFrame) -> DataFrame:
     return cells.where(F.col("program_idx") != UNASSIGNED).join(known, KEY, "left_anti").select(*KEY, "program_idx")
 
 
-def importance(paths: DataFrame, cells: DataFrame) -> DataFrame:
+def importance(paths: DataFrame | Ways, cells: DataFrame) -> DataFrame:
     """(grid_id, voxel_idx, importance) of the unassigned voxels on a way: the structure.
 
-    A core's way adds 1 to each, a program's way its capacity.
+    A core's way adds 1 to each, a program's way its capacity. Takes listed paths,
+    or the ways themselves, which need no list.
     """
-    weight = F.when(F.col("program_idx") == CORE, 1.0).otherwise(F.col("capacity"))
     free = cells.where(F.col("program_idx") == UNASSIGNED).select(*KEY)
+    if isinstance(paths, Ways):
+        return paths.passing().join(free, KEY, "left_semi").where("value > 0").select(*KEY, F.col("value").alias("importance"))
+    weight = F.when(F.col("program_idx") == CORE, 1.0).otherwise(F.col("capacity"))
     on = paths.join(free, KEY, "left_semi").select("grid_id", "source", "voxel_idx")
     return on.join(capacities(paths).select("grid_id", "source", weight.alias("weight")), ["grid_id", "source"]).groupBy(*KEY).agg(F.sum("weight").alias("importance"))
 

@@ -27,7 +27,7 @@ def v_box_report(spark, sf_dir):
 
 def v_support(spark, sf_dir):
     cells = base._assigned_cells(spark, sf_dir)
-    return support.support(cells, support.ground_contact(cells), 2).drop("grid_id")
+    return support.support(cells, support.ground_contact(cells)).drop("grid_id")
 
 
 def v_membranes(spark, sf_dir):
@@ -135,7 +135,7 @@ def v_core_coverage(spark, sf_dir):
 
 def v_support_report(spark, sf_dir):
     cells = base._assigned_cells(spark, sf_dir)
-    return support.support_report(support.support(cells, support.ground_contact(cells), 2))
+    return support.support_report(support.support(cells, support.ground_contact(cells)))
 
 
 def v_gradient(spark, sf_dir):
@@ -175,23 +175,27 @@ def v_footprints(spark, sf_dir):
 
 def _ways(spark, sf_dir):
     cells = base._assigned_cells(spark, sf_dir)
-    return loads.load_paths(cells, support.ground_contact(cells), 2), cells
+    return loads.find_ways(cells, support.ground_contact(cells)), cells
 
 
 def v_load_paths(spark, sf_dir):
     """Steps and capacity of each core and program voxel's way to the ground."""
-    return loads.capacities(_ways(spark, sf_dir)[0])
+    return _ways(spark, sf_dir)[0].routes()
 
 
 def v_structure(spark, sf_dir):
     """Unassigned voxels that ways lean on."""
-    paths, cells = _ways(spark, sf_dir)
-    return loads.importance(paths, cells)
+    return loads.importance(*_ways(spark, sf_dir))
 
 
 def v_load_clusters(spark, sf_dir):
-    paths, cells = _ways(spark, sf_dir)
-    return loads.cluster_strength(regions.clusters(cells), loads.capacities(paths))
+    ways, cells = _ways(spark, sf_dir)
+    return loads.cluster_strength(regions.clusters(cells), ways.routes())
+
+
+def v_network_edges(spark, sf_dir):
+    """Steps of all ways, once each."""
+    return _ways(spark, sf_dir)[0].edges().drop("grid_id")
 
 
 def v_region_report(spark, sf_dir):
@@ -232,6 +236,39 @@ def v_voxelize(spark, sf_dir):
     return meshes.voxelize(triangles, 4).groupBy("grid_id").agg(F.count(F.lit(1)).alias("voxels"))
 
 
+def v_limits(spark, sf_dir):
+    """Voxels of each program beside its limit."""
+    scored, programs = base._scored(spark, base.fixture(spark, sf_dir))
+    return al.limits_report(al.argmax_clamp(scored, programs, show_all=False), programs)
+
+
+def v_stats_report(spark, sf_dir):
+    return ch.stats_report(base._channels(base.fixture(spark, sf_dir)))
+
+
+def v_floor_report(spark, sf_dir):
+    return ch.floor_report(_floors(base.fixture(spark, sf_dir), 3.0), 3.0, "real_estate").withColumn("value", F.round("value", 9))
+
+
+def v_cap_counts(spark, sf_dir):
+    return interfaces.cap_counts(interfaces.caps(base._assigned_cells(spark, sf_dir), include_core=False))
+
+
+def v_core_report(spark, sf_dir):
+    """Core ids of the middle column, and of cells of several lines beyond the grid."""
+    cells = base.fixture(spark, sf_dir)
+    middle = (F.abs(F.col("ix") - base.SIDES[0] // 2) <= 2) & (F.abs(F.col("iy") - base.SIDES[1] // 2) <= 2)
+    beyond = cells.where("n > 1").select("grid_id", (F.col("voxel_idx") + 10**12).alias("voxel_idx"))
+    return al.core_report(cells.where(middle).select(*vx.KEY).unionByName(beyond), cells)
+
+
+def v_weight_archive(spark, sf_dir):
+    """Weights of makers and brands: those stored from parts of size 30 at most, merged with the pairs of size 20 and up."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_mfgr").alias("program_name"), F.col("p_brand").alias("label"), F.col("p_size").alias("size"))
+    stored = part.where("size <= 30").groupBy("program_name", "label").agg(((F.min("size") - 3).cast("double") / 2).alias("weight"))
+    return vx.merged_weights(stored, part.where("size >= 20"))
+
+
 QUERIES = {k: f for k, f in list(globals().items()) if k.startswith("v_")}
 
 _WALK = "(VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0)) AS s(dx, dy, up)"
@@ -283,7 +320,70 @@ edge AS MATERIALIZED (
   ANTI JOIN plan q ON {_TOUCHING} AND q.ix = p.ix + ox AND q.iy = p.iy + oy),
 edges AS MATERIALIZED (SELECT p.node AS a, q.node AS b FROM edge p JOIN edge q ON {_TOUCHING} AND q.x = p.to_x AND q.y = p.to_y QUALIFY row_number() OVER (PARTITION BY p.node ORDER BY (p.side + 5 - q.side) % 4) = 1)"""
 
+#: costs, next moves and ways of cores, then of programs onto and over the cores' ways; a cantilever of 4
+_WAYS = f"""ground AS MATERIALIZED (SELECT voxel_idx AS v FROM a WHERE iz = 0),
+step AS MATERIALIZED (SELECT p.voxel_idx AS a, q.voxel_idx AS b, up = 1 AS falls FROM a p CROSS JOIN (SELECT * FROM {_WALK} UNION ALL SELECT 0, 0, 1) s JOIN a q ON q.gx = p.gx + dx AND q.iy = p.iy + dy AND q.iz = p.iz + up),
+cost1(v, r, c) USING KEY (v, r) AS (
+  SELECT v, r, 0 FROM ground CROSS JOIN range(5) AS t(r)
+  UNION SELECT * FROM (SELECT DISTINCT ON (o.v, o.r) o.v, o.r, o.c
+    FROM (SELECT b AS v, t.r, c + CASE WHEN falls THEN 5 ELSE 20 END AS c FROM cost1 k JOIN step ON a = k.v JOIN range(5) AS t(r) ON (falls AND k.r = 0) OR (NOT falls AND t.r = k.r - 1)) o
+    LEFT JOIN recurring.cost1 n ON n.v = o.v AND n.r = o.r WHERE n.c IS NULL OR o.c < n.c ORDER BY o.v, o.r, o.c)),
+move1 AS MATERIALIZED (
+  SELECT DISTINCT ON (k.v, k.r) k.v, k.r, a AS goes, CASE WHEN falls THEN 0 ELSE k.r + 1 END AS run, NOT falls AS side
+  FROM cost1 k JOIN step ON b = k.v JOIN cost1 n ON n.v = a AND n.r = CASE WHEN falls THEN 0 ELSE k.r + 1 END WHERE k.v NOT IN (FROM ground) ORDER BY k.v, k.r, n.c + CASE WHEN falls THEN 5 ELSE 20 END, a),
+walk1 AS (
+  SELECT v AS s, v, r, 0 AS n, 0 AS sides FROM cost1 JOIN a ON voxel_idx = v WHERE program_idx = -2 AND r = 0
+  UNION ALL SELECT s, goes, run, n + 1, sides + side::INTEGER FROM walk1 w JOIN move1 m ON m.v = w.v AND m.r = w.r),
+led AS (SELECT w.*, max(n) OVER (PARTITION BY s, p.iz) - n AS lead, q.iz AS top, max(n) OVER (PARTITION BY s) - n AS rest, max(sides) OVER (PARTITION BY s) - sides AS rest_sides FROM walk1 w JOIN a p ON p.voxel_idx = v JOIN a q ON q.voxel_idx = s),
+owner AS MATERIALIZED (SELECT DISTINCT ON (v) v, s, n, lead, rest, rest_sides FROM led ORDER BY v, top DESC, s),
+sink AS MATERIALIZED (SELECT v, max(ends) AS ends FROM (SELECT v, 4 AS ends FROM ground UNION ALL SELECT v, 4 - lead FROM owner) GROUP BY v),
+paid AS MATERIALIZED (SELECT a, b, falls, CASE WHEN falls THEN 5 ELSE 20 END // CASE WHEN a IN (SELECT v FROM owner) THEN 5 ELSE 1 END AS c FROM step),
+cost2(v, r, c) USING KEY (v, r) AS (
+  SELECT v, r, 0 FROM sink JOIN range(5) AS t(r) ON r <= ends
+  UNION SELECT * FROM (SELECT DISTINCT ON (o.v, o.r) o.v, o.r, o.c
+    FROM (SELECT b AS v, t.r, k.c + p.c AS c FROM cost2 k JOIN paid p ON a = k.v JOIN range(5) AS t(r) ON (falls AND k.r = 0) OR (NOT falls AND t.r = k.r - 1)) o
+    LEFT JOIN recurring.cost2 n ON n.v = o.v AND n.r = o.r WHERE n.c IS NULL OR o.c < n.c ORDER BY o.v, o.r, o.c)),
+move2 AS MATERIALIZED (
+  SELECT DISTINCT ON (k.v, k.r) k.v, k.r, a AS goes, CASE WHEN falls THEN 0 ELSE k.r + 1 END AS run, NOT falls AS side
+  FROM cost2 k JOIN paid p ON b = k.v JOIN cost2 n ON n.v = a AND n.r = CASE WHEN falls THEN 0 ELSE k.r + 1 END LEFT JOIN sink ON sink.v = k.v WHERE coalesce(ends, -1) < k.r ORDER BY k.v, k.r, n.c + p.c, a),
+walk2 AS (
+  SELECT v AS s, v, r, 0 AS n, 0 AS sides FROM cost2 JOIN a ON voxel_idx = v WHERE program_idx >= 0 AND r = 0
+  UNION ALL SELECT s, goes, run, n + 1, sides + side::INTEGER FROM walk2 w JOIN move2 m ON m.v = w.v AND m.r = w.r),
+last AS (SELECT s, max(n) AS n, max(sides) AS sides, arg_max(v, n) AS v FROM walk2 GROUP BY s),
+route AS MATERIALIZED (
+  SELECT s, n + coalesce(rest, 0) AS n, sides + coalesce(rest_sides, 0) AS sides, core, core_n FROM (SELECT l.s, l.n, l.sides, o.s AS core, o.n AS core_n, rest, rest_sides FROM last l LEFT JOIN owner o ON o.v = l.v)
+  UNION ALL SELECT s, max(n), max(sides), NULL, NULL FROM walk1 GROUP BY s),
+capacity AS (SELECT g AS grid_id, s AS source, program_idx, n::INTEGER AS steps, 0.25::DOUBLE ** sides AS capacity, core, core_n FROM route JOIN a ON voxel_idx = s),
+every AS (
+  SELECT s, v, n FROM walk1 UNION ALL SELECT s, v, n FROM walk2
+  UNION ALL SELECT r.s, w.v, l.n + w.n - core_n FROM route r JOIN last l USING (s) JOIN walk1 w ON w.s = core AND w.n > core_n)"""
+
 ORACLE_SQL = {
+    "v_limits": f"""WITH {base._BEST}, c AS (
+  SELECT g, CASE WHEN row_number() OVER (PARTITION BY g, program_idx ORDER BY winning_score DESC, voxel_idx) > CASE program_idx WHEN 0 THEN 5000 WHEN 1 THEN 3000 ELSE 1000000000 END THEN -1 ELSE program_idx END AS program_idx FROM best),
+p AS (SELECT * FROM (VALUES (0, 'Office', 5000), (1, 'Retail', 3000), (2, 'Housing', NULL)) AS v(i, name, voxel_limit))
+SELECT gs.g AS grid_id, i AS program_idx, name, count(c.g) AS assigned, voxel_limit FROM (SELECT DISTINCT g FROM best) gs CROSS JOIN p LEFT JOIN c ON c.g = gs.g AND c.program_idx = i GROUP BY ALL""",
+    "v_stats_report": f"""WITH {base._NORM} SELECT g AS grid_id, 'qty' AS label, min(c.qty) AS min_value, max(c.qty) AS max_value, min(n.qty) AS norm_min, max(n.qty) AS norm_max FROM cells c JOIN norm n USING (voxel_idx, g) GROUP BY g
+UNION ALL SELECT g, 'price', min(c.price), max(c.price), min(n.price), max(n.price) FROM cells c JOIN norm n USING (voxel_idx, g) GROUP BY g""",
+    "v_floor_report": f"""WITH RECURSIVE {base._CELLS}, tops AS (SELECT g, max(iz) + 1 AS top FROM cells GROUP BY g),
+curve AS (SELECT g, top, 1 AS f, 1.0::DOUBLE AS v FROM tops UNION ALL SELECT g, top, f + 1, v * CASE {_RATE} ELSE {ch.GROWTH_ABOVE}::DOUBLE END FROM curve WHERE f < top),
+start AS (SELECT g, greatest(2, top - floor(top * 0.06)::INTEGER) AS s FROM tops),
+below AS (SELECT g, coalesce(avg(v) FILTER (f < s), 1) AS mean, max(v) FILTER (f = s) AS first FROM curve JOIN start USING (g) GROUP BY g),
+value AS (SELECT g, f, f >= s AS penthouse, CASE WHEN f < s THEN v ELSE greatest(first, 1.35::DOUBLE * mean) * 1.02::DOUBLE ** (f - s) END AS v FROM curve JOIN start USING (g) JOIN below USING (g))
+SELECT c.g AS grid_id, f AS floor_idx, count(*) AS voxels, (3.0 * (f - 1))::DOUBLE AS low, (3.0 * f)::DOUBLE AS high, round(any_value(v), 9) AS value, any_value(penthouse) AS penthouse FROM cells c JOIN value ON value.g = c.g AND f = iz + 1 GROUP BY c.g, f""",
+    "v_cap_counts": f"""WITH {base._MIXED} SELECT p.g AS grid_id, CASE WHEN q.voxel_idx IS NULL THEN 'exterior' WHEN q.program_idx = -2 THEN 'core' ELSE 'unallocated' END AS kind, count(*) AS caps
+FROM a p CROSS JOIN (VALUES (1), (-1)) AS s(direction) LEFT JOIN a q ON q.gx = p.gx AND q.iy = p.iy AND q.iz = p.iz + s.direction WHERE p.program_idx >= 0 AND (q.voxel_idx IS NULL OR q.program_idx < 0) GROUP BY ALL""",
+    "v_core_report": f"WITH {base._CELLS} SELECT g AS grid_id, count(*) FILTER (abs(ix - 24) <= 2 AND abs(iy - 24) <= 2) AS valid, count(*) FILTER (n > 1) AS invalid FROM cells GROUP BY g HAVING valid + invalid > 0",
+    "v_weight_archive": """WITH s AS (SELECT p_mfgr, p_brand, (min(p_size) - 3)::DOUBLE / 2 AS w FROM part WHERE p_size <= 30 GROUP BY ALL), l AS (SELECT DISTINCT p_mfgr, p_brand FROM part WHERE p_size >= 20)
+SELECT p_mfgr AS program_name, p_brand AS label, greatest(-1, least(1, coalesce(w, 1)))::DOUBLE AS weight, l.p_mfgr IS NOT NULL AS live, w IS NOT NULL AS stored FROM s FULL JOIN l USING (p_mfgr, p_brand)""",
+    "v_load_paths": f"WITH RECURSIVE {base._MIXED}, {_WAYS} SELECT grid_id, source, program_idx, steps, capacity FROM capacity",
+    "v_structure": f"""WITH RECURSIVE {base._MIXED}, {_WAYS}
+SELECT c.grid_id, voxel_idx, sum(CASE WHEN c.program_idx = -2 THEN 1.0::DOUBLE ELSE capacity END) AS importance FROM every e JOIN capacity c ON source = s JOIN a ON voxel_idx = v WHERE a.program_idx = -1 GROUP BY ALL""",
+    "v_network_edges": f"""WITH RECURSIVE {base._MIXED}, {_WAYS}
+SELECT DISTINCT least(x.v, y.v) AS a, greatest(x.v, y.v) AS b FROM every x JOIN every y ON y.s = x.s AND y.n = x.n + 1""",
+    "v_load_clusters": f"WITH RECURSIVE {base._MIXED}, {_WAYS}, " + _least("edges AS MATERIALIZED (SELECT p.voxel_idx AS a, q.voxel_idx AS b FROM a p CROSS JOIN " + base._STEPS + " JOIN a q ON q.gx = p.gx + dx AND q.iy = p.iy + dy AND q.iz = p.iz + dz AND q.program_idx = p.program_idx WHERE p.program_idx >= 0), nodes AS MATERIALIZED (SELECT voxel_idx AS node FROM a WHERE program_idx >= 0)", "nodes") + """
+SELECT g AS grid_id, a.program_idx, least AS cluster, count(*) AS voxels, count(*) FILTER (capacity IS NULL) AS unrouted, bool_or(capacity IS NULL) AS unsupported, bool_or(capacity IS NULL OR capacity <= 0.25) AS weak
+FROM a JOIN cc ON node = voxel_idx LEFT JOIN capacity ON source = voxel_idx GROUP BY ALL""",
     "v_clusters": f"WITH RECURSIVE {base._MIXED}, " + _least("edges AS MATERIALIZED (SELECT p.voxel_idx AS a, q.voxel_idx AS b FROM a p CROSS JOIN " + base._STEPS + " JOIN a q ON q.gx = p.gx + dx AND q.iy = p.iy + dy AND q.iz = p.iz + dz AND q.program_idx = p.program_idx WHERE p.program_idx >= 0), nodes AS MATERIALIZED (SELECT voxel_idx AS node FROM a WHERE program_idx >= 0)", "nodes") + " SELECT voxel_idx, program_idx, least AS cluster FROM a JOIN cc ON node = voxel_idx",
     "v_floor_regions": f"{_REGIONS} SELECT * FROM region",
     "v_region_numbers": f"{_REGIONS} SELECT *, row_number() OVER (PARTITION BY grid_id, program_idx, floor_idx ORDER BY first_x, first_y) - 1 AS number FROM region",
@@ -319,7 +419,7 @@ walk AS (
   SELECT gx, iy, iz, 0 AS need FROM a WHERE iz = 0
   UNION
   SELECT a.gx, a.iy, a.iz, CASE WHEN up = 1 THEN 0 ELSE need + 1 END FROM walk w CROSS JOIN (SELECT * FROM {_WALK} UNION ALL SELECT 0, 0, 1) s
-  JOIN a ON a.gx = w.gx + dx AND a.iy = w.iy + dy AND a.iz = w.iz + up WHERE up = 1 OR need < 2)
+  JOIN a ON a.gx = w.gx + dx AND a.iy = w.iy + dy AND a.iz = w.iz + up WHERE up = 1 OR need < 4)
 SELECT voxel_idx, program_idx, min(need) AS overhang FROM a LEFT JOIN walk USING (gx, iy, iz) GROUP BY ALL""",
     "v_membranes": f"""WITH {base._MIXED}, centre AS (SELECT g, program_idx, avg(ix) + 0.5 AS mx, avg(iy) + 0.5 AS my, avg(iz) + 0.5 AS mz FROM a GROUP BY g, program_idx)
 SELECT p.program_idx, p.voxel_idx, dir, {_MOVED.replace("ix", "p.ix").replace("iy", "p.iy").replace("iz", "p.iz")}

@@ -232,8 +232,8 @@ SELECT voxel_idx, program_idx FROM offers WHERE round = (SELECT max(round) FROM
     "v_surface_alignment": f"WITH {_NORMAL} SELECT voxel_idx, round(CASE WHEN nx = 0 AND ny = 0 AND nz = 0 THEN -1.0 ELSE 0 - ny END, 6)::DOUBLE AS value FROM normal",
     "v_surface_depth": f"""WITH RECURSIVE {_CELLS}{_OPEN},
 edges AS MATERIALIZED (SELECT c.voxel_idx, o.voxel_idx AS other FROM cells c CROSS JOIN {_STEPS} JOIN cells o ON o.gx = c.gx + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz),
-walk AS (SELECT DISTINCT voxel_idx, 0 AS depth FROM faces UNION SELECT e.other, depth + 1 FROM walk JOIN edges e USING (voxel_idx) WHERE depth < 8)
-SELECT voxel_idx, min(depth)::DOUBLE AS value FROM walk GROUP BY voxel_idx""",
+walk(v, depth) USING KEY (v) AS (SELECT DISTINCT voxel_idx, 0 FROM faces UNION SELECT DISTINCT e.other, depth + 1 FROM walk JOIN edges e ON voxel_idx = v WHERE NOT EXISTS (FROM recurring.walk k WHERE k.v = e.other))
+SELECT v AS voxel_idx, depth::DOUBLE AS value FROM walk""",
     "v_floor_values": f"""WITH {_CELLS}, f AS (SELECT voxel_idx, {_FLOOR} AS floor_idx FROM cells)
 SELECT voxel_idx, floor_idx, (CASE WHEN abs(floor_idx - 1) >= 7 THEN 0 ELSE greatest(1, 5 - abs(floor_idx - 1)) END)::DOUBLE AS walkup, (CASE WHEN floor_idx <= 0 THEN 0 ELSE greatest(0, 5 - (floor_idx - 1)) END)::DOUBLE AS commercial FROM f""",
     "v_contacts": f"WITH {_TOUCH} SELECT g AS grid_id, tag, count(*) AS contacts FROM touch GROUP BY g, tag",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -48,3 +49,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """The same rows with their lineage cut by a written copy in the shared folder."""
     shared_checkpoints(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, **sums: Column) -> tuple[DataFrame, dict]:
+    """As `counted`, by a Parquet table in the shared folder.
+
+    A checkpoint keeps what the optimiser has inferred about its columns. In a
+    loop of conditional columns that list doubles each round; a table forgets it.
+    """
+    spark = df.sparkSession
+    shared_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/written-{uuid.uuid4().hex}"
+    seen = Observation()
+    (df.observe(seen, *(c.alias(n) for n, c in sums.items())) if sums else df).write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), seen.get if sums else {}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 RELATIONS = ["voxels", "channels", "raw", "programs", "weights", "assignment", "ranked"]
 
@@ -24,3 +25,21 @@ def read_stack(spark: SparkSession, folder: str, names: list[str]) -> dict[str,
         df = spark.read.parquet(f"{folder}/{name}")
         found[name] = df.withColumn("grid_id", df["grid_id"].cast("string")) if "grid_id" in df.columns else df
     return found
+
+
+def update_stack(spark: SparkSession, folder: str, name: str, fresh: DataFrame) -> list[str]:
+    """Replace the stored rows of each grid in `fresh` whose rows differ, and no other partition; returns those grids.
+
+    Grids are compared by their number of rows and the sum of the rows' hashes, so
+    only these pass through the driver.
+    """
+    columns = sorted(fresh.columns)
+    rows = F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("sum")
+    before = read_stack(spark, folder, [name])[name].select(columns).groupBy("grid_id").agg(*rows)
+    after = fresh.select(columns).groupBy("grid_id").agg(*rows)
+    same = (F.col("a.grid_id") == F.col("b.grid_id")) & (F.col("a.rows") == F.col("b.rows")) & (F.col("a.sum") == F.col("b.sum"))
+    changed = sorted(r[0] for r in after.alias("a").join(before.alias("b"), same, "left_anti").select("grid_id").collect())
+    if changed:
+        some = spark.createDataFrame([(g,) for g in changed], "grid_id string")
+        fresh.join(some, "grid_id", "left_semi").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("grid_id").parquet(f"{folder}/{name}")
+    return changed

@@ -71,6 +71,23 @@ def weights(programs: DataFrame, labels: list[str], stored: DataFrame | None = N
     return every.join(stored.select("program_name", "label", "weight"), ["program_name", "label"], "left").withColumn("weight", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("weight", F.lit(1.0)))))
 
 
+def merged_weights(stored: DataFrame, live: DataFrame) -> DataFrame:
+    """(program_name, label, weight, live, stored) of every pair that is stored or live.
+
+    A live pair has its stored weight, held to [-1, 1], or 1; a pair that is
+    stored only keeps its weight and is an extra, which `weight_report` counts.
+    """
+    pair = ["program_name", "label"]
+    held = stored.groupBy(*pair).agg(F.first("weight", ignorenulls=True).alias("kept")).withColumn("stored", F.lit(True))
+    both = live.select(*pair).distinct().withColumn("live", F.lit(True)).join(held, pair, "full")
+    return both.select(*pair, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce("kept", F.lit(1.0)))).alias("weight"), F.coalesce("live", F.lit(False)).alias("live"), F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
+def weight_report(merged: DataFrame) -> DataFrame:
+    """Pairs that are kept, new (live, not stored) and extra (stored, not live)."""
+    return merged.agg(F.count_if("live").alias("live"), F.count_if(F.col("live") & ~F.col("stored")).alias("new"), F.count_if(~F.col("live")).alias("extra"))
+
+
 def stored_extras(stored: DataFrame, live: DataFrame) -> DataFrame:
     """Stored weights whose program or label is not live; purging keeps the others."""
     return stored.join(live.select("program_name", "label"), ["program_name", "label"], "left_anti")
