@@ -12,17 +12,26 @@ def core_from_curves(centers: DataFrame, segments: DataFrame, radius: float = 10
     """(grid_id, voxel_idx, curve_id, distance) of centres within `radius` (0.01 at least) of a curve.
 
     `segments` has grid_id, curve_id and ends ax to bz. Space is cut into bins
-    not smaller than the radius; a segment goes to the bins its grown box
-    touches and a centre to one, so the join is by equality.
+    not smaller than the radius. A segment walks along its length in steps of a
+    bin's side and goes to the bins that each step's grown box touches; a centre
+    goes to one. So the join is by equality and a segment's rows grow with its
+    length.
     """
     radius = max(0.01, float(radius))
     side = max(radius, float(voxel_size))
     spread = segments.select("grid_id", "curve_id", *(f"{p}{c}" for p in "ab" for c in "xyz")).dropna()
+    ends = spread.columns
+    steps = F.greatest(F.lit(1), F.ceil(F.sqrt(_sum((F.col(f"b{c}") - F.col(f"a{c}")) ** 2 for c in "xyz")) / side))
+    spread = spread.withColumn("steps", steps).withColumn("step", F.explode(F.sequence(F.lit(0).cast("long"), F.col("steps") - 1)))
+    for c in "xyz":
+        along_c = F.col(f"b{c}") - F.col(f"a{c}")
+        spread = spread.withColumns({f"from_{c}": F.col(f"a{c}") + along_c * F.col("step") / F.col("steps"), f"to_{c}": F.col(f"a{c}") + along_c * (F.col("step") + 1) / F.col("steps")})
     at = centers.select(*KEY, "x", "y", "z").dropna()
     for c in "xyz":
-        low, high = (F.floor((f(f"a{c}", f"b{c}") + r) / side) for f, r in ((F.least, -radius), (F.greatest, radius)))
+        low, high = (F.floor((f(f"from_{c}", f"to_{c}") + r) / side) for f, r in ((F.least, -radius - 1e-9), (F.greatest, radius + 1e-9)))
         spread = spread.withColumn(f"{c}_bin", F.explode(F.sequence(low, high)))
         at = at.withColumn(f"{c}_bin", F.floor(F.col(c) / side))
+    spread = spread.select(*ends, "x_bin", "y_bin", "z_bin").distinct()
     pairs = at.join(spread, ["grid_id", "x_bin", "y_bin", "z_bin"])
     along = {c: F.col(f"b{c}") - F.col(f"a{c}") for c in "xyz"}
     from_a = {c: F.col(c) - F.col(f"a{c}") for c in "xyz"}

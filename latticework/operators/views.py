@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.sources.voxels import KEY
@@ -39,67 +41,107 @@ def _cross(a, b) -> list[float]:
     return [a[1] * b[2] - a[2] * b[1], a[2] * b[0] - a[0] * b[2], a[0] * b[1] - a[1] * b[0]]
 
 
-def _dot(a: list[Column], b: list[Column]) -> Column:
-    return a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
+#: triangles of one block, and centres of one
+TRIANGLES, CENTRES = 256, 2048
+_CORNERS = [f"{p}{c}" for p in "abc" for c in "xyz"]
 
 
-def _across(d: list[Column]) -> tuple[list[Column], list[Column]]:
+def _across(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two unit vectors that span the plane across a unit direction."""
-    flat = F.abs(d[2]) > 0.9
-    axis = [F.when(flat, 1.0).otherwise(0.0), F.lit(0.0), F.when(flat, 0.0).otherwise(1.0)]
-    u = _cross(d, axis)
-    length = F.sqrt(_dot(u, u))
-    u = [v / length for v in u]
-    return u, _cross(d, u)
+    u = np.cross(d, (1.0, 0.0, 0.0) if abs(d[2]) > 0.9 else (0.0, 0.0, 1.0))
+    u = u / np.sqrt(u @ u)
+    return u, np.cross(d, u)
+
+
+def _nearest(at: np.ndarray, corners: np.ndarray, rays: np.ndarray, near: np.ndarray) -> None:
+    """Lower `near` (centres by rays) to the distance at which each ray from each centre meets one of the triangles.
+
+    Seen along a ray a triangle is a flat one: those whose box there does not
+    meet the box of the centres, or that lie behind all of them, are left out.
+    """
+    a, e1, e2 = corners[:, 0], corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0]
+    for r, d in enumerate(rays):
+        open_ = np.ones(len(corners), bool)
+        for axis in _across(d):
+            mine, other = at @ axis, corners @ axis
+            open_ &= (other.max(axis=1) >= mine.min() - 1e-6) & (other.min(axis=1) <= mine.max() + 1e-6)
+        open_ &= (corners @ d).max(axis=1) >= (at @ d).min() - 1e-6
+        p = np.cross(d, e2[open_])
+        det = (e1[open_] * p).sum(axis=1)
+        some = np.flatnonzero(open_)[np.abs(det) > 1e-12]
+        if not len(some):
+            continue
+        p, det = p[np.abs(det) > 1e-12], det[np.abs(det) > 1e-12]
+        t0 = at[:, None, :] - a[some]
+        q = np.cross(t0, e1[some])
+        s, t, far = (t0 * p).sum(axis=2) / det, (q @ d) / det, (e2[some] * q).sum(axis=2) / det
+        hit = (s >= -1e-9) & (t >= -1e-9) & (s + t <= 1 + 1e-9) & (far >= 0)
+        near[:, r] = np.minimum(near[:, r], np.where(hit, far, np.inf).min(axis=1))
+
+
+def _lost(rays: np.ndarray, radius: float):
+    """(grid_id, voxel_idx, lost) of blocks of centres, whose blocks of triangles follow one another in a partition."""
+
+    def run(batches):
+        key = ids = grid_id = near = at = None
+
+        def told():
+            return pa.record_batch([pa.array([grid_id] * len(ids), pa.string()), pa.array(ids), pa.array((radius - near).sum(axis=1))], names=[*KEY, "lost"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pydict()
+                mine = tuple(row[c][0] for c in ("grid_id", "x_bin", "y_bin", "z_bin", "part"))
+                if mine != key:
+                    if key is not None:
+                        yield told()
+                    key, grid_id, ids = mine, row["grid_id"][0], np.array(row["ids"][0], dtype=np.int64)
+                    at = np.array([row[c][0] for c in "xyz"]).T
+                    near = np.full((len(ids), len(rays)), radius)
+                _nearest(at, np.array([row[c][0] for c in _CORNERS]).T.reshape(-1, 3, 3), rays, near)
+        if key is not None:
+            yield told()
+
+    return run
+
+
+def _parts(df: DataFrame, group: list[str], most: int) -> DataFrame:
+    """`df` with `part`, a hash that cuts each group into parts of about `most` rows."""
+    sizes = df.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / most).alias("parts"))
+    return df.join(sizes, group).withColumn("part", F.pmod(F.xxhash64(*df.columns), F.col("parts"))).drop("parts")
 
 
 def view(centers: DataFrame, directions: DataFrame, triangles: DataFrame | None, radius: float = 1000.0, label: str = "sky_view", bin_size: float = 8.0) -> DataFrame:
     """Sum over directions of the distance to the nearest triangle, at most `radius`, as a channel; 0 below grade (z < 0).
 
     `centers` has grid_id, voxel_idx, x, y, z; `triangles` has grid_id and
-    corners ax to cz. Seen along a direction a ray is a point and a triangle a
-    flat one, so both meet by an equi-join on bins of that plane and each pair
-    is then tested. bin_size is the side of a bin; triangles much larger than it
-    are repeated once a bin. Rows with a null in a coordinate see nothing.
+    corners ax to cz. Centres are packed into blocks, by cubes of side bin_size,
+    and triangles into blocks of any place. A block of centres meets those of its
+    grid within the radius, one after the other, and keeps for each centre and
+    ray the least distance so far. Nothing is repeated by the size of a triangle,
+    and no row stands for a ray. Rows with a null in a coordinate see nothing.
     """
     radius = max(1.0, float(radius))
-    few = [tuple(r) for r in directions.select("ray", "dx", "dy", "dz").orderBy("ray").collect()]
-    rays = len(few)
+    rays = np.array([tuple(r) for r in directions.orderBy("ray").select("dx", "dy", "dz").collect()])
     above = centers.select(*KEY, "x", "y", "z").where(F.col("z") >= 0)
     if triangles is None:
         lost = above.select(*KEY).withColumn("lost", F.lit(0.0))
     else:
-        d = [F.col(f"d{c}") for c in "xyz"]
-        u, v = _across(d)
-        every = F.explode(F.array(*(F.struct(*(F.lit(x).alias(n) for n, x in zip(("ray", "dx", "dy", "dz"), r, strict=True))) for r in few)))
-
-        def with_rays(df: DataFrame) -> DataFrame:
-            spread = df.select("*", every.alias("r")).select(*df.columns, "r.*")
-            return spread.select("*", *(e.alias(f"{n}{c}") for n, w in (("u", u), ("v", v)) for e, c in zip(w, "xyz", strict=True)))
-
-        us, vs = ([F.col(f"{n}{c}") for c in "xyz"] for n in "uv")
-        corner = {p: [F.col(f"{p}{c}") for c in "xyz"] for p in "abc"}
-        flat = with_rays(triangles.dropna()).select(
-            "grid_id", "ray", *(f"{p}{c}" for p in "abc" for c in "xyz"),
-            *(_dot(corner[p], w).alias(f"{p}{n}") for p in "abc" for n, w in (("u", us), ("v", vs))),
+        block = ["grid_id", "x_bin", "y_bin", "z_bin", "part"]
+        binned = above.dropna().select("*", *(F.floor(F.col(c) / bin_size).alias(f"{c}_bin") for c in "xyz"))
+        points = _parts(binned, block[:-1], CENTRES).groupBy(*block).agg(F.collect_list(F.struct("voxel_idx", "x", "y", "z")).alias("p"), *(f(c).alias(f"{n}_{c}") for n, f in (("low", F.min), ("high", F.max)) for c in "xyz"))
+        slim = triangles.select("grid_id", *(F.col(c).cast("double").alias(c) for c in _CORNERS)).dropna().distinct()
+        edge = {n: [f(*(f"{p}{c}" for p in "abc")) for c in "xyz"] for n, f in (("from", F.least), ("to", F.greatest))}
+        shapes = _parts(slim, ["grid_id"], TRIANGLES).groupBy("grid_id", F.col("part").alias("shape")).agg(
+            F.collect_list(F.struct(*_CORNERS)).alias("t"), *(F.min(e).alias(f"from_{c}") for c, e in zip("xyz", edge["from"], strict=True)), *(F.max(e).alias(f"to_{c}") for c, e in zip("xyz", edge["to"], strict=True))
         )
-        for n in "uv":
-            low, high = (f(*(F.floor(F.col(f"{p}{n}") / bin_size) for p in "abc")) for f in (F.least, F.greatest))
-            flat = flat.withColumn(f"{n}_bin", F.explode(F.sequence(low, high)))
-        at = [F.col(c) for c in "xyz"]
-        facing = above.dropna().join(triangles.dropna().select("grid_id").distinct(), "grid_id", "left_semi")
-        cast = with_rays(facing).select(*KEY, "ray", "x", "y", "z", *(f"d{c}" for c in "xyz"), *(F.floor(_dot(at, w) / bin_size).alias(f"{n}_bin") for n, w in (("u", us), ("v", vs))))
-        pairs = cast.join(flat, ["grid_id", "ray", "u_bin", "v_bin"])
-        e1, e2, t0 = ([F.col(f"{p}{c}") - o for c, o in zip("xyz", q, strict=True)] for p, q in (("b", corner["a"]), ("c", corner["a"]), ("", corner["a"])))
-        p = _cross(d, e2)
-        det = _dot(e1, p)
-        q = _cross(t0, e1)
-        hits = pairs.select(*KEY, "ray", det.alias("det"), _dot(t0, p).alias("s"), _dot(d, q).alias("t"), _dot(e2, q).alias("far")).where(F.abs("det") > 1e-12)
-        hits = hits.select(*KEY, "ray", *((F.col(c) / F.col("det")).alias(c) for c in ("s", "t", "far"))).where("s >= -1e-9 and t >= -1e-9 and s + t <= 1 + 1e-9 and far >= 0")
-        nearest = hits.groupBy(*KEY, "ray").agg(F.min("far").alias("far")).where(F.col("far") < radius)
-        lost = nearest.groupBy(*KEY).agg(F.sum(radius - F.col("far")).alias("lost"))
+        gap = [F.greatest(F.lit(0.0), F.col(f"from_{c}") - F.col(f"high_{c}"), F.col(f"low_{c}") - F.col(f"to_{c}")) for c in "xyz"]
+        met = points.join(shapes, "grid_id").where(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2] <= radius * radius)
+        rows = met.select(*block, F.col("p.voxel_idx").alias("ids"), *(F.col(f"p.{c}").alias(c) for c in "xyz"), *(F.col(f"t.{c}").alias(c) for c in _CORNERS))
+        # all blocks of triangles of one block of centres in a row, wherever that is
+        lost = rows.repartition(*block).sortWithinPartitions(*block).mapInArrow(_lost(rays, radius), "grid_id string, voxel_idx long, lost double")
     seen = centers.select(*KEY, "z").join(lost, KEY, "left")
-    value = F.when(F.col("z") >= 0, rays * radius - F.coalesce("lost", F.lit(0.0))).otherwise(0.0)
+    value = F.when(F.col("z") >= 0, len(rays) * radius - F.coalesce("lost", F.lit(0.0))).otherwise(0.0)
     return seen.select(*KEY, F.lit(label).alias("label"), value.alias("value"))
 
 

@@ -99,17 +99,18 @@ def v_tiles(spark, sf_dir):
 
 
 def _blades(spark, sf_dir):
-    """Obstacles in grids g0 to g3: a triangle for each supplier, placed by its key and leaning by its nation."""
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select((F.col("s_suppkey") * 7 % 61 - 5.25).cast("double").alias("px"), (F.col("s_suppkey") * 11 % 59 - 4.75).cast("double").alias("py"), F.col("s_nationkey").cast("double").alias("n"), F.concat(F.lit("g"), (F.col("s_suppkey") % 4).cast("string")).alias("grid_id"))
+    """Obstacles in every grid: a triangle for each supplier, placed by its key and leaning by its nation."""
+    grids = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg((F.floor(F.max("l_orderkey") / base.ORDERS) + 1).alias("grids"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").crossJoin(F.broadcast(grids)).select((F.col("s_suppkey") * 7 % 61 - 5.25).cast("double").alias("px"), (F.col("s_suppkey") * 11 % 59 - 4.75).cast("double").alias("py"), F.col("s_nationkey").cast("double").alias("n"), F.concat(F.lit("g"), (F.col("s_suppkey") % F.col("grids")).cast("string")).alias("grid_id"))
     return s.select("grid_id", F.col("px").alias("ax"), F.col("py").alias("ay"), F.lit(-1.0).alias("az"), (F.col("px") + 2.0).alias("bx"), (F.col("py") + 1.0).alias("by"), F.lit(-1.0).alias("bz"), (F.col("px") + F.col("n") / 8).alias("cx"), (F.col("py") + 1.5).alias("cy"), (F.col("n") + 3.3).alias("cz"))
 
 
 def v_horizon_view(spark, sf_dir):
-    return views.horizon_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 24).select("voxel_idx", F.round("value", 5).alias("value"))
+    return views.horizon_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir)).select("voxel_idx", F.round("value", 3).alias("value"))
 
 
 def v_sky_view(spark, sf_dir):
-    return views.sky_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir), 24).select("voxel_idx", F.round("value", 5).alias("value"))
+    return views.sky_view(grid.centers(base.fixture(spark, sf_dir)), _blades(spark, sf_dir)).select("voxel_idx", F.round("value", 3).alias("value"))
 
 
 def v_core_distance(spark, sf_dir):
@@ -123,9 +124,9 @@ def v_core_proximity(spark, sf_dir):
 
 
 def v_core_from_curves(spark, sf_dir):
-    """Voxels within 1.7 of an edge of a supplier's triangle."""
+    """Voxels within 10 of an edge of a supplier's triangle."""
     edges = _blades(spark, sf_dir).select("grid_id", F.lit(0).alias("curve_id"), *(f"a{c}" for c in "xyz"), *(F.col(f"c{c}").alias(f"b{c}") for c in "xyz"))
-    return cores.core_from_curves(grid.centers(base.fixture(spark, sf_dir)), edges, 1.7).select("voxel_idx", "curve_id", F.round("distance", 9).alias("distance"))
+    return cores.core_from_curves(grid.centers(base.fixture(spark, sf_dir)), edges).select("voxel_idx", "curve_id", F.round("distance", 9).alias("distance"))
 
 
 def v_core_coverage(spark, sf_dir):
@@ -280,7 +281,7 @@ _RATE = " ".join(f"WHEN f + 1 <= {last} THEN {rate}::DOUBLE" for last, rate in c
 
 _BLADES = """blade AS (
   SELECT bg, px AS ax, py AS ay, -1.0::DOUBLE AS az, px + 2 AS bx, py + 1 AS "by", -1.0::DOUBLE AS bz, px + n / 8 AS cx, py + 1.5::DOUBLE AS cy, n + 3.3::DOUBLE AS cz
-  FROM (SELECT (s_suppkey * 7 % 61 - 5.25)::DOUBLE AS px, (s_suppkey * 11 % 59 - 4.75)::DOUBLE AS py, s_nationkey::DOUBLE AS n, 'g' || (s_suppkey % 4) AS bg FROM supplier))"""
+  FROM (SELECT (s_suppkey * 7 % 61 - 5.25)::DOUBLE AS px, (s_suppkey * 11 % 59 - 4.75)::DOUBLE AS py, s_nationkey::DOUBLE AS n, 'g' || (s_suppkey % (SELECT max(l_orderkey) // 10000 + 1 FROM lineitem)) AS bg FROM supplier))"""
 _HITS = """shot AS (
   SELECT *, bx - ax AS e1x, "by" - ay AS e1y, bz - az AS e1z, cx - ax AS e2x, cy - ay AS e2y, cz - az AS e2z FROM ray CROSS JOIN blade),
 crossed AS (SELECT *, dy * e2z - dz * e2y AS px, dz * e2x - dx * e2z AS py, dx * e2y - dy * e2x AS pz FROM shot),
@@ -446,17 +447,17 @@ SELECT voxel_idx, round((v - min(v) OVER (PARTITION BY g)) / (max(v) OVER (PARTI
     "v_floor_distribution": f"""WITH {base._CELLS}, f AS (SELECT g, {base._FLOOR} AS floor_idx FROM cells)
 SELECT g AS grid_id, floor_idx, count(*) AS voxels, ((floor_idx - 1) * 10)::DOUBLE AS low, (floor_idx * 10)::DOUBLE AS high FROM f GROUP BY g, floor_idx""",
     "v_voxel_vectors": f"WITH {base._CELLS} SELECT voxel_idx, price, qty FROM cells",
-    "v_horizon_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, -sin(2 * pi() * i / 24) AS dx, cos(2 * pi() * i / 24) AS dy, 0.0::DOUBLE AS dz FROM range(24) r(i)),
-{_HITS} SELECT voxel_idx, round(24 * 1000.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
-    "v_sky_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, cos(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dx, y AS dy, sin(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dz FROM (SELECT i, 1.0::DOUBLE - 2.0::DOUBLE * i / 23 AS y FROM range(24) r(i))),
-{_HITS} SELECT voxel_idx, round(24 * 1000.0::DOUBLE - coalesce(lost, 0), 5) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
+    "v_horizon_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, -sin(2 * pi() * i / 72) AS dx, cos(2 * pi() * i / 72) AS dy, 0.0::DOUBLE AS dz FROM range(72) r(i)),
+{_HITS} SELECT voxel_idx, round(72 * 1000.0::DOUBLE - coalesce(lost, 0), 3) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
+    "v_sky_view": f"""WITH {base._CELLS}, {_BLADES}, ray AS (SELECT i, cos(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dx, y AS dy, sin(pi() * (3 - sqrt(5)) * i) * sqrt(greatest(0, 1 - y * y)) AS dz FROM (SELECT i, 1.0::DOUBLE - 2.0::DOUBLE * i / 199 AS y FROM range(200) r(i))),
+{_HITS} SELECT voxel_idx, round(200 * 1000.0::DOUBLE - coalesce(lost, 0), 3) AS value FROM cells LEFT JOIN lost USING (voxel_idx)""",
     "v_core_distance": f"WITH {_CORE} SELECT voxel_idx, round(far, 9) AS distance, far = 0 AS is_core FROM far",
     "v_core_proximity": f"WITH {_CORE} SELECT voxel_idx, round(max(far) OVER (PARTITION BY g) - far, 9) AS value FROM far",
     "v_core_from_curves": f"""WITH {base._CELLS}, {_BLADES}, e AS (SELECT bg, ax, ay, az, cx - ax AS sx, cy - ay AS sy, cz - az AS sz FROM blade),
 t AS (SELECT voxel_idx, e.*, ix + 0.5::DOUBLE - ax AS px, iy + 0.5::DOUBLE - ay AS py, iz + 0.5::DOUBLE - az AS pz FROM cells JOIN e ON bg = g),
 u AS (SELECT *, greatest(0, least(1, (px * sx + py * sy + pz * sz) / (sx * sx + sy * sy + sz * sz))) AS k FROM t),
 d AS (SELECT voxel_idx, min(sqrt((px - k * sx) ** 2 + (py - k * sy) ** 2 + (pz - k * sz) ** 2)) AS distance FROM u GROUP BY voxel_idx)
-SELECT voxel_idx, 0 AS curve_id, round(distance, 9) AS distance FROM d WHERE distance <= 1.7""",
+SELECT voxel_idx, 0 AS curve_id, round(distance, 9) AS distance FROM d WHERE distance <= 10""",
     "v_core_coverage": f"WITH {_CORE} SELECT g AS grid_id, round(100.0::DOUBLE * count(*) FILTER (far = 0) / count(*), 9) AS percent, count(*) FILTER (far > 20) AS beyond, round(max(far), 9) AS greatest FROM far GROUP BY g",
     "v_gradient": f"""WITH {base._NORM}, v AS (SELECT voxel_idx, 'qty' AS label, qty AS t FROM norm UNION ALL SELECT voxel_idx, 'price', price FROM norm),
 i AS (SELECT *, t * 4 AS u, least(floor(t * 4), 3)::INTEGER AS i FROM v), s AS (SELECT [255, 255, 0, 0, 0] AS r, [0, 255, 255, 255, 0] AS g, [0, 0, 0, 255, 255] AS b)
