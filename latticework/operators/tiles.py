@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.operators import bricks
 from latticework.operators.grid import DIRECTIONS
 from latticework.session import checkpointed, counted
 
@@ -20,11 +22,69 @@ def compat(tiles: DataFrame, tile_neighbors: DataFrame) -> DataFrame:
     return allowed.join(back, ["tile_a", "dir", "tile_b"], "left_semi").distinct()
 
 
-def propagate(candidates: DataFrame, compat: DataFrame, max_rounds: int = 1000) -> DataFrame:
+#: tiles of one plane of bits, and tiles whose rules may pass through the driver
+BITS, MOST_TILES = 59, 4096
+
+
+def propagate(candidates: DataFrame, compat: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """The greatest arc-consistent subset of (grid_id, ix, iy, iz, tile_id) candidates.
 
     A candidate goes when some existing neighbour has no compatible one left; a
-    voxel that loses all of them is a contradiction and is absent from the result.
+    voxel that loses all of them is a contradiction and is absent from the result,
+    and so are all that it is connected to. Candidates are bits that are settled
+    inside bricks; a round goes on only where a brick's face changed. Rules of
+    more than MOST_TILES tiles stay a table, and candidates rows.
+    """
+    cell = ["grid_id", "ix", "iy", "iz"]
+    kind = dict(candidates.dtypes)["tile_id"]
+    known = compat.select(F.col("tile_a").alias("t")).union(compat.select("tile_b")).union(candidates.select("tile_id")).distinct().limit(MOST_TILES + 1).collect()
+    if len(known) > MOST_TILES:
+        return _by_joins(candidates, compat, max_rounds)
+    ids = sorted(r["t"] for r in known)
+    planes = max(1, -(-len(ids) // BITS))
+    number = {t: i for i, t in enumerate(ids)}
+    # for each direction and tile, the bits of the tiles that it allows there
+    allowed = np.zeros((6, len(ids), planes), dtype=np.int64)
+    for r in compat.distinct().collect():
+        b = number[r["tile_b"]]
+        allowed[NAMES.index(r["dir"]), number[r["tile_a"]], b // BITS] |= 1 << (b % BITS)
+    names = candidates.sparkSession.createDataFrame([(t, i // BITS, 1 << (i % BITS)) for t, i in number.items()], f"tile_id {kind}, plane int, bit long")
+    masks = candidates.join(F.broadcast(names), "tile_id").groupBy(*cell).agg(*(F.coalesce(F.bit_or(F.when(F.col("plane") == p, F.col("bit"))), F.lit(0)).alias(f"m{p}") for p in range(planes)))
+    settled = bricks.settle(masks.withColumn("voxel_idx", F.lit(0).cast("long")), [f"m{p}" for p in range(planes)], planes, _consistent(allowed), max_rounds)
+
+    def rows(around, fixed, place):
+        held = bricks.inner(around)[(slice(None), *place)]
+        found = [np.flatnonzero(held[i // BITS] & (1 << (i % BITS))) for i in range(len(ids))]
+        return {"cell": np.concatenate([*found, np.zeros(0, np.int64)]).astype(np.int64), "tile": np.repeat(np.array(ids, dtype=np.int64), [len(f) for f in found])}
+
+    return bricks.unpacked(settled, "tile long", rows).select(*cell, F.col("tile").cast(kind).alias("tile_id"))
+
+
+def _consistent(allowed: np.ndarray):
+    def solve(planes, fixed, _corner):
+        """The bits of each cell that every neighbour there is has something for."""
+        now = bricks.inner(planes)
+        empty = fixed[0] >= bricks.FAR
+        now[...] = np.where(empty, bricks.FAR, fixed[1:])
+        while True:
+            before = now.copy()
+            for d, (x, y, z) in enumerate(DIRECTIONS):
+                axis = (x, y, z).index(x + y + z)
+                other = bricks.looked(planes, axis, x + y + z)
+                absent = other[0] >= bricks.FAR
+                for t in range(allowed.shape[1]):
+                    mine, bit = now[t // BITS], np.int64(1 << (t % BITS))
+                    held = absent | ((other & allowed[d, t][:, None, None, None]) != 0).any(axis=0)
+                    mine[...] = np.where(held | empty, mine, mine & ~bit)
+            if (now == before).all():
+                return before
+
+    return solve
+
+
+def _by_joins(candidates: DataFrame, compat: DataFrame, max_rounds: int = 1000) -> DataFrame:
+    """`propagate` for any number of tiles, a row a candidate.
+
     After the first round only candidates next to one that has just gone are
     judged again.
     """

@@ -98,6 +98,30 @@ def v_tiles(spark, sf_dir):
     return tiles.propagate(start, tiles.compat(kinds, rules))
 
 
+def _upright(spark):
+    """Grades that meet themselves and the next ones, upwards only themselves and greater ones; 0 asks for 4 at its +x side, but 4 does not ask back."""
+    rows = [(i, d, x) for i in range(5) for d in tiles.NAMES for x in range(max(i - 1, 0), min(i + 2, 5)) if not (d == "pz" and x < i) and not (d == "nz" and x > i)]
+    rules = spark.createDataFrame([(i, d, f"grade{x}") for i, d, x in rows + [(0, "px", 4)]], "tile_id int, dir string, allowed_type string")
+    return tiles.compat(spark.createDataFrame([(i, f"grade{i}") for i in range(5)], "tile_id int, tile_type string"), rules)
+
+
+def _upright_start(spark, sf_dir):
+    """All grades on scattered cells; every third cell is settled, so that many groups of cells contradict themselves."""
+    every = base.fixture(spark, sf_dir).where("qty <= 12").select("*", F.explode(F.array(*map(F.lit, range(5)))).alias("tile_id"))
+    return every.where((F.col("voxel_idx") % 3 > 0) | (F.col("tile_id") == F.col("qty").cast("int") % 5))
+
+
+def v_tiles_upright(spark, sf_dir):
+    return tiles.propagate(_upright_start(spark, sf_dir), _upright(spark))
+
+
+def v_tiles_used_up(spark, sf_dir):
+    """What is left once grade 2 is used up on the cells that settle it."""
+    limits = spark.createDataFrame([(i, f"grade{i}", 100 if i == 2 else -1) for i in range(5)], "tile_id int, tile_type string, max_count int")
+    rules = _upright(spark)
+    return tiles.prune_exhausted(tiles.propagate(_upright_start(spark, sf_dir), rules), limits, rules)
+
+
 def _blades(spark, sf_dir):
     """Obstacles in every grid: a triangle for each supplier, placed by its key and leaning by its nation."""
     grids = spark.read.parquet(f"{sf_dir}/lineitem.parquet").agg((F.floor(F.max("l_orderkey") / base.ORDERS) + 1).alias("grids"))
@@ -264,8 +288,8 @@ def v_core_report(spark, sf_dir):
 
 
 def v_weight_archive(spark, sf_dir):
-    """Weights of makers and brands: those stored from parts of size 30 at most, merged with the pairs of size 20 and up."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_mfgr").alias("program_name"), F.col("p_brand").alias("label"), F.col("p_size").alias("size"))
+    """Weights of types and brands: those stored from parts of size 30 at most, merged with the pairs of size 20 and up."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_type").alias("program_name"), F.col("p_brand").alias("label"), F.col("p_size").alias("size"))
     stored = part.where("size <= 30").groupBy("program_name", "label").agg(((F.min("size") - 3).cast("double") / 2).alias("weight"))
     return vx.merged_weights(stored, part.where("size >= 20"))
 
@@ -321,6 +345,26 @@ edge AS MATERIALIZED (
   ANTI JOIN plan q ON {_TOUCHING} AND q.ix = p.ix + ox AND q.iy = p.iy + oy),
 edges AS MATERIALIZED (SELECT p.node AS a, q.node AS b FROM edge p JOIN edge q ON {_TOUCHING} AND q.x = p.to_x AND q.y = p.to_y QUALIFY row_number() OVER (PARTITION BY p.node ORDER BY (p.side + 5 - q.side) % 4) = 1)"""
 
+def _bits(pairs: list[tuple[int, int, int]]) -> str:
+    """Rows (m, dir, allowed): the grades that a set of grades m allows in each direction, as bits."""
+    found = {(a, d, b) for a, d, b in pairs if (b, d ^ 1, a) in pairs}
+    return ", ".join(f"({m}, {d}, {sum(1 << b for b in range(5) if any((a, d, b) in found for a in range(5) if m >> a & 1))})" for m in range(32) for d in range(6))
+
+
+_UPRIGHT = _bits([(i, d, x) for i in range(5) for d in range(6) for x in range(max(i - 1, 0), min(i + 2, 5)) if not (d == 4 and x < i) and not (d == 5 and x > i)] + [(0, 0, 4)])
+
+
+def _settled(name: str, start: str) -> str:
+    """SQL of the sets left on each cell, from the rows (v, m) of `start`."""
+    return f"""{name}(v, m) USING KEY (v) AS (
+  SELECT v, m FROM {start}
+  UNION SELECT k.v, k.m & bit_and(allowed) FROM {name} w JOIN edges e ON e.a = w.v JOIN rule ON rule.m = w.m AND rule.dir = e.dir JOIN recurring.{name} k ON k.v = e.b GROUP BY k.v, k.m HAVING k.m & bit_and(allowed) <> k.m)"""
+
+
+_TILES = f"""{base._CELLS}, few AS MATERIALIZED (SELECT * FROM cells WHERE qty <= 12), rule AS (FROM (VALUES {_UPRIGHT}) AS r(m, dir, allowed)),
+edges AS MATERIALIZED (SELECT c.voxel_idx AS a, o.voxel_idx AS b, dir FROM few c CROSS JOIN {base._STEPS} JOIN few o ON o.gx = c.gx + dx AND o.iy = c.iy + dy AND o.iz = c.iz + dz),
+given AS (SELECT voxel_idx AS v, CASE WHEN voxel_idx % 3 > 0 THEN 31 ELSE (1 << (qty::INTEGER % 5)) END AS m FROM few), {_settled("held", "given")}"""
+
 #: costs, next moves and ways of cores, then of programs onto and over the cores' ways; a cantilever of 4
 _WAYS = f"""ground AS MATERIALIZED (SELECT voxel_idx AS v FROM a WHERE iz = 0),
 step AS MATERIALIZED (SELECT p.voxel_idx AS a, q.voxel_idx AS b, up = 1 AS falls FROM a p CROSS JOIN (SELECT * FROM {_WALK} UNION ALL SELECT 0, 0, 1) s JOIN a q ON q.gx = p.gx + dx AND q.iy = p.iy + dy AND q.iz = p.iz + up),
@@ -360,6 +404,10 @@ every AS (
   UNION ALL SELECT r.s, w.v, l.n + w.n - core_n FROM route r JOIN last l USING (s) JOIN walk1 w ON w.s = core AND w.n > core_n)"""
 
 ORACLE_SQL = {
+    "v_tiles_upright": f"WITH RECURSIVE {_TILES} SELECT g AS grid_id, ix, iy, iz, t::INTEGER AS tile_id FROM few JOIN held ON v = voxel_idx CROSS JOIN range(5) AS r(t) WHERE (m >> t) & 1 = 1",
+    "v_tiles_used_up": f"""WITH RECURSIVE {_TILES}, spent AS (SELECT g FROM few JOIN held ON v = voxel_idx WHERE m = 4 GROUP BY g HAVING count(*) >= 100),
+rest AS (SELECT v, CASE WHEN m IN (1, 2, 4, 8, 16) OR g NOT IN (FROM spent) THEN m ELSE m & 27 END AS m FROM held JOIN few ON v = voxel_idx WHERE m > 0), {_settled("later", "rest").replace("JOIN edges e ON e.a = w.v", "JOIN near e ON e.a = w.v")}
+SELECT g AS grid_id, ix, iy, iz, t::INTEGER AS tile_id FROM few JOIN later ON v = voxel_idx CROSS JOIN range(5) AS r(t) WHERE (m >> t) & 1 = 1""".replace("later(v, m)", "near AS MATERIALIZED (SELECT e.* FROM edges e WHERE a IN (SELECT v FROM rest) AND b IN (SELECT v FROM rest)), later(v, m)"),
     "v_limits": f"""WITH {base._BEST}, c AS (
   SELECT g, CASE WHEN row_number() OVER (PARTITION BY g, program_idx ORDER BY winning_score DESC, voxel_idx) > CASE program_idx WHEN 0 THEN 5000 WHEN 1 THEN 3000 ELSE 1000000000 END THEN -1 ELSE program_idx END AS program_idx FROM best),
 p AS (SELECT * FROM (VALUES (0, 'Office', 5000), (1, 'Retail', 3000), (2, 'Housing', NULL)) AS v(i, name, voxel_limit))
@@ -375,8 +423,8 @@ SELECT c.g AS grid_id, f AS floor_idx, count(*) AS voxels, (3.0 * (f - 1))::DOUB
     "v_cap_counts": f"""WITH {base._MIXED} SELECT p.g AS grid_id, CASE WHEN q.voxel_idx IS NULL THEN 'exterior' WHEN q.program_idx = -2 THEN 'core' ELSE 'unallocated' END AS kind, count(*) AS caps
 FROM a p CROSS JOIN (VALUES (1), (-1)) AS s(direction) LEFT JOIN a q ON q.gx = p.gx AND q.iy = p.iy AND q.iz = p.iz + s.direction WHERE p.program_idx >= 0 AND (q.voxel_idx IS NULL OR q.program_idx < 0) GROUP BY ALL""",
     "v_core_report": f"WITH {base._CELLS} SELECT g AS grid_id, count(*) FILTER (abs(ix - 24) <= 2 AND abs(iy - 24) <= 2) AS valid, count(*) FILTER (n > 1) AS invalid FROM cells GROUP BY g HAVING valid + invalid > 0",
-    "v_weight_archive": """WITH s AS (SELECT p_mfgr, p_brand, (min(p_size) - 3)::DOUBLE / 2 AS w FROM part WHERE p_size <= 30 GROUP BY ALL), l AS (SELECT DISTINCT p_mfgr, p_brand FROM part WHERE p_size >= 20)
-SELECT p_mfgr AS program_name, p_brand AS label, greatest(-1, least(1, coalesce(w, 1)))::DOUBLE AS weight, l.p_mfgr IS NOT NULL AS live, w IS NOT NULL AS stored FROM s FULL JOIN l USING (p_mfgr, p_brand)""",
+    "v_weight_archive": """WITH s AS (SELECT p_type, p_brand, (min(p_size) - 3)::DOUBLE / 2 AS w FROM part WHERE p_size <= 30 GROUP BY ALL), l AS (SELECT DISTINCT p_type, p_brand FROM part WHERE p_size >= 20)
+SELECT p_type AS program_name, p_brand AS label, greatest(-1, least(1, coalesce(w, 1)))::DOUBLE AS weight, l.p_type IS NOT NULL AS live, w IS NOT NULL AS stored FROM s FULL JOIN l USING (p_type, p_brand)""",
     "v_load_paths": f"WITH RECURSIVE {base._MIXED}, {_WAYS} SELECT grid_id, source, program_idx, steps, capacity FROM capacity",
     "v_structure": f"""WITH RECURSIVE {base._MIXED}, {_WAYS}
 SELECT c.grid_id, voxel_idx, sum(CASE WHEN c.program_idx = -2 THEN 1.0::DOUBLE ELSE capacity END) AS importance FROM every e JOIN capacity c ON source = s JOIN a ON voxel_idx = v WHERE a.program_idx = -1 GROUP BY ALL""",
