@@ -26,8 +26,9 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 #: a sequence closed early is padded if it lacks no more than one token in so many
 SLACK = 64
-#: white space in a row beyond which the faster library's pattern engine gives up
-LONG_SPACE = re.compile(r"\s{50000}")
+#: white space in a row beyond which the faster library's pattern engine may give up
+MOST_SPACE = 50_000
+_SPACE = re.compile(r"\s{64,}+")
 _TOKENIZERS: dict[str, "Ids"] = {}
 _OUT = [("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("loss_tokens", pa.int64())]
 
@@ -52,7 +53,7 @@ class Ids:
         self.encoder = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=byte_vocabulary(path), special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if any(s in text for s in self.special) or (len(text) > 50_000 and LONG_SPACE.search(text)):
+        if any(s in text for s in self.special) or (len(text) > MOST_SPACE and any(m.end() - m.start() > MOST_SPACE for m in _SPACE.finditer(text))):
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.encoder.encode_ordinary(text)
 
