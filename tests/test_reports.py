@@ -68,3 +68,30 @@ def test_welded_skin_matches_a_walk(spark, passes):
     for r in got:
         for corner, spot in zip(r.corners, spots[r.voxel_idx, r.dir], strict=True):
             assert tuple(corner) == pytest.approx(now[spot], abs=1e-9)
+
+
+def test_only_changed_grids_are_rewritten(spark, tmp_path):
+    import os
+
+    from latticework.sources import stack
+
+    names = "grid_id string, voxel_idx long, label string, value double"
+    first = spark.createDataFrame([("a", 1, "q", 0.5), ("a", 2, "q", 1.0), ("b", 1, "q", 0.0)], names)
+    stack.write_stack(str(tmp_path), {"channels": first})
+    before = {f for f in os.listdir(tmp_path / "channels" / "grid_id=b")}
+    fresh = spark.createDataFrame([("a", 1, "q", 0.25), ("a", 2, "q", 1.0), ("b", 1, "q", 0.0), ("c", 9, "q", None)], names)
+    assert stack.update_stack(spark, str(tmp_path), "channels", fresh) == ["a", "c"]
+    assert {f for f in os.listdir(tmp_path / "channels" / "grid_id=b")} == before
+    got = stack.read_stack(spark, str(tmp_path), ["channels"])["channels"].select(fresh.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, fresh.collect()))
+    assert stack.update_stack(spark, str(tmp_path), "channels", fresh) == []
+
+
+def test_merged_weights(spark):
+    from latticework.sources import voxels as vx
+
+    stored = spark.createDataFrame([("A", "q", 3.0), ("A", "gone", 0.5), ("B", "q", None)], "program_name string, label string, weight double")
+    live = spark.createDataFrame([("A", "q"), ("B", "q"), ("B", "p"), ("B", "p")], "program_name string, label string")
+    merged = vx.merged_weights(stored, live)
+    assert sorted(map(tuple, merged.collect())) == [("A", "gone", 0.5, False, True), ("A", "q", 1.0, True, True), ("B", "p", 1.0, True, False), ("B", "q", 1.0, True, True)]
+    assert tuple(vx.weight_report(merged).first()) == (3, 1, 1)
