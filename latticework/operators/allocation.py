@@ -54,7 +54,8 @@ def ranged(df: DataFrame, group: list[str], value: str, buckets: int = 64) -> Da
     the quantiles of the index over the whole group.
     """
     shares = [i / buckets for i in range(1, buckets)]
-    cuts = df.groupBy(*group).agg(F.percentile_approx(value, shares, 2000).alias("cuts"), F.percentile_approx("voxel_idx", shares, 2000).alias("index_cuts"))
+    # approximate quantiles depend on the order in which parts are merged, so they are taken once for all that reads the ranges
+    cuts = checkpointed(df.groupBy(*group).agg(F.percentile_approx(value, shares, 2000).alias("cuts"), F.percentile_approx("voxel_idx", shares, 2000).alias("index_cuts")))
     above, tied = F.size(F.filter("cuts", lambda c: c > F.col(value))), F.array_contains("cuts", F.col(value))
     part = F.when(tied, F.lit(buckets) + F.size(F.filter("index_cuts", lambda c: c < F.col("voxel_idx")))).otherwise(0)
     return df.join(cuts, group).withColumn("range", above * (2 * buckets) + part).drop("cuts", "index_cuts")

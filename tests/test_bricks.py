@@ -94,3 +94,17 @@ def test_ties_spread_over_ranges(spark):
     got = [r["voxel_idx"] for r in allocation.numbered(flat, ["grid_id"], "score", "k").orderBy("k").collect()]
     want = [r["voxel_idx"] for r in flat.orderBy(F.col("score").desc(), "voxel_idx").collect()]
     assert got == want
+
+
+def test_numbers_do_not_depend_on_the_order_in_which_rows_come(spark):
+    """Approximate quantiles differ with the order of rows; the ranges they give have to be the same for all that reads them."""
+
+    def mixed(batches):
+        import pandas as pd
+
+        yield pd.concat(list(batches)).sample(frac=1)
+
+    rows = spark.range(300_000, numPartitions=2).select(F.lit("g").alias("grid_id"), F.col("id").alias("voxel_idx"), F.xxhash64("id").cast("double").alias("score"))
+    parts = allocation.ranged(rows.mapInPandas(mixed, rows.schema), ["grid_id"], "score")
+    first, second = (parts.select("voxel_idx", "range").toPandas().sort_values("voxel_idx")["range"].tolist() for _ in range(2))
+    assert first == second
