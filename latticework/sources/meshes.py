@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.sources.voxels import from_keys
 
+#: the axis along which rays go, and the two across it
 _AXES = [("x", "y", "z"), ("y", "z", "x"), ("z", "x", "y")]
 
 
@@ -31,32 +32,32 @@ def voxelize(triangles: DataFrame, resolution: int = 10) -> DataFrame:
     meshes without extent have no voxels.
     """
     grids = grids_of(triangles, resolution)
-    placed = triangles.dropna().join(grids, "grid_id")
+    # a grid row for every mesh is as long as the table, so it is never broadcast
+    placed = triangles.dropna().join(grids.hint("merge"), "grid_id")
     # in units of voxels, centres at whole numbers plus a half
     unit = placed.select("grid_id", "nx", "ny", "nz", *(((F.col(f"{p}{c}") - F.col(f"o{c}")) / F.col("voxel_size")).alias(f"{p}{c}") for p in "abc" for c in "xyz"))
-    votes = None
-    for along, u, v in _AXES:
-        cover = unit
-        for c in (u, v):
-            low = F.ceil(F.least(*(f"{p}{c}" for p in "abc")) - 0.5 - 1e-9)
-            high = F.floor(F.greatest(*(f"{p}{c}" for p in "abc")) - 0.5 + 1e-9)
-            low, high = F.greatest(low, F.lit(0)), F.least(high, F.col(f"n{c}") - 1)
-            cover = cover.where(low <= high).withColumn(f"i{c}", F.explode(F.sequence(low, high)))
-        pu, pv = F.col(f"i{u}") + 0.5, F.col(f"i{v}") + 0.5
-        a, b, c = ((F.col(f"{p}{u}"), F.col(f"{p}{v}")) for p in "abc")
-        area = (b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])
-        s = ((pu - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (pv - a[1])) / F.nullif(area, F.lit(0.0))
-        t = ((b[0] - a[0]) * (pv - a[1]) - (pu - a[0]) * (b[1] - a[1])) / F.nullif(area, F.lit(0.0))
-        line = ["grid_id", f"i{u}", f"i{v}"]
-        hit = cover.select(*line, f"n{along}", *(f"{p}{along}" for p in "abc"), s.alias("s"), t.alias("t")).where("s >= -1e-9 and t >= -1e-9 and s + t <= 1 + 1e-9")
-        hit = hit.select(*line, f"n{along}", (F.col(f"a{along}") + F.col("s") * (F.col(f"b{along}") - F.col(f"a{along}")) + F.col("t") * (F.col(f"c{along}") - F.col(f"a{along}"))).alias("at"))
-        before = F.lag("at").over(Window.partitionBy(*line).orderBy("at"))
-        single = hit.withColumn("gap", F.col("at") - before).where("gap is null or gap > 1e-4")
-        lines = single.groupBy(*line, f"n{along}").agg(F.array_sort(F.collect_list("at")).alias("at"))
-        each = lines.select(*line, "at", F.explode(F.sequence(F.lit(0), F.col(f"n{along}") - 1)).alias(f"i{along}"))
-        centre = F.col(f"i{along}") + 0.5
-        ahead = F.size("at") - F.aggregate("at", F.lit(0), lambda n, x: n + (x <= centre).cast("int"))
-        odd = each.select("grid_id", "ix", "iy", "iz", (ahead % 2 + (F.size("at") - ahead) % 2).alias("odd")).where("odd > 0")
-        votes = odd if votes is None else votes.unionByName(odd)
-    inside = votes.groupBy("grid_id", "ix", "iy", "iz").agg(F.sum("odd").alias("odd")).where("odd >= 4")
-    return from_keys(inside)
+    # each triangle once for each axis w, with the axes u and v across it
+    turned = [F.struct(F.lit(k).alias("axis"), *(F.col(f"{p}{c}").alias(f"{p}{n}") for p in "abcn" for n, c in zip("wuv", axes, strict=True))) for k, axes in enumerate(_AXES)]
+    cover = unit.select("grid_id", F.explode(F.array(*turned)).alias("t")).select("grid_id", "t.*")
+    for c in "uv":
+        low = F.ceil(F.least(*(f"{p}{c}" for p in "abc")) - 0.5 - 1e-9)
+        high = F.floor(F.greatest(*(f"{p}{c}" for p in "abc")) - 0.5 + 1e-9)
+        low, high = F.greatest(low, F.lit(0)), F.least(high, F.col(f"n{c}") - 1)
+        cover = cover.where(low <= high).withColumn(f"i{c}", F.explode(F.sequence(low, high)))
+    pu, pv = F.col("iu") + 0.5, F.col("iv") + 0.5
+    a, b, c = ((F.col(f"{p}u"), F.col(f"{p}v")) for p in "abc")
+    area = (b[0] - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (b[1] - a[1])
+    s = ((pu - a[0]) * (c[1] - a[1]) - (c[0] - a[0]) * (pv - a[1])) / F.nullif(area, F.lit(0.0))
+    t = ((b[0] - a[0]) * (pv - a[1]) - (pu - a[0]) * (b[1] - a[1])) / F.nullif(area, F.lit(0.0))
+    line = ["grid_id", "axis", "iu", "iv", "nw"]
+    hit = cover.select(*line, *(f"{p}w" for p in "abc"), s.alias("s"), t.alias("t")).where("s >= -1e-9 and t >= -1e-9 and s + t <= 1 + 1e-9")
+    hit = hit.select(*line, (F.col("aw") + F.col("s") * (F.col("bw") - F.col("aw")) + F.col("t") * (F.col("cw") - F.col("aw"))).alias("at"))
+    every = hit.groupBy(*line).agg(F.array_sort(F.collect_list("at")).alias("all"))
+    lines = every.withColumn("at", F.filter("all", lambda x, i: (i == 0) | (x - F.get("all", i - 1) > 1e-4)))
+    each = lines.select(*line, "at", F.explode(F.sequence(F.lit(0), F.col("nw") - 1)).alias("iw"))
+    centre = F.col("iw") + 0.5
+    ahead = F.size("at") - F.aggregate("at", F.lit(0), lambda n, x: n + (x <= centre).cast("int"))
+    place = [F.element_at(F.array(*(F.col(f"i{'wuv'[axes.index(c)]}") for axes in _AXES)), F.col("axis") + 1).alias(f"i{c}") for c in "xyz"]
+    odd = each.select("grid_id", *place, (ahead % 2 + (F.size("at") - ahead) % 2).alias("odd")).where("odd > 0")
+    inside = odd.groupBy("grid_id", "ix", "iy", "iz").agg(F.sum("odd").alias("odd")).where("odd >= 4")
+    return from_keys(inside, many=True)
