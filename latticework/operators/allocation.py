@@ -15,7 +15,8 @@ UNASSIGNED, CORE = -1, -2
 
 def wide(channels: DataFrame, labels: list[str]) -> DataFrame:
     """One row a voxel with a column for each label."""
-    return channels.groupBy(*KEY).pivot("label", labels).agg(F.first("value"))
+    # one aggregate; a pivot would first group by label too, over as many rows as there are channel values
+    return channels.groupBy(*KEY).agg(*(F.first(F.when(F.col("label") == x, F.col("value")), ignorenulls=True).alias(x) for x in labels))
 
 
 def score_of(weights: list[tuple[str, float]]) -> Column:

@@ -164,3 +164,13 @@ def test_tiles(spark):
     start = [("g", 0, 0, 0, 0)] + [("g", i, 0, 0, k) for i in (1, 2) for k in (0, 1)]
     left = tiles.propagate(spark.createDataFrame(start, "grid_id string, ix int, iy int, iz int, tile_id int"), allowed)
     assert sorted((r["ix"], r["tile_id"]) for r in left.collect()) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_scores_group_by_voxel_alone(spark):
+    """Channels become columns in one aggregate, not in one by label and one by voxel, and a missing one is null."""
+    from latticework.operators import allocation
+
+    rows = spark.createDataFrame([("g", 0, "a", 1.0), ("g", 0, "b", 2.0), ("g", 1, "b", 3.0)], "grid_id string, voxel_idx long, label string, value double")
+    found = allocation.wide(rows, ["a", "b"])
+    assert "pivotfirst" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    assert sorted(tuple(r) for r in found.collect()) == [("g", 0, 1.0, 2.0), ("g", 1, None, 3.0)]
