@@ -46,47 +46,61 @@ TRIANGLES, CENTRES = 256, 2048
 _CORNERS = [f"{p}{c}" for p in "abc" for c in "xyz"]
 
 
-def _across(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two unit vectors that span the plane across a unit direction."""
-    u = np.cross(d, (1.0, 0.0, 0.0) if abs(d[2]) > 0.9 else (0.0, 0.0, 1.0))
-    u = u / np.sqrt(u @ u)
-    return u, np.cross(d, u)
+#: tests of a centre against a triangle along a ray that are done at once
+TESTS = 1 << 20
 
 
-def _nearest(at: np.ndarray, corners: np.ndarray, rays: np.ndarray, near: np.ndarray) -> None:
-    """Lower `near` (centres by rays) to the distance at which each ray from each centre meets one of the triangles.
+def _across(rays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two unit vectors that span the plane across each unit direction."""
+    u = np.cross(rays, np.where(np.abs(rays[:, 2:]) > 0.9, (1.0, 0.0, 0.0), (0.0, 0.0, 1.0)))
+    u = u / np.sqrt((u * u).sum(axis=1, keepdims=True))
+    return u, np.cross(rays, u)
+
+
+def _nearest(at: np.ndarray, corners: np.ndarray, rays: np.ndarray, axes: tuple[np.ndarray, np.ndarray], near: np.ndarray) -> None:
+    """Lower `near` (rays by centres) to the distance at which each ray from each centre meets one of the triangles.
 
     Seen along a ray a triangle is a flat one: those whose box there does not
     meet the box of the centres, or that lie behind all of them, are left out.
+    The pairs of ray and triangle that stay are tested all together.
     """
+    open_ = (corners @ rays.T).max(axis=1) >= (at @ rays.T).min(axis=0) - 1e-6
+    for axis in axes:
+        mine, other = at @ axis.T, corners @ axis.T
+        open_ &= (other.max(axis=1) >= mine.min(axis=0) - 1e-6) & (other.min(axis=1) <= mine.max(axis=0) + 1e-6)
+    # by ray, then triangle
+    r, k = np.nonzero(open_.T)
     a, e1, e2 = corners[:, 0], corners[:, 1] - corners[:, 0], corners[:, 2] - corners[:, 0]
-    for r, d in enumerate(rays):
-        open_ = np.ones(len(corners), bool)
-        for axis in _across(d):
-            mine, other = at @ axis, corners @ axis
-            open_ &= (other.max(axis=1) >= mine.min() - 1e-6) & (other.min(axis=1) <= mine.max() + 1e-6)
-        open_ &= (corners @ d).max(axis=1) >= (at @ d).min() - 1e-6
-        p = np.cross(d, e2[open_])
-        det = (e1[open_] * p).sum(axis=1)
-        some = np.flatnonzero(open_)[np.abs(det) > 1e-12]
-        if not len(some):
-            continue
-        p, det = p[np.abs(det) > 1e-12], det[np.abs(det) > 1e-12]
-        t0 = at[:, None, :] - a[some]
-        q = np.cross(t0, e1[some])
-        s, t, far = (t0 * p).sum(axis=2) / det, (q @ d) / det, (e2[some] * q).sum(axis=2) / det
-        hit = (s >= -1e-9) & (t >= -1e-9) & (s + t <= 1 + 1e-9) & (far >= 0)
-        near[:, r] = np.minimum(near[:, r], np.where(hit, far, np.inf).min(axis=1))
+    p = np.cross(rays[r], e2[k])
+    det = (e1[k] * p).sum(axis=1)
+    some = np.abs(det) > 1e-12
+    r, k, p, det = r[some], k[some], p[some], det[some, None]
+    if not len(r):
+        return
+    p, w = p / det, np.cross(e1[k], rays[r]) / det
+    # how far a centre is off the plane of a triangle does not depend on the ray
+    met, k = np.unique(k, return_inverse=True)
+    off = np.stack([(np.cross(at - a[m], e1[m]) * e2[m]).sum(axis=1) for m in met])
+    a = a[met][k]
+    ps, ws = (p * a).sum(axis=1, keepdims=True), (w * a).sum(axis=1, keepdims=True)
+    size = max(1, TESTS // len(at))
+    for i in range(0, len(r), size):
+        cut = slice(i, i + size)
+        s, t, far = p[cut] @ at.T - ps[cut], w[cut] @ at.T - ws[cut], off[k[cut]] / det[cut]
+        far[~((s >= -1e-9) & (t >= -1e-9) & (s + t <= 1 + 1e-9) & (far >= 0))] = np.inf
+        mine, first = np.unique(r[cut], return_index=True)
+        near[mine] = np.minimum(near[mine], np.minimum.reduceat(far, first, axis=0))
 
 
 def _lost(rays: np.ndarray, radius: float):
     """(grid_id, voxel_idx, lost) of blocks of centres, whose blocks of triangles follow one another in a partition."""
 
     def run(batches):
+        axes = _across(rays)
         key = ids = grid_id = near = at = None
 
         def told():
-            return pa.record_batch([pa.array([grid_id] * len(ids), pa.string()), pa.array(ids), pa.array((radius - near).sum(axis=1))], names=[*KEY, "lost"])
+            return pa.record_batch([pa.array([grid_id] * len(ids), pa.string()), pa.array(ids), pa.array((radius - near).sum(axis=0))], names=[*KEY, "lost"])
 
         for batch in batches:
             for i in range(batch.num_rows):
@@ -97,8 +111,8 @@ def _lost(rays: np.ndarray, radius: float):
                         yield told()
                     key, grid_id, ids = mine, row["grid_id"][0], np.array(row["ids"][0], dtype=np.int64)
                     at = np.array([row[c][0] for c in "xyz"]).T
-                    near = np.full((len(ids), len(rays)), radius)
-                _nearest(at, np.array([row[c][0] for c in _CORNERS]).T.reshape(-1, 3, 3), rays, near)
+                    near = np.full((len(rays), len(ids)), radius)
+                _nearest(at, np.array([row[c][0] for c in _CORNERS]).T.reshape(-1, 3, 3), rays, axes, near)
         if key is not None:
             yield told()
 

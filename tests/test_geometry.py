@@ -202,3 +202,23 @@ def test_voxelize_broadcasts_no_row_of_each_mesh(spark):
     found = meshes.voxelize(spark.createDataFrame(rows, "grid_id string, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz")), 4)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     assert {(r["ix"], r["iy"], r["iz"]) for r in found.collect()} >= {(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)}
+
+
+def test_rays_of_a_block_are_tested_together(monkeypatch):
+    """The least distances are those of one ray, centre and triangle at a time, however few tests are done at once."""
+    import numpy as np
+
+    monkeypatch.setattr(views, "TESTS", 50)
+    draw = np.random.default_rng(5)
+    at, corners = draw.uniform(0, 4, (20, 3)), draw.uniform(-6, 10, (30, 3, 3))
+    rays = draw.normal(size=(25, 3))
+    rays /= np.sqrt((rays**2).sum(axis=1, keepdims=True))
+    near = np.full((25, 20), 8.0)
+    views._nearest(at, corners, rays, views._across(rays), near)
+    for i, j in itertools.product(range(25), range(20)):
+        ways = [8.0]
+        for a, b, c in corners:
+            far, s, t = np.linalg.solve(np.stack([-rays[i], b - a, c - a]).T, at[j] - a)
+            if s >= 0 and t >= 0 and s + t <= 1 and far >= 0:
+                ways.append(far)
+        assert near[i, j] == pytest.approx(min(ways), abs=1e-9)
