@@ -195,11 +195,13 @@ def test_stack_round_trip(spark, tmp_path):
         stack.write_stack(str(tmp_path / "t"), {"other": a})
 
 
-def test_voxelize_broadcasts_no_row_of_each_mesh(spark):
+def test_voxelize_broadcasts_no_row_of_each_mesh(spark, tmp_path):
     """Grids are as many as meshes, so their boxes and sizes are joined without the driver."""
     side = [((0, 0, 0), (1, 0, 0), (0, 1, 0)), ((0, 0, 0), (1, 0, 0), (0, 0, 1)), ((0, 0, 0), (0, 1, 0), (0, 0, 1)), ((1, 0, 0), (0, 1, 0), (0, 0, 1))]
     rows = [("m", *(float(v) for p in t for v in p)) for t in side]
-    found = meshes.voxelize(spark.createDataFrame(rows, "grid_id string, " + ", ".join(f"{p}{c} double" for p in "abc" for c in "xyz")), 4)
+    # of a file the size is known, and is small
+    spark.createDataFrame(rows, TRIANGLE).write.parquet(str(tmp_path / "m"))
+    found = meshes.voxelize(spark.read.parquet(str(tmp_path / "m")), 4)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().sparkPlan().toString()
     assert {(r["ix"], r["iy"], r["iz"]) for r in found.collect()} >= {(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)}
 
