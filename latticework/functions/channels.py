@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.session import written
+
 GROUP = ["grid_id", "label"]
 
 
@@ -14,16 +16,33 @@ def finite(value: Column) -> Column:
 
 def sanitized(channels: DataFrame, mode: str = "strict") -> DataFrame:
     """Values made usable: `strict` sets null, NaN and +inf to 0 and keeps -inf; `py` keeps both infinities; `finite` keeps neither."""
-    value = F.col("value")
+    return channels.withColumn("value", _usable(F.col("value"), mode))
+
+
+def _usable(value: Column, mode: str) -> Column:
     bad = {"finite": ~finite(value), "strict": value.isNull() | F.isnan(value) | (value == float("inf")), "py": value.isNull() | F.isnan(value)}[mode]
-    return channels.withColumn("value", F.when(bad, 0.0).otherwise(value))
+    return F.when(bad, 0.0).otherwise(value)
+
+
+def _between(value: Column, lo: Column, hi: Column, least: float) -> Column:
+    return F.when(hi - lo > least, (value - lo) / (hi - lo)).otherwise(0.0)
 
 
 def normalized(channels: DataFrame, least: float = 1e-12) -> DataFrame:
     """Min-max by grid and label; 0 where the range is at most `least`."""
     span = channels.groupBy(*GROUP).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    value = F.when(F.col("hi") - F.col("lo") > least, (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
-    return channels.join(span, GROUP).select(*channels.columns[:-1], value.alias("value"))
+    return channels.join(span, GROUP).select(*channels.columns[:-1], _between(F.col("value"), F.col("lo"), F.col("hi"), least).alias("value"))
+
+
+def normalized_columns(voxels: DataFrame, labels: list[str], mode: str = "strict", least: float = 1e-12) -> DataFrame:
+    """`voxels` (one row each) whose columns `labels` are sanitized and normalized, as if each were a channel.
+
+    The spans are written, so that the join with them is a broadcast where grids are few; `voxels` is read twice.
+    """
+    usable = voxels.withColumns({x: _usable(F.col(x), mode) for x in labels})
+    spans = usable.groupBy("grid_id").agg(*(f(x).alias(f"{n}_{x}") for x in labels for n, f in (("lo", F.min), ("hi", F.max))))
+    spans, _ = written(spans)
+    return usable.join(spans, "grid_id").select(*(_between(F.col(c), F.col(f"lo_{c}"), F.col(f"hi_{c}"), least).alias(c) if c in labels else F.col(c) for c in voxels.columns))
 
 
 def inverted(channels: DataFrame) -> DataFrame:

@@ -32,14 +32,29 @@ def scores(channels: DataFrame, programs: DataFrame, weights: DataFrame) -> Data
     scoring is one projection over the pivoted channels.
     """
     labels = [r["label"] for r in channels.select("label").distinct().orderBy("label").collect()]
+    return scores_of(wide(channels, labels), labels, programs, weights)
+
+
+def _by_program(labels: list[str], programs: DataFrame, weights: DataFrame) -> dict[int, Column]:
+    """The score of each program, from a column for each label."""
     table = {(r["program_name"], r["label"]): r["weight"] for r in weights.collect()}
-    by_program = [
-        F.struct(F.lit(p["program_idx"]).alias("program_idx"), score_of([(x, table.get((p["name"], x), 1.0)) for x in labels]).alias("score"))
-        for p in programs.orderBy("program_idx").collect()
-    ]
-    if not labels or not by_program:
+    found = {p["program_idx"]: score_of([(x, table.get((p["name"], x), 1.0)) for x in labels]) for p in programs.orderBy("program_idx").collect()}
+    if not labels or not found:
         raise ValueError("scoring needs channels and programs")
-    return wide(channels, labels).select(*KEY, F.explode(F.array(*by_program)).alias("s")).select(*KEY, "s.program_idx", "s.score")
+    return found
+
+
+def scores_of(columns: DataFrame, labels: list[str], programs: DataFrame, weights: DataFrame) -> DataFrame:
+    """As `scores`, of voxels with a column for each label: nothing is grouped."""
+    each = [F.struct(F.lit(k).alias("program_idx"), s.alias("score")) for k, s in _by_program(labels, programs, weights).items()]
+    return columns.select(*KEY, F.explode(F.array(*each)).alias("s")).select(*KEY, "s.program_idx", "s.score")
+
+
+def best_of(columns: DataFrame, labels: list[str], programs: DataFrame, weights: DataFrame) -> DataFrame:
+    """`columns` with program_idx and winning_score, as `argmax` of `scores_of` has them."""
+    each = [F.struct(s.alias("score"), F.lit(-k).alias("neg")) for k, s in _by_program(labels, programs, weights).items()]
+    best = columns.withColumn("m", F.greatest(*each) if len(each) > 1 else each[0])
+    return best.select(*columns.columns, (-F.col("m.neg")).alias("program_idx"), F.col("m.score").alias("winning_score"))
 
 
 def argmax(scored: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators import bricks
-from latticework.session import checkpointed
+from latticework.session import checkpointed, parted
 from latticework.sources.voxels import CELL, KEY
 
 #: fixed values: face directions in the order +x, -x, +y, -y, +z, -z
@@ -29,6 +29,12 @@ def looked_at(voxels: DataFrame, prefix: str = "other_") -> DataFrame:
 LOOK = ["grid_id", "nx", "ny", "nz"]
 
 
+def met(asking: DataFrame, voxels: DataFrame, directions: list[tuple[int, tuple[int, int, int]]], how: str = "inner") -> DataFrame:
+    """`shifted` rows of `asking` joined with the voxels they look at, in partitions as many as the rows need."""
+    rows = asking.count() * len(directions)
+    return parted(shifted(asking, directions), rows, *LOOK).join(parted(looked_at(voxels), rows, *LOOK), LOOK, how)
+
+
 def neighbors(voxels: DataFrame, connectivity: int = 6) -> DataFrame:
     """(grid_id, voxel_idx, dir, other_voxel_idx) of filled face neighbours; 4 leaves out the vertical ones."""
     cells = voxels.select(*KEY, *CELL[1:])

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.operators.allocation import CORE, UNASSIGNED
-from latticework.operators.grid import DIRECTIONS, LOOK, looked_at, shifted
+from latticework.operators.grid import DIRECTIONS, met
 from latticework.operators.membranes import CORNERS
+from latticework.session import parted
 
 _UP = [(0, DIRECTIONS[0]), (1, DIRECTIONS[2]), (2, DIRECTIONS[4])]
 
@@ -22,7 +23,7 @@ def contacts(cells: DataFrame, include_core: bool = True) -> DataFrame:
     p, q = F.col("program_idx"), F.col("other_program_idx")
     eligible = (p >= 0) | ((p == CORE) & F.lit(include_core))
     tag = F.when(F.col("other_voxel_idx").isNull(), "exterior").when(q == UNASSIGNED, "unallocated").when((q == CORE) & F.lit(not include_core), "core_ignored").when(p == q, "same_program").otherwise("face")
-    joined = shifted(slim.where(eligible), _UP).join(looked_at(slim), LOOK, "left").withColumn("tag", tag)
+    joined = met(slim.where(eligible), slim, _UP, "left").withColumn("tag", tag)
     swap = (F.col("tag") == "face") & ((p == CORE) | ((q != CORE) & (q < p)))
     return joined.select(
         "grid_id", F.col("dir").alias("axis"), "tag",
@@ -37,7 +38,7 @@ def caps(cells: DataFrame, include_core: bool = True) -> DataFrame:
     slim = cells.select("grid_id", "voxel_idx", "ix", "iy", "iz", "program_idx")
     q = F.col("other_program_idx")
     kind = F.when(F.col("other_voxel_idx").isNull(), "exterior").when((q == CORE) & F.lit(not include_core), "core").when(q == UNASSIGNED, "unallocated")
-    joined = shifted(slim.where("program_idx >= 0"), [(1, DIRECTIONS[4]), (-1, DIRECTIONS[5])]).join(looked_at(slim), LOOK, "left").withColumn("kind", kind)
+    joined = met(slim.where("program_idx >= 0"), slim, [(1, DIRECTIONS[4]), (-1, DIRECTIONS[5])], "left").withColumn("kind", kind)
     return joined.where("kind is not null").select("grid_id", F.col("program_idx").alias("program_a"), F.lit(-1).alias("program_b"), F.col("voxel_idx").alias("voxel_a"), F.coalesce("other_voxel_idx", F.lit(-1)).alias("voxel_b"), F.col("dir").alias("direction"), "kind")
 
 
@@ -58,8 +59,8 @@ def cap_counts(capped: DataFrame) -> DataFrame:
 
 def faces(touching: DataFrame, capped: DataFrame | None = None) -> DataFrame:
     """(grid_id, axis, program_a, program_b, voxel_a, voxel_b, direction, kind): the faces of `contacts` and, if given, the rows of `caps`."""
-    met = touching.where("tag = 'face'").drop("tag").withColumn("kind", F.lit("face"))
-    return met if capped is None else met.unionByName(capped.withColumn("axis", F.lit(2)))
+    between = touching.where("tag = 'face'").drop("tag").withColumn("kind", F.lit("face"))
+    return between if capped is None else between.unionByName(capped.withColumn("axis", F.lit(2)))
 
 
 def placed(found: DataFrame, cells: DataFrame, origin: tuple[float, float, float] = (0, 0, 0), voxel_size: float = 1.0, plane: list[float] | None = None) -> DataFrame:
@@ -83,7 +84,8 @@ def placed(found: DataFrame, cells: DataFrame, origin: tuple[float, float, float
     towards = turned([of_direction([d[k] for d in DIRECTIONS]) for k in range(3)], 0.0)
     length = F.sqrt(sum((t * t for t in towards[1:]), towards[0] * towards[0]))
     centre = [sum((c[k] for c in corners[1:]), corners[0][k]) / 4 for k in range(3)]
-    return found.join(own, ["grid_id", "voxel_a"]).select(
+    rows, on = 4 * cells.count(), ["grid_id", "voxel_a"]
+    return parted(found, rows, *on).join(parted(own, rows, *on), on).select(
         *found.columns, "iz", F.array(*(F.struct(*(v.alias(c) for c, v in zip("xyz", corner, strict=True))) for corner in corners)).alias("corners"),
         *(v.alias(c) for c, v in zip("xyz", centre, strict=True)), *((t / length).alias(f"normal_{c}") for c, t in zip("xyz", towards, strict=True)),
         F.lit(float(voxel_size) ** 2).alias("area"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.session import checkpointed, counted
+from latticework.session import checkpointed, counted, parted
 
 #: fixed values: for each side (south, east, north, west) the neighbour's offset, and the start of its edge with the cell on the left
 SIDES = [((0, -1), (0, 0)), ((1, 0), (1, 0)), ((0, 1), (1, 1)), ((-1, 0), (0, 1))]
@@ -19,7 +19,8 @@ def boundary_edges(footprint: DataFrame, region: list[str]) -> DataFrame:
     cells = footprint.select(*region, "ix", "iy").distinct()
     asked = cells.select("*", F.explode(sides).alias("s")).select(*region, (F.col("ix") + F.col("s.ox")).alias("nx"), (F.col("iy") + F.col("s.oy")).alias("ny"), (F.col("ix") + F.col("s.sx")).alias("x"), (F.col("iy") + F.col("s.sy")).alias("y"), F.col("s.side").alias("side"))
     there = cells.select(*region, F.col("ix").alias("nx"), F.col("iy").alias("ny"))
-    return asked.join(there, [*region, "nx", "ny"], "left_anti").select(*region, "x", "y", "side")
+    rows, on = 4 * footprint.count(), [*region, "nx", "ny"]
+    return parted(asked, rows, *on).join(parted(there, rows, *on), on, "left_anti").select(*region, "x", "y", "side")
 
 
 def region_loops(footprint: DataFrame, region: list[str], max_rounds: int = 60) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators.grid import DIRECTIONS, LOOK, looked_at, shifted
-from latticework.session import checkpointed
+from latticework.operators.grid import DIRECTIONS, met
+from latticework.session import checkpointed, written
 from latticework.sources.voxels import KEY
 
 #: fixed values: corners of a unit face for each direction, counter-clockwise seen from outside
@@ -33,9 +33,10 @@ def membrane_faces(cells: DataFrame, voxel_size: float = 1.0, gap: float = 0.05,
     """
     slim = cells.select("grid_id", "voxel_idx", "ix", "iy", "iz", "program_idx")
     ends = F.col("other_program_idx").isNull() if include_boundary else F.lit(False)
-    near = shifted(slim, list(enumerate(DIRECTIONS))).join(looked_at(slim), LOOK, "left").where(ends | (F.col("other_program_idx") != F.col("program_idx")))
+    near = met(slim, slim, list(enumerate(DIRECTIONS)), "left").where(ends | (F.col("other_program_idx") != F.col("program_idx")))
     centre = slim.groupBy("grid_id", "program_idx").agg(*((F.avg(f"i{c}") + 0.5).alias(f"m{c}") for c in "xyz"))
-    joined = near.join(centre, ["grid_id", "program_idx"])
+    # written, so that few grids are broadcast and the faces stay where they are
+    joined = near.join(written(centre)[0], ["grid_id", "program_idx"])
     normal = [_of_direction([d[k] for d in DIRECTIONS]) for k in range(3)]
     towards = sum((n * (F.col(f"m{c}") - F.col(f"i{c}") - 0.5 - n / 2) for n, c in zip(normal, "xyz", strict=True)), F.lit(0.0))
     sign = F.when(towards < 0, 1.0).otherwise(-1.0) * gap

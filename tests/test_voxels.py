@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from latticework import session
 from latticework.functions import channels as ch
 from latticework.operators import allocation as al
 from latticework.operators import grid, interfaces, regions, tiles
@@ -174,3 +175,25 @@ def test_scores_group_by_voxel_alone(spark):
     found = allocation.wide(rows, ["a", "b"])
     assert "pivotfirst" not in found._jdf.queryExecution().executedPlan().toString().lower()
     assert sorted(tuple(r) for r in found.collect()) == [("g", 0, 1.0, 2.0), ("g", 1, None, 3.0)]
+
+
+def test_columns_score_as_channels_do(spark):
+    odd = [None, float("nan"), float("inf"), 1.0, 4.0, 4.0, 2.5]
+    v = spark.createDataFrame([(g, i, x, 7.0 if g == "h" else float(i)) for g in "gh" for i, x in enumerate(odd)], "grid_id string, voxel_idx long, a double, b double")
+    channels = v.select(*vx.KEY, F.explode(F.array(*(F.struct(F.lit(x).alias("label"), F.col(x).alias("value")) for x in "ab"))).alias("c")).select(*vx.KEY, "c.*")
+    programs = vx.programs(spark, [("p", 1), ("q", 1), ("r", -1)])
+    weights = vx.weights(programs, ["a", "b"], spark.createDataFrame([("p", "a", -0.5), ("r", "b", 0.25)], "program_name string, label string, weight double"))
+    columns = ch.normalized_columns(v, ["a", "b"])
+    scored = al.scores(ch.normalized(ch.sanitized(channels)), programs, weights)
+    assert sorted(map(tuple, al.scores_of(columns, ["a", "b"], programs, weights).collect())) == sorted(map(tuple, scored.collect()))
+    got = al.best_of(columns, ["a", "b"], programs, weights).select(*vx.KEY, "program_idx", "winning_score")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, al.argmax(scored).collect()))
+
+
+def test_neighbour_joins_are_parted_by_rows(spark, monkeypatch):
+    """A task's share does not grow with the table: partitions do."""
+    monkeypatch.setattr(session, "PART", 10)
+    v = cells(spark, list(itertools.product(range(5), repeat=3)), [0] * 125)
+    rows = interfaces.contacts(v)
+    assert rows.rdd.getNumPartitions() == 38
+    assert interfaces.contact_counts(rows).where("tag = 'same_program'").first()["contacts"] == 300
