@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.session import checkpointed, counted
+from latticework.session import checkpointed, counted, written
 from latticework.sources.voxels import KEY
 
 UNASSIGNED, CORE = -1, -2
@@ -107,26 +107,88 @@ def assign_highest(scored: DataFrame, programs: DataFrame, core: DataFrame | Non
     """Highest score first: (grid_id, voxel_idx, program_idx, winning_score).
 
     With limits this equals walking all scores from the top (ties by voxel, then
-    program) and skipping taken voxels and full programs. It is done in rounds:
-    voxels propose to their best program that has not turned them down, programs
-    keep the best up to their limit and turn the rest down.
+    program) and skipping taken voxels and full programs. It is done in rounds
+    that raise each full program's cut, see `_under_limits`.
     """
     free = scored if core is None else scored.join(core.select(*KEY).distinct(), KEY, "left_anti")
     limits = {r["program_idx"]: r["voxel_count"] for r in programs.collect() if r["voxel_count"] >= 0} if not show_all else {}
     if not limits:
         return _completed(scored.select(*KEY).distinct(), argmax(free), core)
-    limit = reduce(lambda x, kv: F.when(F.col("program_idx") == kv[0], kv[1]).otherwise(x), limits.items(), F.lit(None).cast("long"))
-    offers = checkpointed(free)
+    every = sorted({r["program_idx"] for r in programs.collect()} | {r["program_idx"] for r in free.select("program_idx").distinct().collect()})
+    mine = {k: F.when(F.col("program_idx") == k, F.struct("score")) for k in every}
+    offers = free.groupBy(*KEY).agg(*(F.first(x, ignorenulls=True).alias(f"offer{k}") for k, x in mine.items()))
+    return _completed(scored.select(*KEY).distinct(), _under_limits(offers, every, limits, max_rounds), core)
+
+
+def assign_highest_of(columns: DataFrame, labels: list[str], programs: DataFrame, weights: DataFrame, max_rounds: int = 200) -> DataFrame:
+    """As `assign_highest` with limits, of voxels with a column for each label: nothing is grouped by voxel."""
+    scored = _by_program(labels, programs, weights)
+    limits = {r["program_idx"]: r["voxel_count"] for r in programs.collect() if r["voxel_count"] >= 0}
+    offers = columns.select(*KEY, *(F.struct(s.alias("score")).alias(f"offer{k}") for k, s in scored.items()))
+    return _completed(columns, _under_limits(offers, list(scored), limits, max_rounds), None)
+
+
+#: parts of a program's span of scores in which its last place is looked for
+BINS = 4096
+
+
+def _under_limits(offers: DataFrame, every: list[int], limits: dict[int, int], max_rounds: int) -> DataFrame:
+    """(grid_id, voxel_idx, program_idx, winning_score) of voxels that a program takes.
+
+    `offers` has offer<program>, a struct of the score, null where there is none.
+    The voxels stay as they are written; a round only raises the cuts: the least
+    (score, voxel) that a full program of a grid still takes. Each voxel is at its
+    best program whose cut it reaches. Cuts never fall, as a program is only
+    offered more, so a voxel below one is turned down for good.
+    """
+    offers, _ = written(offers)
+    capped = [k for k in every if k in limits]
+    if not capped:
+        return _at_best(offers, every).where("program_idx is not null")
+    spans = offers.groupBy("grid_id").agg(*(f(f"offer{k}.score").alias(f"{n}{k}") for k in capped for n, f in (("lo", F.min), ("hi", F.max))))
+    cut_type = "struct<score: double, neg: bigint>"
+    cuts, _ = written(spans.select("*", *(F.lit(None).cast(cut_type).alias(f"cut{k}") for k in capped), F.lit(True).alias("open")))
+
+    def of(values: dict[int, Column]) -> Column:
+        return F.coalesce(*(F.when(F.col("program_idx") == k, v) for k, v in values.items()))
+
+    limit = of({k: F.lit(n).cast("long") for k, n in limits.items() if k in capped})
     for _ in range(max_rounds):
-        best = argmax(offers)
-        capped = numbered(best.where(limit.isNotNull()), ["grid_id", "program_idx"], "winning_score", "place")
-        turned, seen = counted(capped.where(F.col("place") > limit).select(*KEY, "program_idx"), n=F.count(F.lit(1)))
+        # a grid in which nothing was cut any more is settled
+        now = _at_best(offers.join(cuts.where("open"), "grid_id"), capped + [k for k in every if k not in capped], ["grid_id", *(f"{n}{k}" for k in capped for n in ("lo", "hi"))])
+        lo, hi = of({k: F.col(f"lo{k}") for k in capped}), of({k: F.col(f"hi{k}") for k in capped})
+        share = F.floor((F.col("winning_score") - lo) / (hi - lo) * BINS)
+        held = now.where(F.col("program_idx").isin(capped)).select(*KEY, "program_idx", "winning_score", F.when(hi > lo, F.coalesce(share, F.lit(0))).otherwise(0).alias("bin"))
+        group = ["grid_id", "program_idx"]
+        bins = held.groupBy(*group, "bin").agg(F.count(F.lit(1)).alias("n"))
+        upto = F.sum("n").over(Window.partitionBy(*group).orderBy(F.col("bin").desc()))
+        total = F.sum("n").over(Window.partitionBy(*group))
+        # the bin that holds the last place, and the place within it
+        last = bins.withColumns({"upto": upto, "total": total}).where((F.col("total") > limit) & (F.col("upto") >= limit) & (F.col("upto") - F.col("n") < limit)).select(*group, "bin", (limit - F.col("upto") + F.col("n")).alias("at"))
+        last, seen = written(last, n=F.count(F.lit(1)))
         if not seen["n"]:
-            return _completed(scored.select(*KEY).distinct(), best, core)
-        offers = checkpointed(offers.join(turned, [*KEY, "program_idx"], "left_anti"))
+            return _at_best(offers.join(cuts, "grid_id"), every).where("program_idx is not null")
+        near = written(held.join(last, [*group, "bin"]))[0]
+        found = numbered(near, group, "winning_score", "place").where(F.col("place") == F.col("at")).select(*group, F.struct(F.col("winning_score").alias("score"), (-F.col("voxel_idx")).alias("neg")).alias("cut"))
+        raised = found.groupBy("grid_id").agg(*(F.max(F.when(F.col("program_idx") == k, F.col("cut"))).alias(f"new{k}") for k in capped)).withColumn("more", F.lit(True))
+        cuts, _ = written(cuts.join(raised, "grid_id", "left").select("grid_id", *(f"{n}{k}" for k in capped for n in ("lo", "hi")), *(F.coalesce(f"new{k}", f"cut{k}").alias(f"cut{k}") for k in capped), F.coalesce("more", F.lit(False)).alias("open")))
     raise RuntimeError(f"not settled in {max_rounds} rounds")
 
 
+def _at_best(offers: DataFrame, every: list[int], keep: list[str] | None = None) -> DataFrame:
+    """Each voxel's best program whose cut it reaches, null where there is none."""
+    reached = []
+    for k in every:
+        offer = F.struct(F.col(f"offer{k}.score").alias("score"), (-F.col("voxel_idx")).alias("neg"))
+        open_ = F.col(f"offer{k}").isNotNull()
+        if f"cut{k}" in offers.columns:
+            open_ &= F.col(f"cut{k}").isNull() | (offer >= F.col(f"cut{k}"))
+        reached.append(F.when(open_, F.struct(F.col(f"offer{k}.score").alias("score"), F.lit(-k).alias("neg"))))
+    best = offers.withColumn("m", F.greatest(*reached) if len(reached) > 1 else reached[0])
+    more = [c for c in keep or [] if c not in KEY]
+    return best.select(*KEY, *more, (-F.col("m.neg")).alias("program_idx"), F.col("m.score").alias("winning_score"))
+
+
 def assign_per_program(scored: DataFrame, programs: DataFrame, core: DataFrame | None = None, show_all: bool = True) -> DataFrame:
     """Program 0 takes its limit of the best voxels, then program 1 of what is left, and so on."""
     left = scored if core is None else scored.join(core.select(*KEY).distinct(), KEY, "left_anti")

@@ -197,3 +197,19 @@ def test_neighbour_joins_are_parted_by_rows(spark, monkeypatch):
     rows = interfaces.contacts(v)
     assert rows.rdd.getNumPartitions() == 38
     assert interfaces.contact_counts(rows).where("tag = 'same_program'").first()["contacts"] == 300
+
+
+def test_capped_rounds_write_cuts_not_offers(spark, monkeypatch):
+    """Rounds over many voxels that are turned down write no voxel anew."""
+    rng = random.Random(3)
+    rows = [(g, v, p, rng.randint(0, 40) / (40 if g == "g" else 7)) for g in "gh" for v in range(300) for p in range(3)]
+    scored = spark.createDataFrame(rows, "grid_id string, voxel_idx long, program_idx int, score double")
+    programs = vx.programs(spark, [("a", 31), ("b", 60), ("c", -1)])
+    sizes, cut = [], al.written
+    monkeypatch.setattr(al, "written", lambda df, **sums: sizes.append(df.count()) or cut(df, **sums))
+    monkeypatch.setattr(al, "BINS", 4)
+    got = {(r["grid_id"], r["voxel_idx"]): r["program_idx"] for r in al.assign_highest(scored, programs, show_all=False).collect()}
+    for g in "gh":
+        want = brute_greedy([r[1:] for r in rows if r[0] == g], {0: 31, 1: 60, 2: -1})
+        assert {v: got[g, v] for v in range(300)} == want
+    assert sizes[0] == 600 and len(sizes) > 3 and max(sizes[1:]) < 400
