@@ -127,3 +127,27 @@ def test_loops_of_a_ring_and_of_touching_corners(spark):
         path = [places[i] for i in range(len(places))]
         area[region] += sum(a[0] * b[1] - a[1] * b[0] for a, b in zip(path, path[1:] + path[:1], strict=True)) / 2
     assert area == {"ring": 8, "bent": 7}
+
+
+@pytest.mark.parametrize("tile", [4, 32])
+def test_loops_cross_tiles(spark, monkeypatch, tile):
+    """Edges are written once; rounds take only the chains that leave their tile."""
+    sizes, cut = [], loops.written
+    monkeypatch.setattr(loops, "TILE", tile)
+    monkeypatch.setattr(loops, "written", lambda df, **sums: sizes.append(df.count()) or cut(df, **sums))
+    rng = random.Random(tile)
+    plate = {(x, y) for x in range(-5, 40) for y in range(28, 40) if rng.random() < 0.7}
+    got = {(r["x"], r["y"], r["loop_x"], r["loop_y"], r["loop_side"], r["place"]) for r in loops.region_loops(spark.createDataFrame([("r", *c) for c in sorted(plate)], "region string, ix int, iy int"), ["region"]).collect()}
+    edges = {(x + s[0], y + s[1], k) for x, y in plate for k, (o, s) in enumerate(loops.SIDES) if (x + o[0], y + o[1]) not in plate}
+    want, left = set(), set(edges)
+    while left:
+        start = at = min(left)
+        place = 0
+        while at in left:
+            left.remove(at)
+            want.add((at[0], at[1], *start, place))
+            x, y, k = at[0] + loops.STEPS[at[2]][0], at[1] + loops.STEPS[at[2]][1], at[2]
+            at, place = next((x, y, (k + 1 - turn) % 4) for turn in range(4) if (x, y, (k + 1 - turn) % 4) in edges), place + 1
+        assert at == start
+    assert got == want
+    assert sizes[0] == len(edges) and max(sizes[1:]) < len(edges) / (1 if tile == 4 else 4)
