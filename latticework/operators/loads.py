@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.operators import bricks
 from latticework.operators.allocation import CORE, UNASSIGNED
-from latticework.session import checkpointed, counted, written
+from latticework.operators.forests import ENDS, SHIFT, Brick, Forest, node_of, place_of
+from latticework.session import written
 from latticework.sources.voxels import CELL, KEY
 
 #: fixed values: cost of a step down and sideways, each a fifth onto the core network; here in fifths, so that costs are whole
 DOWN, SIDE, SHARE = 5, 20, 5
 #: fixed values: what a sideways step leaves of the capacity, and the capacity up to which a cluster is weak
 LEFT, WEAK = 0.25, 0.25
+#: the cell on which a program's way goes over to a core's
+_TAIL = [f"tail_{c}" for c in CELL[1:]]
 
 
 def _costs(limit: int):
@@ -25,19 +29,19 @@ def _costs(limit: int):
         empty = fixed[0] >= bricks.FAR
         ends = np.where(fixed[1] < bricks.FAR, fixed[1], -1)
         inside[limit + 1], inside[limit + 2] = fixed[2], fixed[0]
-        for r in range(limit + 1):
-            inside[r] = np.where(ends >= r, 0, bricks.FAR)
-        while True:
-            before = inside[: limit + 1].copy()
-            fall = _onto(bricks.looked(planes[0], 2, -1), bricks.looked(planes[limit + 1], 2, -1), DOWN)
-            # later runs first, so that a way of several sideways steps is found in one turn
+        # ways never go up, and a step sideways adds to the run: one turn over floors and runs settles a brick
+        for z in range(bricks.SIDE):
+            if empty[:, :, z].all():
+                continue
+            joined = planes[limit + 1]
+            fall = _onto(planes[0, 1:-1, 1:-1, z], joined[1:-1, 1:-1, z], DOWN)
             for r in range(limit, -1, -1):
-                options = [inside[r], fall]
+                best = np.where(ends[:, :, z] >= r, 0, fall)
                 if r < limit:
-                    options += [_onto(bricks.looked(planes[r + 1], k, s), bricks.looked(planes[limit + 1], k, s), SIDE) for k in range(2) for s in (1, -1)]
-                inside[r] = np.where(empty, bricks.FAR, np.minimum.reduce(options))
-            if (inside[: limit + 1] == before).all():
-                return inside.copy()
+                    paid = _onto(planes[r + 1, :, :, z + 1], joined[:, :, z + 1], SIDE)
+                    best = np.minimum.reduce([best, paid[2:, 1:-1], paid[:-2, 1:-1], paid[1:-1, 2:], paid[1:-1, :-2]])
+                inside[r, :, :, z] = np.where(empty[:, :, z], bricks.FAR, best)
+        return inside.copy()
 
     return solve
 
@@ -47,164 +51,156 @@ def _onto(cost: np.ndarray, joined: np.ndarray, step: int) -> np.ndarray:
     return np.where(cost < bricks.FAR, cost + np.where(joined < bricks.FAR, step // SHARE, step), bricks.FAR)
 
 
-def _moves(cells: DataFrame, limit: int, max_rounds: int) -> DataFrame:
-    """(grid_id, voxel_idx, ix, iy, iz, run, to_idx, to_run, down): the next move from each cell and run of sideways steps that has a way.
+#: rows of a cell's way
+_SUMS = "grid_id string, voxel_idx long, ix int, iy int, iz int, steps long, sides long, end_idx long"
+
+
+def _grown(cells: DataFrame, limit: int, max_rounds: int) -> Forest:
+    """The ways over `cells` with program_idx; `ends` is the most sideways steps with which a way may end there, `joined` marks the network."""
+    settled = bricks.settle(cells, ["ends", "joined", "program_idx"], limit + 3, _costs(limit), max_rounds)
+    return Forest(settled, limit, _onto, (DOWN, SIDE))
+
+
+def _programs(brick: Brick) -> np.ndarray:
+    """The program of each node's cell."""
+    return brick.programs[tuple(brick.cell)]
+
+
+def _summed(core: bool):
+    """Rows of the ways of a brick's core or program voxels."""
+
+    def rows(brick: Brick):
+        program = _programs(brick)
+        at = np.flatnonzero((brick.run == 0) & ((program == CORE) if core else (program >= 0) & (program < bricks.FAR)))
+        return brick.where(at) | {"program_idx": program[at]} | {n: x[at] for n, x in brick.sums().items()}, len(at)
+
+    return rows
+
+
+def _highest(brick: Brick):
+    """The highest, then least, core voxel that passes each node, as its place in a list of them."""
+    at = np.flatnonzero((brick.run == 0) & (_programs(brick) == CORE))
+    node, _, (height, source) = brick.put(["height", "source"])
+    node = np.concatenate([brick.node[at], node])
+    height = np.concatenate([-(bricks.SIDE * brick.key[3] + brick.cell[2, at]), height]).astype(np.int64)
+    source = np.concatenate([brick.voxel(at), source]).astype(np.int64)
+    order = np.lexsort((source, height))
+    value = np.full(brick.moves.shape, len(order))
+    np.minimum.at(value.reshape(-1), node[order], np.arange(len(order)))
+    there = value < len(order)
+    brick.flowed(value, there, np.minimum)
+    return value, there, lambda places: {"height": height[order][places], "source": source[order][places]}
+
+
+def _owned(brick: Brick):
+    """Of each cell on a core's way the run of the core that owns it, with the sums of the way on from there."""
+    value, there, _ = _highest(brick)
+    held = np.where(there, value, bricks.FAR)
+    run = held.argmin(axis=0)
+    at = np.flatnonzero(there.ravel()[brick.node] & (brick.run == run[tuple(brick.cell)]))
+    return brick.where(at) | {"run": brick.run[at]} | {n: x[at] for n, x in brick.sums().items()}, len(at)
+
+
+def _carried(core: bool):
+    """What passes each node, and what is put there by rows; a core's way carries 1."""
+
+    def held(brick: Brick):
+        value, put = np.zeros(brick.moves.shape), np.zeros(brick.moves.shape)
+        there = np.zeros(brick.moves.shape, bool)
+        node, entered, (amount,) = brick.put(["value"])
+        np.add.at(value.reshape(-1), node, amount)
+        np.add.at(put.reshape(-1), node[~entered], amount[~entered])
+        there.reshape(-1)[node] = True
+        if core:
+            at = brick.node[(brick.run == 0) & (_programs(brick) == CORE)]
+            value.reshape(-1)[at] += 1.0
+            there.reshape(-1)[at] = True
+        brick.flowed(value, there, np.add)
+        return value, there, put
+
+    return held
+
+
+def _passed(core: bool):
+    """The sum of what passes each cell; a program's way that goes over to a core's is counted on its own cells."""
+
+    def rows(brick: Brick):
+        value, there, put = _carried(core)(brick)
+        every = (value - put if core else value).sum(axis=0)
+        on = there.any(axis=0)
+        at = np.flatnonzero(on[tuple(brick.cell)])
+        _, first = np.unique(brick.voxel(at), return_index=True)
+        at = at[first]
+        return brick.where(at) | {"value": every[tuple(brick.cell[:, at])]}, len(at)
+
+    return rows
+
+
+def _stepped(core: bool):
+    """The distinct steps of the ways in a brick."""
+
+    def rows(brick: Brick):
+        _, there, _ = _carried(core)(brick)
+        at = np.flatnonzero(there.ravel()[brick.node] & (brick.move < ENDS))
+        here, to = brick.voxel(at), brick.voxel(at, SHIFT[brick.move[at]].T)
+        pairs = np.unique(np.array([np.minimum(here, to), np.maximum(here, to)]), axis=1)
+        return {"grid_id": brick.key[0], "a": pairs[0], "b": pairs[1]}, pairs.shape[1]
+
+    return rows
 
-    `cells` has the greatest number of sideways steps with which a way may end
-    there, as `ends`, and `joined` where it is on the network. to_idx is null
-    where a way ends. Of equal costs the lesser voxel is next.
-    """
-    settled = bricks.settle(cells, ["ends", "joined"], limit + 3, _costs(limit), max_rounds)
-
-    def rows(planes, fixed, place):
-        at = tuple(place)
-        cell = np.arange(place.shape[1])
-        ends = np.where(fixed[1][at] < bricks.FAR, fixed[1][at], -1)
-        sides = [(2, -1), *((k, s) for k in range(2) for s in (1, -1))]
-        out: dict[str, list[np.ndarray]] = {n: [] for n in ("cell", "run", "to_idx", "to_run", "down")}
-        for r in range(limit + 1):
-            cost = bricks.inner(planes[r])[at]
-            best, to, down = np.full(len(cell), bricks.FAR), np.full(len(cell), bricks.FAR), np.zeros(len(cell), bool)
-            for k, s in sides if r < limit else sides[:1]:
-                falls = k == 2
-                paid = _onto(bricks.looked(planes[0 if falls else r + 1], k, s)[at], bricks.looked(planes[limit + 1], k, s)[at], DOWN if falls else SIDE)
-                voxel = bricks.looked(planes[limit + 2], k, s)[at]
-                better = (paid < best) | ((paid == best) & (paid < bricks.FAR) & (voxel < to))
-                best, to, down = np.where(better, paid, best), np.where(better, voxel, to), np.where(better, falls, down)
-            stops = ends >= r
-            to, down = np.where(stops, bricks.FAR, to), down & ~stops
-            keep = cost < bricks.FAR
-            for n, x in (("cell", cell), ("run", np.full(len(cell), r)), ("to_idx", to), ("to_run", np.where(down | stops, 0, r + 1)), ("down", down.astype(np.int64))):
-                out[n].append(x[keep])
-        return {n: np.concatenate(x) for n, x in out.items()}
-
-    return bricks.unpacked(settled, "run int, to_idx long, to_run int, down int", rows)
-
-
-NODE = ["grid_id", "voxel_idx", "run"]
-
-
-class Forest:
-    """The ways of one kind as pointers: each (voxel, run) with a way has one next, and all lead to an end.
-
-    `nodes` has each node's move and where it stops: itself, or the cell on which
-    a fall from there turns or ends. Only nodes that do not fall are joined to one
-    another, by the sideways step to the next one; `levels` has their pointers
-    over 1, 2, 4, ... such hops, and `totals` the sums of the whole way.
-    """
 
-    def __init__(self, moves: DataFrame, max_rounds: int = 60):
-        # a fall from a cell goes to the nearest cell below that does not fall; several runs share a height
-        below = Window.partitionBy("grid_id", "ix", "iy").orderBy("iz").rangeBetween(Window.unboundedPreceding, -1)
-        landing = F.max(F.when((F.col("run") == 0) & (F.col("down") == 0), F.struct("iz", "voxel_idx"))).over(below)
-        falls = F.col("down") == 1
-        stop = F.when(falls, F.struct(F.col("l.voxel_idx").alias("idx"), F.lit(0).alias("run"), (F.col("iz") - F.col("l.iz")).alias("length"))).otherwise(F.struct(F.col("voxel_idx").alias("idx"), "run", F.lit(0).alias("length")))
-        self.nodes, _ = written(moves.withColumn("l", landing).withColumn("stop", stop).drop("l"))
-        turns = self.nodes.where("down = 0")
-        ahead = self.nodes.select("grid_id", F.col("voxel_idx").alias("to_idx"), F.col("run").alias("to_run"), F.col("stop").alias("s"), "down")
-        first = turns.drop("down").join(ahead, ["grid_id", "to_idx", "to_run"], "left").select(
-            *NODE, F.col("s.idx").alias("next_idx"), F.col("s.run").alias("next_run"), F.coalesce(F.col("s.length") + 1, F.lit(0)).cast("long").alias("steps"), F.when(F.col("s").isNotNull(), 1).otherwise(0).cast("long").alias("sides"),
-            # sideways steps before the next one down or the end, and whether none came so far
-            F.when(F.col("s").isNotNull(), 1).otherwise(0).alias("lead"), (F.coalesce("down", F.lit(0)) == 0).alias("level"), F.when(F.col("s").isNull(), F.col("voxel_idx")).alias("end_idx"),
-        )
-        now, seen = written(first, more=F.count("next_idx"))
-        self.levels = [now]
-        for _ in range(max_rounds):
-            if not seen["more"]:
-                break
-            then = now.select("grid_id", F.col("voxel_idx").alias("next_idx"), F.col("run").alias("next_run"), *(F.col(c).alias(f"t_{c}") for c in ("next_idx", "next_run", "steps", "sides", "lead", "level", "end_idx")))
-            on = ["grid_id", "next_idx", "next_run"]
-            moved = now.join(then, on, "left").select(
-                *NODE, F.col("t_next_idx").alias("next_idx"), F.col("t_next_run").alias("next_run"), *((F.col(c) + F.coalesce(f"t_{c}", F.lit(0))).alias(c) for c in ("steps", "sides")),
-                (F.col("lead") + F.when(F.col("level"), F.coalesce("t_lead", F.lit(0))).otherwise(0)).alias("lead"), (F.col("level") & F.coalesce("t_level", F.lit(True))).alias("level"), F.coalesce("end_idx", "t_end_idx").alias("end_idx"),
-            )
-            now, seen = written(moved, more=F.count("next_idx"))
-            self.levels.append(now)
-        else:
-            raise RuntimeError(f"ways of more than 2 to the {max_rounds} turns")
-        self.totals = now.select(*NODE, "steps", "sides", "lead", "end_idx")
-
-    def ways(self, at: DataFrame) -> DataFrame:
-        """The columns of `at` (grid_id, voxel_idx, run, ...) with steps, sides, lead and end_idx; rows without a way go."""
-        stops = at.join(self.nodes.select(*NODE, "stop"), NODE).withColumns({"at_idx": F.col("stop.idx"), "at_run": F.col("stop.run")})
-        ends = self.totals.select("grid_id", F.col("voxel_idx").alias("at_idx"), F.col("run").alias("at_run"), "steps", "sides", "lead", "end_idx")
-        return stops.join(ends, ["grid_id", "at_idx", "at_run"]).select(*at.columns, (F.col("steps") + F.col("stop.length")).alias("steps"), "sides", F.when(F.col("stop.length") > 0, 0).otherwise(F.col("lead")).alias("lead"), "end_idx")
-
-    def flow(self, put: DataFrame, total) -> DataFrame:
-        """(grid_id, voxel_idx, run, value): what passes each node, where `put` has (grid_id, voxel_idx, run, value) that start on theirs.
-
-        `total` is F.sum or F.min. Values go down the pointers by doubling, so
-        rounds are the logarithm of the turns of a way.
-        """
-        placed = put.join(self.nodes, NODE).select(*NODE, *CELL[1:], "to_idx", "down", "stop", "value")
-        value = placed.select("grid_id", F.col("stop.idx").alias("voxel_idx"), F.col("stop.run").alias("run"), "value").groupBy(*NODE).agg(total("value").alias("value"))
-        for level in self.levels:
-            sent = value.join(level.where("next_idx is not null").select(*NODE, "next_idx", "next_run"), NODE).select("grid_id", F.col("next_idx").alias("voxel_idx"), F.col("next_run").alias("run"), "value")
-            value, _ = written(value.unionByName(sent).groupBy(*NODE).agg(total("value").alias("value")))
-        # what a sideways step brings onto a falling node, and what was put there
-        stepped = value.join(self.nodes.where("down = 0 and to_idx is not null").select(*NODE, "to_idx", "to_run"), NODE).select("grid_id", F.col("to_idx").alias("voxel_idx"), F.col("to_run").alias("run"), "value")
-        arrived = stepped.join(self.nodes.where("down = 1").select(*NODE, "to_idx"), NODE).unionByName(placed.where("down = 1").select(*NODE, "value", "to_idx"))
-        later = arrived.where("run > 0")
-        # below, all of it falls with run 0, over each cell down to the landing
-        onto = arrived.where("run = 0").select("grid_id", "voxel_idx", "value").unionByName(later.select("grid_id", F.col("to_idx").alias("voxel_idx"), "value"))
-        column = self.nodes.where("down = 1 and run = 0").join(onto.groupBy(*KEY).agg(total("value").alias("value")), KEY, "left")
-        over = Window.partitionBy("grid_id", "ix", "iy", "stop.idx").orderBy(F.col("iz").desc()).rowsBetween(Window.unboundedPreceding, 0)
-        fallen = column.select(*NODE, total("value").over(over).alias("value")).where("value is not null")
-        return value.unionByName(later.select(*NODE, "value")).unionByName(fallen).groupBy(*NODE).agg(total("value").alias("value"))
+def _puts(rows: DataFrame, run: Column, *cell: str) -> DataFrame:
+    """`rows` with a value as what bricks hear of their nodes, summed."""
+    return rows.select("grid_id", *place_of(*cell), node_of(run, *cell), "value").groupBy(*bricks.BRICK, "node").agg(F.sum("value").alias("value")).withColumn("entered", F.lit(False))
 
 
 class Ways:
     """Ways of all core and program voxels to the ground, as two forests; see `find_ways`."""
 
     def __init__(self, cells: DataFrame, ground: DataFrame, limit: int, max_rounds: int):
-        self.cells = checkpointed(cells.select(*KEY, *CELL[1:], "program_idx"))
-        grounded = self.cells.select(*KEY, *CELL[1:]).join(ground.select(*KEY).distinct().withColumn("ends", F.lit(limit).cast("long")), KEY, "left")
-        self.core = Forest(_moves(grounded.withColumn("joined", F.lit(None).cast("long")), limit, max_rounds))
-        zero = F.lit(0).alias("run")
-        cores = self.cells.where(F.col("program_idx") == CORE).select(*KEY, zero, (-F.col("iz")).alias("height"))
-        passing = self.core.flow(cores.select(*NODE, F.struct("height", F.col("voxel_idx").alias("source")).alias("value")), F.min)
+        self.cells, _ = written(cells.select(*KEY, *CELL[1:], "program_idx"))
+        grounded = self.cells.join(ground.select(*KEY).distinct().withColumn("ends", F.lit(limit).cast("long")), KEY, "left")
+        self.core = _grown(grounded.withColumn("joined", F.lit(None).cast("long")), limit, max_rounds)
         # the core of the highest, then least, voxel that passes a cell owns it
-        owner = passing.groupBy(*KEY).agg(F.min(F.struct("value", "run")).alias("o")).select(*KEY, F.col("o.run").alias("run"))
-        self.owner = checkpointed(self.core.ways(owner))
-        onto = self.owner.select(*KEY, (F.lit(limit) - F.col("lead")).cast("long").alias("free"))
-        joined = grounded.join(onto, KEY, "left").select(*KEY, *CELL[1:], F.coalesce("ends", "free").alias("ends"), F.when(F.col("free").isNotNull(), 1).cast("long").alias("joined"))
-        self.own = Forest(_moves(joined, limit, max_rounds))
+        passing = self.core.come_in({"height": "long", "source": "long"}, F.min, _highest)
+        self.owner, _ = written(self.core.visit(f"{_SUMS}, run int, lead long", _owned, self.core.told(), passing))
+        onto = self.owner.select(*KEY, (F.lit(limit) - F.col("lead")).alias("free"))
+        joined = grounded.join(onto, KEY, "left").select(*KEY, *CELL[1:], "program_idx", F.coalesce("ends", "free").alias("ends"), F.when(F.col("free").isNotNull(), 1).cast("long").alias("joined"))
+        self.own = _grown(joined, limit, max_rounds)
 
     def routes(self) -> DataFrame:
         """(grid_id, source, program_idx, steps, capacity) of every core and program voxel with a way: a sideways step leaves a quarter, a step down all of it."""
         return self._routes().select("grid_id", F.col("voxel_idx").alias("source"), "program_idx", F.col("steps").cast("int").alias("steps"), F.pow(F.lit(LEFT), "sides").alias("capacity"))
 
     def _routes(self) -> DataFrame:
-        """Sources with the sums of their ways, and the core way that a program's goes over to."""
-        at = self.cells.select(*KEY, F.lit(0).alias("run"), "program_idx")
-        none = F.lit(None).cast("int").alias("tail_run")
-        cores = self.core.ways(at.where(F.col("program_idx") == CORE)).select(*KEY, "program_idx", "steps", "sides", "end_idx", none)
-        tails = self.owner.select("grid_id", F.col("voxel_idx").alias("end_idx"), F.col("run").alias("tail_run"), F.col("steps").alias("tail_steps"), F.col("sides").alias("tail_sides"))
-        own = self.own.ways(at.where("program_idx >= 0")).join(tails, ["grid_id", "end_idx"], "left")
+        """Sources with the sums of their ways, and the core way that a program's goes over to after `before` steps."""
+        schema = f"{_SUMS}, program_idx int"
+        cores = self.core.visit(schema, _summed(True), self.core.told())
+        tails = self.owner.select("grid_id", F.col("voxel_idx").alias("end_idx"), F.col("run").alias("tail_run"), *(F.col(c).alias(f"tail_{c}") for c in (*CELL[1:], "steps", "sides")))
+        own = self.own.visit(schema, _summed(False), self.own.told()).withColumn("before", F.col("steps")).join(tails, ["grid_id", "end_idx"], "left")
         more = [(F.col(c) + F.coalesce(f"tail_{c}", F.lit(0))).alias(c) for c in ("steps", "sides")]
-        return cores.unionByName(own.select(*KEY, "program_idx", *more, "end_idx", "tail_run"))
+        return cores.unionByName(own.select(*KEY, *CELL[1:], "program_idx", *more, "end_idx", "before", "tail_run", *_TAIL), allowMissingColumns=True)
 
-    def _flows(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """What passes the nodes of both forests, and what programs bring onto core ways; a core's way carries 1 and a program's its capacity."""
-        routes = checkpointed(self._routes().withColumn("value", F.when(F.col("program_idx") == CORE, 1.0).otherwise(F.pow(F.lit(LEFT), "sides"))))
-        zero = F.lit(0).alias("run")
-        own = self.own.flow(routes.where("program_idx >= 0").select(*KEY, zero, "value"), F.sum)
-        tails = routes.where("tail_run is not null").select("grid_id", F.col("end_idx").alias("voxel_idx"), F.col("tail_run").alias("run"), "value")
-        return own, self.core.flow(routes.where(F.col("program_idx") == CORE).select(*KEY, zero, "value").unionByName(tails), F.sum), tails
+    def _flows(self) -> tuple[list[DataFrame], list[DataFrame]]:
+        """What the bricks of the programs' and of the cores' ways hear of it; a core's way carries 1 and a program's its capacity."""
+        routes, _ = written(self._routes().where("program_idx >= 0").withColumn("value", F.pow(F.lit(LEFT), "sides")))
+        own, _ = written(_puts(routes, F.lit(0), *CELL[1:]))
+        tails, _ = written(_puts(routes.where("tail_run is not null"), F.col("tail_run"), *_TAIL))
+        value = {"value": "double"}
+        named = lambda core: lambda brick: (*_carried(core)(brick)[:2], lambda x: {"value": x})
+        return [own, self.own.come_in(value, F.sum, named(False), own)], [tails, self.core.come_in(value, F.sum, named(True), tails)]
 
     def passing(self) -> DataFrame:
         """(grid_id, voxel_idx, value): the sum of what the ways through each voxel carry."""
-        own, core, tails = self._flows()
-        # where a program's way goes over to a core's, the cell is on both
-        twice = tails.select(*KEY, (-F.col("value")).alias("value"))
-        every = own.select(*KEY, "value").unionByName(core.select(*KEY, "value")).unionByName(twice)
-        return every.groupBy(*KEY).agg(F.sum("value").alias("value"))
+        own, core = self._flows()
+        schema = "grid_id string, voxel_idx long, value double"
+        return self.own.visit(schema, _passed(False), *own).unionByName(self.core.visit(schema, _passed(True), *core)).groupBy(*KEY).agg(F.sum("value").alias("value"))
 
     def edges(self) -> DataFrame:
         """(grid_id, a, b) of the distinct steps of all ways, in either direction, with a < b."""
-        own, core, _ = self._flows()
-        steps = [flow.join(forest.nodes.where("to_idx is not null").select(*NODE, "to_idx"), NODE).select("grid_id", F.least("voxel_idx", "to_idx").alias("a"), F.greatest("voxel_idx", "to_idx").alias("b")) for flow, forest in ((own, self.own), (core, self.core))]
-        return steps[0].unionByName(steps[1]).distinct()
+        own, core = self._flows()
+        schema = "grid_id string, a long, b long"
+        return self.own.visit(schema, _stepped(False), *own).unionByName(self.core.visit(schema, _stepped(True), *core)).distinct()
 
 
 def find_ways(cells: DataFrame, ground: DataFrame, max_cantilever: int = 4, max_rounds: int = 10_000) -> Ways:
@@ -225,21 +221,35 @@ def find_ways(cells: DataFrame, ground: DataFrame, max_cantilever: int = 4, max_
 
 
 def _listed(forest: Forest, sources: DataFrame, max_rounds: int) -> DataFrame:
-    """(grid_id, source, step, voxel_idx) of every source's way from its node; a round is a fall or a sideways step of all of them."""
-    moves = forest.nodes.select(*NODE, *CELL[1:], "to_idx", "to_run", "down", "stop")
-    at = sources.select("grid_id", "voxel_idx", "run", "source", F.lit(0).cast("long").alias("step"))
-    pieces = None
+    """(grid_id, source, step, ix, iy, iz) of every source's way from its node, where `sources` has (grid_id, bx, by, bz, node, source, step); a round is a brick of all of them."""
+    schema = f"grid_id string, bx int, by int, bz int, node int, source long, step long, {', '.join(f'{c} int' for c in CELL[1:])}"
+
+    def rows(brick: Brick):
+        node, _, (source, step) = brick.put(["source", "step"])
+        at, out, gone = brick.place[node], [], []
+        while len(at):
+            out.append((source, step, at))
+            leaves, goes = brick.out[at], (brick.move[at] < ENDS) & ~brick.out[at]
+            gone.append((source[leaves], step[leaves] + 1, at[leaves]))
+            at, source, step = brick.place[brick.to_node[at[goes]]], source[goes], step[goes] + 1
+        if not out:
+            return {}, 0
+        listed, left = ([np.concatenate(x) for x in zip(*part, strict=True)] for part in (out, gone))
+        k, m = len(listed[0]), len(left[0])
+        none, beyond = np.zeros(k, bool), brick.beyond(left[2])
+        columns = {b: pa.array(np.concatenate([np.zeros(k, np.int64), beyond[f"to_{b}"]]).astype(np.int32), mask=np.concatenate([~none, np.zeros(m, bool)])) for b in (*bricks.BRICK[1:], "node")}
+        columns |= {c: pa.array(np.concatenate([x, np.zeros(m, np.int64)]).astype(np.int32), mask=np.concatenate([none, np.ones(m, bool)])) for c, x in brick.where(listed[2]).items() if c in CELL[1:]}
+        return columns | {"grid_id": brick.key[0], "source": np.concatenate([listed[0], left[0]]), "step": np.concatenate([listed[1], left[1]])}, k + m
+
+    at, pieces = sources, None
     for _ in range(max_rounds):
-        made, seen = counted(at.join(moves, NODE).select("grid_id", "source", "step", *CELL[1:], "voxel_idx", "to_idx", "to_run", "down", "stop"), more=F.count("to_idx"))
-        pieces = made if pieces is None else pieces.unionByName(made)
+        made, seen = written(forest.visit(schema, rows, at.withColumn("entered", F.lit(True))), more=F.count("node"))
+        found = made.where("node is null").select("grid_id", "source", "step", *CELL[1:])
+        pieces = found if pieces is None else pieces.unionByName(found)
         if not seen["more"]:
-            break
-        falls = F.col("down") == 1
-        at = made.where("to_idx is not null").select("grid_id", F.when(falls, F.col("stop.idx")).otherwise(F.col("to_idx")).alias("voxel_idx"), F.when(falls, 0).otherwise(F.col("to_run")).alias("run"), "source", (F.col("step") + F.when(falls, F.col("stop.length")).otherwise(1)).alias("step"))
-    else:
-        raise RuntimeError(f"ways not traced in {max_rounds} rounds")
-    length = F.greatest(F.col("stop.length"), F.lit(1))
-    return pieces.select("*", F.explode(F.sequence(F.lit(0), length - 1)).alias("k")).select("grid_id", "source", (F.col("step") + F.col("k")).alias("step"), "ix", "iy", (F.col("iz") - F.col("k")).alias("iz"))
+            return pieces
+        at = made.where("node is not null").select(*bricks.BRICK, "node", "source", "step")
+    raise RuntimeError(f"ways not traced in {max_rounds} rounds")
 
 
 def load_paths(cells: DataFrame, ground: DataFrame, max_cantilever: int = 4, max_rounds: int = 10_000) -> DataFrame:
@@ -249,12 +259,14 @@ def load_paths(cells: DataFrame, ground: DataFrame, max_cantilever: int = 4, max
     without them. A voxel without a way has no rows.
     """
     ways = find_ways(cells, ground, max_cantilever, max_rounds)
-    start = ways.cells.select(*KEY, F.lit(0).alias("run"), F.col("voxel_idx").alias("source"), "program_idx")
+    routes, _ = written(ways._routes())
+    source, none = F.col("voxel_idx").alias("source"), F.lit(0)
+    start = routes.select("grid_id", *place_of(*CELL[1:]), node_of(none, *CELL[1:]), source, none.cast("long").alias("step"), "program_idx")
     cores = _listed(ways.core, start.where(F.col("program_idx") == CORE), max_rounds)
     own = _listed(ways.own, start.where("program_idx >= 0"), max_rounds)
-    tails = checkpointed(ways._routes().where("tail_run is not null").select("grid_id", F.col("end_idx").alias("voxel_idx"), F.col("tail_run").alias("run"), F.col("voxel_idx").alias("source")))
-    own_steps = ways.own.ways(start.where("program_idx >= 0").select(*KEY, "run", "source")).select("grid_id", "source", F.col("steps").alias("before"))
-    rest = _listed(ways.core, tails, max_rounds).where("step > 0").join(own_steps, ["grid_id", "source"]).withColumn("step", F.col("step") + F.col("before")).drop("before")
+    over = routes.where("tail_run is not null").select("grid_id", *place_of(*_TAIL), node_of(F.col("tail_run"), *_TAIL), source, F.col("before").alias("step"))
+    # the cell on which a way goes over to a core's is on both
+    rest = _listed(ways.core, over, max_rounds).join(over.select("grid_id", "source", F.col("step").alias("before")), ["grid_id", "source"]).where("step > before").drop("before")
     every = cores.unionByName(own).unionByName(rest).join(ways.cells.select(*KEY, *CELL[1:]), CELL)
     programs = ways.cells.select("grid_id", F.col("voxel_idx").alias("source"), "program_idx")
     return every.join(programs, ["grid_id", "source"]).select("grid_id", "source", "program_idx", "step", "voxel_idx", *CELL[1:])

@@ -127,3 +127,27 @@ def test_no_rows_and_simplified_lines(spark):
     rows = spark.createDataFrame([("g", s, k, *map(float, p)) for s in (1, 2) for k, p in enumerate(line[: 7 if s == 1 else 3])], "grid_id string, source long, step int, x double, y double, z double")
     got = sorted((r.source, r.step) for r in loads.simplified(rows).collect())
     assert got == [(1, 0), (1, 2), (1, 4), (1, 5), (1, 6), (2, 0), (2, 2)]
+
+
+def test_ways_over_bricks_are_those_within_one_and_join_only_doors(spark):
+    rng = random.Random(5)
+    cells = {}
+    for x in range(7):
+        for y in range(6):
+            for z in range(6):
+                if rng.random() < 0.62:
+                    cells[len(cells)] = (x, y, z)
+    programs = [rng.choice([-2, -1, -1, 0, 1]) for _ in cells]
+    ground = [i for i in cells if cells[i][2] == 0 and rng.random() < 0.5]
+    found = []
+    for dx, dy, dz in ((0, 0, 0), (28, 30, 29)):
+        frame, down = frames(spark, {i: (x + dx, y + dy, z + dz) for i, (x, y, z) in cells.items()}, programs, ground)
+        way = loads.find_ways(frame, down, 3)
+        doors = way.own.levels[0].count()
+        # within one brick nothing is joined; over eight only where ways come in
+        assert doors == 0 if dx == 0 else 0 < doors < len(cells)
+        routes = sorted((r.source, r.program_idx, r.steps, r.capacity) for r in way.routes().collect())
+        heavy = {r.voxel_idx: r.importance for r in loads.importance(way, frame).collect()}
+        found.append((routes, heavy, {(r.a, r.b) for r in way.edges().collect()}, ways(loads.load_paths(frame, down, 3))))
+    assert found[0] == found[1]
+    assert len(found[0][0]) == len(found[0][3]) > 20
