@@ -90,16 +90,15 @@ def test_floor_coverage_stays_on_its_floor(spark):
     assert {r["voxel_idx"] for r in reached.collect()} == {0, 1, 2, 3, 4}
 
 
-def test_cores_over_tiles_and_bricks_are_those_within_one(spark):
+def test_blending_over_tiles_is_that_within_one(spark):
     rng = random.Random(3)
-    cells = [(x, y, z) for x in range(8) for y in range(7) for z in range(4) if rng.random() < 0.8]
+    cells = [(x, y, z, rng.randrange(64) / 8) for x in range(8) for y in range(7) for z in range(4) if rng.random() < 0.8]
     found = []
     for d in (0, 28):
-        rows = [("g", i, x + d, y + d, z + d) for i, (x, y, z) in enumerate(cells)]
-        frame = spark.createDataFrame(rows, "grid_id string, voxel_idx long, ix int, iy int, iz int")
-        core, unserved = generated.generate_cores(frame, None, 1.0, 3.0, most=2)
-        found.append((sorted((r.core_id, r.voxel_idx) for r in core.collect()), sorted(r.voxel_idx for r in unserved.collect())))
-    assert found[0] == found[1] and found[0][0] and found[0][1]
+        rows = [("g", i, x + d, y + d, z + d, z + d, raw) for i, (x, y, z, raw) in enumerate(cells)]
+        frame = spark.createDataFrame(rows, "grid_id string, voxel_idx long, ix int, iy int, iz int, level int, raw double")
+        found.append({r.voxel_idx: r.score for r in generated.blended(frame).collect()})
+    assert found[0] == found[1] and len(found[0]) == len(cells)
     # a cell is dealt to its tile and to those it touches, not nine times
     wide = spark.createDataFrame([(x, y) for x in range(64) for y in range(64)], "ix int, iy int")
     assert generated._tiled(wide, ["ix", "iy"]).count() == (64 + 2 + 2) ** 2
