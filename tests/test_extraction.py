@@ -53,6 +53,30 @@ def test_a_solid_block_is_one_box(spark):
     assert sorted(r["voxel_count"] for r in got) == [2, 12**3]
 
 
+def merged(df, **options):
+    return sorted((-r["voxel_count"], r["ix"], r["iy"], r["iz"], r["w"], r["d"], r["h"]) for r in boxes.merge_boxes(df, **options).collect())
+
+
+def test_boxes_of_small_grids_take_no_round_over_the_table(spark):
+    rng = random.Random(3)
+    keys = [k for k in itertools.product(range(4), repeat=3) if rng.random() < 0.7]
+    assert merged(cells(spark, keys, [0] * len(keys)), max_rounds=0) == sorted(greedy_boxes(keys))
+
+
+@pytest.mark.parametrize("side", [4, 8])
+def test_boxes_are_the_same_over_many_tiles(spark, side):
+    rng = random.Random(11)
+    noise = [k for k in itertools.product(range(-3, 14), range(11), range(9)) if rng.random() < 0.5]
+    # beside it a bar that no tile holds, with a hole, and voxels given twice
+    bar = [(x, 20 + y, z) for x, y, z in itertools.product(range(20), range(2), range(2)) if (x, y, z) != (15, 0, 1)]
+    df = cells(spark, [*noise, *bar, *bar[:5]], [0] * (len(noise) + len(bar) + 5))
+    got = merged(df, side=side)
+    assert got == merged(df, max_rounds=0)
+    assert got[0] == (-60, 0, 20, 0, 15, 2, 2) and -sum(b[0] for b in got) == len(noise) + len(bar)
+    with pytest.raises(RuntimeError):
+        boxes.merge_boxes(df, max_rounds=0, side=side)
+
+
 def test_boxes_small_cases(spark):
     block = boxes.merge_boxes(cells(spark, list(itertools.product(range(2), repeat=3)), [0] * 8))
     assert [(r["w"], r["d"], r["h"], r["voxel_count"]) for r in block.collect()] == [(2, 2, 2, 8)]
