@@ -77,6 +77,15 @@ def test_boxes_are_the_same_over_many_tiles(spark, side):
         boxes.merge_boxes(df, max_rounds=0, side=side)
 
 
+def test_box_report_over_tiles_takes_no_round_over_the_table(spark):
+    rng = random.Random(5)
+    keys = [k for k in itertools.product(range(20), range(20), range(4)) if rng.random() < 0.4]
+    df = cells(spark, keys, [rng.choice([0, 1, -1]) for _ in keys])
+    report = [boxes.box_report(boxes.merge_boxes(df, **options)).first() for options in ({"max_rounds": 0}, {"side": 8})]
+    assert report[0] == report[1] and report[0]["voxels"] == df.where("program_idx >= 0").count()
+    assert 0 < report[0]["boxes"] < report[0]["voxels"]
+
+
 def test_boxes_small_cases(spark):
     block = boxes.merge_boxes(cells(spark, list(itertools.product(range(2), repeat=3)), [0] * 8))
     assert [(r["w"], r["d"], r["h"], r["voxel_count"]) for r in block.collect()] == [(2, 2, 2, 8)]
