@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from latticework.operators import generated
+from latticework.operators import generated, whole
 
 
 def walked(cells, bonus, radius, most_far, most):
@@ -102,3 +102,15 @@ def test_blending_over_tiles_is_that_within_one(spark):
     # a cell is dealt to its tile and to those it touches, not nine times
     wide = spark.createDataFrame([(x, y) for x in range(64) for y in range(64)], "ix int, iy int")
     assert generated._tiled(wide, ["ix", "iy"]).count() == (64 + 2 + 2) ** 2
+
+
+def test_cores_of_a_grid_that_a_task_holds_take_no_rounds_and_equal_those_over_tiles(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"g{g}", (x * 5 + y) * 3 + z, x, y, z) for g in range(2) for x in range(5) for y in range(5) for z in range(3) if rng.random() < 0.6]
+    voxels = spark.createDataFrame([*rows, (None, 0, 0, 0, 0), ("g0", None, 1, None, 2)], "grid_id string, voxel_idx long, ix int, iy int, iz int")
+    placed = lambda: [sorted(tuple(r) for r in d.collect()) for d in generated.generate_cores(voxels, None, 1.0, 2.0, most=2)]
+    monkeypatch.setattr(whole, "PLACES", 0)
+    want = placed()
+    monkeypatch.undo()
+    monkeypatch.setattr(generated, "core_path", None)
+    assert placed() == want and {r[1] for r in want[0]} == {0, 1}
