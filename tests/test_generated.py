@@ -114,3 +114,15 @@ def test_cores_of_a_grid_that_a_task_holds_take_no_rounds_and_equal_those_over_t
     monkeypatch.undo()
     monkeypatch.setattr(generated, "core_path", None)
     assert placed() == want and {r[1] for r in want[0]} == {0, 1}
+
+
+def test_the_query_places_all_cores_of_a_grid(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    # cells of one floor that do not touch: a core serves what lies within 10 of its cell
+    lines = [(x, y, 0, 1.0, 1.0) for x, y in ((0, 0), (6, 8), (20, 0), (40, 40), (47, 20))]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    cores = {}
+    for r in entry.queries()["v_generate_cores"](spark, str(tmp_path)).collect():
+        cores.setdefault(r["core_id"], set()).add((r["voxel_idx"] // 960, r["voxel_idx"] // 20 % 48))
+    assert sorted(cores) == [0, 1, 2, 3] and {frozenset(c) for c in cores.values()} == {frozenset(c) for c in ({(0, 0), (6, 8)}, {(20, 0)}, {(40, 40)}, {(47, 20)})}
