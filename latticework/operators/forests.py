@@ -47,7 +47,7 @@ def node_of(run: Column, *cell: str) -> Column:
     return (run * CUBE + (inside[0] * SIDE + inside[1]) * SIDE + inside[2]).cast("int").alias("node")
 
 
-def _table(schema: str, rows: dict, m: int) -> pa.RecordBatch:
+def table(schema: str, rows: dict, m: int) -> pa.RecordBatch:
     """Columns by schema; what is missing is null, and what is no array stands in every row."""
     out, names = [], []
     for name, kind in (f.split() for f in schema.split(", ")):
@@ -193,11 +193,11 @@ class Forest:
                     moves = _chosen(planes, fixed, limit, onto, prices)
                     brick = Brick(tuple(key), planes[limit + 2], fixed[3], moves, None)
                     at = dict(zip(BRICK, key, strict=True))
-                    yield _table(_MADE, at | {"voxels": bricks._packed(brick.voxels), "programs": bricks._packed(fixed[3]), "moves": bricks.zlib.compress(moves.tobytes(), 1)}, 1)
+                    yield table(_MADE, at | {"voxels": bricks._packed(brick.voxels), "programs": bricks._packed(fixed[3]), "moves": bricks.zlib.compress(moves.tobytes(), 1)}, 1)
                     leaving = np.flatnonzero(brick.out)
                     _, first = np.unique(brick.door(leaving), return_index=True)
                     leaving = leaving[first]
-                    yield _table(_MADE, at | {"door": brick.door(leaving)} | brick.beyond(leaving), len(leaving))
+                    yield table(_MADE, at | {"door": brick.door(leaving)} | brick.beyond(leaving), len(leaving))
                     # a way may come in where there is a voxel beyond the face: from above with run 0, from a side with another
                     open_ = np.zeros(len(brick.node), bool)
                     for k, (axis, s) in enumerate(STEPS):
@@ -208,7 +208,7 @@ class Forest:
                     last, steps, sides, lead, level = (x[comes] for x in brick.walked())
                     leaves = brick.out[last]
                     rows = at | {"node": brick.node[comes], "steps": steps, "sides": sides, "lead": lead, "level": level, "end_idx": pa.array(brick.voxel(last), mask=leaves)}
-                    yield _table(_MADE, rows | {n: pa.array(x.astype(np.int32), mask=~leaves) for n, x in brick.beyond(np.where(leaves, last, 0) if len(last) else last).items()}, len(comes))
+                    yield table(_MADE, rows | {n: pa.array(x.astype(np.int32), mask=~leaves) for n, x in brick.beyond(np.where(leaves, last, 0) if len(last) else last).items()}, len(comes))
 
         made, _ = written(settled.select(*BRICK, "fixed", "halo", "state").mapInArrow(run, _MADE))
         self.bricks = made.where("moves is not null").select(*BRICK, "voxels", "programs", "moves")
@@ -247,13 +247,13 @@ class Forest:
         def alone(batches):
             for batch in batches:
                 for *key, voxels, programs, moves in zip(*(batch[c].to_pylist() for c in (*BRICK, "voxels", "programs", "moves")), strict=True):
-                    yield _table(schema, *rows(opened(tuple(key), voxels, programs, moves, None)))
+                    yield table(schema, *rows(opened(tuple(key), voxels, programs, moves, None)))
 
         def hearing(brick: pa.Table, heard: pa.Table) -> pa.Table:
             if not brick.num_rows:
-                return pa.Table.from_batches([_table(schema, {}, 0)])
+                return pa.Table.from_batches([table(schema, {}, 0)])
             row = brick.to_pylist()[0]
-            return pa.Table.from_batches([_table(schema, *rows(opened(tuple(row[b] for b in BRICK), row["voxels"], row["programs"], row["moves"], heard)))])
+            return pa.Table.from_batches([table(schema, *rows(opened(tuple(row[b] for b in BRICK), row["voxels"], row["programs"], row["moves"], heard)))])
 
         if not said:
             return self.bricks.mapInArrow(alone, schema)

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import cached_property
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.operators import bricks
+from latticework.operators import bricks, trees, whole
 from latticework.operators.allocation import CORE, UNASSIGNED
-from latticework.operators.forests import ENDS, SHIFT, Brick, Forest, node_of, place_of
+from latticework.operators.forests import ENDS, SHIFT, Brick, Forest, node_of, place_of, table
 from latticework.session import written
 from latticework.sources.voxels import CELL, KEY
 
@@ -143,8 +146,8 @@ def _stepped(core: bool):
         _, there, _ = _carried(core)(brick)
         at = np.flatnonzero(there.ravel()[brick.node] & (brick.move < ENDS))
         here, to = brick.voxel(at), brick.voxel(at, SHIFT[brick.move[at]].T)
-        pairs = np.unique(np.array([np.minimum(here, to), np.maximum(here, to)]), axis=1)
-        return {"grid_id": brick.key[0], "a": pairs[0], "b": pairs[1]}, pairs.shape[1]
+        a, b = trees.distinct(np.minimum(here, to), np.maximum(here, to))
+        return {"grid_id": brick.key[0], "a": a, "b": b}, len(a)
 
     return rows
 
@@ -154,8 +157,8 @@ def _puts(rows: DataFrame, run: Column, *cell: str) -> DataFrame:
     return rows.select("grid_id", *place_of(*cell), node_of(run, *cell), "value").groupBy(*bricks.BRICK, "node").agg(F.sum("value").alias("value")).withColumn("entered", F.lit(False))
 
 
-class Ways:
-    """Ways of all core and program voxels to the ground, as two forests; see `find_ways`."""
+class Forests:
+    """Ways of all core and program voxels to the ground, as two forests over bricks; see `find_ways`."""
 
     def __init__(self, cells: DataFrame, ground: DataFrame, limit: int, max_rounds: int):
         self.cells, _ = written(cells.select(*KEY, *CELL[1:], "program_idx"))
@@ -203,6 +206,55 @@ class Ways:
         return self.own.visit(schema, _stepped(False), *own).unionByName(self.core.visit(schema, _stepped(True), *core)).distinct()
 
 
+class Ways:
+    """Ways of all core and program voxels to the ground; see `find_ways`.
+
+    A task follows those of a grid that it can hold; larger grids go as forests over bricks.
+    """
+
+    def __init__(self, cells: DataFrame, ground: DataFrame, limit: int, max_rounds: int):
+        self.cells, _ = written(cells.select(*KEY, *CELL[1:], "program_idx"))
+        self.ground, self.limit, self.max_rounds = ground.select(*KEY), limit, max_rounds
+
+    @cached_property
+    def forests(self) -> Forests:
+        """The forests of all grids, for lists of ways."""
+        return Forests(self.cells, self.ground, self.limit, self.max_rounds)
+
+    core, own = property(lambda self: self.forests.core), property(lambda self: self.forests.own)
+
+    @cached_property
+    def _parts(self) -> tuple[DataFrame, Forests | None]:
+        # a cell has a node for each number of sideways steps
+        small, large, parts = whole.split(self.cells, whole.PLACES // (4 * (self.limit + 1)))
+        rows = small.withColumn("down", F.lit(False)).unionByName(self.ground.where("grid_id is not null and voxel_idx is not null").withColumn("down", F.lit(True)), allowMissingColumns=True)
+        return rows.repartition(parts, "grid_id"), large and Forests(large, self.ground, self.limit, self.max_rounds)
+
+    def _made(self, schema: str, made: Callable[[trees.Grid], dict], wide: Callable[[Forests], DataFrame]) -> DataFrame:
+        small, large = self._parts
+        limit = self.limit
+
+        def rows(given: pa.Table) -> pa.Table:
+            grid = trees.Grid(given, limit, (DOWN, SIDE, SHARE), LEFT)
+            columns = made(grid)
+            return pa.Table.from_batches([table(schema, {"grid_id": grid.name} | columns, len(next(iter(columns.values()))))])
+
+        found = small.groupBy("grid_id").applyInArrow(rows, schema)
+        return found if large is None else found.unionByName(wide(large))
+
+    def routes(self) -> DataFrame:
+        """(grid_id, source, program_idx, steps, capacity) of every core and program voxel with a way: a sideways step leaves a quarter, a step down all of it."""
+        return self._made("grid_id string, source long, program_idx int, steps int, capacity double", trees.Grid.routes, Forests.routes)
+
+    def passing(self) -> DataFrame:
+        """(grid_id, voxel_idx, value): the sum of what the ways through each voxel carry."""
+        return self._made("grid_id string, voxel_idx long, value double", trees.Grid.passing, Forests.passing)
+
+    def edges(self) -> DataFrame:
+        """(grid_id, a, b) of the distinct steps of all ways, in either direction, with a < b."""
+        return self._made("grid_id string, a long, b long", trees.Grid.edges, Forests.edges)
+
+
 def find_ways(cells: DataFrame, ground: DataFrame, max_cantilever: int = 4, max_rounds: int = 10_000) -> Ways:
     """The ways of each core and program voxel to the ground, without listing them.
 
@@ -258,7 +310,7 @@ def load_paths(cells: DataFrame, ground: DataFrame, max_cantilever: int = 4, max
     Rows are the sum of all lengths; `Ways` has sums, capacities and importance
     without them. A voxel without a way has no rows.
     """
-    ways = find_ways(cells, ground, max_cantilever, max_rounds)
+    ways = find_ways(cells, ground, max_cantilever, max_rounds).forests
     routes, _ = written(ways._routes())
     source, none = F.col("voxel_idx").alias("source"), F.lit(0)
     start = routes.select("grid_id", *place_of(*CELL[1:]), node_of(none, *CELL[1:]), source, none.cast("long").alias("step"), "program_idx")

@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from latticework.operators import loads, regions
+from latticework.operators import loads, regions, whole
 
 SIDES = ((1, 0), (-1, 0), (0, 1), (0, -1))
 
@@ -151,3 +151,29 @@ def test_ways_over_bricks_are_those_within_one_and_join_only_doors(spark):
         found.append((routes, heavy, {(r.a, r.b) for r in way.edges().collect()}, ways(loads.load_paths(frame, down, 3))))
     assert found[0] == found[1]
     assert len(found[0][0]) == len(found[0][3]) > 20
+
+
+def test_a_grid_that_a_task_holds_takes_no_forests_and_its_ways_are_those_over_bricks(spark, monkeypatch):
+    rng = random.Random(8)
+    rows, down = [], [("a", 9_999), ("b", None), ("no", 0)]
+    for grid, sides in (("a", (4, 4, 5)), ("b", (12, 4, 4))):
+        ids = rng.sample(range(1000), 300)
+        for x in range(sides[0]):
+            for y in range(sides[1]):
+                for z in range(sides[2]):
+                    if rng.random() < 0.65:
+                        rows.append((grid, ids.pop(), x + 3, y - 2, z, rng.choice([-2, -1, -1, 0, 1, None])))
+                        down += [(grid, rows[-1][1])] * (2 if z == 0 and rng.random() < 0.6 else 0)
+    cells = spark.createDataFrame([*rows, (None, 1, 0, 0, 0, 0)], "grid_id string, voxel_idx long, ix int, iy int, iz int, program_idx int")
+    ground = spark.createDataFrame(down, "grid_id string, voxel_idx long")
+
+    def found(ways):
+        return [sorted(tuple(r) for r in d.collect()) for d in (ways.routes(), ways.passing(), ways.edges())]
+
+    # only grid b is too wide for a task
+    monkeypatch.setattr(whole, "PLACES", 20 * 300)
+    want = found(loads.find_ways(cells.where("grid_id is not null"), ground))
+    monkeypatch.undo()
+    monkeypatch.setattr(loads, "_grown", None)
+    got = found(loads.find_ways(cells, ground))
+    assert got == want and {r[0] for r in got[2]} == {"a", "b"} and len(got[0]) > 40
