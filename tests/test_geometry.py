@@ -224,3 +224,30 @@ def test_rays_of_a_block_are_tested_together(monkeypatch):
             if s >= 0 and t >= 0 and s + t <= 1 and far >= 0:
                 ways.append(far)
         assert near[i, j] == pytest.approx(min(ways), abs=1e-9)
+
+
+def test_meshes_that_a_task_holds_are_filled_there_as_by_lines(spark, monkeypatch):
+    """Also where a mesh is too large for a task, its triangles come in rows, it has no extent, or it is cut at centres."""
+    rng = random.Random(4)
+    rows = [(None, *[0.0] * 9), ("flat", *[1.0] * 9), ("null", None, *[0.0] * 8)]
+    for k in range(40):
+        rows += box(f"b{k}", [rng.choice([0.5, 1.0, 1.75, 3.0, rng.random() + 0.1]) for _ in range(3)], [rng.choice([0.0, -2.5, rng.random()]) for _ in range(3)])
+    rows += box("b0", (0.5, 0.25, 1.0), (0.25, 0.25, 0.0)) + box("b0", (0.5, 0.25, 1.0), (0.25, 0.25, 0.0))
+    for k in range(20):
+        o, x, y, z = ([rng.random() * 4 for _ in range(3)] for _ in range(4))
+        rows += [(f"t{k}", *p, *q, *r) for p, q, r in ((o, x, y), (o, y, z), (o, z, x), (x, y, z))]
+    rows += [("open", *(rng.random() for _ in range(9))) for _ in range(30)]
+    df = spark.createDataFrame(rows, TRIANGLE).repartition(5).cache()
+    for resolution in (1, 4, 7):
+        want = sorted(map(tuple, meshes._by_lines(df, resolution).collect()))
+        monkeypatch.setattr(meshes, "AT_ONCE", 3000)
+        found = meshes.voxelize(df, resolution)
+        # nothing is dealt out but the triangles
+        plan = found._jdf.queryExecution().sparkPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
+        assert sorted(map(tuple, found.collect())) == want and want
+        monkeypatch.setattr(meshes, "COLUMNS", 3 * (resolution + 1) ** 2 * 20)
+        assert sorted(map(tuple, meshes.voxelize(df, resolution).collect())) == want
+        monkeypatch.undo()
+    twice = meshes.voxelize(df.select("grid_id").distinct(), 4, lambda d: d.join(df, "grid_id"), 12)
+    assert sorted(map(tuple, twice.collect())) == sorted(map(tuple, meshes.voxelize(df, 4).collect()))
