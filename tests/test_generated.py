@@ -126,3 +126,13 @@ def test_the_query_places_all_cores_of_a_grid(spark, tmp_path):
     for r in entry.queries()["v_generate_cores"](spark, str(tmp_path)).collect():
         cores.setdefault(r["core_id"], set()).add((r["voxel_idx"] // 960, r["voxel_idx"] // 20 % 48))
     assert sorted(cores) == [0, 1, 2, 3] and {frozenset(c) for c in cores.values()} == {frozenset(c) for c in ({(0, 0), (6, 8)}, {(20, 0)}, {(40, 40)}, {(47, 20)})}
+
+
+def test_a_floor_without_distances_has_paths_only_where_one_comes_from_below():
+    import pyarrow as pa
+
+    # a row without a place leaves its floor without distances; the cell of least index there is out of reach
+    rows = [(7, 0, 0, 0), (9, 0, 0, 1), (3, 5, 5, 1), (None, None, 0, 1)]
+    table = pa.table({"grid_id": ["g"] * 4} | {c: pa.array([r[k] for r in rows], pa.int32() if k else pa.int64()) for k, c in enumerate(("voxel_idx", "ix", "iy", "iz"))})
+    found = generated._placed(0.0, 3.0, 1.0, 20, False)(table).to_pylist()
+    assert [(r["core_id"], r["iz"], r["voxel_idx"]) for r in found] == [(0, 1, 9), (0, 0, 7), (1, 1, 3)]
